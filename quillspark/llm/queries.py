@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import decontaminate, exact_dedup, license_scan, mixing, toxicity, url_filter
+from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
