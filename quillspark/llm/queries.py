@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, toxicity, url_filter
+from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, ngram_join, toxicity, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
