@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, ngram_join, toxicity, url_filter
+from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, ngram_join, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {
