@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, ngram_join, suffix_dedup, toxicity, url_filter
+from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, ngram_join, pii, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_pii": pii.op5_pii,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_license_scan": license_scan.op8_license_scan,
