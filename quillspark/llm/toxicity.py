@@ -153,9 +153,12 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def learn_lexemes(train: DataFrame) -> dict[str, float]:
     """Words and stems (with a `*`) whose lower bound of precision for toxic texts is high."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= STEMS[0]))
-    stems = F.flatten(F.array(*[F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]))
+
+    def stems(n: int):
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
     opening = F.xxhash64(F.substring(F.col("text"), 1, 64))
-    rows = train.select("toxic", opening.alias("opening"), F.explode(F.array_distinct(F.concat(words, stems))).alias("lexeme"))
+    rows = train.select("toxic", opening.alias("opening"), F.explode(F.array_distinct(F.concat(words, *[stems(n) for n in STEMS]))).alias("lexeme"))
     # distinct openings by a first aggregate, so that no set is gathered for a common word
     once = rows.groupBy("lexeme", "toxic", "opening").agg(F.lit(1).alias("one"))
     counts = once.groupBy("lexeme").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n"))
