@@ -89,10 +89,15 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the plan says, with all its columns."""
-    plan = plan_mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_copies"))
-    out = docs.join(plan, F.col("doc_id") == F.col("_mix_id")).withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
-    return out.select(*docs.columns)
+    """The mixed corpus: every document as often as the plan says, with all its columns.
+
+    Rows that repeat an id, source and size share one decision, the largest of theirs.
+    """
+    plan = plan_mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    plan = plan.toDF("_mix_id", "_mix_source", "_mix_size", "_mix_copies")
+    rows = docs.withColumn("_mix_words", size_of(F.col("text")))
+    out = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size")))
+    return out.withColumn("_mix_copy", F.explode(F.expr("sequence(1L, _mix_copies)"))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
