@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import forget, materialize, scratch_path, shared_dir, spaced, table
+from quillspark.llm.common import forget, materialize, scratch_path, spaced, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -54,14 +56,15 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if source is None:
         staged = materialize(docs.select(id_col, text_col), "dedup-source")
         source = f"{staged._scratch[:-1]}[{staged._scratch[-1]}]"
-    state = state or scratch_path(spark, "dedup-state")
+    own = [] if state else [scratch_path(spark, "dedup-state")]
+    state = state or own[0]
     out = scratch_path(spark, "dedup-groups")
     before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
     for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
     try:
         seen = (
-            spark.readStream.schema((staged or docs).schema).parquet(source)
+            spark.readStream.schema((docs if staged is None else staged).schema).parquet(source)
             .select(F.sha2(normalized(F.col(text_col)), 256).alias("digest"), F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("locator"))
             .groupBy("digest")
             .agg(F.min(F.struct(F.col("id").isNull().alias("absent"), F.col("id"), F.col("locator"))).alias("first"), F.count("*").alias("n"))
@@ -78,12 +81,15 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = seen.withColumn("batch", F.lit(0)).schema
+    forget(*own, *([staged] if staged is not None else []))
     if batches < 0:
         return spark.createDataFrame([], schema).drop("batch")
     groups = spark.read.schema(schema).parquet(out)
     if batches > 0:  # a key that several batches touched: the last row holds
         groups = groups.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "n"), "batch").alias("g")).select("digest", "g.*")
-    return groups.drop("batch")
+    groups = groups.drop("batch")
+    groups._scratch = out
+    return groups
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,6 +102,8 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256"),
         "dedup-marked",
     )
+    if hasattr(groups, "_scratch"):
+        forget(groups)
     # Hits: the texts behind one digest are equal bytes if their least and greatest are. Partial aggregation keeps a hot
     # group to two texts a task.
     hits = marked.where(F.col("group_size") > 1).select(F.col("doc_id").alias("hit"), "text_sha256").distinct()
@@ -123,7 +131,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     return mark_duplicates(table(spark, sf_dir, "documents"))
 
 
