@@ -81,12 +81,9 @@ def look_up_pages(labels: DataFrame, queries: DataFrame) -> DataFrame:
     of its roman value. Labels are (source, label, page_idx, ord), queries (source, query)."""
     q = queries.withColumn("low", F.lower("query")).withColumn("n", F.when(F.col("query").rlike(r"^\d+$"), F.col("query").cast("int"))).withColumn("r", roman(F.col("query")))
     exact = labels.select("source", F.col("label").alias("low"), F.col("page_idx").alias("exact"))
-    # the least page from n on, as one backward minimum over the source's numeric labels
-    numeric = labels.where(F.col("label").rlike(r"^\d+$")).select("source", F.col("label").cast("int").alias("k"), "page_idx")
-    marks = numeric.select("source", "k", "page_idx", F.lit(None).cast("string").alias("query")).unionByName(q.where("n IS NOT NULL").select("source", F.col("n").alias("k"), F.lit(None).cast("int").alias("page_idx"), "query"))
-    marks = marks.repartition("source")  # one exchange of the union: its sides' own partitions may be coalesced apart
-    ahead = Window.partitionBy("source").orderBy("k").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    above = marks.withColumn("above", F.min("page_idx").over(ahead)).where("query IS NOT NULL").select("source", "query", "above").distinct()
+    numeric = labels.where(F.col("label").rlike(r"^\d+$")).select(F.col("source").alias("k_source"), F.col("label").cast("int").alias("k"), "page_idx")
+    asked = q.where("n IS NOT NULL").select("source", "query", "n")
+    above = asked.join(numeric, (F.col("source") == F.col("k_source")) & (F.col("k") >= F.col("n"))).groupBy("source", "query").agg(F.min("page_idx").alias("above"))
     value = F.when(F.col("label").rlike(r"^\d+$"), F.col("label").cast("int")).otherwise(roman(F.col("label")))
     by_value = labels.withColumn("v", value).where("v IS NOT NULL").groupBy(F.col("source").alias("v_source"), "v").agg(F.min_by("page_idx", "ord").alias("by_value"))
     out = q.join(exact, ["source", "low"], "left").join(above, ["source", "query"], "left")
