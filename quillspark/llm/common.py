@@ -50,9 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's sizes of a frame's sources, added up: for file scans the size of the files."""
+    """The optimizer's sizes of a frame's sources, added up: for file scans the size of the files. Sources of unknown size,
+    for which it assumes more than a petabyte, count as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 50)
 
 
 def blocks_for(df: DataFrame, mb: int = 8) -> int:
