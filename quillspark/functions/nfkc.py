@@ -5,14 +5,14 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def normalize_text(c):
-    """Curly quotes, dashes and no-break spaces to ASCII, then NFKC; plain ASCII texts skip the Python step's work."""
-    return nfkc(F.translate(c, "“”‘’–— ", "\"\"''-- "))
+def normalize_text(c: Column) -> Column:
+    """Curly quotes, dashes and no-break spaces to ASCII, then NFKC."""
+    return F.pandas_udf(_fold, "string")(F.translate(c, "“”‘’–— ", "\"\"''-- "))
