@@ -26,3 +26,25 @@ def top_languages(shares: DataFrame, most: int = 5, least: float = 0.005) -> Dat
     """Languages by share, at most `most`, above `least`."""
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("share"), "lang"))
     return shares.withColumn("rank", k).where((F.col("rank") <= most) & (F.col("share") > least)).select("doc_id", "rank", "lang", "share")
+
+
+def chunk_languages(docs: DataFrame, size: int = 50, least: int = 50, markers: list[tuple[str, list[str]]] = P.LANG_MARKERS) -> DataFrame:
+    """(doc_id, lang, share): of a text's chunks of `size` sentences, those whose most frequent markers are a language's.
+
+    The detector is the greatest count of markers, the first language of equals; chunks without any, and those under
+    `least` characters, belong to none but count in the whole.
+    """
+    parts = F.split(F.coalesce("text", F.lit("")), r"\. ")
+    n = F.ceil(F.size(parts) / size).cast("int")
+    chunk = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(parts, i * size + 1, F.lit(size)), ". "))
+    rows = docs.select("doc_id", n.alias("chunks"), F.explode(chunk).alias("c")).withColumn("w", words(F.lower("c")))
+    best = F.array_max(F.array(*[F.struct(F.size(F.filter("w", _among(ws))).alias("hits"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(markers)]))
+    rows = rows.withColumn("best", best).where((F.length(F.trim("c")) >= least) & (F.col("best.hits") > 0))
+    return rows.groupBy("doc_id", "chunks", F.col("best.lang").alias("lang")).agg(F.count("*").alias("n")).select("doc_id", "lang", (F.col("n") / F.col("chunks")).alias("share"))
+
+
+def merged_languages(docs: DataFrame) -> DataFrame:
+    """Chunk shares plus 0.3 of the marker shares over a thousandth: (doc_id, rank, lang, share), five at most."""
+    marks = marker_shares(docs).where("share > 0.001").select("doc_id", "lang", (F.col("share") * 0.3).alias("share"))
+    both = chunk_languages(docs).unionByName(marks).groupBy("doc_id", "lang").agg(F.sum("share").alias("share"))
+    return top_languages(both)

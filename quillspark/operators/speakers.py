@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
-from quillspark.functions.text import n_words, strip
+from quillspark.functions.text import n_words, snippet, strip
 
 NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
 
@@ -108,3 +108,13 @@ def greedy_voices(ranked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     zero = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<speaker:string,voice_id:string>>").alias("out"))
     return rows.select(id_col, F.explode(F.aggregate("x", zero, step, lambda a: a["out"])).alias("o")).select(id_col, "o.*")
+
+
+def narrators(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The narrator's row of each text: all its words, one utterance, fixed traits."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(id_col, F.lit("Narrator").alias("speaker"), F.lit(1).cast("long").alias("dialogues"), n_words(text).cast("long").alias("n_words"), F.lit(0.5).alias("formality"), F.lit(0.3).alias("excitement"), F.lit(0.7).alias("calmness"), F.lit(15.0).alias("sentence_words"), snippet(text).alias("snippet"))
+
+
+def voices_or_default(speakers: DataFrame, assigned: DataFrame, default: str, id_col: str = "doc_id") -> DataFrame:
+    return speakers.join(assigned, [id_col, "speaker"], "left").withColumn("voice_id", F.coalesce("voice_id", F.lit(default)))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quillspark.functions import nfkc as nfkc_fn
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
-from quillspark.operators import chunking, language, lines, metadata, paragraphs, speakers, toc
+from quillspark.operators import chunking, language, lines, media, metadata, paragraphs, speakers, toc
 from quillspark.plans import render
-from quillspark.sources.io import table
+from quillspark.sources.io import manifest, table
 from quillspark.streaming.resume import pending
 
 QUERIES: dict = {}
@@ -536,3 +536,99 @@ def q_totals(spark, d):
 @query("q_paragraphs")
 def q_paragraphs(spark, d):
     return paragraphs.rebuild_paragraphs(documents(spark, d)).select("doc_id", F.md5("text").alias("text"))
+
+
+# --- clips, images and voices ---
+
+
+@query("q_clip_quality", """
+WITH c AS (SELECT conv_id, turn AS clip_no, length(text) * 0.08::DOUBLE AS duration_s, CAST(length(text) % 17 AS DOUBLE) AS deviation FROM conversations),
+s AS (SELECT *, (greatest(0, 1 - abs(duration_s - 12) / 12) + 1 / (1 + deviation / 10)) / 2 AS score FROM c)
+SELECT conv_id, arg_max(clip_no, duration_s * 100000 - clip_no) AS longest, first(clip_no ORDER BY score DESC, clip_no) AS best, max(score) AS score, least(count(*) / 10.0::DOUBLE, 1) AS quality,
+  CASE WHEN sum(duration_s) >= 45 THEN 'excellent' WHEN sum(duration_s) >= 30 THEN 'good' ELSE 'short' END AS tier,
+  CASE WHEN max(duration_s) > 0 THEN greatest(0, least(1, 1 - abs(min(duration_s) - max(duration_s) * 0.8::DOUBLE) / (max(duration_s) * 0.8::DOUBLE))) * 0.3::DOUBLE + (1 - least(max(deviation) / 20, 1)) * 0.3::DOUBLE + 0.7::DOUBLE * 0.4::DOUBLE ELSE 0.5 END AS clone
+FROM s GROUP BY conv_id""")
+def q_clip_quality(spark, d):
+    clips = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("clip_no"), (F.length("text") * 0.08).alias("duration_s"), (F.length("text") % 17).cast("double").alias("deviation"))
+    whole = clips.groupBy("conv_id").agg(
+        F.max_by("clip_no", F.struct("duration_s", -F.col("clip_no"))).alias("longest"), media.profile_quality(F.count("*")).alias("quality"), media.length_tier(F.sum("duration_s")).alias("tier"),
+        media.clone_quality(F.min("duration_s"), F.max("duration_s"), F.max("deviation")).alias("clone"),
+    )
+    return whole.join(render.best_clips(clips).withColumnRenamed("clip_no", "best"), "conv_id")
+
+
+@query("q_clip_trim", """
+WITH c AS (SELECT conv_id, turn AS clip_no, length(text) * 0.08::DOUBLE AS duration_s FROM conversations WHERE length(text) * 0.08::DOUBLE >= 3)
+SELECT conv_id, clip_no, least(duration_s, 30) AS duration_s FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY clip_no) <= 3""")
+def q_clip_trim(spark, d):
+    clips = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("clip_no"), (F.length("text") * 0.08).alias("duration_s"))
+    return media.trimmed_clips(clips, "conv_id", 3)
+
+
+@query("q_clip_repeat")
+def q_clip_repeat(spark, d):
+    clips = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("clip_no"), (F.length("text") * 0.08).alias("duration_s"))
+    return media.repeated_sample(render.fill_sample(clips))
+
+
+@query("q_image_fit", """
+WITH i AS (SELECT p_partkey, p_size * 20 AS width, CAST(floor(p_retailprice / 4) AS INTEGER) AS height FROM part WHERE p_size > 0),
+s AS (SELECT *, least(1920::DOUBLE / width, 1080::DOUBLE / height) AS scale FROM i),
+f AS (SELECT p_partkey, CAST(floor(width * scale) AS INTEGER) AS w, CAST(floor(height * scale) AS INTEGER) AS h FROM s)
+SELECT p_partkey, w, h, CAST(floor((1920 - w) / 2) AS INTEGER) AS x, CAST(floor((1080 - h) / 2) AS INTEGER) AS y FROM f""")
+def q_image_fit(spark, d):
+    i = table(spark, d, "part").where("p_size > 0").selectExpr("p_partkey", "p_size * 20 AS width", "cast(floor(p_retailprice / 4) as int) AS height")
+    return i.select("p_partkey", media.fit_image(F.col("width"), F.col("height")).alias("f")).select("p_partkey", "f.*")
+
+
+@query("q_voice_names", """
+WITH n AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '🎬 ' || c_name || ' (Cloned)' WHEN 1 THEN 'cloned_ana_number_' || c_custkey ELSE c_name END AS name FROM customer),
+p AS (SELECT *, trim(replace(replace(name, '🎬 ', ''), ' (Cloned)', '')) AS plain FROM n)
+SELECT c_custkey, contains(name, '(Cloned)') OR contains(name, 'cloned_') OR contains(name, '🎬') OR contains(name, '(Custom)') AS cloned,
+  CASE WHEN starts_with(plain, 'cloned_') THEN 'Ana Number ' || c_custkey ELSE plain END AS clean FROM p""")
+def q_voice_names(spark, d):
+    name = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('🎬 ', c_name, ' (Cloned)') WHEN 1 THEN concat('cloned_ana_number_', c_custkey) ELSE c_name END")
+    return table(spark, d, "customer").select("c_custkey", media.is_cloned(name).alias("cloned"), media.clean_voice_name(name).alias("clean"))
+
+
+@query("q_preview", f"SELECT doc_id, md5(CASE WHEN length(text) < 100 THEN text || '{media.PREVIEW_TAIL}' ELSE left(text, 500) END) AS preview FROM documents")
+def q_preview(spark, d):
+    return documents(spark, d).select("doc_id", F.md5(media.preview_text(F.col("text"))).alias("preview"))
+
+
+@query("q_metadata", rf"SELECT doc_id, CASE WHEN {sql_strip('t')} <> '' AND lower({sql_strip('t')}) NOT IN ('untitled', 'document', '') THEN {sql_strip('t')} END AS title FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Untitled ' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE ' ' || source END AS t FROM documents)")
+def q_metadata(spark, d):
+    t = F.expr("CASE doc_id % 4 WHEN 0 THEN ' Untitled ' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE concat(' ', source) END")
+    return documents(spark, d).select("doc_id", media.metadata_value(t, ["untitled", "document", ""]).alias("title"))
+
+
+@query("q_narrators", rf"SELECT doc_id, 'Narrator' AS speaker, 1::BIGINT AS dialogues, len({sql_words('text')}) AS n_words, 0.5::DOUBLE AS formality, 0.3::DOUBLE AS excitement, 0.7::DOUBLE AS calmness, 15::DOUBLE AS sentence_words, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM documents")
+def q_narrators(spark, d):
+    return speakers.narrators(documents(spark, d))
+
+
+@query("q_speaker_names", f"WITH {FOUND} SELECT DISTINCT speaker FROM counts")
+def q_speaker_names(spark, d):
+    return speakers.speaker_counts(_found(spark, d), "conv_id").select("speaker").distinct()
+
+
+@query("q_lang_chunks")
+def q_lang_chunks(spark, d):
+    return language.chunk_languages(documents(spark, d))
+
+
+@query("q_lang_merged")
+def q_lang_merged(spark, d):
+    return language.merged_languages(documents(spark, d))
+
+
+@query("q_voice_scored")
+def q_voice_scored(spark, d):
+    found = _found(spark, d)
+    ranked = speakers.speaker_counts(found, "conv_id").join(speakers.traits(found, "conv_id"), ["conv_id", "speaker"])
+    return media.scored_voices(ranked, [(v, " ".join(ts)) for v, ts in P.VOICES], "conv_id")
+
+
+@query("q_manifest", f"WITH {FOUND} SELECT conv_id AS doc_id, concat('[', string_agg(concat('{{\"speaker\":\"', speaker, '\",\"dialogues\":', dialogues, ',\"n_words\":', n_words, '}}'), ',' ORDER BY speaker), ']') AS manifest FROM counts GROUP BY conv_id")
+def q_manifest(spark, d):
+    return manifest(speakers.speaker_counts(_found(spark, d), "conv_id").withColumnRenamed("conv_id", "doc_id"))
