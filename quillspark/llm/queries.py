@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
