@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import blocks_for, materialize, table
-from quillspark.llm.vectors import _BASE, _TABLE, U, mix, pack, pack_sorted, prefix, spans, unpack, unpack_sorted
+from quillspark.llm.vectors import _BASE, _TABLE, U, mix, pack, pack_sorted, prefix, rows_of, spans, unpack, unpack_sorted
 
 LEAST = 200
 GRAM = 32
 SMALL = 1_000_000  # ids that may be broadcast
-BATCH = 1 << 20  # bytes of contexts in one suffix array
+BATCH = 8000  # contexts judged together, unless one anchor has more
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -104,25 +104,31 @@ def maximal_repeats(strings: list[bytes], least: int = LEAST, classes: list[int]
     bounds = np.stack([starts, ends], 1).ravel()
     bounds = bounds[:-1] if bounds[-1] == len(left) else bounds
     low, high = np.minimum.reduceat(left, bounds)[::2], np.maximum.reduceat(left, bounds)[::2]
-    found = []
-    for s, e in zip(starts[low != high], ends[low != high]):
-        stack = [(least - 1, s)]
-        for i in range(s + 1, e + 1):
-            now, at = (lcp[i] if i < e else 0), i - 1
-            while stack[-1][0] >= least and stack[-1][0] > now:
-                depth, at = stack.pop()
-                lefts = left[at:i]
-                if (lefts != lefts[0]).any():
-                    found.append((int(depth), order[at:i]))
-            if now >= least and stack[-1][0] < now:
-                stack.append((now, at))
     out = []
-    for depth, places in found:
-        owner = np.searchsorted(owner_start, places, side="right") - 1
-        out.append((depth, list(zip(owner.tolist(), (places - owner_start[owner]).tolist()))))
+    for s, e in zip(starts[low != high], ends[low != high]):
+        for depth, lo, hi in intervals(lcp[s:e], left[s:e], least):
+            places = order[s + lo : s + hi]
+            owner = np.searchsorted(owner_start, places, side="right") - 1
+            out.append((depth, list(zip(owner.tolist(), (places - owner_start[owner]).tolist()))))
     return out
 
 
+def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(depth, from, to) of the common-prefix intervals of at least `least` whose left bytes differ, by a stack scan over
+    sorted suffixes. `lcp`: common prefix of each suffix with the one before; that of the first is not read."""
+    changes = np.append(0, np.cumsum(left[1:] != left[:-1])).tolist()
+    heights = [*lcp.tolist()[1:], 0]
+    stack = [(least - 1, 0)]
+    for i, now in enumerate(heights, 1):
+        at = i - 1
+        while stack[-1][0] >= least and stack[-1][0] > now:
+            depth, at = stack.pop()
+            if changes[i - 1] > changes[at]:
+                yield depth, at, i
+        if now >= least and stack[-1][0] < now:
+            stack.append((now, at))
+
+
 def slide(x: np.ndarray, width: int, best) -> np.ndarray:
     """The best of each `width` neighbours, by doubling."""
     step, out = 1, x
@@ -213,13 +219,13 @@ def anchor_rows(docs: DataFrame, buckets: int, least: int) -> DataFrame:
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for b in batches:
-            for i, k, text in zip(*(c.to_pylist() for c in b.columns)):
+            for i, k, text in rows_of(b):
                 where, h, start, end, full = document(encoded(text), least)
                 if len(where):
                     hs.append(h), fs.append(full), ps.append(where), rs.append(np.full(len(where), len(ids)))
                     ids.append((i, k))
                     size += len(where)
-                    if size > 1_000_000:
+                    if size > 300_000:
                         yield flush()
                         hs, fs, ps, rs, ids, size = [], [], [], [], [], 0
         if size:
@@ -279,7 +285,7 @@ def contexts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, k, text, places, groups in zip(*(c.to_pylist() for c in b.columns)):
+            for i, k, text, places, groups in rows_of(b):
                 raw, at = encoded(text), np.frombuffer(places, np.int64)
                 lo, hi = np.maximum(at - (least - GRAM), 0), np.minimum(at + least, len(raw))
                 yield pa.RecordBatch.from_pydict({
@@ -290,86 +296,106 @@ def contexts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     return joined.select("doc_id", "key", "text", "places", "groups").mapInArrow(run, "group long, doc_id long, key long, at long, start long, bytes binary")
 
 
-def small_covers(held: list[tuple], least: int) -> list[dict]:
-    """Intervals that belong to maximal repeats among the contexts of one anchor, for some anchors."""
-    strings, number = [x[5] for x in held], {}
-    classes = [number.setdefault(x[0], len(number)) for x in held]
-    at, start, end = [], [], []
-    for length, places in maximal_repeats(strings, least, classes):
-        if len({(*held[owner][1:3], held[owner][4] + s) for owner, s in places}) < 2:
-            continue  # contexts of one document overlap: the same bytes, not a repeat
-        for owner, s in places:
-            at.append(owner), start.append(s), end.append(s + length)
-    at, start, end = np.array(at, np.int64), np.array(start, np.int64), np.array(end, np.int64)
-    if not len(at):
-        return []
-    wide = np.int64(1 << 32)  # contexts side by side, apart from each other
-    s, e = joined_intervals(at * wide + start, at * wide + end)
-    rows = zip((s // wide).tolist(), (s % wide).tolist(), (e % wide).tolist())
-    return [{"doc_id": held[o][1], "key": held[o][2], "start": held[o][4] + x, "end": held[o][4] + y} for o, x, y in rows]
+def repeated_prefixes(a: np.ndarray, first: np.ndarray, last: np.ndarray, apart: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, class, left byte) of the suffixes whose first `least` bytes another column of their kind has at the
+    same row, where the bytes to the left differ; only these can start a maximal repeat. One rolling hash a column."""
+    base, top = U(_BASE), U(pow(_BASE, least - 1, 1 << 64))
+    reach = len(a) - least
+    h = np.zeros(a.shape[1], U)
+    for i in range(len(a) - 1, reach - 1, -1):
+        h = _TABLE[a[i]] + base * h
+    rows, cols, classes, lefts, number = [], [], [], [], 0
+    for s in range(reach, -1, -1):
+        ok = np.flatnonzero((first <= s) & (last >= s + least))
+        if len(ok) > 1:
+            key = h[ok] ^ apart[ok]
+            by = np.argsort(key)
+            ok, key = ok[by], key[by]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(head, len(key)))
+            left = np.where(first[ok] < s, a[s - 1, ok].astype(np.int64), 256 + ok)
+            live = (times > 1) & (np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head))
+            take = np.repeat(live, times)
+            rows.append(np.full(int(take.sum()), s)), cols.append(ok[take]), lefts.append(left[take])
+            classes.append(np.repeat(np.arange(number, number + live.sum()), times[live]))
+            number += int(live.sum())
+        if s:
+            h = _TABLE[a[s - 1]] + base * (h - _TABLE[a[s + least - 1]] * top)
+    if not rows:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(classes), np.concatenate(lefts)
 
 
-def large_covers(held: list[tuple], least: int) -> list[dict]:
-    """The same for one anchor with very many contexts: the intervals of the tree at depth `least` alone, which cover all
-    that deeper ones do, by one rolling hash for each offset from the anchor. Memory is a few hundred bytes a context."""
+def context_covers(held: list[tuple], least: int) -> list[dict]:
+    """Intervals that belong to maximal repeats among the contexts of one anchor, for some anchors.
+
+    Contexts stand side by side with their anchors in one row. Suffixes that share their first `least` bytes are sorted by
+    what follows, which makes an enhanced suffix array of the only suffixes that can lie in an interval of that depth;
+    the order among intervals is that of hashes, which the tree does not depend on.
+    """
     reach, m = least - GRAM, len(held)
-    a = np.zeros((reach + least, m), np.uint8)  # a column per context, anchors in one row
-    first, last = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    for j, (_, _, _, at, _, raw) in enumerate(held):
-        first[j], last[j] = reach - at, reach - at + len(raw)
-        a[first[j] : last[j], j] = np.frombuffer(raw, np.uint8)
-    base, top = U(_BASE), U(pow(_BASE, least - 1, 1 << 64))
-    h = np.zeros(m, U)
-    for i in range(reach + least - 1, reach - 1, -1):
-        h = _TABLE[a[i]] + base * h
-    open_, out = np.full(m, -1, np.int64), []
-    for s in range(reach, -2, -1):  # windows from row s on
-        hit = np.zeros(m, bool)
-        if s >= 0:
-            ok = np.flatnonzero((first <= s) & (last >= s + least))
-            _, back, times = np.unique(h[ok], return_inverse=True, return_counts=True)
-            hit[ok[times[back] > 1]] = True
-            if s:
-                h = _TABLE[a[s - 1]] + base * (h - _TABLE[a[s + least - 1]] * top)
-        for j in np.flatnonzero(~hit & (open_ >= 0)):  # a run of windows ends
-            lo = held[j][4] - first[j]
-            out.append({"doc_id": held[j][1], "key": held[j][2], "start": int(lo + s + 1), "end": int(lo + open_[j] + least)})
-        open_[~hit] = -1
-        open_[hit & (open_ < 0)] = s
-    return out
+    a = np.zeros((reach + least, m), np.uint8)
+    first = np.array([reach - x[3] for x in held])
+    last = first + np.array([len(x[5]) for x in held])
+    for j, x in enumerate(held):
+        a[first[j] : last[j], j] = np.frombuffer(x[5], np.uint8)
+    apart = mix(np.array([x[0] for x in held], np.int64).view(U))
+    row, col, cls, left = repeated_prefixes(a, first, last, apart, least)
+    if not len(row):
+        return []
+    origin = np.array([x[4] for x in held]) - first  # where a column's row 0 lies in its document
+    owner = {}
+    doc = np.array([owner.setdefault(x[1:3], len(owner)) for x in held])
+    covers: dict[tuple[int, int], int] = {}
+    size = -(-reach // 8) * 8
+    cuts = np.append(0, np.flatnonzero(cls[1:] != cls[:-1]) + 1)
+    # whole classes at a time, some tens of thousands of suffixes
+    marks = cuts[np.searchsorted(cuts, np.arange(0, len(row), 30_000))] if len(cuts) > 1 else cuts
+    marks = np.unique(np.append(marks, len(row)))
+    for lo, hi in zip(marks[:-1], marks[1:]):
+        r, c, k, lf = row[lo:hi], col[lo:hi], cls[lo:hi], left[lo:hi]
+        rest = np.zeros((len(r), size), np.uint8)
+        at = r[:, None] + least + np.arange(reach)
+        inside = at < last[c][:, None]
+        rest[:, :reach] = np.where(inside, a[np.minimum(at, len(a) - 1), c[:, None]], 0)
+        length = last[c] - r - least
+        by = np.lexsort([length, *rest.view(">u8").astype(U).T[::-1], k])
+        r, c, k, lf, rest, length = r[by], c[by], k[by], lf[by], rest[by], length[by]
+        differ = rest[1:] != rest[:-1]
+        same = np.where(differ.any(1), differ.argmax(1), size)
+        lcp = least + np.minimum(same, np.minimum(length[1:], length[:-1]))
+        lcp = np.append(0, np.where(k[1:] == k[:-1], lcp, 0))
+        place = origin[c] + r
+        moves = np.append(0, np.cumsum((doc[c][1:] != doc[c][:-1]) | (place[1:] != place[:-1])))
+        deep = np.zeros(len(r), np.int64)
+        for depth, x, y in intervals(lcp, lf, least):
+            if moves[y - 1] > moves[x]:  # else contexts of one document overlap: the same bytes, not a repeat
+                deep[x:y] = np.maximum(deep[x:y], depth)
+        for j, p, n in zip(c[deep > 0].tolist(), place[deep > 0].tolist(), deep[deep > 0].tolist()):
+            covers[j, p] = max(n, covers.get((j, p), 0))
+    at = np.array([j for j, _ in covers], np.int64)
+    start = np.array([p for _, p in covers], np.int64)
+    wide = np.int64(1 << 40)  # columns side by side, apart from each other
+    s, e = joined_intervals(at * wide + start, at * wide + start + np.array(list(covers.values()), np.int64))
+    return [{"doc_id": held[o][1], "key": held[o][2], "start": x, "end": y} for o, x, y in zip((s // wide).tolist(), (s % wide).tolist(), (e % wide).tolist())]
 
 
 def edge_covers(rows: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Intervals of documents that repeat among the contexts of an anchor."""
+    """Intervals of documents that repeat among the contexts of an anchor; the contexts of an anchor are judged together,
+    those of several anchors side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, size, group_size = [], [], 0, 0
-
-        def judged(rows: list[tuple], covers) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(covers(rows, least), schema=COVERS)
-
-        def close():
-            nonlocal held, group, size, group_size
-            if group_size > BATCH:
-                yield judged(group, large_covers)
-            else:
-                held += group
-                size += group_size
-            group, group_size = [], 0
-            if size > BATCH:
-                yield judged(held, small_covers)
-                held, size = [], 0
-
+        held, last = [], None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if group and row[0] != group[0][0]:
-                    yield from close()
-                group.append(row)
-                group_size += len(row[5])
-        if group:
-            yield from close()
+            for row in rows_of(b):
+                if len(held) >= BATCH and row[0] != last:
+                    yield pa.RecordBatch.from_pylist(context_covers(held, least), schema=COVERS)
+                    held = []
+                last = row[0]
+                held.append(row)
         if held:
-            yield judged(held, small_covers)
+            yield pa.RecordBatch.from_pylist(context_covers(held, least), schema=COVERS)
 
     return rows.repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(run, COVER)
 
@@ -410,7 +436,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
         for b in batches:
             out = []
-            for i, text, copy, places, edges in zip(*(c.to_pylist() for c in b.columns)):
+            for i, text, copy, places, edges in rows_of(b):
                 raw = encoded(text)
                 n = len(raw)
                 if copy and n >= least:

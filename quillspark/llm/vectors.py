@@ -81,6 +81,12 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(mix(acc + U(width)))
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 256):
+    """A batch's rows as tuples, a few hundred at a time as Python objects."""
+    for i in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, step).columns))
+
+
 def pack(x: np.ndarray) -> bytes:
     """Numbers as bytes: byte planes side by side, compressed; little when high bytes are alike."""
     x = np.ascontiguousarray(x)

@@ -318,17 +318,23 @@ def test_maximal_repeats():
         assert {i: sorted(v) for i, v in got.items()} == want
 
 
-def test_large_anchor_groups_alike():
+def test_context_covers():
     base = bytes(random.choice(b"abcdefgh ") for _ in range(400))
     held = []
     for j in range(60):
-        left, l, r = bytes(random.choice(b"xyz") for _ in range(random.randint(0, 168))), 0, random.randint(40, 200)
-        l = random.randint(0, len(left))
-        before, after = left[: len(left) - l] + base[200 - l : 200], base[200 : 200 + r] + bytes(random.choice(b"xyz") for _ in range(random.randint(0, 200 - r)))
+        left, r = bytes(random.choice(b"xyz") for _ in range(random.randint(0, 168))), random.randint(40, 200)
+        shared = random.randint(0, len(left))
+        before, after = left[: len(left) - shared] + base[200 - shared : 200], base[200 : 200 + r] + bytes(random.choice(b"xyz") for _ in range(random.randint(0, 200 - r)))
         if len(before + after) >= 200:
-            held.append((1, j, 0, len(before), 1000 * j, before + after))
-    flat = lambda rows: {(x["doc_id"], p) for x in rows for p in range(x["start"], x["end"])}
-    assert flat(suffix_dedup.small_covers(held, 200)) == flat(suffix_dedup.large_covers(held, 200)) != set()
+            held.append((j % 2, j, 0, len(before), 1000 * j, before + after))
+    held.append((*held[0][:3], held[0][3] + 5, held[0][4], held[0][5][:-5]))  # an overlapping context of one document
+    got = {(x["doc_id"], p) for x in suffix_dedup.context_covers(held, 200) for p in range(x["start"], x["end"])}
+    places = {}
+    for g, j, _, at, start, raw in held:
+        for k in range(len(raw) - 199):
+            places.setdefault((g, raw[k : k + 200]), set()).add((j, start + k))
+    want = {(j, q) for at in places.values() if len(at) > 1 for j, p in at for q in range(p, p + 200)}
+    assert got == want != set()
 
 
 def plain_hits(rows, items, width=10):
