@@ -34,14 +34,13 @@ def normalized(text):
 
 
 def _streamable(docs: DataFrame) -> str | None:
-    """The path of a frame that is a plain Parquet scan, as a pattern that matches just that path."""
-    files = docs.inputFiles()
-    if not files:
+    """The path of a frame that is a plain file scan, as a pattern that matches just that path."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or plan.getClass().getSimpleName() != "LogicalRelation":
         return None
-    for path in {files[0], files[0].rsplit("/", 1)[0]}:
-        if docs.sameSemantics(docs.sparkSession.read.parquet(path)):
-            return f"{path[:-1]}[{path[-1]}]"
-    return None
+    roots = plan.relation().location().rootPaths()
+    path = roots.apply(0).toString() if roots.size() == 1 else None
+    return f"{path[:-1]}[{path[-1]}]" if path else None
 
 
 def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None) -> DataFrame:
