@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 Rules are regular expressions over a text's normalised words, built for each license family from phrase templates and
-gated by a keyword of the family: a rule's expression runs only on texts that contain its keyword. Detections are
+gated by a keyword of the family: a rule's expression runs only on texts that contain its keyword. Before that, GATE
+leaves out texts whose normalised words hold nothing that a template begins with or needs. Detections are
 intervals of words with a priority. One sweep over the intervals in order of start (longer first, then higher
 priority) drops each interval that lies inside one before it.
 
@@ -41,16 +42,20 @@ FAMILIES = [
     ("upl", "(?:universal permissive|upl)", "u"), ("busl", "(?:business source|busl)", "bus"), ("elastic", "elastic", "elastic"),
     ("sspl", "(?:server side public|sspl)", "s"), ("commons-clause", "commons clause", "commons"),
 ]
+# What the templates begin with or hold; a text of RULES or PHRASES has one of them in its normalised words.
+GRANT = r" (?:released|licensed|licensable|distributed|available|provided|published|offered) (?:[^ ]+ ){0,2}(?:under|per)"
+TERMS = r" (?:terms|conditions) of"
+WORD = r" licen[sc]e"
+GATE = f"{WORD}|{TERMS} |{GRANT} "
 # Templates: expression around a family's name, priority, confidence.
 TEMPLATES = [
-    (r" (?:released|licensed|licensable|distributed|available|provided|published|offered) (?:[^ ]+ ){{0,2}}(?:under|per) (?:the |a |terms of |version ){{0,3}}{name}(?: licen[sc]e)?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?(?= )", 4, 0.95),
-    (r" (?:terms|conditions) of (?:the |a ){{0,1}}{name}(?: licen[sc]e)?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?(?= )", 3, 0.9),
-    (r" {name} licen[sc]e(?: (?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?(?= )", 2, 0.85),
-    (r" spdx licen[sc]e identifier {name}(?: [0-9]+)*(?: or later| only)?(?= )", 5, 0.98),
-    (r" licen[sc]e (?:is |type )?{name}(?: [0-9]+)*(?= )", 1, 0.7),
+    (GRANT.replace("{", "{{").replace("}", "}}") + r" (?:the |a |terms of |version ){{0,3}}{name}(?: licen[sc]e)?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?(?= )", 4, 0.95),
+    (TERMS + r" (?:the |a ){{0,1}}{name}(?: licen[sc]e)?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?(?= )", 3, 0.9),
+    (r" {name}" + WORD + r"(?: (?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?(?= )", 2, 0.85),
+    (r" spdx" + WORD + r" identifier {name}(?: [0-9]+)*(?: or later| only)?(?= )", 5, 0.98),
+    (WORD + r" (?:is |type )?{name}(?: [0-9]+)*(?= )", 1, 0.7),
 ]
 RULES = [(label, template.format(name=name), keyword, priority, sure) for label, name, keyword in FAMILIES for template, priority, sure in TEMPLATES]
-GATE = r"licen[sc]e|spdx|released under|terms of"
 
 
 def rules_array(rules: list[tuple[str, str, str, int, float]]) -> Column:
@@ -100,9 +105,9 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, str, int, float]] = RULES,
     """One row per document: doc_id, n_words, places (start, label of each base phrase), detections (start, end, label, sure)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n_words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    gated = F.lower(text).rlike(GATE)
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    base = docs.select("doc_id", n_words.alias("n_words"), F.when(gated, norm).alias("norm"))
+    gated = F.col("norm").rlike(GATE) if rules is RULES and phrases is PHRASES else F.lit(True)
+    base = docs.select("doc_id", n_words.alias("n_words"), norm.alias("norm")).select("doc_id", "n_words", F.when(gated, F.col("norm")).alias("norm"))
     places = F.flatten(F.array(*[
         F.transform(
             spans_of(F.col("norm"), F.struct(F.lit(f" {p}(?= )").alias("rx"), F.lit(9).alias("priority"), F.lit(0.9).alias("sure"), F.lit(label).alias("label"))),

@@ -394,3 +394,14 @@ def test_pipeline(spark, tmp_path):
     plan = {r.doc_id: r.copies for r in mixing.plan_mix(spark.createDataFrame([(i, t, source[i]) for i, t in kept], "doc_id long, text string, source string")).collect()}
     assert Counter(r.doc_id for r in out) == Counter({i: c for i, c in plan.items() if c})
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontamination", "mixing"]
+
+
+def test_license_scan_templates_without_license(spark):
+    """Each template that doesn't need the word license finds its family without it, across lines and marks too."""
+    texts = ["Distributed under the GNU GPL v3", "available under CC BY 4.0", "subject to the conditions of the MPL", "released\nunder the MIT", "released freely under the MIT.", "offered per Apache 2.0", "the\nterms\n of the EUPL", "under the MIT tree"]
+    want = ["gpl", "cc-by", "mpl", "mit", "mit", "apache", "eupl", None]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [x.label for x in r.detections] for r in license_scan.scan(d).collect()}
+    assert got == {i: [x] if x else [] for i, x in enumerate(want)}
+    own = license_scan.scan(d, rules=[("tree", " mit tree(?= )", "tree", 1, 0.5)], phrases=[("cc by", "cc")]).collect()  # others than RULES have no gate
+    assert {r.doc_id for r in own if r.detections} == {7} and {r.doc_id for r in own if r.places} == {1}
