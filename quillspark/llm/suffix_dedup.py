@@ -351,8 +351,8 @@ def context_covers(held: list[tuple], least: int) -> list[dict]:
     size = -(-reach // 8) * 8
     cuts = np.append(0, np.flatnonzero(cls[1:] != cls[:-1]) + 1)
     # whole classes at a time, some tens of thousands of suffixes
-    marks = cuts[np.searchsorted(cuts, np.arange(0, len(row), 30_000))] if len(cuts) > 1 else cuts
-    marks = np.unique(np.append(marks, len(row)))
+    cuts = np.append(cuts, len(row))
+    marks = np.unique(np.append(cuts[np.searchsorted(cuts, np.arange(0, len(row), 30_000))], len(row)))
     for lo, hi in zip(marks[:-1], marks[1:]):
         r, c, k, lf = row[lo:hi], col[lo:hi], cls[lo:hi], left[lo:hi]
         rest = np.zeros((len(r), size), np.uint8)

@@ -405,3 +405,11 @@ def test_license_scan_templates_without_license(spark):
     assert got == {i: [x] if x else [] for i, x in enumerate(want)}
     own = license_scan.scan(d, rules=[("tree", " mit tree(?= )", "tree", 1, 0.5)], phrases=[("cc by", "cc")]).collect()  # others than RULES have no gate
     assert {r.doc_id for r in own if r.detections} == {7} and {r.doc_id for r in own if r.places} == {1}
+
+
+def test_context_covers_large_last_class():
+    """More than 30,000 suffixes, most of them in the last class."""
+    few, many = (bytes(random.choice(b"abcdefgh ") for _ in range(200)) for _ in range(2))
+    held = [(0, j, 0, 0, 7, few) for j in range(2)] + [(1, j, 0, 68, 9, many) for j in range(2, 31_000)]
+    got = {(x["doc_id"], x["start"], x["end"]) for x in suffix_dedup.context_covers(held, 200)}
+    assert got == {(j, 7, 207) if j < 2 else (j, 9, 209) for j in range(31_000)}
