@@ -30,7 +30,7 @@ LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = [
     ("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@[A-Za-z0-9-]"),
     ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]{2}"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 ]
 MORE = [

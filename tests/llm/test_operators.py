@@ -413,3 +413,12 @@ def test_context_covers_large_last_class():
     held = [(0, j, 0, 0, 7, few) for j in range(2)] + [(1, j, 0, 68, 9, many) for j in range(2, 31_000)]
     got = {(x["doc_id"], x["start"], x["end"]) for x in suffix_dedup.context_covers(held, 200)}
     assert got == {(j, 7, 207) if j < 2 else (j, 9, 209) for j in range(31_000)}
+
+
+def test_pii_cards_of_single_digits(spark):
+    """Card numbers whose digits are all apart."""
+    card = "4111111111111111"
+    texts = [" ".join(card), "-".join(card), "é pay " + " -"[0].join(card) + ", not " + "-".join("4111111111111112"), "4 1"]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find(d, ([], {})).collect()}
+    assert got == {i: plain_pii(t) for i, t in enumerate(texts)} and [len(got[i]) for i in range(4)] == [1, 1, 1, 0]
