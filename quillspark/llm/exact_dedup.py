@@ -6,7 +6,8 @@ on the full bytes of the texts before it counts as a copy.
 
 Defined results: a null text counts as empty; texts are equal when identical after each run of ASCII white space is
 replaced by one space; the smallest doc_id of a group stays, null ids last, and rows that repeat a doc_id of the same
-text are one row each in the output, of which only the keeper's first is kept when `deduplicate` filters. An empty
+text, or have none, are one row each in the output. `deduplicate` keeps one row of each group: of rows that share the
+keeper's id, the first as JSON. Rows that repeat a doc_id with other texts are in groups of their own. An empty
 table gives an empty result. Columns of other names are carried through untouched; names may clash with the digest
 columns because the operator works on a projection of (id, text).
 """
@@ -124,9 +125,19 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    drop = mark_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(drop, id_col, "left_anti")
-    return kept.select(*docs.columns)
+    marked = materialize(mark_duplicates(docs, id_col, text_col).where("group_size > 1"), "dedup-hits")
+    same = lambda x: F.col("id").eqNullSafe(F.col(f"{x}_id")) & (F.col("digest") == F.col(f"{x}_digest"))
+    named = lambda d, x: d.select(F.col("doc_id").alias(f"{x}_id"), F.col("text_sha256").alias(f"{x}_digest"))
+    norm = normalized(F.col(text_col))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.sha2(norm, 256).alias("digest"))
+    rows = rows.join(named(marked.where(~F.col("kept")), "drop").distinct(), same("drop"), "left_anti")
+    # keepers whose identifier the group repeats: one row of them stays; as an aggregate, so that no task holds them all
+    again = materialize(marked.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("c")).where("c > 1"), "dedup-again")
+    if again.isEmpty():
+        return rows.select("row.*")
+    once = rows.join(named(again, "again"), same("again"), "left_semi").withColumn("norm", normalized(F.col(f"row.{text_col}")))
+    once = once.groupBy("id", "norm").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.join(named(again, "again"), same("again"), "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -422,3 +422,13 @@ def test_pii_cards_of_single_digits(spark):
     d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find(d, ([], {})).collect()}
     assert got == {i: plain_pii(t) for i, t in enumerate(texts)} and [len(got[i]) for i in range(4)] == [1, 1, 1, 0]
+
+
+def test_deduplicate_repeated_and_null_ids(spark):
+    rows = [(1, "x", 0), (0, "y", 0), (1, "y", 1), (5, "z a", 3), (5, "z  a", 2), (5, "z a", 2), (None, "n", 1), (None, "n", 1), (None, "n", 0), (None, "y", 4), (7, "w", 0), (7, None, 0), (None, "", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(3)
+    out = exact_dedup.deduplicate(d)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == d.columns and Counter(norm(t) for _, t, _ in got) == Counter({norm(t): 1 for _, t, _ in rows})
+    assert set(got) <= set(rows) and {norm(t): i for i, t, _ in got} == {"x": 1, "y": 0, "z a": 5, "n": None, "w": 7, "": 7}
+    assert sorted(got, key=repr) == sorted((tuple(r) for r in exact_dedup.deduplicate(d.repartition(5)).collect()), key=repr)
