@@ -6,8 +6,8 @@ composition is one automaton whose arcs emit a pattern for every insult or threa
 least one of its clauses is toxic.
 
 Lexemes (words, and stems for inflected words) and the weights of patterns are learned from labelled rows outside the
-held-out fold, at most `sample` of them, in the order of a hash of the id. A lexeme's support counts distinct openings
-of texts, so that copies of one text don't make its words insults.
+held-out fold, at most `sample` of them, in the order of a hash of the id. A lexeme's support counts distinct texts by
+the digest of the whole text with its white space made equal, so that copies of one text don't make its words insults.
 
 Defined results: null, empty and wordless texts score the floor; rows are scored one by one, so repeated rows and ids
 get equal scores; without labels the seed lexicon and prior weights alone are used; other columns don't matter.
@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from quillspark.llm.common import table
+from quillspark.llm.exact_dedup import normalized
 
 SAMPLE = 20_000  # labelled rows that the weights are learned from, at most
 LEXEMES = 4_000  # learned lexemes, at most
 STEMS = (4, 5, 6)  # lengths of stems
-SUPPORT, SHARE, PRECISION = 4, 0.01, 0.9  # a lexeme's toxic openings, at least; as a share of all toxic rows; lower bound of its precision
+SUPPORT, SHARE, PRECISION = 4, 0.01, 0.9  # a lexeme's distinct toxic texts, at least; as a share of all toxic rows; lower bound of its precision
 FLOOR = 0.02
 SEEDS = {"idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass", "bastard", "bitch", "asshole", "retard", "vermin", "filth"}
 CLASSES = {
@@ -157,10 +158,10 @@ def learn_lexemes(train: DataFrame) -> dict[str, float]:
     def stems(n: int):
         return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-    opening = F.xxhash64(F.substring(F.col("text"), 1, 64))
-    rows = train.select("toxic", opening.alias("opening"), F.explode(F.array_distinct(F.concat(words, *[stems(n) for n in STEMS]))).alias("lexeme"))
-    # distinct openings by a first aggregate, so that no set is gathered for a common word
-    once = rows.groupBy("lexeme", "toxic", "opening").agg(F.lit(1).alias("one"))
+    digest = F.sha2(normalized(F.col("text")), 256)
+    rows = train.select("toxic", digest.alias("digest"), F.explode(F.array_distinct(F.concat(words, *[stems(n) for n in STEMS]))).alias("lexeme"))
+    # distinct texts by a first aggregate, so that no set is gathered for a common word
+    once = rows.groupBy("lexeme", "toxic", "digest").agg(F.lit(1).alias("one"))
     counts = once.groupBy("lexeme").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n"))
     support = max(SUPPORT, SHARE * train.where("toxic > 0").count())
     counts = counts.where((F.col("p") >= support) & (F.col("p") > F.col("n")))

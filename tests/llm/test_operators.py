@@ -432,3 +432,15 @@ def test_deduplicate_repeated_and_null_ids(spark):
     assert out.columns == d.columns and Counter(norm(t) for _, t, _ in got) == Counter({norm(t): 1 for _, t, _ in rows})
     assert set(got) <= set(rows) and {norm(t): i for i, t, _ in got} == {"x": 1, "y": 0, "z a": 5, "n": None, "w": 7, "": 7}
     assert sorted(got, key=repr) == sorted((tuple(r) for r in exact_dedup.deduplicate(d.repartition(5)).collect()), key=repr)
+
+
+def test_toxicity_learns_below_a_shared_header(spark):
+    """Labelled texts that share a header of more than 64 characters are still different texts."""
+    head = "this notice stands above each page of the archive and says nothing of what is written below it. "
+    rows = [(i, head + prose(10) + (" gribble " if i % 5 == 0 else " ") + prose(10 + i % 7)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    found = toxicity.learn_lexemes(toxicity.training(d, labels, 1000))
+    assert "gribble" in found and not {"notice", "archive"} & set(found)
+    copies = spark.createDataFrame([("one gribble", 1)] * 30 + [("one  gribble", 1)] * 30 + [("kind words", 0)] * 30, "text string, toxic int")
+    assert toxicity.learn_lexemes(copies) == {}
