@@ -12,7 +12,8 @@ token among the first n - ceil(0.8 n) + 1 of each.
    filtered by size and position, then expanded into their members.
 4. Expanded pairs are verified on the full sets, and components of both kinds of links are labelled.
 
-Only pairs inside one component already are left out, so no link between components is lost. The order's frequencies
+For components, pairs inside one component already are left out, so no link between components is lost. `class_links`
+and `link_counts` take no such step: they verify all pairs of classes, inside components too. The order's frequencies
 come from counters of fixed number (2 ** SKETCH_BITS), filled from all documents; it is all that is broadcast besides
 id sets whose size is checked first.
 
@@ -271,24 +272,53 @@ def candidates(postings: DataFrame, buckets: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def equal_sets(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal sets (k1, k2, rep, mins), documents (doc_id, n, rep), and the ids that a class's least one represents."""
+    sets = found.where("part IS NULL").select("doc_id", "n", "k1", "k2", "mins")
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"))
+    classes = materialize(classes, "join-classes")
+    of_class = materialize(sets.join(classes.drop("mins"), ["k1", "k2"], "left").select("doc_id", "n", "rep"), "join-members")
+    copies = of_class.where("rep <> doc_id").select(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("comp"))
+    reps = classes.select(F.col("rep").alias("r")).distinct()
+    return classes, of_class, copies.join(reps, F.col("id") == F.col("r"), "left_anti").distinct()
+
+
+def class_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b), a < b, between the least documents of classes of equal sets, also inside components; and the
+    documents (doc_id, n, rep) of the classes. A family of k different near copies has up to k (k - 1) / 2 links."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = materialize(features(docs, width), "join-features")
+    _, of_class, marks = equal_sets(found)
+    order = spark.sparkContext.broadcast(token_order(found))
+    marks = materialize(marks, "join-marks")
+    marks = F.broadcast(marks) if marks.count() <= SMALL else marks
+    buckets = blocks_for(docs, 8)
+    pairs = materialize(candidates(prefix_postings(docs, marks, order, buckets, width, percent), buckets, percent), "join-pairs")
+    return materialize(verified(docs, pairs, width, percent).distinct(), "join-all-links"), of_class
+
+
+def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, class_id (the least document of an equal set) and n_links, the other classes that
+    its class is linked with."""
+    links, of_class = class_links(docs, width, percent)
+    ends = links.select(F.col("a").alias("end")).union(links.select("b")).groupBy("end").agg(F.count("*").alias("c"))
+    return of_class.join(ends, F.col("rep") == F.col("end"), "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("c", F.lit(0)).alias("n_links"))
+
+
 def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(features(docs, width), "join-features")
-    sets = found.where("part IS NULL").select("doc_id", "n", "k1", "k2", "mins")
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"))
-    classes = materialize(classes, "join-classes")
-    of_class = materialize(sets.join(classes.drop("mins"), ["k1", "k2"], "left").select("doc_id", "n", "rep"), "join-members")
+    classes, of_class, copies = equal_sets(found)
     order = spark.sparkContext.broadcast(token_order(found))
     stars = materialize(star_pairs(classes), "join-stars")
     # a repeated doc_id with different sets belongs to several classes, and joins them
     again = of_class.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = materialize(verified(docs, stars, width, percent), "join-links")
     first = materialize(components(links), "join-components")
-    copies = of_class.where("rep <> doc_id").select(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("comp"))
-    reps = classes.select(F.col("rep").alias("r")).distinct()
-    marks = copies.join(reps, F.col("id") == F.col("r"), "left_anti").distinct().union(first.select("id", F.col("component").alias("comp")))
+    marks = copies.union(first.select("id", F.col("component").alias("comp")))
     marks = materialize(marks, "join-marks")
     marks = F.broadcast(marks) if marks.count() <= SMALL else marks
     buckets = blocks_for(docs, 8)
@@ -311,6 +341,10 @@ def deduplicate_near(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 

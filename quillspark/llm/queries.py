@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op1_ngram_links": ngram_join.op1_ngram_links,
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.ORACLE,

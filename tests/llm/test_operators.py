@@ -444,3 +444,17 @@ def test_toxicity_learns_below_a_shared_header(spark):
     assert "gribble" in found and not {"notice", "archive"} & set(found)
     copies = spark.createDataFrame([("one gribble", 1)] * 30 + [("one  gribble", 1)] * 30 + [("kind words", 0)] * 30, "text string, toxic int")
     assert toxicity.learn_lexemes(copies) == {}
+
+
+def test_ngram_links(docs, none):
+    """All links between different sets, also inside a component."""
+    first = {}
+    for i, t in ROWS:
+        first.setdefault(frozenset(shingle_set(t)), i)
+    rep = {i: first[frozenset(shingle_set(t))] if shingle_set(t) else None for i, t in ROWS}
+    want = {(a, b) for a, b in similar_pairs(ROWS) if rep[a] == a and rep[b] == b}
+    links, _ = ngram_join.class_links(docs)
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len({x for p in want for x in p})  # more than a tree of each component
+    assert {tuple(r) for r in ngram_join.link_counts(docs).collect()} == {(i, c, sum(c in p for p in want)) for i, c in rep.items()}
+    assert ngram_join.link_counts(none).count() == 0
