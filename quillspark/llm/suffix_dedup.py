@@ -1,6 +1,7 @@
-"""Removal of repeated byte strings by an enhanced suffix array and its tree of common-prefix intervals.
+"""Removal of repeated byte strings by content-chosen anchors, context hashes and the tree of common-prefix intervals.
 
-`maximal_repeats` sorts the suffixes of byte strings by prefix doubling, computes their common prefixes, and scans
+The query and `repeated_spans` give covered intervals, no groups of occurrences. `maximal_repeats`, which only tests
+call, is the plain method over an enhanced suffix array that they stand for: it sorts the suffixes of byte strings by prefix doubling, computes their common prefixes, and scans
 these with a stack. Each interval of suffixes with a common prefix of at least `least` bytes is a node of the interval
 tree; it is a maximal repeat if the bytes to the left of its suffixes differ. It is given with all its occurrences.
 
@@ -10,8 +11,8 @@ hash. Per anchor and document, the context holds all windows that may select it:
 anchor and least bytes from it.
 
 * Contexts that occur more than once as a whole are covered by that: the inside of long repeats never moves as bytes.
-* Where an anchor has contexts that differ (at the edges of repeats), the distinct contexts go to one place, once each,
-  and the suffix array over them finds the maximal repeats among them.
+* Where an anchor has contexts that differ (at the edges of repeats), the distinct contexts go to one place, once each.
+  Only suffixes whose first `least` bytes repeat, by a rolling hash, are sorted, and a stack scan finds their intervals.
 
 Copies of whole documents are found by digest: they are covered wholly, and one of them stands for all in the rest.
 
