@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by content-chosen anchors, context hashes and the tree of common-prefix intervals.
 
 The query and `repeated_spans` give covered intervals, no groups of occurrences. `maximal_repeats`, which only tests
-call, is the plain method over an enhanced suffix array that they stand for: it sorts the suffixes of byte strings by prefix doubling, computes their common prefixes, and scans
-these with a stack. Each interval of suffixes with a common prefix of at least `least` bytes is a node of the interval
+call, is the plain method over an enhanced suffix array that they stand for: it sorts the suffixes of byte strings by
+prefix doubling, computes their common prefixes, and scans these with a stack. Each interval of suffixes with a common prefix of at least `least` bytes is a node of the interval
 tree; it is a maximal repeat if the bytes to the left of its suffixes differ. It is given with all its occurrences.
 
 Over many documents, equal strings are brought together first. Each window of `least` bytes selects the anchors with
