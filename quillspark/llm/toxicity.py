@@ -158,8 +158,9 @@ def learn_lexemes(train: DataFrame) -> dict[str, float]:
     def stems(n: int):
         return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-    digest = F.sha2(normalized(F.col("text")), 256)
-    rows = train.select("toxic", digest.alias("digest"), F.explode(F.array_distinct(F.concat(words, *[stems(n) for n in STEMS]))).alias("lexeme"))
+    digest = F.xxhash64(normalized(F.col("text")))  # once a text, below the explode
+    rows = train.select("toxic", digest.alias("digest"), F.array_distinct(F.concat(words, *[stems(n) for n in STEMS])).alias("lexemes"))
+    rows = rows.select("toxic", "digest", F.explode("lexemes").alias("lexeme"))
     # distinct texts by a first aggregate, so that no set is gathered for a common word
     once = rows.groupBy("lexeme", "toxic", "digest").agg(F.lit(1).alias("one"))
     counts = once.groupBy("lexeme").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n"))
