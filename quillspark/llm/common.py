@@ -14,12 +14,19 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that the driver and all executors share; a temporary one only in local mode, where all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that weren't written elsewhere are lost with them."""
+    forget(shared_dir(spark))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +64,11 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 50)
 
 
+def small_enough(df: DataFrame, mb: int = 16) -> bool:
+    """Whether a frame made from scratch tables or files of at most `mb` MB can be broadcast; measured, not assumed."""
+    return input_bytes(df) <= mb << 20
+
+
 def blocks_for(df: DataFrame, mb: int = 8) -> int:
     """So many blocks that each holds about `mb` MB of the source files, never fewer than the shuffle partitions."""
     spark = df.sparkSession

@@ -1,24 +1,29 @@
-"""Removal of repeated byte strings by content-chosen anchors, context hashes and the tree of common-prefix intervals.
+"""Removal of repeated byte strings by enhanced suffix arrays and the tree of their common-prefix intervals.
 
-The query and `repeated_spans` give covered intervals, no groups of occurrences. `maximal_repeats`, which only tests
-call, is the plain method over an enhanced suffix array that they stand for: it sorts the suffixes of byte strings by
-prefix doubling, computes their common prefixes, and scans these with a stack. Each interval of suffixes with a common prefix of at least `least` bytes is a node of the interval
-tree; it is a maximal repeat if the bytes to the left of its suffixes differ. It is given with all its occurrences.
+`maximal_repeats` is the plain method: it sorts the suffixes of byte strings, computes their common prefixes, and scans
+these with a stack. Each interval of suffixes with a common prefix of at least `least` bytes is a node of the interval
+tree; it is a maximal repeat if the bytes to the left of its suffixes differ. It has all its occurrences.
 
-Over many documents, equal strings are brought together first. Each window of `least` bytes selects the anchors with
-the least hash of 32 bytes in it; equal windows select equal anchors, so all occurrences of a window meet at the anchor's
-hash. Per anchor and document, the context holds all windows that may select it: up to least - 32 bytes before the
-anchor and least bytes from it.
+Over a corpus no task can sort all suffixes, and sorting them by exchanges would move each byte some hundred times. So
+equal strings are brought together first, and each such place is judged by its own enhanced suffix array:
 
-* Contexts that occur more than once as a whole are covered by that: the inside of long repeats never moves as bytes.
-* Where an anchor has contexts that differ (at the edges of repeats), the distinct contexts go to one place, once each.
-  Only suffixes whose first `least` bytes repeat, by a rolling hash, are sorted, and a stack scan finds their intervals.
+1. Each window of `least` bytes chooses an anchor: the 32 bytes in it with the least hash, the last of equals. Equal
+   windows choose alike, so all occurrences of a window meet at the anchor's hash. The windows that chose one anchor
+   start side by side; their bytes together are the anchor's context.
+2. Contexts that occur more than once as a whole, by a cryptographic digest of their bytes, are repeats of that length.
+   A task settles those that it sees twice itself and passes one on, so that copies of a passage don't meet in one task.
+3. The distinct contexts of an anchor that has several go to one place as bytes. A rolling hash leaves out suffixes
+   that can't repeat; the others are sorted, their common prefixes are counted on the bytes, and the stack scan gives
+   the intervals with all their occurrences. `repeats` returns the groups, `remove_repeats` what they cover.
+4. Anchors with more than HOT distinct contexts are split: each window goes by its own digest, as contexts do in 2.
 
-Copies of whole documents are found by digest: they are covered wholly, and one of them stands for all in the rest.
+Copies of whole documents are found by SHA-256: they are covered wholly, and one of them stands for all in the rest.
+Runs of a short period (lines of dashes) cover themselves; only their first period and their ends are passed on.
 
 Defined results: null counts as empty; matches never cross documents, but a document may repeat itself; documents
-shorter than `least` bytes lose nothing; rows are matched by id and digest, so repeated ids with different texts are
-apart and repeated rows are copies of each other; an empty table gives an empty result.
+shorter than `least` bytes lose nothing; rows are matched by id and a hash of the text, so repeated ids with different
+texts are apart and repeated rows are copies of each other; other columns don't matter; an empty table gives an empty
+result. Texts of any length are read in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -28,16 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_for, materialize, table
-from quillspark.llm.vectors import _BASE, _TABLE, U, mix, pack, pack_sorted, prefix, rows_of, spans, unpack, unpack_sorted
+from quillspark.llm.common import blocks_for, materialize, small_enough, table
+from quillspark.llm.vectors import U, pack, pack_sorted, rolling, rows_of, unpack, unpack_sorted
 
 LEAST = 200
 GRAM = 32
-SMALL = 1_000_000  # ids that may be broadcast
-BATCH = 8000  # contexts judged together, unless one anchor has more
+HOT = 4096  # distinct contexts of one anchor that one suffix array takes
+BATCH = 2000  # contexts judged side by side, unless one anchor has more
+PIECE = 1 << 19  # bytes whose anchors are chosen at once
+FLUSH = 200_000  # anchors that a task holds
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -130,61 +138,65 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[i
             stack.append((now, at))
 
 
-def slide(x: np.ndarray, width: int, best) -> np.ndarray:
-    """The best of each `width` neighbours, by doubling."""
+def slide_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, by doubling."""
     step, out = 1, x
     while step * 2 <= width:
-        out = best(out[:-step], out[step:])
+        out = np.minimum(out[:-step], out[step:])
         step *= 2
     rest = width - step
-    return best(out[: len(out) - rest], out[rest:]) if rest else out
-
-
-def anchors(p: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a document with prefix sums p; ties within a window are all anchors."""
-    at = np.arange(n - GRAM + 1)
-    h = spans(p, at, at + GRAM)
-    width = least - GRAM + 1
-    low = slide(h, width, np.minimum)  # per window
-    pad = np.zeros(width - 1, U)
-    chosen = slide(np.concatenate([pad, low, pad]), width, np.maximum) == h
-    where = np.flatnonzero(chosen)
-    return where, h[where]
-
-
-def document(b: bytes, least: int):
-    """(places, hashes, context starts, context ends, context hashes) of a document's anchors, in pieces of bounded size."""
-    piece, overlap = 1 << 20, 2 * least
-    n = len(b)
-    whole = n <= piece + 2 * overlap
-    out = []
-    for lo in range(0, n, n if whole else piece):
-        a0, a1 = (0, n) if whole else (max(0, lo - overlap), min(n, lo + piece + overlap))
-        a = np.frombuffer(b, np.uint8, a1 - a0, a0)
-        if len(a) < least:
-            continue
-        p = prefix(a)
-        where, h = anchors(p, len(a), least)
-        if not whole:
-            ok = (where + a0 >= lo) & (where + a0 < lo + piece)
-            where, h = where[ok], h[ok]
-        start, end = np.maximum(where - (least - GRAM), 0), np.minimum(where + least, len(a))
-        keep = end - start >= least
-        where, h, start, end = where[keep], h[keep], start[keep], end[keep]
-        full = spans(p, start, end) ^ mix((where - start).astype(U))
-        out.append((where + a0, h, start + a0, end + a0, full))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z.astype(U), z, z, z.astype(U)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+LOW = U((1 << 20) - 1)
+
+
+def anchors_of(a: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(hash, place, first window, last window) of each anchor of some bytes, and the (start, end) of periodic runs."""
+    h = rolling(a, GRAM)
+    at = np.arange(len(h), dtype=U)
+    chosen = slide_min((h & ~LOW) | (LOW - at), least - GRAM + 1)  # high bits of the hash, later places first
+    place = (LOW - (chosen & LOW)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    last = np.append(first[1:], len(place)) - 1
+    place = place[first]
+    key = h[place]
+    runs = []
+    # anchors of one hash at one distance: a run of that period, if its bytes are
+    step = np.diff(place)
+    same = (key[1:] == key[:-1]) & (step <= least // 2)
+    alike = np.append(False, same[1:] & same[:-1] & (step[1:] == step[:-1]))
+    if alike.sum() > 8:
+        keep = np.ones(len(place), bool)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], alike.astype(np.int8), [0]])))
+        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):  # anchors x - 1 to y are at distance d
+            d, s, e = int(step[x]), int(place[x - 1]), int(place[y]) + GRAM
+            if e - s >= least + d and np.array_equal(a[s : e - d], a[s + d : e]):
+                runs.append((s, e))
+                i = np.arange(x, y + 1)
+                keep[i[(first[i] - d >= s) & (last[i] + least <= e)]] = False  # the windows of the anchor before say the same
+        key, place, first, last = key[keep], place[keep], first[keep], last[keep]
+    return key, place, first, last, np.array(runs, np.int64).reshape(-1, 2)
+
+
+def document(b: bytes, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """Of a document's anchors: hash, start, length and anchor's offset of the context; and its periodic runs."""
+    parts = []
+    for lo in range(0, max(len(b) - least + 1, 0), PIECE):
+        size = min(len(b), lo + PIECE + least - 1) - lo
+        key, place, first, last, runs = anchors_of(np.frombuffer(b, np.uint8, size, lo), least)
+        parts.append((key, first + lo, last - first + least, place - first, runs + lo))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else ()
 
 
 def encoded(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-COVER = "doc_id long, key long, start long, end long"
-COVERS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+def digests(b: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) numbers: the 128-bit digests of spans."""
+    f = hashlib.blake2b
+    return np.frombuffer(b"".join([f(b[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), end.tolist())]), U).reshape(-1, 2)
 
 
 def joined_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,45 +209,11 @@ def joined_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np
     return s[head], top[np.append(np.flatnonzero(head)[1:] - 1, len(s) - 1)]
 
 
-def anchor_rows(docs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """(bucket, body): the anchors of documents, packed per task and bucket of anchor hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
-        hs, fs, ps, rs, ids, size = [], [], [], [], [], 0
-
-        def flush():
-            h, f, p, r = (np.concatenate(x) for x in (hs, fs, ps, rs))
-            d = np.array(ids, np.int64).reshape(-1, 2)
-            by = np.argsort(h)
-            h, f, p, r = h[by], f[by], p[by], r[by]
-            cut = np.searchsorted((((h >> U(32)) * U(buckets)) >> U(32)).astype(np.int64), np.arange(buckets + 1))
-            out = []
-            for i in range(buckets):
-                lo, hi = cut[i], cut[i + 1]
-                if hi > lo:
-                    used, at = np.unique(r[lo:hi], return_inverse=True)
-                    cols = [pack_sorted(h[lo:hi]), pack(f[lo:hi]), pack(p[lo:hi]), pack(at.astype(np.uint32)), pack(d[used, 0]), pack(d[used, 1])]
-                    out.append({"bucket": i, "body": b"".join(len(c).to_bytes(4, "little") + c for c in cols)})
-            return pa.RecordBatch.from_pylist(out, schema=schema)
-
-        for b in batches:
-            for i, k, text in rows_of(b):
-                where, h, start, end, full = document(encoded(text), least)
-                if len(where):
-                    hs.append(h), fs.append(full), ps.append(where), rs.append(np.full(len(where), len(ids)))
-                    ids.append((i, k))
-                    size += len(where)
-                    if size > 300_000:
-                        yield flush()
-                        hs, fs, ps, rs, ids, size = [], [], [], [], [], 0
-        if size:
-            yield flush()
-
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "bucket int, body binary")
+def framed(cols: list[bytes]) -> bytes:
+    return b"".join(len(c).to_bytes(4, "little") + c for c in cols)
 
 
-def split_cols(body: bytes) -> list[bytes]:
+def unframed(body: bytes) -> list[bytes]:
     cols, at = [], 0
     while at < len(body):
         n = int.from_bytes(body[at : at + 4], "little")
@@ -244,216 +222,432 @@ def split_cols(body: bytes) -> list[bytes]:
     return cols
 
 
+# Rows of a document: its covers (packed starts and ends), contexts to be compared, contexts of hot anchors, or places
+# of repeats (packed digests, starts and lengths).
+COVER, ASK, SPLIT, GROUP = 0, 1, 2, 3
+FOUND = "bucket int, doc_id long, key long, kind int, body binary"
+FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+
+
+def by_document(ids: np.ndarray, none: np.ndarray, keys: np.ndarray, owner: np.ndarray, kind: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """A row per document of some numbers that belong to documents; `none`: documents without an id."""
+    by = np.argsort(owner, kind="stable")
+    owner, cols = owner[by], [c[by] for c in cols]
+    who, first = np.unique(owner, return_index=True)
+    cut = np.append(first, len(owner)).tolist()
+    bodies = [framed([c[x:y].tobytes() for c in cols]) for x, y in zip(cut, cut[1:])]
+    n = len(who)
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.int32()), pa.array(ids[who], pa.int64(), mask=none[who]), pa.array(keys[who], pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(bodies, pa.binary())], schema=FOUND_ARROW
+    )
+
+
+class Postings:
+    """Spans of documents under 64-bit keys, with digests: dealt over buckets of keys once there are FLUSH of them.
+
+    Of spans with one key and digest, those after the first are settled here: all are covered, and the first goes on,
+    marked as repeated. With `every`, all go on.
+    """
+
+    def __init__(self, buckets: int, every: bool = False):
+        self.buckets, self.every, self.size = buckets, every, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        self.digests, self.ids, self.none, self.keys, self.size = [], [], [], [], 0
+
+    def add(self, doc_id: int | None, key: int, hashes: np.ndarray, digest: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndarray) -> None:
+        for held, x in zip(self.cols, (hashes, start, length, offset, np.full(len(start), len(self.ids)))):
+            held.append(x)
+        self.digests.append(digest)
+        self.ids.append(doc_id or 0), self.none.append(doc_id is None), self.keys.append(key)
+        self.size += len(start)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        h, start, length, offset, doc = (np.concatenate(x) for x in self.cols)
+        f = np.concatenate(self.digests)
+        ids, none, keys = np.array(self.ids, np.int64), np.array(self.none, bool), np.array(self.keys, np.int64)
+        self.clear()
+        by = np.lexsort((f[:, 1], f[:, 0], h))
+        h, f, start, length, offset, doc = h[by], f[by], start[by], length[by], offset[by], doc[by]
+        head = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]).any(1) | self.every)
+        times = np.diff(np.append(np.flatnonzero(head), len(h)))
+        again = np.repeat(times > 1, times)
+        if again.any():
+            yield by_document(ids, none, keys, doc[again], COVER, [start[again], start[again] + length[again]])
+        h, f, start, length, offset, doc, again = h[head], f[head], start[head], length[head], offset[head], doc[head], again[head]
+        cut = np.searchsorted((((h >> U(32)) * U(self.buckets)) >> U(32)).astype(np.int64), np.arange(self.buckets + 1))
+        numbers, bodies = [], []
+        for i in range(self.buckets):
+            x, y = int(cut[i]), int(cut[i + 1])
+            if y > x:
+                used, at = np.unique(doc[x:y], return_inverse=True)
+                cols = [pack_sorted(h[x:y]), f[x:y].tobytes(), pack(start[x:y]), pack(length[x:y].astype(np.uint16)), pack(offset[x:y].astype(np.uint8)), pack(again[x:y].astype(np.uint8)), pack(at.astype(np.uint32)), pack(ids[used]), pack(none[used].astype(np.uint8)), pack(keys[used])]
+                numbers.append(i), bodies.append(framed(cols))
+        n = len(numbers)
+        nulls = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), nulls, nulls, pa.nulls(n, pa.int32()), pa.array(bodies, pa.binary())], schema=FOUND_ARROW)
+
+
+def anchor_rows(docs: DataFrame, buckets: int, least: int, every: bool = False) -> DataFrame:
+    """Postings of the anchors' contexts by bucket, and the covers of documents that are known already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Postings(buckets, every)
+        for b in batches:
+            for i, k, text in rows_of(b):
+                raw = encoded(text)
+                if found := document(raw, least):
+                    h, start, length, offset, runs = found
+                    if len(runs):
+                        yield by_document(np.array([i or 0]), np.array([i is None]), np.array([k]), np.zeros(len(runs), np.int64), COVER, [np.ascontiguousarray(runs[:, 0]), np.ascontiguousarray(runs[:, 1])])
+                    held.add(i, k, h, digests(raw, start, start + length), start, length, offset)
+                    if held.size > FLUSH:
+                        yield from held.flush()
+        yield from held.flush()
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, FOUND)
+
+
+def window_rows(docs: DataFrame, spans: DataFrame, buckets: int, least: int, every: bool = False) -> DataFrame:
+    """Postings of the single windows of hot anchors' contexts, each under its own digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Postings(buckets, every)
+        for b in batches:
+            for i, k, text, bodies in rows_of(b):
+                raw = encoded(text)
+                for _, start, length, _ in map(contexts_in, bodies):
+                    for x, n in zip(start.tolist(), length.tolist()):
+                        at = np.arange(x, x + n - least + 1)
+                        f = digests(raw, at, at + least)
+                        held.add(i, k, f[:, 0].copy(), f, at, np.full(len(at), least), np.zeros(len(at), np.int64))
+                        if held.size > FLUSH:
+                            yield from held.flush()
+        yield from held.flush()
+
+    return with_bodies(docs, spans).mapInArrow(run, FOUND)
+
+
+def contexts_in(body: bytes) -> tuple[np.ndarray, ...]:
+    """(hash, start, length, offset) of a row of contexts."""
+    h, start, length, offset = unframed(body)
+    return np.frombuffer(h, np.int64), np.frombuffer(start, np.int64), np.frombuffer(length, np.int64), np.frombuffer(offset, np.int64)
+
+
+def judged(rows: DataFrame, buckets: int, hot: int, groups: bool = False) -> DataFrame:
+    """Per bucket and document: covers by contexts that occur more than once, and one of each distinct context of an
+    anchor that has several, to be compared or, beyond `hot` of them, to be split. Known covers pass through.
 
-def judged_anchors(rows: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, key, whole, places, groups): per bucket and document the anchors whose context occurs as a whole elsewhere
-    (`whole`), and those whose context is to be compared with others, one of each distinct context, with the anchor's hash."""
+    With `groups`: all places of contexts that are an anchor's only ones, and all contexts of the other anchors.
+    """
 
-    def run(t: pa.Table) -> pa.Table:
-        hs, fs, ps, rs, ds, base = [], [], [], [], [], 0
-        for body in t["body"].to_pylist():
-            c = split_cols(body)
-            d = np.stack([unpack(c[4], np.int64), unpack(c[5], np.int64)], 1)
-            hs.append(unpack_sorted(c[0], U)), fs.append(unpack(c[1], U)), ps.append(unpack(c[2], np.int64))
-            rs.append(unpack(c[3], np.uint32).astype(np.int64) + base), ds.append(d)
+    def bucket(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts, base, docs = [], 0, []
+        for body in bodies:
+            c = unframed(body)
+            d = np.stack([unpack(c[7], np.int64), unpack(c[8], np.uint8).astype(np.int64), unpack(c[9], np.int64)], 1)
+            parts.append((unpack_sorted(c[0], U), np.frombuffer(c[1], U).reshape(-1, 2), unpack(c[2], np.int64), unpack(c[3], np.uint16), unpack(c[4], np.uint8), unpack(c[5], np.uint8) > 0, unpack(c[6], np.uint32).astype(np.int64) + base))
+            docs.append(d)
             base += len(d)
-        h, f, p, r, d = (np.concatenate(x) for x in (hs, fs, ps, rs, ds))
-        by = np.lexsort((f, h))
-        h, f, p, r = h[by], f[by], p[by], r[by]
+        h, f, start, length, offset, again, doc = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        d = np.concatenate(docs)
+        by = np.argsort(h, kind="stable")
+        live = h[by]
+        twice = np.append(False, live[1:] == live[:-1])
+        live = np.append(twice[1:], False) | twice | again[by]
+        by = by[live]  # most anchors occur once
+        h, f, start, length, offset, again, doc = h[by], f[by], start[by], length[by].astype(np.int64), offset[by].astype(np.int64), again[by], doc[by]
+        by = np.lexsort((f[:, 1], f[:, 0], h))
+        h, f, start, length, offset, again, doc = h[by], f[by], start[by], length[by], offset[by], again[by], doc[by]
+        if not len(h):
+            return
         new_h = np.append(True, h[1:] != h[:-1])
-        new_f = new_h | np.append(True, f[1:] != f[:-1])
-        fi, hi = np.cumsum(new_f) - 1, np.cumsum(new_h) - 1
-        times = np.bincount(fi)
-        kinds = np.bincount(hi[new_f])
-        whole = times[fi] > 1
-        ask = new_f & (kinds[hi] > 1)
-        out = {"doc_id": [], "key": [], "whole": [], "places": [], "groups": []}
-        for flag, mask in ((True, whole), (False, ask)):
-            at = np.flatnonzero(mask)
-            at = at[np.lexsort((p[at], r[at]))]
-            owner, first = np.unique(r[at], return_index=True)
-            for o, part in zip(owner.tolist(), np.split(at, first[1:])):
-                out["doc_id"].append(int(d[o, 0])), out["key"].append(int(d[o, 1])), out["whole"].append(flag)
-                out["places"].append(p[part].tobytes()), out["groups"].append(b"" if flag else h[part].tobytes())
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "key": pa.array(out["key"], pa.int64()), "whole": pa.array(out["whole"], pa.bool_()), "places": pa.array(out["places"], pa.binary()), "groups": pa.array(out["groups"], pa.binary())})
-
-    return rows.groupBy("bucket").applyInArrow(run, "doc_id long, key long, whole boolean, places binary, groups binary")
-
-
-def contexts(docs: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+        new_f = new_h | np.append(True, (f[1:] != f[:-1]).any(1))
+        kinds = np.bincount(np.cumsum(new_h) - 1, new_f)[np.cumsum(new_h) - 1]
+        whole = (np.bincount(np.cumsum(new_f) - 1) > 1)[np.cumsum(new_f) - 1]
+        none, ids, keys = d[:, 1] > 0, d[:, 0], d[:, 2]
+        if groups:
+            new_f[:] = True
+            alone = whole & (kinds == 1)
+            kinds = np.where(kinds > 1, np.bincount(np.cumsum(new_h) - 1)[np.cumsum(new_h) - 1], 1)
+            if alone.any():
+                yield by_document(ids, none, keys, doc[alone], GROUP, [f[alone, 0], f[alone, 1], start[alone], length[alone]])
+        elif whole.any():
+            yield by_document(ids, none, keys, doc[whole], COVER, [start[whole], start[whole] + length[whole]])
+        for kind, mask in ((ASK, new_f & (kinds > 1) & (kinds <= hot)), (SPLIT, new_f & (kinds > hot))):
+            if mask.any():
+                yield by_document(ids, none, keys, doc[mask], kind, [h[mask].view(np.int64), start[mask], length[mask], offset[mask]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies, now = [], None
+        for b in batches:
+            dealt = pc.is_valid(b.column("bucket"))
+            known = b.filter(pc.invert(dealt))
+            if known.num_rows:
+                yield known
+            for number, _, _, _, body in rows_of(b.filter(dealt)):
+                if number != now and bodies:
+                    yield from bucket(bodies)
+                    bodies = []
+                now = number
+                bodies.append(body)
+        if bodies:
+            yield from bucket(bodies)
+
+    dealt = rows.repartition(buckets, F.coalesce("bucket", F.pmod("key", F.lit(buckets)).cast("int")))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+
+
+def per_document(found: DataFrame, kind: int) -> DataFrame:
+    """(i, k, bodies): the rows of a kind, gathered by document."""
+    return found.where(F.col("kind") == kind).groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k")).agg(F.collect_list("body").alias("bodies"))
+
+
+def with_bodies(docs: DataFrame, rows: DataFrame, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    rows = F.broadcast(rows) if small_enough(rows) else rows
+    joined = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), how)
+    return joined.select("doc_id", "key", "text", "bodies", *more)
+
+
+def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(group, doc_id, key, at, start, bytes): the bytes of the contexts that are to be compared."""
-    joined = docs.select("doc_id", "key", "text").join(asked.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "places", "groups"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    schema = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, k, text, places, groups in rows_of(b):
-                raw, at = encoded(text), np.frombuffer(places, np.int64)
-                lo, hi = np.maximum(at - (least - GRAM), 0), np.minimum(at + least, len(raw))
-                yield pa.RecordBatch.from_pydict({
-                    "group": pa.array(np.frombuffer(groups, np.int64)), "doc_id": pa.array([i] * len(at), pa.int64()), "key": pa.array([k] * len(at), pa.int64()),
-                    "at": pa.array(at - lo), "start": pa.array(lo), "bytes": pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()),
-                })
-
-    return joined.select("doc_id", "key", "text", "places", "groups").mapInArrow(run, "group long, doc_id long, key long, at long, start long, bytes binary")
-
-
-def repeated_prefixes(a: np.ndarray, first: np.ndarray, last: np.ndarray, apart: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, class, left byte) of the suffixes whose first `least` bytes another column of their kind has at the
-    same row, where the bytes to the left differ; only these can start a maximal repeat. One rolling hash a column."""
-    base, top = U(_BASE), U(pow(_BASE, least - 1, 1 << 64))
-    reach = len(a) - least
-    h = np.zeros(a.shape[1], U)
-    for i in range(len(a) - 1, reach - 1, -1):
-        h = _TABLE[a[i]] + base * h
+            out, size = [], 0
+            for i, k, text, bodies in rows_of(b):
+                raw = encoded(text)
+                h, start, length, offset = (np.concatenate(x) for x in zip(*map(contexts_in, bodies)))
+                n = len(h)
+                spans = pa.array([raw[x:y] for x, y in zip(start.tolist(), (start + length).tolist())], pa.binary())
+                out.append(pa.RecordBatch.from_arrays([pa.array(h), pa.array([i] * n, pa.int64()), pa.array(np.full(n, k)), pa.array(offset), pa.array(start), spans], schema=schema))
+                size += n
+                if size > 5000:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, size = [], 0
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return with_bodies(docs, asked).mapInArrow(run, "group long, doc_id long, key long, at long, start long, bytes binary")
+
+
+def repeated_prefixes(a: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(row, column, class, left byte) of the suffixes whose first `least` bytes another column of their group has at the
+    same row by a rolling hash, where the bytes to the left differ; no other can start a maximal repeat."""
     rows, cols, classes, lefts, number = [], [], [], [], 0
-    for s in range(reach, -1, -1):
+    reach = a.shape[1] - least
+    h = np.ascontiguousarray(rolling(a, least).T)
+    group = np.unique(group, return_inverse=True)[1].astype(U)
+    for s in range(reach + 1):
         ok = np.flatnonzero((first <= s) & (last >= s + least))
         if len(ok) > 1:
-            key = h[ok] ^ apart[ok]
+            key = (h[s, ok] & ~U(0xFFFF)) | group[ok]  # at most BATCH + 1 anchors
             by = np.argsort(key)
             ok, key = ok[by], key[by]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             times = np.diff(np.append(head, len(key)))
-            left = np.where(first[ok] < s, a[s - 1, ok].astype(np.int64), 256 + ok)
+            left = np.where(first[ok] < s, a[ok, s - 1].astype(np.int64), 256 + ok)
             live = (times > 1) & (np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head))
             take = np.repeat(live, times)
             rows.append(np.full(int(take.sum()), s)), cols.append(ok[take]), lefts.append(left[take])
             classes.append(np.repeat(np.arange(number, number + live.sum()), times[live]))
             number += int(live.sum())
-        if s:
-            h = _TABLE[a[s - 1]] + base * (h - _TABLE[a[s + least - 1]] * top)
     if not rows:
         z = np.zeros(0, np.int64)
         return z, z, z, z
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(classes), np.concatenate(lefts)
 
 
-def context_covers(held: list[tuple], least: int) -> list[dict]:
-    """Intervals that belong to maximal repeats among the contexts of one anchor, for some anchors.
+def sorted_suffixes(text: np.ndarray, cls: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (rows of bytes) within their classes, and the common prefix of each with the one before it.
 
-    Contexts stand side by side with their anchors in one row. Suffixes that share their first `least` bytes are sorted by
-    what follows, which makes an enhanced suffix array of the only suffixes that can lie in an interval of that depth;
-    the order among intervals is that of hashes, which the tree does not depend on.
+    A class has one hash of the first `least` bytes, so the bytes after them decide the order; if the first bytes of
+    two neighbours differ after all, classes are sorted by all bytes.
     """
+    width = text.shape[1]
+    key = np.ascontiguousarray(text[:, least:]).view(">u8").astype(U)
+    by = np.lexsort([length, *key.T[::-1], cls])
+    t, c = text[by], cls[by]
+    same = c[1:] == c[:-1]
+    if (t[1:, :least] != t[:-1, :least])[same].any():
+        by = np.array(sorted(range(len(text)), key=lambda i: (cls[i], text[i].tobytes(), length[i])))
+        t, c = text[by], cls[by]
+        same = c[1:] == c[:-1]
+    size = length[by]
+    differ = t[1:] != t[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), width)
+    return by, np.append(0, np.where(same, np.minimum(common, np.minimum(size[1:], size[:-1])), 0))
+
+
+def context_repeats(held: list[tuple], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, columns, rows) of the maximal repeats among the contexts of one anchor, for some anchors, with all
+    occurrences. Contexts stand side by side with their anchors in one column of bytes."""
     reach, m = least - GRAM, len(held)
-    a = np.zeros((reach + least, m), np.uint8)
+    width = least + -(-reach // 8) * 8
+    a = np.zeros((m, reach + width), np.uint8)
     first = np.array([reach - x[3] for x in held])
     last = first + np.array([len(x[5]) for x in held])
     for j, x in enumerate(held):
-        a[first[j] : last[j], j] = np.frombuffer(x[5], np.uint8)
-    apart = mix(np.array([x[0] for x in held], np.int64).view(U))
-    row, col, cls, left = repeated_prefixes(a, first, last, apart, least)
-    if not len(row):
-        return []
-    origin = np.array([x[4] for x in held]) - first  # where a column's row 0 lies in its document
-    owner = {}
-    doc = np.array([owner.setdefault(x[1:3], len(owner)) for x in held])
-    covers: dict[tuple[int, int], int] = {}
-    size = -(-reach // 8) * 8
-    cuts = np.append(0, np.flatnonzero(cls[1:] != cls[:-1]) + 1)
+        a[j, first[j] : last[j]] = np.frombuffer(x[5], np.uint8)
+    row, col, cls, left = repeated_prefixes(a[:, : reach + least], first, last, np.array([x[0] for x in held], np.int64), least)
+    views = np.lib.stride_tricks.sliding_window_view(a, width, axis=1)
+    cuts = np.append(np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else 0, len(row))
     # whole classes at a time, some tens of thousands of suffixes
-    cuts = np.append(cuts, len(row))
-    marks = np.unique(np.append(cuts[np.searchsorted(cuts, np.arange(0, len(row), 30_000))], len(row)))
+    marks = np.unique(np.append(cuts[np.searchsorted(cuts, np.arange(0, len(row), 20_000))], len(row)))
     for lo, hi in zip(marks[:-1], marks[1:]):
-        r, c, k, lf = row[lo:hi], col[lo:hi], cls[lo:hi], left[lo:hi]
-        rest = np.zeros((len(r), size), np.uint8)
-        at = r[:, None] + least + np.arange(reach)
-        inside = at < last[c][:, None]
-        rest[:, :reach] = np.where(inside, a[np.minimum(at, len(a) - 1), c[:, None]], 0)
-        length = last[c] - r - least
-        by = np.lexsort([length, *rest.view(">u8").astype(U).T[::-1], k])
-        r, c, k, lf, rest, length = r[by], c[by], k[by], lf[by], rest[by], length[by]
-        differ = rest[1:] != rest[:-1]
-        same = np.where(differ.any(1), differ.argmax(1), size)
-        lcp = least + np.minimum(same, np.minimum(length[1:], length[:-1]))
-        lcp = np.append(0, np.where(k[1:] == k[:-1], lcp, 0))
-        place = origin[c] + r
-        moves = np.append(0, np.cumsum((doc[c][1:] != doc[c][:-1]) | (place[1:] != place[:-1])))
-        deep = np.zeros(len(r), np.int64)
+        r, c, lf = row[lo:hi], col[lo:hi], left[lo:hi]
+        by, lcp = sorted_suffixes(views[c, r], cls[lo:hi], last[c] - r, least)
+        r, c, lf = r[by], c[by], lf[by]
         for depth, x, y in intervals(lcp, lf, least):
-            if moves[y - 1] > moves[x]:  # else contexts of one document overlap: the same bytes, not a repeat
-                deep[x:y] = np.maximum(deep[x:y], depth)
-        for j, p, n in zip(c[deep > 0].tolist(), place[deep > 0].tolist(), deep[deep > 0].tolist()):
-            covers[j, p] = max(n, covers.get((j, p), 0))
-    at = np.array([j for j, _ in covers], np.int64)
-    start = np.array([p for _, p in covers], np.int64)
+            yield depth, c[x:y], r[x:y]
+
+
+def context_covers(held: list[tuple], least: int) -> list[tuple[int, int, int]]:
+    """(position in `held`, start, end) of the bytes that belong to repeats, starts and ends as in the documents."""
+    deep = np.zeros((len(held), least - GRAM + 1), np.int16)
+    doc = {}
+    who = np.array([doc.setdefault(x[1:3], len(doc)) for x in held])
+    origin = np.array([x[4] - (least - GRAM - x[3]) for x in held])  # where a column's byte 0 lies in its document
+    for depth, c, r in context_repeats(held, least):
+        place = origin[c] + r
+        if (who[c] != who[c[0]]).any() or (place != place[0]).any():  # else one place of a document, not a repeat
+            deep[c, r] = np.maximum(deep[c, r], depth)
+    c, r = np.nonzero(deep)
     wide = np.int64(1 << 40)  # columns side by side, apart from each other
-    s, e = joined_intervals(at * wide + start, at * wide + start + np.array(list(covers.values()), np.int64))
-    return [{"doc_id": held[o][1], "key": held[o][2], "start": x, "end": y} for o, x, y in zip((s // wide).tolist(), (s % wide).tolist(), (e % wide).tolist())]
+    start = c * wide + origin[c] + r + least
+    s, e = joined_intervals(start, start + deep[c, r])
+    return list(zip((s // wide).tolist(), (s % wide - least).tolist(), (e % wide - least).tolist()))
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of contexts, those of an anchor together."""
+    held, last = [], None
+    for b in batches:
+        for row in rows_of(b):
+            if len(held) >= BATCH and row[0] != last:
+                yield held
+                held = []
+            last = row[0]
+            held.append(row)
+    if held:
+        yield held
 
 
 def edge_covers(rows: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Intervals of documents that repeat among the contexts of an anchor; the contexts of an anchor are judged together,
-    those of several anchors side by side."""
+    """Covers of documents by the repeats among the contexts of each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for b in batches:
-            for row in rows_of(b):
-                if len(held) >= BATCH and row[0] != last:
-                    yield pa.RecordBatch.from_pylist(context_covers(held, least), schema=COVERS)
-                    held = []
-                last = row[0]
-                held.append(row)
-        if held:
-            yield pa.RecordBatch.from_pylist(context_covers(held, least), schema=COVERS)
-
-    return rows.repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(run, COVER)
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, key, n, copy, text), where a copy has an equal in the table; and covers (doc_id, key, starts, ends)
-    with packed intervals of repeated bytes of the documents that aren't copies, still to be united."""
-    spark = docs.sparkSession
+        for held in grouped(batches):
+            covers = context_covers(held, least)
+            if covers:
+                col, s, e = (np.array(x, np.int64) for x in zip(*covers))
+                doc: dict = {}
+                owner = np.array([doc.setdefault(held[j][1:3], len(doc)) for j in col.tolist()])
+                ids = np.array([i or 0 for i, _ in doc], np.int64)
+                yield by_document(ids, np.array([i is None for i, _ in doc]), np.array([k for _, k in doc], np.int64), owner, COVER, [s, e])
+
+    return rows.repartition(buckets, "group").sortWithinPartitions("group").mapInArrow(run, FOUND)
+
+
+def marked_copies(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, key, text, copy, keep): whether a text of `least` bytes has an equal in the table, and whether the row is
+    the one that stands for them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     digest = F.sha2("text", 256)
-    groups = rows.where(F.octet_length("text") >= least).groupBy(digest.alias("digest")).agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("f"), F.first("key").alias("key")).where("c > 1")
-    groups = materialize(groups.select("digest", F.col("f.doc_id").alias("keep"), F.col("key").alias("copy_key")), "repeat-copies")
-    wide = groups.count()
-    # rows whose text has copies; the text's 64-bit key selects them, the digest was compared above
-    marks = groups.select("copy_key", "keep")
-    marks = F.broadcast(marks) if wide <= SMALL else marks
-    marked = rows.join(marks, F.col("key") == F.col("copy_key"), "left").select("doc_id", "key", "text", F.col("copy_key").isNotNull().alias("copy"), "keep")
-    single = marked.where(~F.col("copy") | F.col("doc_id").eqNullSafe(F.col("keep"))).where(F.octet_length("text") >= least)
+    groups = rows.where(F.octet_length("text") >= least).groupBy(digest.alias("digest")).agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("f"), F.first("key").alias("g_key")).where("c > 1")
+    marks = groups.groupBy("g_key").agg(F.collect_list(F.struct("digest", F.col("f.doc_id").alias("id"))).alias("digests"))
+    marks = materialize(marks, "repeat-copies")
+    marks = F.broadcast(marks) if small_enough(marks) else marks
+    own = F.get(F.filter("digests", lambda d: d["digest"] == digest), F.lit(0))  # the 64-bit key only finds the digest
+    found = rows.join(marks, F.col("key") == F.col("g_key"), "left").withColumn("own", F.when(F.col("digests").isNotNull(), own))
+    return found.select("doc_id", "key", "text", F.col("own").isNotNull().alias("copy"), (F.col("own").isNull() | F.col("doc_id").eqNullSafe(F.col("own.id"))).alias("keep"))
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, key, text, copy, keep), and covers (rows of FOUND) of those that aren't copies, to be united."""
+    marked = marked_copies(docs, least)
+    single = marked.where("keep").where(F.octet_length("text") >= least).select("doc_id", "key", "text")
+    buckets = blocks_for(docs, 8)
+    found = materialize(judged(anchor_rows(single, buckets, least), buckets, hot), "repeat-anchors")
+    covers = found.where(F.col("kind") == COVER)
+    if not found.where(F.col("kind") == SPLIT).isEmpty():
+        windows = judged(window_rows(single, per_document(found, SPLIT), buckets, least), buckets, hot)
+        covers = covers.unionByName(windows.where(F.col("kind") == COVER))
+    edges = edge_covers(contexts(single, per_document(found, ASK)), buckets, least)
+    return marked, covers.unionByName(edges)
+
+
+def repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(repeat, length, doc_id, start): groups of equal strings of at least `least` bytes with all their occurrences.
+
+    They are the maximal repeats of the strings whose windows chose one anchor: a longer repeat is given as several, which
+    overlap or touch, and among the contexts of a hot anchor as its windows. `repeat` is the digest of the bytes. A row
+    per occurrence, with those in copies of documents.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text")).where(F.octet_length("text") >= least)
     buckets = blocks_for(docs, 8)
-    judged = materialize(judged_anchors(anchor_rows(single, buckets, least), buckets), "repeat-anchors")
-    asked = judged.where("NOT whole").select("doc_id", "key", "places", "groups")
-    per_doc = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("places", "groups")).alias("x"))
-    joined = lambda c: F.aggregate(F.transform("x", lambda v: v[c]), F.lit(b""), lambda a, v: F.concat(a, v))
-    per_doc = per_doc.select("doc_id", "key", joined("places").alias("places"), joined("groups").alias("groups"))
-    edges = edge_covers(contexts(single, per_doc, least), buckets, least)
-    covers = judged.where("whole").select("doc_id", "key", "places", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
-    return marked, covers.unionByName(edges.select("doc_id", "key", F.lit(None).cast("binary").alias("places"), "start", "end"))
-
-
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_bytes, spans (packed starts and ends of removed runs), n_removed, n_spans, kept (bytes)."""
-    marked, covers = repeated_spans(docs, least)
-    per_doc = covers.groupBy("doc_id", "key").agg(F.collect_list(F.when(F.col("places").isNotNull(), F.col("places"))).alias("places"), F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("edges"))
-    per_doc = per_doc.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "places", "edges")
-    rows = marked.join(per_doc, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "copy", "places", "edges")
+    found = materialize(judged(anchor_rows(rows, buckets, least, True), buckets, hot, True), "repeat-anchors")
+    split = judged(window_rows(rows, per_document(found, SPLIT), buckets, least, True), buckets, hot, True)
+    out = "repeat string, length long, doc_id long, start long"
+    schema = pa.schema([("repeat", pa.string()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
+                x, y, start, length = (np.frombuffer(c, np.int64) for c in unframed(body))
+                names = [r.tobytes().hex() for r in np.stack([x, y], 1)]
+                yield batch([(n, k, doc_id, s) for n, k, s in zip(names, length.tolist(), start.tolist())])
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in grouped(batches):
+            rows = []
+            for depth, c, r in context_repeats(held, least):
+                at = [(j, s - (least - GRAM - held[j][3])) for j, s in zip(c.tolist(), r.tolist())]
+                places = {(held[j][1], held[j][4] + s) for j, s in at}
+                if len(places) > 1:
+                    name = hashlib.blake2b(held[at[0][0]][5][at[0][1] : at[0][1] + depth], digest_size=16).hexdigest()
+                    rows += [(name, depth, i, s) for i, s in places]
+            yield batch(rows)
+
+    whole = found.unionByName(split).where(F.col("kind") == GROUP).mapInArrow(alone, out)
+    asked = contexts(rows, per_document(found, ASK)).repartition(buckets, "group").sortWithinPartitions("group")
+    return whole.unionByName(asked.mapInArrow(among, out))
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (starts and ends of removed runs), kept (bytes)."""
+    marked, covers = repeated_spans(docs, least, hot)
+    rows = with_bodies(marked, per_document(covers, COVER), "left", ("copy",))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
         for b in batches:
-            out = []
-            for i, text, copy, places, edges in rows_of(b):
-                raw = encoded(text)
-                n = len(raw)
-                if copy and n >= least:
-                    start, end = np.array([0]), np.array([n])
-                else:
-                    at = np.frombuffer(b"".join(places or []), np.int64)
-                    s = np.concatenate([np.maximum(at - (least - GRAM), 0), np.array([e["start"] for e in edges or []], np.int64)])
-                    e = np.concatenate([np.minimum(at + least, n), np.array([e["end"] for e in edges or []], np.int64)])
-                    start, end = joined_intervals(s, e)
-                kept, last = [], 0
-                for x, y in zip(start.tolist(), end.tolist()):
-                    kept.append(raw[last:x])
-                    last = y
-                kept.append(raw[last:])
-                out.append({"doc_id": i, "n_bytes": n, "n_removed": int((end - start).sum()), "n_spans": len(start), "spans": np.stack([start, end], 1).ravel().tolist(), "kept": b"".join(kept)})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for i in range(0, b.num_rows, 256):
+                out = []
+                for doc_id, _, text, bodies, copy in rows_of(b.slice(i, 256)):
+                    raw = encoded(text)
+                    n = len(raw)
+                    if copy:
+                        start, end = np.array([0]), np.array([n])
+                    else:
+                        cols = [unframed(x) for x in bodies or []]
+                        start, end = joined_intervals(*(np.frombuffer(b"".join(c[j] for c in cols), np.int64) for j in (0, 1)))
+                    kept, last = [], 0
+                    for x, y in zip(start.tolist(), end.tolist()):
+                        kept.append(raw[last:x])
+                        last = y
+                    kept.append(raw[last:])
+                    out.append({"doc_id": doc_id, "n_bytes": n, "n_removed": int((end - start).sum()), "n_spans": len(start), "spans": np.stack([start, end], 1).ravel().tolist(), "kept": b"".join(kept)})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 

@@ -32,32 +32,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def prefix(a: np.ndarray) -> np.ndarray:
-    """Sums p with p[e] - p[s] = hash of the bytes a[s:e] times a power known from s."""
-    _powers(len(a))
-    p = np.zeros(len(a) + 1, U)
-    np.cumsum(_TABLE[a] * _pow[: len(a)], out=p[1:])
-    return p
+def rolling(a: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of each `width` neighbouring bytes along the last axis, which bring equal bytes together; unequal ones may
+    meet too, so what they decide is compared otherwise."""
+    n = a.shape[-1]
+    _powers(n)
+    p = np.zeros((*a.shape[:-1], n + 1), U)
+    np.cumsum(_TABLE[a] * _pow[:n], axis=-1, out=p[..., 1:])
+    return mix((p[..., width:] - p[..., : n + 1 - width]) * _inv[: n + 1 - width])
 
 
-def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((p[end] - p[start]) * _inv[start] + (end - start).astype(U))
+LONG = 1 << 12  # bytes of a word from which it is hashed by itself
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words without white space."""
+    """64-bit hashes of words: no two of one length up to 8 bytes are alike, longer ones are chained over pieces of 8 by
+    a mixing without algebraic structure."""
     if not words:
         return np.zeros(0, U)
-    joined = b" ".join(words)
-    if len(joined) > PIECE:
-        if len(words) == 1:
-            return np.frombuffer(hashlib.blake2b(words[0], digest_size=8).digest(), U).copy()
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    joined = b"".join(words)
+    if len(joined) > PIECE and len(words) > 1:
         half = len(words) // 2
         return np.concatenate([hash_words(words[:half]), hash_words(words[half:])])
-    a = np.frombuffer(joined, np.uint8)
-    gaps = np.flatnonzero(a == 32)
-    start, end = np.append(0, gaps + 1), np.append(gaps, len(a))
-    return spans(prefix(a), start, end)
+    if size.max() > LONG:
+        out = np.zeros(len(words), U)
+        big = size > LONG
+        out[big] = np.frombuffer(b"".join(hashlib.blake2b(words[i], digest_size=8).digest() for i in np.flatnonzero(big)), U)
+        out[~big] = hash_words([words[i] for i in np.flatnonzero(~big)])
+        return out
+    start = np.cumsum(size) - size
+    a = np.frombuffer(joined + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(a, 8)
+    h = mix(size.astype(U) * U(_BASE))
+    live = np.arange(len(words))
+    for at in range(0, int(size.max()), 8):
+        live = live[size[live] > at]
+        piece = np.ascontiguousarray(eight[start[live] + at]).view(U).ravel()
+        left = np.minimum(size[live] - at, 8)
+        piece = piece & (~U(0) >> ((8 - left) * 8).astype(U))
+        h[live] = mix(h[live] ^ piece) if at == 0 else mix(h[live] * U(_BASE) + piece)
+    return h
 
 
 def tokens(text: str | None) -> np.ndarray:

@@ -328,7 +328,7 @@ def test_context_covers():
         if len(before + after) >= 200:
             held.append((j % 2, j, 0, len(before), 1000 * j, before + after))
     held.append((*held[0][:3], held[0][3] + 5, held[0][4], held[0][5][:-5]))  # an overlapping context of one document
-    got = {(x["doc_id"], p) for x in suffix_dedup.context_covers(held, 200) for p in range(x["start"], x["end"])}
+    got = {(held[j][1], p) for j, s, e in suffix_dedup.context_covers(held, 200) for p in range(s, e)}
     places = {}
     for g, j, _, at, start, raw in held:
         for k in range(len(raw) - 199):
@@ -411,7 +411,7 @@ def test_context_covers_large_last_class():
     """More than 30,000 suffixes, most of them in the last class."""
     few, many = (bytes(random.choice(b"abcdefgh ") for _ in range(200)) for _ in range(2))
     held = [(0, j, 0, 0, 7, few) for j in range(2)] + [(1, j, 0, 68, 9, many) for j in range(2, 31_000)]
-    got = {(x["doc_id"], x["start"], x["end"]) for x in suffix_dedup.context_covers(held, 200)}
+    got = {(held[j][1], s, e) for j, s, e in suffix_dedup.context_covers(held, 200)}
     assert got == {(j, 7, 207) if j < 2 else (j, 9, 209) for j in range(31_000)}
 
 
@@ -458,3 +458,74 @@ def test_ngram_links(docs, none):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > len({x for p in want for x in p})  # more than a tree of each component
     assert {tuple(r) for r in ngram_join.link_counts(docs).collect()} == {(i, c, sum(c in p for p in want)) for i, c in rep.items()}
     assert ngram_join.link_counts(none).count() == 0
+
+
+def low_entropy():
+    """Texts of short periods, and lines that many texts share with different neighbours."""
+    line = prose(60)[:260]
+    texts = ["-" * 700, "-" * 200, "x" + "-" * 5000, "ab" * 400, "ab" * 100, "b" + "ab" * 110 + "c", ("=" * 40 + "+") * 30, "-" * 199, "-" * 201 + " end"]
+    texts += [prose(random.randint(1, 30)) + line + prose(random.randint(1, 30)) for _ in range(40)] + [line + "-" * 300, None, "", texts[0]]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_suffix_dedup_low_entropy_and_hot_anchors(spark, hot, monkeypatch):
+    rows = low_entropy()
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, key int, bodies string").repartition(3)
+    want = covered(rows, 200)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(d, hot=hot).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        b, gone = (t or "").encode(), set(want[i])
+        assert (got[i].n_removed, bytes(got[i].kept)) == (len(gone), bytes(x for j, x in enumerate(b) if j not in gone)), i
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_repeats_have_all_occurrences(spark, hot):
+    rows = [(i, t) for i, t in low_entropy() if i > 8] + ROWS[-8:]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    found = {}
+    for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect():
+        found.setdefault((r["repeat"], r["length"]), []).append((r.doc_id, r.start))
+    text = {i: (t or "").encode() for i, t in rows}
+    gone = {i: set() for i in text}
+    for (name, n), places in found.items():
+        one = text[places[0][0]][places[0][1] :][:n]
+        assert len(one) == n >= 200 and hashlib.blake2b(one, digest_size=16).hexdigest() == name
+        everywhere = [(i, k) for i, b in text.items() for k in range(len(b) - n + 1) if b[k : k + n] == one]
+        if len(set(one)) > 8:  # runs of a short period list their first period only
+            assert sorted(places) == everywhere and len(places) > 1
+        for i, k in places:
+            gone[i].update(range(k, k + n))
+    want = covered(rows, 200)
+    assert all(gone[i] <= set(want[i]) for i in gone)
+    varied = [i for i in gone if len(set(text[i])) > 8 and b"---" not in text[i]]
+    assert len(varied) > 40 and all(sorted(gone[i]) == want[i] for i in varied)
+    assert suffix_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_suffix_dedup_repeated_rows(spark):
+    a, b = prose(80), prose(80)
+    rows = [(1, a), (1, a), (1, b), (2, b + "x"), (None, prose(90)), (None, a + "y"), (3, "short")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(d).collect())
+    want = covered(list(enumerate(t for _, t in rows)), 200)
+    assert got == Counter((i, len(t.encode()), len(want[k])) for k, (i, t) in enumerate(rows))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_equal_polynomials_stay_apart(spark):
+    import numpy as np
+
+    from quillspark.llm.vectors import hash_words
+
+    x, y = thue_morse(1024)
+    some = [x.encode(), y.encode(), b"a", b"a" * 9, b"a" * 8, b"a" * 16, b"a" * 5000, b"b" * 5000, b"\0", b"\0\0", b"\0" * 9]
+    assert len(np.unique(hash_words(some))) == len(some) and (hash_words(some[3:5]) == hash_words(some)[3:5]).all()
+    d = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similarity_components(d).collect()} == {1: 1, 2: 2, 3: 1}
+    got = {r.doc_id: r.base_score for r in lm_score.score(d, F.lit(True)).collect()}
+    assert got[1] == got[3] != got[2]
