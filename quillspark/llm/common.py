@@ -69,6 +69,25 @@ def small_enough(df: DataFrame, mb: int = 16) -> bool:
     return input_bytes(df) <= mb << 20
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of the frame has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame | None:
+    """(row, text, rid) where ids are repeated or null: rows under numbers of their own, in order of id (null last), text and
+    all columns, in a scratch table; None where each row has an id of its own."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id IS NULL OR c > 1")
+    if odd.isEmpty():
+        return None
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = rows.orderBy(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("text"), F.to_json("row"))
+    return materialize(rows.select("row", "text", F.monotonically_increasing_id().alias("rid")), name)
+
+
 def blocks_for(df: DataFrame, mb: int = 8) -> int:
     """So many blocks that each holds about `mb` MB of the source files, never fewer than the shuffle partitions."""
     spark = df.sparkSession

@@ -117,7 +117,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, small:
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
     hits = find_windows(docs, items, width).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_h")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_anti").select("row.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ smallest identifier and that row's content locator (the file it came from), besi
 on the full bytes of the texts before it counts as a copy.
 
 Defined results: a null text counts as empty; texts are equal when identical after each run of ASCII white space is
-replaced by one space; the smallest doc_id of a group stays, null ids last, and rows that repeat a doc_id of the same
-text, or have none, are one row each in the output. `deduplicate` keeps one row of each group: of rows that share the
-keeper's id, the first as JSON. Rows that repeat a doc_id with other texts are in groups of their own. An empty
+replaced by one space; the smallest doc_id of a group stays, null ids last; rows that repeat a doc_id of the same
+text, or have none, are one row each in the output, and one row of a group is kept. `deduplicate` keeps, of rows that
+share the keeper's id, the first as JSON. Rows that repeat a doc_id with other texts are in groups of their own. An empty
 table gives an empty result. Columns of other names are carried through untouched; names may clash with the digest
 columns because the operator works on a projection of (id, text).
 """
@@ -92,8 +92,8 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return groups
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256."""
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = True) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256. Without `once`, all rows with the keeper's id are kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     norm = normalized(F.col("text"))
     groups = digest_groups(docs, id_col, text_col)
@@ -120,12 +120,22 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         true = apart.groupBy("text_sha256", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         fixed = apart.join(true, ["text_sha256", "norm"]).select("doc_id", "keep_id", "group_size", "text_sha256")
         marked = marked.join(unequal, "text_sha256", "left_anti").select(*fixed.columns).unionByName(fixed)
-    return marked.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    marked = marked.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    if not once:
+        return marked
+    # rows that share the keeper's id are alike in all columns: they are counted and written anew, so no task holds them all
+    again = materialize(marked.where("kept").groupBy("doc_id", "keep_id", "group_size", "text_sha256").agg(F.count("*").alias("c")).where("c > 1"), "dedup-again")
+    if again.isEmpty():
+        return marked
+    lost = again.select(F.col("doc_id").alias("a_id"), F.col("text_sha256").alias("a_sha"))
+    rest = marked.join(lost, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_sha256") == F.col("a_sha")), "left_anti")
+    anew = again.withColumn("i", F.explode(F.expr("sequence(1L, c)")))
+    return rest.unionByName(anew.select("doc_id", "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    marked = materialize(mark_duplicates(docs, id_col, text_col).where("group_size > 1"), "dedup-hits")
+    marked = materialize(mark_duplicates(docs, id_col, text_col, once=False).where("group_size > 1"), "dedup-hits")
     same = lambda x: F.col("id").eqNullSafe(F.col(f"{x}_id")) & (F.col("digest") == F.col(f"{x}_digest"))
     named = lambda d, x: d.select(F.col("doc_id").alias(f"{x}_id"), F.col("text_sha256").alias(f"{x}_digest"))
     norm = normalized(F.col(text_col))

@@ -9,8 +9,9 @@ Ranks come from counts per (source, size, salt), so no task holds a whole source
 all cells before its own plus its place in its cell.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; sources without words get
-target 0 and nothing is taken; repeated doc_ids are separate rows, ordered among themselves arbitrarily but alike in
-size; an empty table gives an empty result.
+target 0 and nothing is taken; rows of repeated or null ids are separate documents, each with a decision of its own: they
+are numbered first, in order of id, text and all columns; other columns may have any name; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import materialize, numbered, table
 
 WEIGHTS = (5, 2, 1)
 SALTS = 64
@@ -64,20 +65,27 @@ def offset_of(source: Column, seed: str = SEED) -> Column:
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = SEED, salts: int = SALTS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each document."""
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size")).withColumn(
-        "salt", F.pmod(F.ascii(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)) * 16 + F.ascii(F.substring(F.md5(F.col("doc_id").cast("string")), 2, 1)), F.lit(salts)).cast("int")
-    ).withColumn("salt", F.coalesce("salt", F.lit(0)))
-    sized = materialize(sized, "mix-sizes")
+    rows = numbered(docs, "mix-rows")
+    if rows is not None:
+        docs = rows.select("row.doc_id", "row.source", "text", "rid")
+    return plan_rows(docs, "doc_id" if rows is None else "rid", weights, share, most, seed, salts).drop("rid")
+
+
+def plan_rows(docs: DataFrame, key: str, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = SEED, salts: int = SALTS) -> DataFrame:
+    """The plan of rows that `key` tells apart, which is column `rid` of it."""
+    digest = F.md5(F.col(key).cast("string"))
+    salt = F.pmod(F.ascii(F.substring(digest, 1, 1)) * 16 + F.ascii(F.substring(digest, 2, 1)), F.lit(salts)).cast("int")
+    sized = materialize(docs.select("doc_id", F.col(key).alias("rid"), "source", size_of(F.col("text")).alias("size"), salt.alias("salt")), "mix-sizes")
     before = Window.partitionBy("c_source").orderBy(F.desc("c_size"), "c_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         sized.groupBy(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt")).agg(F.count("*").alias("n"))
         .select("c_source", "c_size", "c_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("c_source")).alias("n_docs"))
     )
     totals = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "t_source")
-    place = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
+    place = Window.partitionBy("source", "size", "salt").orderBy("rid")
     ranked = sized.withColumn("k", F.row_number().over(place) - 1).join(
         cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("salt") == F.col("c_salt"))
-    ).select("doc_id", "source", "size", (F.col("start") + F.col("k")).alias("rank"), "n_docs")
+    ).select("doc_id", "rid", "source", "size", (F.col("start") + F.col("k")).alias("rank"), "n_docs")
     joined = ranked.join(totals, F.col("source").eqNullSafe(F.col("t_source")))
     mid = F.expr("(n_docs - 1) div 2")
     pos = F.when(F.col("rank") % 2 == 0, mid - F.expr("rank div 2")).otherwise(mid + F.expr("(rank + 1) div 2"))
@@ -85,19 +93,20 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     joined = joined.withColumns({"pos": pos, "rate": rate, "u": offset_of(F.col("source"), seed)})
     crossed = F.floor(F.col("u") + F.col("rate") * (F.col("pos") + 1)) - F.floor(F.col("u") + F.col("rate") * F.col("pos"))
     copies = F.greatest(F.lit(0), F.least(crossed, F.lit(most)))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return joined.select("doc_id", "rid", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the plan says, with all its columns.
-
-    Rows that repeat an id, source and size share one decision, the largest of theirs.
-    """
-    plan = plan_mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    plan = plan.toDF("_mix_id", "_mix_source", "_mix_size", "_mix_copies")
-    rows = docs.withColumn("_mix_words", size_of(F.col("text")))
-    out = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size")))
-    return out.withColumn("_mix_copy", F.explode(F.expr("sequence(1L, _mix_copies)"))).select(*docs.columns)
+    """The mixed corpus: every document as often as the plan says, with all its columns."""
+    rows = numbered(docs, "mix-rows")
+    if rows is None:
+        plan = plan_rows(docs, "doc_id", **options)
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    else:
+        plan = plan_rows(rows.select("row.doc_id", "row.source", "text", "rid"), "rid", **options)
+        rows = rows.select("row", F.col("rid").alias("id"))
+    out = rows.join(plan.where("copies > 0").select("rid", "copies"), F.col("id") == F.col("rid"))
+    return out.select("row", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

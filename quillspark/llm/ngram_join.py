@@ -4,13 +4,15 @@ Sets are hashed word shingles under one global order: estimated document frequen
 order gives all links; this one keeps common passages out of prefixes. Two sets with 100 |x & y| >= 80 |x | y| share a
 token among the first n - ceil(0.8 n) + 1 of each.
 
-1. Documents with equal sets form a class, represented by its least doc_id.
+1. Documents with equal words in a row (by a 128-bit digest) form a class, represented by its least doc_id.
 2. Classes that share one of four min-hashes with others are linked to the least class of that min-hash if the
    verified similarity suffices: a linear number of pairs that ties large families of near copies together.
 3. Prefix tokens are dealt over buckets in packed columns. In a bucket, the classes with an equal prefix and size (and
    component so far) are collapsed into one group; pairs of groups of different components that share a token are
-   filtered by size and position, then expanded into their members.
-4. Expanded pairs are verified on the full sets, and components of both kinds of links are labelled.
+   filtered by size and position, then expanded into their members. A token that more than HOT documents may have is
+   split into blocks of documents, and each pair of blocks is a token of its own, so that no task holds all of them.
+4. Expanded pairs are verified on the words of the full sets, not on hashes, and components of both kinds of links are
+   labelled.
 
 For components, pairs inside one component already are left out, so no link between components is lost. `class_links`
 and `link_counts` take no such step: they verify all pairs of classes, inside components too. The order's frequencies
@@ -19,7 +21,9 @@ id sets whose size is checked first.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than `width`
 words have one shingle; rows that repeat a doc_id count as one vertex, so a link of either row joins both; a null
-doc_id gets a null component. An empty table gives an empty result.
+doc_id gets a null component. Texts of equal sets in another order of words are linked like others. `deduplicate_near`
+decides row by row: rows of repeated or null ids are vertices of their own, and other columns may have any name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_for, forget, materialize, table
+from quillspark.llm.common import blocks_for, materialize, numbered, small_enough, table
 from quillspark.llm.components import components
-from quillspark.llm.vectors import U, bucket_of, mix, pack, pack_sorted, shingles, unpack, unpack_sorted
+from quillspark.llm.vectors import U, bucket_of, mix, pack, pack_sorted, rows_of, shingles, unpack, unpack_sorted, words_of
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_ROWS = 21, 64
+HOT = 8192  # documents of a token that are matched in one task
 MINHASHES = 4
-SMALL = 1_000_000  # ids that may be broadcast
 FLUSH = 500_000  # pairs held before they are handed on
 
 
@@ -56,11 +60,12 @@ def features(docs: DataFrame, width: int) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("mins", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
         for b in batches:
             rows, held = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(text, width)
+            for i, text in rows_of(b):
+                words = words_of(text)
+                s = shingles(words, width)
                 key, mins = (0, 0), []
                 if len(s):
-                    key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                    key = np.frombuffer(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.int64).tolist()
                     mins = [int(signed(mix(s ^ x).min(keepdims=True))[0]) for x in seeds]
                     held.append((s >> U(64 - SKETCH_BITS)).astype(np.int64))
                 rows.append({"doc_id": i, "n": len(s), "k1": key[0], "k2": key[1], "mins": mins, "part": None, "counts": None})
@@ -78,23 +83,23 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def token_order(found: DataFrame) -> np.ndarray:
-    """Per counter the number of documents with a token of it, as far as 16 bits go: 4 MB at any input size."""
+    """Per counter the number of documents with a token of it, as far as 32 bits go: 8 MB at any input size."""
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(unpack(x, np.uint32).astype(np.int64) for x in t["counts"].to_pylist())
-        return pa.table({"part": t["part"].slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+        return pa.table({"part": t["part"].slice(0, 1), "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     rows = found.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    order = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint16)
+    order = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint32)
     for r in rows:
-        order[r["part"]] = np.frombuffer(r["counts"], np.uint16)
+        order[r["part"]] = np.frombuffer(r["counts"], np.uint32)
     return order.ravel()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets are similar enough, by their whole texts."""
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ids")
-    wanted = F.broadcast(ids) if ids.count() <= SMALL else ids
+    wanted = F.broadcast(ids) if small_enough(ids) else ids
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     left = pairs.join(texts, F.col("a") == F.col("doc_id")).select("a", "b", F.col("text").alias("ta"))
     both = left.join(texts.select(F.col("doc_id").alias("id_b"), F.col("text").alias("tb")), F.col("b") == F.col("id_b")).select("a", "b", "ta", "tb")
@@ -103,11 +108,11 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
         last, sb = None, None
         for batch in batches:
             keep = []
-            for i, (b, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb")))):
+            for i, (_, b, ta, tb) in enumerate(rows_of(batch)):
                 if b != last:
-                    last, sb = b, shingles(tb, width)
-                sa = shingles(ta, width)
-                common = len(sa) + len(sb) - len(np.unique(np.concatenate([sa, sb])))
+                    last, sb = b, word_sets(tb, width)
+                sa = word_sets(ta, width)
+                common = len(sa & sb)
                 if 100 * common >= percent * (len(sa) + len(sb) - common):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int32()))
@@ -115,6 +120,12 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def word_sets(text: str | None, width: int) -> set[tuple[bytes, ...]]:
+    """A text's shingles as words."""
+    w = words_of(text)
+    return set(zip(*(w[j:] for j in range(width)))) if len(w) >= width else ({tuple(w)} if w else set())
+
+
 def star_pairs(classes: DataFrame) -> DataFrame:
     """(a, b): each class with the least class of each min-hash that it shares with others."""
     each = classes.select("rep", F.posexplode("mins").alias("j", "m"))
@@ -122,6 +133,29 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return each.join(pivots, (F.col("j") == F.col("pj")) & (F.col("m") == F.col("pm"))).where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
+def f_of(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    return freq[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
+
+
+def blocks_of(f: np.ndarray, usual: int) -> np.ndarray:
+    """In how many blocks tokens are split by their counters, which hold `usual` documents of other tokens too."""
+    step = max(HOT, usual)
+    return np.where(f > usual + step, 2 * (f - usual) // step + 2, 1)
+
+
+def split_hot(front: np.ndarray, places: np.ndarray, blocks: np.ndarray, doc_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """A document's prefix with each hot token replaced by its tokens for pairs of blocks: the document is in one block,
+    chosen by its id, and meets the documents of each block, its own included, in such a pair."""
+    out, at = [front[blocks == 1]], [places[blocks == 1]]
+    for t, p, n in zip(front[blocks > 1], places[blocks > 1].tolist(), blocks[blocks > 1].tolist()):
+        own = int(mix(np.array([doc_id], np.int64).view(U))[0] % U(n))
+        other = np.delete(np.arange(n, dtype=U), own)
+        pair = np.minimum(other, U(own)) * U(n) + np.maximum(other, U(own))
+        out.append(mix(t ^ mix(pair + U(1))))
+        at.append(np.full(len(pair), p))
+    return np.concatenate(out), np.concatenate(at)
+
+
 def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, width: int, percent: int) -> DataFrame:
     """(bucket, body): per task and bucket the postings of prefix tokens, packed. `marks`: (id, comp) of documents in a
     component so far, and with a null comp of documents that another one of their class represents."""
@@ -130,6 +164,7 @@ def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = order.value
+        usual = int(np.median(freq))
         schema = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
         tok, pos, ref, table_ = [], [], [], []
         size = 0
@@ -151,20 +186,23 @@ def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, widt
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for b in batches:
-            for i, comp, text in zip(*(c.to_pylist() for c in b.columns)):
-                s = shingles(text, width)
+            for i, comp, text in rows_of(b):
+                s = shingles(words_of(text), width)
                 n = len(s)
                 if not n:
                     continue
                 take = n - (percent * n + 99) // 100 + 1
-                f = freq[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                front = s[np.lexsort((s, f))[:take]]
+                front = s[np.lexsort((s, f_of(s, freq)))[:take]]
+                places = np.arange(take)
                 group = int.from_bytes(hashlib.blake2b(front.tobytes(), digest_size=8, key=n.to_bytes(8, "little")).digest(), "little", signed=True)
+                blocks = blocks_of(f_of(front, freq).astype(np.int64), usual)
+                if (blocks > 1).any():
+                    front, places = split_hot(front, places, blocks, i)
                 tok.append(front)
-                pos.append(np.arange(take))
-                ref.append(np.full(take, len(table_)))
+                pos.append(places)
+                ref.append(np.full(len(front), len(table_)))
                 table_.append((i, comp, n, group))
-                size += take
+                size += len(front)
                 if size > 2_000_000:
                     yield flush()
                     tok, pos, ref, table_, size = [], [], [], [], 0
@@ -208,6 +246,8 @@ def bucket_pairs(bodies: list[bytes], percent: int) -> Iterator[np.ndarray]:
     head = np.append(True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1]) | (comp[1:] != comp[:-1]) | (n[1:] != n[:-1]))
     g = np.flatnonzero(head)  # groups: their first member
     g_end = np.append(g[1:], len(tok))
+    by = np.lexsort((n[g], tok[g]))  # by size within a token, so that a group looks as far as sizes fit
+    g, g_end = g[by], g_end[by]
     g_tok, g_comp, g_n, g_pos = tok[g], comp[g], n[g], pos[g]
     run = np.flatnonzero(np.append(True, g_tok[1:] != g_tok[:-1]))
     length = np.diff(np.append(run, len(g_tok)))
@@ -232,7 +272,8 @@ def bucket_pairs(bodies: list[bytes], percent: int) -> Iterator[np.ndarray]:
             step = max(1, 1_000_000 // len(i))
             chunks = ((np.repeat(s, len(i)) + np.tile(i, len(s)), np.repeat(s, len(i)) + np.tile(j, len(s))) for s in np.split(starts, range(step, len(starts), step)))
         else:
-            chunks = ((np.full(m - 1 - x, s + x), np.arange(s + x + 1, s + m)) for s in starts for x in range(m - 1))
+            reach = lambda s: s + np.searchsorted(100 * g_n[s : s + m], -(-g_n[s : s + m] * 10000 // percent), side="right")
+            chunks = ((np.full(y - s - x - 1, s + x), np.arange(s + x + 1, y)) for s in starts for x, y in enumerate(reach(s).tolist()) if y > s + x + 1)
         for a, b in chunks:
             if len(p := passing(a, b)):
                 held.append(p)
@@ -292,7 +333,7 @@ def class_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     _, of_class, marks = equal_sets(found)
     order = spark.sparkContext.broadcast(token_order(found))
     marks = materialize(marks, "join-marks")
-    marks = F.broadcast(marks) if marks.count() <= SMALL else marks
+    marks = F.broadcast(marks) if small_enough(marks) else marks
     buckets = blocks_for(docs, 8)
     pairs = materialize(candidates(prefix_postings(docs, marks, order, buckets, width, percent), buckets, percent), "join-pairs")
     return materialize(verified(docs, pairs, width, percent).distinct(), "join-all-links"), of_class
@@ -320,7 +361,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     first = materialize(components(links), "join-components")
     marks = copies.union(first.select("id", F.col("component").alias("comp")))
     marks = materialize(marks, "join-marks")
-    marks = F.broadcast(marks) if marks.count() <= SMALL else marks
+    marks = F.broadcast(marks) if small_enough(marks) else marks
     buckets = blocks_for(docs, 8)
     pairs = materialize(candidates(prefix_postings(docs, marks, order, buckets, width, percent), buckets, percent), "join-pairs")
     more = verified(docs, pairs, width, percent)
@@ -336,9 +377,17 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
 
 
 def deduplicate_near(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the least of their component, with all their columns; empty texts all stay."""
-    drop = similarity_components(docs, width, percent).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are the least of their component, with all their columns; texts without words all stay.
+
+    Where ids are repeated or null, rows are numbered first, in order of id (null last), text and all columns.
+    """
+    rows = numbered(docs, "join-rows")
+    if rows is None:
+        drop = similarity_components(docs, width, percent).where("component_id < doc_id").select("doc_id")
+        return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    rows = rows.withColumnRenamed("rid", "doc_id")
+    drop = similarity_components(rows, width, percent).where("component_id < doc_id").select("doc_id")
+    return rows.join(drop, "doc_id", "left_anti").select("row.*")
 
 
 def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:

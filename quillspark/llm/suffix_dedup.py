@@ -409,8 +409,8 @@ def per_document(found: DataFrame, kind: int) -> DataFrame:
 
 
 def with_bodies(docs: DataFrame, rows: DataFrame, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
-    rows = F.broadcast(rows) if small_enough(rows) else rows
-    joined = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), how)
+    """Documents with their rows of `per_document`: a sort-merge join at every size, since the rows grow with the documents."""
+    joined = docs.join(rows.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), how)
     return joined.select("doc_id", "key", "text", "bodies", *more)
 
 

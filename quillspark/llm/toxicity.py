@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from quillspark.llm.common import table
+from quillspark.llm.common import fresh, table
 from quillspark.llm.exact_dedup import normalized
+from quillspark.llm.vectors import rows_of
 
 SAMPLE = 20_000  # labelled rows that the weights are learned from, at most
 LEXEMES = 4_000  # learned lexemes, at most
@@ -201,19 +202,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     return lexemes, learn_weights(train, lexemes)
 
 
-def score_texts(docs: DataFrame, model: tuple[dict[str, float], dict[str, float]]) -> DataFrame:
-    """`docs` with a column `score`."""
+def score_texts(docs: DataFrame, model: tuple[dict[str, float], dict[str, float]], name: str = "score") -> DataFrame:
+    """`docs` with their scores in a last column `name`; where a column has that name in any case, see `fresh`."""
     lexemes, weights = model
-    plain = docs.drop("score") if "score" in docs.columns else docs
-    name = plain.columns.index("text")
+    name, text = fresh(docs, name), docs.columns.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexemes, weights)
         for b in batches:
-            scores = pa.array([scorer.score(t) for t in b.column(name).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "score"])
+            scores = pa.array([scorer.score(row[0]) for row in rows_of(b.select([text]))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, name])
 
-    return plain.mapInArrow(scored, StructType(list(plain.schema.fields)).add("score", DoubleType()))
+    return docs.mapInArrow(scored, StructType(list(docs.schema.fields)).add(name, DoubleType()))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

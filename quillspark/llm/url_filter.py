@@ -1,7 +1,7 @@
 """URL filters as a sort-merge range join over canonical keys.
 
-A canonical key is the host's labels in reverse, joined by dots, followed by the path. A rule (host, path) is a prefix
-of such keys, hence the interval [key, key + U+10FFFF]. Since a rule also fits the subdomains of its host, each url is
+A canonical key is the host's labels in reverse, joined by dots, a null character and the path. A rule (host, path) is a
+prefix of such keys, hence the interval from it to the least text above all that it begins. Since a rule also fits the subdomains of its host, each url is
 looked up under every suffix of its host that is no deeper than the deepest rule. Rules' starts and ends and the urls'
 keys are merged in key order; along the order a stack holds the nested rules that are open, and its top is the longest
 rule that fits the key. The sweep runs in buckets: urls are salted over them, and the rule events, whose number is the
@@ -20,12 +20,20 @@ from quillspark.llm.common import ascii_lower, table
 
 # Fixed values of the contract: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+EVENT = [("key", "string"), ("phase", "int"), ("top", "string"), ("top_verdict", "string")]
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-TOP = chr(0x10FFFF)
+END = "\0"  # of the host in a key
 
 
 def canonical(host: str, path: str) -> str:
-    return ".".join(reversed(host.split("."))) + path
+    return ".".join(reversed(host.split("."))) + END + path
+
+
+def above(prefix: str) -> str:
+    """The least text above all that begin with the prefix, in order of code points."""
+    prefix = prefix.rstrip(chr(0x10FFFF))
+    code = ord(prefix[-1]) + 1
+    return prefix[:-1] + chr(0xE000 if code == 0xD800 else code)  # surrogates are no characters
 
 
 def rule_events(rules: list[tuple[str, str, str]]) -> list[tuple[str, int, str | None, str | None]]:
@@ -34,11 +42,11 @@ def rule_events(rules: list[tuple[str, str, str]]) -> list[tuple[str, int, str |
     Phase 0 is an end, 1 a start; urls have phase 2, so that a url equal to a rule's start lies inside.
     """
     keyed = {canonical(h, p): (h + p, v) for h, p, v in rules}
-    marks = sorted([(k, 1) for k in keyed] + [(k + TOP, 0) for k in keyed])
+    marks = sorted([(k, 1, k) for k in keyed] + [(above(k), 0, k) for k in keyed])
     stack: list[str] = []
     out = []
-    for key, phase in marks:
-        stack.append(key) if phase else stack.remove(key[: -len(TOP)])
+    for key, phase, rule in marks:
+        stack.append(rule) if phase else stack.remove(rule)
         out.append((key, phase, *(keyed[stack[-1]] if stack else (None, None))))
     return out
 
@@ -63,13 +71,13 @@ def apply_rules(urls: DataFrame, rules: list[tuple[str, str, str]], id_col: str
         .withColumn("cut", F.explode(F.expr(f"sequence(1, least({depth}, size(labels)))")))
         .select(
             F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(buckets)).cast("int").alias("bucket"),
-            F.concat(F.array_join(F.slice("labels", F.lit(1), F.col("cut")), "."), "path").alias("key"),
+            F.concat(F.array_join(F.slice("labels", F.lit(1), F.col("cut")), "."), F.lit(END), "path").alias("key"),
             F.lit(2).alias("phase"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("string").alias("top_verdict"), F.col("cut"), row.alias("row"),
         )
     )
-    events = spark.createDataFrame(rule_events(rules), "key string, phase int, top string, top_verdict string")
-    events = events.select(
-        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "key", "phase", "top", "top_verdict",
+    marks = F.array(*[F.struct(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(e, EVENT)]) for e in rule_events(rules)])
+    events = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.explode(marks).alias("e")).select(
+        "bucket", "e.*",
         F.lit(0).alias("cut"), F.lit(None).cast(keys.schema["row"].dataType).alias("row"),
     )
     sweep = Window.partitionBy("bucket").orderBy("key", "phase").rowsBetween(Window.unboundedPreceding, Window.currentRow)

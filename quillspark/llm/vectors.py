@@ -75,14 +75,19 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return h
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text with A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of a text with A-Z lower-cased."""
-    return hash_words(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.zeros(0, U)
+    """Hashes of a text's words."""
+    return hash_words(words_of(text))
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; fewer words are one shingle, none are an empty set."""
-    h = tokens(text)
+def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; fewer words are one shingle, none are an empty set."""
+    h = hash_words(words)
     n = len(h)
     if not n:
         return h

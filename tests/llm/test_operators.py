@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +247,10 @@ def test_url_filter(spark):
     got = sorted(map(tuple, url_filter.apply_rules(d, url_filter.RULES).collect()), key=repr)
     assert got == sorted(((r.page_id, *plain(r.url)) for r in d.collect()), key=repr)
     assert url_filter.apply_rules(d.limit(0), url_filter.RULES).count() == 0 and url_filter.apply_rules(d, []).count() == len(urls) + 1
+    own = [("org", "", "block"), ("b.com", "/x" + chr(0xD7FF), "block"), ("com", "/" + chr(0x10FFFF), "block"), ("com", "/x", "allow")]
+    urls = ["http://a.org", "http://organic/z", "http://b.com/x" + chr(0xD7FF) + chr(0x10FFFF) + "y", "http://b.com/x" + chr(0xE000), "http://com/" + chr(0x10FFFF) * 3, "http://com/x" + chr(0x10FFFF) * 2]
+    got = {r.page_id: r.rule for r in url_filter.apply_rules(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), own).collect()}
+    assert got == {0: "org", 1: None, 2: "b.com/x" + chr(0xD7FF), 3: "com/x", 4: "com/" + chr(0x10FFFF), 5: "com/x"}
     assert [e[2] for e in url_filter.rule_events([("a", "/", "x"), ("a", "/b/", "y")])] == ["a/", "a/b/", "a/", None]
 
 
@@ -529,3 +534,92 @@ def test_words_of_equal_polynomials_stay_apart(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.similarity_components(d).collect()} == {1: 1, 2: 2, 3: 1}
     got = {r.doc_id: r.base_score for r in lm_score.score(d, F.lit(True)).collect()}
     assert got[1] == got[3] != got[2]
+
+
+def test_ngram_join_hot_tokens(spark, docs, monkeypatch):
+    """Tokens of many documents are split into pairs of blocks; no link is lost."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    assert ngram_join.blocks_of(np.array([0, 2, 3, 9]), 0).tolist() == [1, 1, 5, 11]
+    meets = {}
+    for i in range(40):
+        for t in ngram_join.split_hot(np.array([7], np.uint64), np.array([3]), np.array([5]), i)[0].tolist():
+            meets.setdefault(t, set()).add(i)
+    assert {frozenset(p) for m in meets.values() for p in itertools.combinations(m, 2)} == {frozenset(p) for p in itertools.combinations(range(40), 2)}
+    assert max(map(len, meets.values())) < 30
+    marks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp")).limit(0)
+    plain, hot = (
+        {tuple(r) for r in ngram_join.candidates(ngram_join.prefix_postings(docs.select("doc_id", "text"), marks, SimpleNamespace(value=f.astype(np.uint32)), 4, 5, 80), 4, 80).collect()}
+        for f in (np.arange(1 << ngram_join.SKETCH_BITS) % 3, np.arange(1 << ngram_join.SKETCH_BITS) % 3 * 30_000)
+    )
+    assert plain == hot != set()
+
+
+def test_deduplicate_near_repeated_and_null_ids(spark):
+    a, b = prose(40), prose(40)
+    near = a.split()
+    near[0] = "x"
+    rows = [(0, "BB dup", 1), (1, "AA unique", 1), (1, "BB dup", 2), (5, a, 1), (5, " ".join(near), 2), (None, a.replace(" ", "  "), 3), (None, b, 4), (None, b, 4), (None, None, 5), (7, "", 6), (7, " ", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(3)
+    out = ngram_join.deduplicate_near(d)
+    assert out.columns == d.columns
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert [r for r in got if (r[1] or "").strip()] == sorted([(0, "BB dup", 1), (1, "AA unique", 1), next(r for r in got if r[0] == 5), (None, b, 4)], key=repr)
+    assert sum(r[0] == 5 for r in got) == 1 and sum(not (r[1] or "").strip() for r in got) == 3
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUBS", 4)  # few hubs, the other vertices by shuffle
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(59, 130), (300, 301), (301, 300), (None, 5)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(60), *range(100, 131)]}, 300: 300, 301: 300}
+
+
+def test_mix_repeated_and_null_ids(spark):
+    """Rows of one id are documents of their own: the words taken meet the target, in the plan and in the corpus."""
+    rows = [(1, "a b c", "s", "x")] * 6 + [(i, "a b c", "s", "y") for i in range(2, 6)] + [(None, "a b c d", "t", "z")] * 9 + [(None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_id string").repartition(4)
+    want = fill({"s": 30, "t": 36, None: 0})
+    plan = mixing.plan_mix(d).collect()
+    out = mixing.mix(d)
+    assert len(plan) == len(rows) and out.columns == d.columns
+    got = out.collect()
+    for s in ("s", "t"):
+        assert abs(sum(r.copies * r["size"] for r in plan if r.source == s) - want[s]) <= 4
+        assert abs(sum(len(r.text.split()) for r in got if r.source == s) - want[s]) <= 4
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(d.repartition(2)).collect()), key=repr)
+
+
+def test_mark_duplicates_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "x")] * 4 + [(2, "x"), (3, "y"), (None, "z"), (None, "z"), (None, "x")]
+    got = exact_dedup.mark_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter({(1, 1, 6, True): 1, (1, 1, 6, False): 3, (2, 1, 6, False): 1, (None, 1, 6, False): 1, (3, 3, 1, True): 1, (None, None, 2, True): 1, (None, None, 2, False): 1})
+
+
+def test_pipeline_odd_rows_and_columns(spark, tmp_path):
+    """Repeated and null ids, repeated rows, and columns with the names that stages use."""
+    import corpus_pipeline
+
+    text = [prose(30) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[1]), (0, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (7, text[4]), (7, text[4]), (8, None), (9, ""), (None, None)]
+    extra = {"hit_id": "long", "Score": "double", "_mix_id": "string", "rid": "long", "key": "string", "component_id": "long", "copies": "long", "digest": "string"}
+    names = ["doc_id", "text", "lang", "source", "n_chars", *extra]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{k} {v}" for k, v in extra.items())
+    data = [(i, t, "en", "s", len(t or ""), 1, 0.5, "m", 2, "k", 3, 4, "d") for i, t in rows]
+    for part, documents in (("some", data), ("none", [])):
+        d = tmp_path / part
+        spark.createDataFrame(documents, schema).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(d))
+        assert out.columns == names
+        got = Counter(r.text for r in out.collect())
+        if documents:
+            assert set(text[:5]) - set(got) <= set(text) and sum(got.values()) >= 6 and all(n <= 2 for t, n in got.items() if t)
+        else:
+            assert not got
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+    assert Counter(r.text for r in docs.where("n_chars > 0").collect()) == Counter(text[:5])
