@@ -1,5 +1,9 @@
 """The training-corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
+Defined results: all stages keep documents without text or words, one of them after exact deduplication; rows of
+repeated or null ids are documents of their own, told apart by their texts and, if these are equal, one is kept; columns
+of any other name come through; empty tables give an empty corpus, and without labels the seed lexicon decides.
+
 No SQL states the toxicity stage, whose model is learned from the rows at hand; tests/llm holds the pipeline against a
 brute-force version instead.
 """
@@ -23,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below REJECT."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_texts(docs, model)
-    return scored.where(F.col("score") < REJECT).select(*docs.columns)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < REJECT).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
