@@ -1,13 +1,13 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions over a text's normalised words, built for each license family from phrase templates and
-gated by a keyword of the family: a rule's expression runs only on texts that contain its keyword. Before that, GATE
-leaves out texts whose normalised words hold nothing that a template begins with or needs. Detections are
-intervals of words with a priority. One sweep over the intervals in order of start (longer first, then higher
-priority) drops each interval that lies inside one before it.
+`license_rules.RULES` are hand-written expressions over a text's normalised words: identifiers, wording of licenses,
+notices, grants, names and mentions. Keywords are a prefilter: a rule runs only on texts that hold one of its keywords as a word, and a
+match can't do without one. Detections are intervals of words. Where one lies inside another, the higher priority stays,
+then the longer, the earlier and the first label; detections that overlap otherwise stay both.
 
 Defined results: null and empty texts have no words, no places and score 0. Rows are handled one by one, so repeated
-rows and ids give repeated results, and extra columns don't matter.
+rows and ids give repeated results, and extra columns don't matter; an empty table gives an empty result. Texts of any
+length are read whole. Equal intervals and priorities are decided by the label's order.
 """
 
 from __future__ import annotations
@@ -15,52 +15,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, table
+from quillspark.llm.common import NON_WORD, ascii_lower, table
+from quillspark.llm.license_rules import RULES
 
 # Fixed values of the contract: phrase and label.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
+Rule = tuple[str, str, tuple[str, ...], int, float]
+SPAN = "array<struct<start:int,end:int,priority:int,sure:double,label:string>>"
+PLACE = "array<struct<start:int,label:string>>"
 
-# Families: label, name as it reads in normalised words, gate keyword.
-FAMILIES = [
-    ("mit", "mit", "mit"), ("apache", "apache(?: software)?", "apache"), ("gpl", "(?:gnu )?(?:general public|gpl)", "g"),
-    ("lgpl", "(?:gnu )?(?:lesser general public|library general public|lgpl)", "l"), ("agpl", "(?:gnu )?(?:affero general public|agpl)", "a"),
-    ("bsd", "(?:2 clause |3 clause |new |simplified |modified )?bsd", "bsd"), ("isc", "isc", "isc"), ("mpl", "(?:mozilla public|mpl)", "m"),
-    ("epl", "(?:eclipse public|epl)", "e"), ("cddl", "(?:common development and distribution|cddl)", "d"), ("eupl", "(?:european union public|eupl)", "eu"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by nc sa|attribution noncommercial sharealike)", "c"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by nc nd|attribution noncommercial noderivatives)", "c"),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by nc|attribution noncommercial)", "c"),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by sa|attribution sharealike)", "c"),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by nd|attribution noderivatives)", "c"),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)", "c"), ("cc0", "(?:cc0|cc zero)", "cc"), ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "(?:do what the fuck you want to public|wtfpl)", "w"), ("zlib", "zlib(?: libpng)?", "zlib"), ("bsl", "(?:boost software|bsl)", "b"),
-    ("artistic", "artistic", "artistic"), ("psf", "(?:python software foundation|psf)", "p"), ("postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl"), ("ofl", "(?:sil open font|ofl)", "o"), ("odbl", "(?:open database|odbl)", "o"),
-    ("ms-pl", "(?:microsoft public|ms pl)", "m"), ("vim", "vim", "vim"), ("ruby", "ruby", "ruby"), ("php", "php", "php"), ("w3c", "w3c(?: software)?", "w3c"),
-    ("x11", "x11", "x11"), ("ncsa", "(?:university of illinois|ncsa)", "n"), ("ecl", "(?:educational community|ecl)", "e"),
-    ("osl", "(?:open software|osl)", "o"), ("afl", "(?:academic free|afl)", "a"), ("cecill", "cecill(?: [abc])?", "cecill"),
-    ("mulan", "mulan(?: psl)?", "mulan"), ("json", "json", "json"), ("beerware", "beerware", "beerware"), ("sleepycat", "sleepycat", "sleepycat"),
-    ("upl", "(?:universal permissive|upl)", "u"), ("busl", "(?:business source|busl)", "bus"), ("elastic", "elastic", "elastic"),
-    ("sspl", "(?:server side public|sspl)", "s"), ("commons-clause", "commons clause", "commons"),
-]
-# What the templates begin with or hold; a text of RULES or PHRASES has one of them in its normalised words.
-GRANT = r" (?:released|licensed|licensable|distributed|available|provided|published|offered) (?:[^ ]+ ){0,2}(?:under|per)"
-TERMS = r" (?:terms|conditions) of"
-WORD = r" licen[sc]e"
-GATE = f"{WORD}|{TERMS} |{GRANT} "
-# Templates: expression around a family's name, priority, confidence.
-TEMPLATES = [
-    (GRANT.replace("{", "{{").replace("}", "}}") + r" (?:the |a |terms of |version ){{0,3}}{name}(?: licen[sc]e)?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?(?= )", 4, 0.95),
-    (TERMS + r" (?:the |a ){{0,1}}{name}(?: licen[sc]e)?(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?(?= )", 3, 0.9),
-    (r" {name}" + WORD + r"(?: (?:version|v) ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?(?= )", 2, 0.85),
-    (r" spdx" + WORD + r" identifier {name}(?: [0-9]+)*(?: or later| only)?(?= )", 5, 0.98),
-    (WORD + r" (?:is |type )?{name}(?: [0-9]+)*(?= )", 1, 0.7),
-]
-RULES = [(label, template.format(name=name), keyword, priority, sure) for label, name, keyword in FAMILIES for template, priority, sure in TEMPLATES]
-
-
-def rules_array(rules: list[tuple[str, str, str, int, float]]) -> Column:
+
+def strings(xs: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+
+
+def rules_array(rules: list[Rule]) -> Column:
     return F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(b).alias("rx"), F.lit(c).alias("keyword"), F.lit(d).alias("priority"), F.lit(e).alias("sure"))
+        F.struct(F.lit(a).alias("label"), F.lit(b).alias("rx"), strings(list(c)).alias("keywords"), F.lit(d).alias("priority"), F.lit(e).alias("sure"))
         for a, b, c, d, e in rules
     ])
 
@@ -71,7 +42,7 @@ def spans_of(norm: Column, rule: Column) -> Column:
     found = F.regexp_extract_all(norm, rule["rx"], F.lit(0))
     pieces = F.split(norm, rule["rx"])
     step = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(spaces(p).alias("skip"), spaces(m).alias("take")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,priority:int,sure:double,label:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     return F.aggregate(
         step, zero,
         lambda a, s: F.struct(
@@ -86,42 +57,39 @@ def spans_of(norm: Column, rule: Column) -> Column:
 
 
 def suppress(spans: Column) -> Column:
-    """Without the intervals that lie inside another: longer first, at equal intervals the higher priority."""
+    """Without the intervals that lie inside, or hold, one that goes before: by priority, length, place and label."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), (-s["end"]).alias("neg_end"), (-s["priority"]).alias("neg_priority"), s["label"].alias("label"), s["sure"].alias("sure"),
+        (-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("n"), s["start"].alias("start"), s["label"].alias("label"), s["end"].alias("end"), s["priority"].alias("priority"), s["sure"].alias("sure"),
     )))
-    zero = F.struct(F.lit(-1).alias("top"), F.array().cast("array<struct<start:int,end:int,label:string,sure:double>>").alias("out"))
-    return F.aggregate(
-        ordered, zero,
-        lambda a, s: F.when(-s["neg_end"] > a["top"], F.struct(
-            (-s["neg_end"]).alias("top"),
-            F.concat(a["out"], F.array(F.struct(s["start"].alias("start"), (-s["neg_end"]).alias("end"), s["label"].alias("label"), s["sure"].alias("sure")))).alias("out"),
-        )).otherwise(a),
-        lambda a: a["out"],
+    nested = lambda a, b: ((a["start"] >= b["start"]) & (a["end"] <= b["end"])) | ((b["start"] >= a["start"]) & (b["end"] <= a["end"]))
+    kept = F.aggregate(
+        ordered, F.array().cast(SPAN),
+        lambda a, s: F.when(F.exists(a, lambda t: nested(s, t)), a).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["priority"].alias("priority"), s["sure"].alias("sure"), s["label"].alias("label"))))),
     )
+    return F.array_sort(kept)
 
 
-def scan(docs: DataFrame, rules: list[tuple[str, str, str, int, float]] = RULES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
-    """One row per document: doc_id, n_words, places (start, label of each base phrase), detections (start, end, label, sure)."""
+def scan(docs: DataFrame, rules: list[Rule] = RULES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
+    """One row per document: doc_id, n_words, places (start, label of each base phrase), detections (start, end, priority,
+    sure, label)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    n_words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    gated = F.col("norm").rlike(GATE) if rules is RULES and phrases is PHRASES else F.lit(True)
-    base = docs.select("doc_id", n_words.alias("n_words"), norm.alias("norm")).select("doc_id", "n_words", F.when(gated, F.col("norm")).alias("norm"))
-    places = F.flatten(F.array(*[
-        F.transform(
-            spans_of(F.col("norm"), F.struct(F.lit(f" {p}(?= )").alias("rx"), F.lit(9).alias("priority"), F.lit(0.9).alias("sure"), F.lit(label).alias("label"))),
-            lambda s: F.struct(s["start"].alias("start"), s["label"].alias("label")),
-        )
-        for p, label in phrases
-    ]))
-    live = F.filter(rules_array(rules), lambda r: F.contains(F.col("norm"), r["keyword"]))
-    detections = suppress(F.flatten(F.transform(live, lambda r: spans_of(F.col("norm"), r))))
-    none = F.array()
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), NON_WORD, " ")), F.lit(" "))
+    words = F.split("norm", " ")  # with an empty one at either end
+    keywords = sorted({k for r in rules for k in r[2]} | {p.split(" ")[-1] for p, _ in phrases})
+    base = docs.select("doc_id", norm.alias("norm")).withColumn("words", words)
+    base = base.select("doc_id", "norm", F.size(F.filter("words", lambda w: w != "")).cast("long").alias("n_words"), F.arrays_overlap("words", strings(keywords)).alias("any"), "words")
+    base = base.select("doc_id", "n_words", "norm", F.when(F.col("any"), F.array_intersect(strings(keywords), F.col("words"))).alias("found"))
+    place = lambda p, label: F.transform(
+        spans_of(F.col("norm"), F.struct(F.lit(f" {p}(?= )").alias("rx"), F.lit(9).alias("priority"), F.lit(0.9).alias("sure"), F.lit(label).alias("label"))),
+        lambda s: F.struct(s["start"].alias("start"), s["label"].alias("label")),
+    )
+    places = F.flatten(F.array(*[F.when(F.array_contains("found", p.split(" ")[-1]), place(p, label)).otherwise(F.array().cast(PLACE)) for p, label in phrases])) if phrases else F.array().cast(PLACE)
+    live = F.filter(rules_array(rules), lambda r: F.arrays_overlap(r["keywords"], F.col("found"))) if rules else None
+    detections = suppress(F.flatten(F.transform(live, lambda r: spans_of(F.col("norm"), r)))) if rules else F.array().cast(SPAN)
     return base.select(
         "doc_id", "n_words",
-        F.when(F.col("norm").isNotNull(), places).otherwise(none.cast("array<struct<start:int,label:string>>")).alias("places"),
-        F.when(F.col("norm").isNotNull(), detections).otherwise(none.cast("array<struct<start:int,end:int,label:string,sure:double>>")).alias("detections"),
+        F.when(F.col("found").isNotNull(), places).otherwise(F.array().cast(PLACE)).alias("places"),
+        F.when(F.col("found").isNotNull(), detections).otherwise(F.array().cast(SPAN)).alias("detections"),
     )
 
 
@@ -135,3 +103,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(labels("places")).alias("base_labels"), joined(F.concat(labels("places"), labels("detections"))).alias("labels"),
         F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["sure"])), F.lit(0.0)), F.when(F.size("places") > 0, 0.9).otherwise(0.0)).alias("score"),
     )
+
+
+def op8_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can state."""
+    return op8_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS at_, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+        WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label
+  FROM w, unnest(range(1, len(w))) AS t(i) WHERE w[i] IN ('mit', 'apache', 'general')),
+g AS (SELECT doc_id, count(*) AS n_base, min(at_) AS first_word, max(at_) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op8_license_base": license_scan.op8_license_base,
     "op1_ngram_links": ngram_join.op1_ngram_links,
 }
 ORACLES = {
@@ -20,5 +21,6 @@ ORACLES = {
     "op3_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op8_license_base": license_scan.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }

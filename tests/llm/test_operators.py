@@ -286,7 +286,62 @@ def test_license_scan(spark, docs, none):
     assert by[0] == {"mit"} and by[3] == {"cc-by-nc"} and by[6] == {"mit"} and by[1] == by[4] == set() and "gpl" in by[5]
     for r in got:  # no detection inside another
         assert not any(a is not b and a.start >= b.start and a.end <= b.end for a in r.detections for b in r.detections)
-    assert license_scan.scan(none).count() == 0 and len({r[1] for r in license_scan.RULES}) >= 200
+    assert license_scan.scan(none).count() == 0 and len(license_scan.RULES) >= 200
+
+
+def sampled(rx):
+    """A text that a rule's expression matches, by chance."""
+    from re import _constants as k
+    from re import _parser
+
+    def node(op, a):
+        if op == k.LITERAL:
+            return chr(a)
+        if op == k.NOT_LITERAL:
+            return "q"
+        if op == k.IN:
+            return "q" if a[0][0] == k.NEGATE else node(*random.choice(a))
+        if op == k.RANGE:
+            return chr(random.randint(*a))
+        if op == k.MAX_REPEAT:
+            return "".join(seq(a[2]) for _ in range(random.randint(a[0], min(int(a[1]), a[0] + 2))))
+        if op == k.BRANCH:
+            return seq(random.choice(a[1]))
+        if op == k.SUBPATTERN:
+            return seq(a[3])
+        assert op in (k.ASSERT, k.ASSERT_NOT), op
+        return ""
+
+    seq = lambda p: "".join(node(*x) for x in p)
+    return seq(_parser.parse(rx))
+
+
+def plain_scan(text):
+    """The rule engine, one rule and text after the other, without a prefilter."""
+    norm = " " + " ".join(w.decode() for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())) + " "
+    found = []
+    for label, rx, _, priority, _ in license_scan.RULES:
+        for m in re.finditer(rx, norm):
+            found.append((-priority, m[0].count(" "), norm[: m.start()].count(" "), label))
+    kept = []
+    for p, n, s, label in sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3])):
+        if not any((s >= a and s + n <= b) or (a >= s and b <= s + n) for a, b, _, _ in kept):
+            kept.append((s, s + n, -p, label))
+    return sorted(kept)
+
+
+def test_license_rules_against_plain_engine(spark):
+    rng = random.Random(3)
+    texts = []
+    for label, rx, keywords, _, _ in license_scan.RULES:
+        for _ in range(4):
+            x = sampled(rx)
+            assert set(keywords) & set(x.split()), (rx, x)  # the prefilter leaves no match out
+            texts.append(x)
+    texts = [rng.choice([", ", "\n", " "]).join(rng.sample(texts, rng.randint(1, 5))) for _ in range(400)] + texts + ["x " * 20_000 + "MIT License" + " y" * 20_000]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)).collect()}
+    for i, x in enumerate(texts):
+        assert sorted((d.start, d.end, d.priority, d.label) for d in got[i].detections) == plain_scan(x), x[:300]
 
 
 def covered(rows, least):
@@ -406,9 +461,9 @@ def test_license_scan_templates_without_license(spark):
     texts = ["Distributed under the GNU GPL v3", "available under CC BY 4.0", "subject to the conditions of the MPL", "released\nunder the MIT", "released freely under the MIT.", "offered per Apache 2.0", "the\nterms\n of the EUPL", "under the MIT tree"]
     want = ["gpl", "cc-by", "mpl", "mit", "mit", "apache", "eupl", None]
     d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: [x.label for x in r.detections] for r in license_scan.scan(d).collect()}
+    got = {r.doc_id: sorted({x.label for x in r.detections}) for r in license_scan.scan(d).collect()}
     assert got == {i: [x] if x else [] for i, x in enumerate(want)}
-    own = license_scan.scan(d, rules=[("tree", " mit tree(?= )", "tree", 1, 0.5)], phrases=[("cc by", "cc")]).collect()  # others than RULES have no gate
+    own = license_scan.scan(d, rules=[("tree", " mit tree(?= )", ("tree",), 1, 0.5)], phrases=[("cc by", "cc")]).collect()
     assert {r.doc_id for r in own if r.detections} == {7} and {r.doc_id for r in own if r.places} == {1}
 
 
