@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op8_license_base": license_scan.op8_license_base,
+    "op10_near_matches": decontaminate.op10_near_matches,
     "op1_ngram_links": ngram_join.op1_ngram_links,
 }
 ORACLES = {

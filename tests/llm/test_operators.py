@@ -420,16 +420,45 @@ def test_decontamination(spark, docs, none):
     items = [(1, " ".join(ROWS[7][1].split()[5:30])), (2, "two words"), (3, None), (10, "!"), (4, ROWS[-4][1][:150].upper()), (2, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = plain_hits(ROWS, items)
-    for small in (decontaminate.SMALL, 0):  # broadcast or not
-        got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.contamination(docs, bench, small=small).collect()}
+    for mb in (16, -1):  # broadcast or not
+        got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.contamination(docs, bench, mb=mb).collect()}
         assert got == want
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, x in want.items() if not x[1]}
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs.unionByName(docs), bench).count() == 2 * len(ROWS)
-    near = spark.createDataFrame([(1, "red fox jumps over"), (2, "red big fox jumps high over"), (3, "over jumps fox red")], "doc_id long, text string")
-    found = decontaminate.near_matches(near, spark.createDataFrame([(7, "red fox")], "item_id long, text string"), slop=1)
-    assert sorted((r.doc_id, r.start, r.gap) for r in found.collect()) == [(1, 0, 1), (2, 0, 2)]
+
+
+def plain_near(rows, items, slop, width=10):
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    n = Counter(w for _, t in rows for w in split(t))
+    out = {}
+    for i, t in rows:
+        d = split(t)
+        for item, x in items:
+            w = split(x)
+            for k in range(max(len(w) - width, 0) + 1 if w else 0):
+                win = w[k : k + width]
+                if len(win) < 2 or not all(n[y] for y in win):
+                    continue
+                sig = sorted((n[y], y, o) for o, y in enumerate(win))[:3]
+                for p in (p for p, y in enumerate(d) if y == sig[0][1]):
+                    gaps = [min((abs(q - (p + o - sig[0][2])) for q, z in enumerate(d) if z == y), default=99) for _, y, o in sig[1:]]
+                    if all(g <= slop for g in gaps):
+                        out.setdefault((i, str(item)), []).append((p - sig[0][2], max(gaps)))
+    return {k: (len({p for p, _ in v}), min(g for _, g in v)) for k, v in out.items()}
+
+
+def test_proximity_matches(spark):
+    rng = random.Random(5)
+    vocab = "abcdefghijklmnop"
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(60, None), (61, "")]
+    items = [(k, " ".join(rng.choice(vocab + "q") for _ in range(rng.randint(1, 14)))) for k in range(12)]
+    rows += [(70 + k, "x y " + t.replace(" c ", " z c ", 1) + " w") for k, t in items]
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([*items, (None, "a b c"), (99, None)], "item_id long, text string")
+    for mb in (16, -1):
+        got = {(r.doc_id, r.item_id): (r.places, r.off) for r in decontaminate.near_matches(d, bench, slop=2, mb=mb).collect()}
+        assert got == plain_near(rows, items, 2) != {}
 
 
 def test_pipeline(spark, tmp_path):
