@@ -254,23 +254,54 @@ def test_url_filter(spark):
     assert [e[2] for e in url_filter.rule_events([("a", "/", "x"), ("a", "/b/", "y")])] == ["a/", "a/b/", "a/", None]
 
 
-def test_lm_score(docs, none):
+class PlainAutomaton:
+    """States as tuples of words, one step after the other."""
+
+    def __init__(self, texts, k2, k3):
+        self.c = Counter(g for x in texts for g in self.grams(x))
+        self.k = {2: k3, 1: k2}
+        self.n, self.v = sum(n for g, n in self.c.items() if len(g) == 1), sum(len(g) == 1 for g in self.c)
+
+    def grams(self, x):
+        x = [None, *x]  # a text starts after an end
+        return [(w,) for w in x[1:]] + list(zip(x, x[1:])) + list(zip(x, x[1:], x[2:]))
+
+    def p(self, w, state):
+        if not state:
+            return (self.c[(w,)] + 1) / (self.n + self.v + 1)
+        k = self.k[len(state)]
+        return (self.c[(*state, w)] + k * self.p(w, state[1:])) / (self.c[state] + k)
+
+    def read(self, x):
+        total, state = 0.0, (None,) if self.c[(None,)] else ()
+        for w in x:
+            at = state
+            while at and not self.c[(*at, w)]:  # failure arcs
+                k = self.k[len(at)]
+                total += math.log10(k / (self.c[at] + k))
+                at = at[1:]
+            total += math.log10(self.p(w, at))
+            state = (*state, w)[-2:]
+            while state and not self.c[state]:
+                state = state[1:]
+        return total
+
+
+@pytest.mark.parametrize("block_bytes", [lm_score.BLOCK_BYTES, 500])
+def test_lm_score(docs, none, block_bytes):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    got = {r.doc_id: r for r in lm_score.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()}
+    got = {r.doc_id: r for r in lm_score.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, k2=3.0, k3=0.5, block_bytes=block_bytes).collect()}
     tok = {i: words(t) + [None] for i, t in ROWS}
-    c, bi = Counter(), Counter()
-    for i, x in tok.items():
-        if not held(i):
-            c.update(x)
-            bi.update(zip([None] + x[:-1], x))
-    n, v, k = sum(c.values()), len(c), lm_score.K
-    p = lambda w: (c[w] + 1) / (n + v + 1)
+    model = PlainAutomaton([x for i, x in tok.items() if not held(i)], 3.0, 0.5)
+    assert len(got) == len(tok) and any(map(held, tok))
     for i, x in tok.items():
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(c[w] > 0 for w in x), n)
-        assert math.isclose(r.base_score, sum(math.log10(p(w)) for w in x), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10((bi[h, w] + k * p(w)) / (c[h] + k)) for h, w in zip([None] + x[:-1], x)), rel_tol=1e-9)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(model.c[(w,)] > 0 for w in x), model.n)
+        assert math.isclose(r.base_score, sum(math.log10(model.p(w, ())) for w in x), rel_tol=1e-9)
+        assert math.isclose(r.score, model.read(x), rel_tol=1e-9)
     assert lm_score.score(none, F.lit(True)).count() == 0
+    assert all(r.train_tokens == r.n_known == 0 for r in lm_score.score(docs, F.lit(False)).collect())
+    assert lm_score.score(docs.unionByName(docs), F.lit(True)).count() == 2 * len(ROWS)
 
 
 def test_license_scan(spark, docs, none):
