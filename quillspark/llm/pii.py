@@ -2,15 +2,19 @@
 
 Generators with high recall propose spans of four kinds. The base generators' spans that pass their own test (octets,
 Luhn, digit counts) are always personal data. Further generators, of spelt-out addresses, numbers without a plus, cards
-with other separators and addresses of version 6, propose spans that may overlap. Boosted trees score these by format and
-context features, and a span is redacted if its score reaches its kind's threshold and it overlaps no span before it.
+with other separators and addresses of version 6, propose spans that may overlap; they have no limits of length. Boosted
+trees score these by format and context features, and a span is redacted if its score reaches its kind's threshold and
+it overlaps no base span and no span with a higher score.
 
-The trees are trained here by Spark ML's JVM code on SAMPLE generated cases (a bounded table made of templates and
-hashes, half of it held out to calibrate thresholds) and turned into CASE expressions, so that scoring is one
-projection. All rows are handled one by one without a shuffle.
+The trees are trained here by Spark ML's JVM code on SAMPLE cases: values from templates, good and bad ones, put between
+pieces of CONTEXTS documents, which are alike for both. Half of the cases are held out to calibrate each kind's threshold
+to PRECISION; `quality` measures precision and recall on them. The trees become CASE expressions, so that scoring is one
+projection. All rows are handled one by one without a shuffle. Secrets (keys and tokens by their names or forms) are
+counted beside the four kinds.
 
 Defined results: null counts as empty, without spans; repeated rows and ids give repeated results; other columns don't
-matter. Positions are code points, ends exclusive.
+matter; texts of any length are read whole; of candidates with equal scores the first stays; an empty table gives an
+empty result, and contexts are then empty. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -33,16 +37,23 @@ BASE = [
     ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 ]
+AT = r"[(\[{<] ?(?:at|@) ?[)\]}>]"
+DOT = r"[(\[{<] ?(?:dot|\.) ?[)\]}>]"
 MORE = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}", r"\(at\)|\[at\]"),
-    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-    ("card", r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])", r"[0-9]{4}[./][0-9]{4}"),
-    ("phone", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}\)?[ .-][0-9]{3}"),
+    ("email", rf"(?i)(?<!{LOCAL}){LOCAL}++ ?(?:{AT}| at ) ?[A-Za-z0-9-]++(?: ?(?:{DOT}| dot |\.) ?[A-Za-z0-9-]++)++", rf"(?i){AT}| at [A-Za-z0-9-]++ ?(?:{DOT}| dot |\.)"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:"),
+    ("card", r"(?<![0-9])[0-9]++(?:[./_\u2013\u00A0][0-9]++)++(?![0-9])", r"[0-9][./_\u2013\u00A0][0-9]"),
+    ("phone", r"(?<![0-9A-Za-z+./-])\(?[0-9]++\)?(?:[ ./-] ?\(?[0-9]++\)?)++(?![0-9A-Za-z])", r"[0-9]\)?[ ./-] ?\(?[0-9]"),
 ]
+SECRET = (
+    r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private|auth)[_ -]?key)[\x22\x27]? ?[=:] ?[\x22\x27]?[^\s\x22\x27]{8,}"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9_-]{20,}"
+)
 CONTEXT = {"email": "mail|contact|write|reach", "ip": "ip|host|server|address|client", "card": "card|visa|master|credit|pay", "phone": "phone|tel|call|mobile|fax|reach"}
-FEATURES = ["kind", "digits", "length", "separators", "letters", "luhn", "context", "ends_free", "starts_free", "distinct"]
-SAMPLE, SEED = 4000, 11  # generated training cases
-PRECISION = 0.98  # that thresholds are calibrated to
+FEATURES = ["kind", "digits", "length", "separators", "letters", "luhn", "context", "ends_free", "starts_free", "distinct", "groups", "longest", "shortest", "brackets", "spelt", "double", "year"]
+SAMPLE, SEED = 8000, 11  # training cases
+CONTEXTS = 2000  # documents that lend their words to the cases, at most
+PRECISION = 0.97  # that thresholds are calibrated to
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,left:string,right:string>>"
 
 
@@ -102,66 +113,124 @@ def features(c: Column) -> dict[str, Column]:
         near = F.when((kind == k) & F.lower(c["left"]).rlike(CONTEXT[k]), 1.0).otherwise(near)
     d = digits(s)
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
+    runs = F.transform(F.filter(F.split(s, "[^0-9A-Fa-f]+"), lambda x: x != ""), lambda x: F.length(x))
     return {
         "kind": code, "digits": F.length(d).cast("double"), "length": F.length(s).cast("double"),
-        "separators": F.length(F.regexp_replace(s, r"[^ .()/:\[\]-]", "")).cast("double"), "letters": F.length(F.regexp_replace(s, "[^A-Za-z]", "")).cast("double"),
+        "separators": F.length(F.regexp_replace(s, r"[^ .()/:\[\]_-]", "")).cast("double"), "letters": F.length(F.regexp_replace(s, "[^A-Za-z]", "")).cast("double"),
         "luhn": flag(luhn(d)), "context": near, "ends_free": flag(~c["right"].rlike(r"[\w/]")), "starts_free": flag(~c["left"].rlike(r"[\w/.#-]$")),
-        "distinct": F.size(F.array_distinct(F.split(d, ""))).cast("double"),
+        "distinct": F.size(F.array_distinct(F.split(d, ""))).cast("double"), "groups": F.size(runs).cast("double"),
+        "longest": F.coalesce(F.array_max(runs), F.lit(0)).cast("double"), "shortest": F.coalesce(F.array_min(runs), F.lit(0)).cast("double"),
+        "brackets": flag(s.rlike(r"[(\[{<]")), "spelt": flag(F.lower(s).rlike(r"\bdot\b")), "double": flag(F.contains(s, F.lit("::"))),
+        "year": flag(s.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")),
     }
 
 
-def generated_cases(spark: SparkSession, n: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """Labelled candidates made of templates: (kind, text, left, right, label, part)."""
-    def pick(j: int, xs: list[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64("id", F.lit(seed + j)), F.lit(len(xs))) + 1).cast("int"))
+def contexts(docs: DataFrame | None, most: int = CONTEXTS) -> DataFrame | None:
+    """(k, before, behind): pieces of up to 16 and 8 characters from documents without digits there, of at most `most` documents."""
+    if docs is None:
+        return None
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct().withColumnRenamed("doc_id", "id")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\s.,]+", " ")
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("plain") - 24, F.lit(1))).cast("int")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", plain.alias("plain"))  # `most` ids
+    pieces = rows.select("doc_id", F.substring("plain", at + 1, F.lit(15)).alias("before"), F.substring("plain", at + 16, F.lit(8)).alias("behind"))
+    pieces = pieces.orderBy("doc_id", "before").limit(most).coalesce(1)  # `most` rows
+    return pieces.select((F.monotonically_increasing_id()).alias("k"), "before", "behind")
+
+
+def generated_cases(spark: SparkSession, n: int = SAMPLE, seed: int = SEED, docs: DataFrame | None = None) -> DataFrame:
+    """Labelled candidates: (kind, text, left, right, label, part). Values come from templates; what stands around them comes
+    from documents and is drawn alike for good and bad ones, but for words that name a kind, which are rarer at bad ones."""
+    def draw(j: int, k: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed + j)), F.lit(k))
+
+    def pick(j: int, xs: list) -> Column:
+        return F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (draw(j, len(xs)) + 1).cast("int"))
 
     def number(j: int, k: int) -> Column:
-        return F.lpad(F.pmod(F.xxhash64("id", F.lit(seed + 100 + j)), F.lit(10**k)).cast("string"), k, "0")
+        return F.lpad(draw(100 + j, 10**k).cast("string"), k, "0")
 
-    hexed = lambda j: F.lower(F.hex(F.pmod(F.xxhash64("id", F.lit(seed + 200 + j)), F.lit(65536))))
-    body = F.concat(*[number(10 + i, 4) for i in range(3)], number(14, 3))
+    hexed = lambda j: F.lower(F.hex(draw(200 + j, 65536)))
+    small = lambda j: F.lower(F.hex(draw(200 + j, 256)))
+    good, kind = draw(0, 2) == 0, pick(1, list(KINDS))
+    size = pick(30, [13, 15, 16, 16, 16, 19])
+    body = F.substring(F.concat(F.lit("4"), *[number(10 + i, 6) for i in range(4)]), F.lit(1), size - 1)
     check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("string")), lambda x: luhn(F.concat(body, x))), 1)
-    good = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0
-    kind = pick(1, list(KINDS))
-    card = F.when(good, F.concat(body, check)).otherwise(F.concat(body, number(15, 1)))
-    dotted = F.array_join(F.array(*[F.substring(card, 1 + 4 * i, 4) for i in range(4)]), ".")
-    dotted = F.when(pick(2, [".", "/"]) == ".", dotted).otherwise(F.replace(dotted, F.lit("."), F.lit("/")))
-    phone = F.concat(pick(3, ["(", ""]), number(1, 3))
-    phone = F.concat(phone, F.when(phone.startswith("("), ")").otherwise(""), pick(4, [" ", "-", "."]), number(2, 3), pick(5, ["-", " ", "."]), number(3, 4))
-    mail = F.concat(pick(6, ["ana", "j.doe", "info", "kim7"]), pick(7, [" (at) ", "[at]", "(at)"]), pick(8, ["mail", "corp", "uni"]), pick(9, [" (dot) ", ".", "[dot]"]), pick(10, ["com", "org", "net"]))
-    v6 = F.concat_ws(":", *[hexed(i) for i in range(8)])
-    stamp = F.concat_ws(":", number(20, 2), number(21, 2), number(22, 2), number(23, 2))
+    wrong = F.pmod(check.cast("int") + 1 + draw(31, 9), F.lit(10)).cast("string")
+    card = F.concat(body, F.when(good, check).otherwise(wrong))
+    card = F.array_join(F.array(*[F.substring(card, 1 + 4 * i, 4) for i in range(3)], F.substring(card, 13, 10)), "#")
+    card = F.replace(card, F.lit("#"), pick(2, [".", "/", "_", "\u2013"]))
+    sep = pick(4, [" ", "-", ".", "/"])
+    joined = lambda s, *xs: F.concat_ws("", *[F.concat(s, x) if k else x for k, x in enumerate(xs)])
+    a3, b3, c4 = number(1, 3), number(2, 3), number(3, 4)
+    phone = pick(3, [
+        joined(sep, a3, b3, c4), F.concat(F.lit("("), a3, F.lit(") "), b3, pick(5, ["-", " ", "."]), c4), joined(sep, F.concat(F.lit("0"), number(4, 2)), c4, number(5, 4)),
+        joined(sep, F.concat(F.lit("0"), number(4, 3)), number(5, 3), number(6, 4)), joined(pick(5, [" ", "-"]), F.concat(F.lit("00"), number(7, 2)), number(4, 3), b3, c4), joined(sep, F.lit("1"), a3, b3, c4),
+    ])
+    day, month = F.lpad((draw(32, 28) + 1).cast("string"), 2, "0"), F.lpad((draw(33, 12) + 1).cast("string"), 2, "0")
+    year = (draw(34, 90) + 1940).cast("string")
+    not_phone = pick(35, [
+        joined(sep, year, month, day), joined(sep, day, month, year), joined(F.lit("."), number(1, 1), number(2, 1), number(3, 1), number(4, 2)), joined(F.lit("-"), F.lit("978"), number(1, 1), number(2, 2), number(3, 6), number(4, 1)),
+        joined(F.lit(" "), number(1, 1), number(2, 2), number(3, 1)), joined(F.lit("/"), number(1, 2), number(2, 2)), joined(F.lit("."), number(1, 3), number(2, 3), number(3, 3), number(4, 3), number(5, 3)), joined(F.lit("-"), number(1, 6), number(2, 8), number(3, 6)),
+    ])
+    word = lambda j: pick(j, ["ana", "j.doe", "info", "kim7", "sales", "max-m", "look", "noon", "home", "page"])
+    host, top = pick(8, ["mail", "corp", "uni", "web-4", "office"]), pick(10, ["com", "org", "net", "de", "fr"])
+    mail = F.concat(word(6), pick(7, [" (at) ", "[at]", "(at)", "{at}", " at ", "<at>", "[@]"]), host, pick(9, [" (dot) ", " dot ", "[dot]", "(.)", "."]), top)
+    mail = F.when(F.contains(mail, F.lit(" at ")) & ~F.lower(mail).rlike("dot"), F.replace(mail, F.lit(" at "), F.lit("(at)"))).otherwise(mail)
+    not_mail = pick(36, [F.concat(pick(6, ["f", "x"]), F.lit("(at)"), number(4, 1), F.lit("."), number(5, 2)), F.concat(word(37), F.lit(" at "), word(38), F.lit("."), word(39)), F.concat(word(37), F.lit(" at "), word(38), F.lit(". "), word(39)), F.concat(word(37), F.lit(" at "), number(4, 1), F.lit("."), number(5, 2))])
+    v6 = pick(40, [F.concat_ws(":", *[hexed(i) for i in range(8)]), F.concat(F.lit("2001:db8:"), hexed(1), F.lit("::"), hexed(2)), F.concat(F.lit("fe80::"), hexed(1), F.lit(":"), hexed(2)), F.concat(hexed(1), F.lit(":"), hexed(2), F.lit("::"), hexed(3), F.lit(":"), hexed(4)), F.concat(F.lit("2001:db8::"), small(5)), F.concat(hexed(1), F.lit("::"), small(6))])
+    not_v6 = pick(41, [F.concat_ws(":", *[number(20 + i, 2) for i in range(3)]), F.concat_ws(":", *[number(20 + i, 2) for i in range(4)]), F.concat_ws(":", *[F.substring(F.lpad(hexed(i), 4, "0"), 1, 2) for i in range(6)]), F.concat_ws(":", *[number(20 + i, 1) for i in range(3)]), F.concat(number(1, 1), F.lit("::"), number(2, 1)), F.lit("::"), F.concat(F.lit(":"), number(1, 2), F.lit(":"))])
     near = {"email": ["mail: ", "contact ", "write to "], "ip": ["ip ", "server ", "host "], "card": ["card ", "visa ", "credit "], "phone": ["call ", "tel: ", "phone "]}
-    far = ["part ", "isbn ", "version ", "order no ", "page ", "v", "#", "see table "]
-    left = F.lit("")
-    text = F.lit("")
-    for k, yes, no in (("email", mail, F.concat(pick(6, ["f", "x"]), F.lit("(at)"), number(4, 1), F.lit("."), number(5, 2))), ("ip", v6, stamp), ("card", dotted, dotted), ("phone", phone, phone)):
-        left = F.when(kind == k, F.when(good, pick(11, near[k] + (["the ", "at "] if k in ("email", "ip") else []))).otherwise(pick(12, far))).otherwise(left)
+    text, named = F.lit(""), F.lit("")
+    for k, yes, no in (("email", mail, not_mail), ("ip", v6, not_v6), ("card", card, card), ("phone", phone, not_phone)):
         text = F.when(kind == k, F.when(good, yes).otherwise(no)).otherwise(text)
-    right = F.when(good, pick(13, [" ", ".", ",", ""])).otherwise(pick(14, [" ", "a", "/", "."]))
-    return spark.range(n).coalesce(1).select(kind.alias("kind"), text.alias("text"), left.alias("left"), right.alias("right"), good.cast("double").alias("label"), (F.col("id") % 2).alias("part"))
+        named = F.when(kind == k, pick(11, near[k])).otherwise(named)
+    named = F.when(draw(42, 10) < F.when(good, 4).otherwise(1), named).otherwise(pick(12, ["", "", "", "part ", "no ", "on "]))
+    rows = spark.range(n).coalesce(1).select("id", kind.alias("kind"), text.alias("text"), named.alias("named"), pick(43, [" ", " ", ".", ",", ""]).alias("mark"), good.cast("double").alias("label"), (F.col("id") % 2).alias("part"))
+    pool = contexts(docs)
+    if pool is None:
+        rows = rows.withColumns({"before": F.lit(" "), "behind": F.lit("")})
+    else:
+        rows = rows.withColumn("k0", F.col("id") % CONTEXTS).join(F.broadcast(pool), F.col("k0") == F.col("k"), "left")  # CONTEXTS rows
+    left = F.right(F.concat(F.coalesce("before", F.lit("")), F.lit(" "), "named"), F.lit(16))
+    right = F.substring(F.concat("mark", F.when(F.col("mark") == "", "").otherwise(F.coalesce("behind", F.lit("")))), 1, 1)
+    return rows.select("id", "kind", "text", left.alias("left"), right.alias("right"), "label", "part")
+
+
+Model = tuple[list[tuple[float, str]], dict[str, float]]
 
 
-def trained(spark: SparkSession, n: int = SAMPLE) -> tuple[list[tuple[float, str]], dict[str, float]]:
+def trained(spark: SparkSession, n: int = SAMPLE, docs: DataFrame | None = None) -> Model:
     """(weight, debug text of each tree), and the threshold of each kind."""
-    cases = generated_cases(spark, n)
+    return fitted(spark, n, docs)[0]
+
+
+def quality(spark: SparkSession, n: int = SAMPLE, docs: DataFrame | None = None) -> dict[str, tuple[float, float]]:
+    """(precision, recall) of each kind on the held-out cases, at its threshold."""
+    return fitted(spark, n, docs)[1]
+
+
+def fitted(spark: SparkSession, n: int, docs: DataFrame | None) -> tuple[Model, dict[str, tuple[float, float]]]:
     f = features(F.struct(*[F.col(x) for x in ("kind", "text", "left", "right")]))
-    rows = cases.select(F.col("kind").alias("of_kind"), "label", "part", *[f[x].alias(x) for x in FEATURES]).cache()
+    rows = generated_cases(spark, n, docs=docs).select("id", F.col("kind").alias("of_kind"), "label", "part", *[f[x].alias(x) for x in FEATURES])
+    rows = rows.repartition(1).sortWithinPartitions("id").cache()  # `n` rows, in one order
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(labelCol="label", maxIter=6, maxDepth=3, stepSize=0.4, seed=SEED).fit(vectors.transform(rows.where("part = 0")).coalesce(1))
+    model = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, stepSize=0.4, seed=SEED).fit(vectors.transform(rows.where("part = 0")))
     trees = list(zip(model.treeWeights, [t.toDebugString for t in model.trees]))
     scored = rows.where("part = 1").select("of_kind", "label", probability(trees, {x: F.col(x) for x in FEATURES}).alias("p"))
-    least: dict[str, float] = {}
-    held = scored.groupBy("of_kind", F.round("p", 6).alias("p")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # from SAMPLE rows at most
+    least, found = {}, {}
+    held = scored.groupBy("of_kind", F.round("p", 6).alias("p")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).collect()  # from `n` rows at most
     for kind in KINDS:
+        of_kind = sorted((r for r in held if r["of_kind"] == kind), key=lambda r: -r["p"])
         yes = all_ = 0.0
-        least[kind] = 2.0  # none
-        for r in sorted((r for r in held if r["of_kind"] == kind), key=lambda r: -r["p"]):
+        whole = max(1.0, sum(r["yes"] for r in of_kind))
+        least[kind], found[kind] = 2.0, (1.0, 0.0)  # none
+        for r in of_kind:
             yes, all_ = yes + r["yes"], all_ + r["n"]
             if yes >= PRECISION * all_ and r["p"] >= 0.5:
-                least[kind] = r["p"] - 1e-6
+                least[kind], found[kind] = r["p"] - 1e-6, (yes / all_, yes / whole)
     rows.unpersist()
-    return trees, least
+    return (trees, least), found
 
 
 def tree_case(debug: str, f: dict[str, Column]) -> Column:
@@ -185,8 +254,9 @@ def probability(trees: list[tuple[float, str]], f: dict[str, Column]) -> Column:
     return 1 / (1 + F.exp(-2 * margin))
 
 
-def find(docs: DataFrame, model: tuple[list[tuple[float, str]], dict[str, float]]) -> DataFrame:
-    """One row per document: doc_id, text, base and spans: arrays of (kind, start, end, ...) by kind and start."""
+def find(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per document: doc_id, text, base and spans: arrays of (kind, start, end, ...) by kind and start; secrets:
+    their count."""
     trees, least = model
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -204,15 +274,19 @@ def find(docs: DataFrame, model: tuple[list[tuple[float, str]], dict[str, float]
         return t
 
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    judged = F.filter("more", lambda c: F.forall(F.col("base"), lambda b: apart(b, c)) & (probability(trees, features(c)) >= threshold(c["kind"])))
-    free = F.aggregate(judged, F.array().cast(SPAN), lambda out, c: F.when(F.forall(out, lambda o: apart(o, c)), F.concat(out, F.array(c))).otherwise(out))
-    rows = rows.withColumn("added", F.when(F.size("more") > 0, free).otherwise(F.array().cast(SPAN)))
+    # features once a candidate, below the trees that read them
+    seen = F.transform(F.filter("more", lambda c: F.forall(F.col("base"), lambda b: apart(b, c))), lambda c: F.struct(c.alias("c"), F.struct(*[v.alias(k) for k, v in features(c).items()]).alias("f")))
+    scored = F.transform(seen, lambda x: F.struct(x["c"].alias("c"), probability(trees, {k: x["f"][k] for k in FEATURES}).alias("p")))
+    rows = rows.withColumn("scored", F.when(F.size("more") > 0, scored))
+    ranked = F.array_sort(F.transform(F.filter("scored", lambda x: x["p"] >= threshold(x["c"]["kind"])), lambda x: F.struct((-x["p"]).alias("p"), x["c"]["start"].alias("start"), x["c"].alias("c"))))
+    free = F.aggregate(ranked, F.array().cast(SPAN), lambda out, x: F.when(F.forall(out, lambda o: apart(o, x["c"])), F.concat(out, F.array(x["c"]))).otherwise(out))
+    rows = rows.withColumn("added", F.coalesce(F.when(F.size("scored") > 0, free), F.array().cast(SPAN)))
 
     def of_kind(x: Column, kind: str) -> Column:
         return F.array_sort(F.transform(F.filter(x, lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     order = lambda x: F.concat(*[of_kind(x, k) for k in KINDS])
-    return rows.select("doc_id", "text", order(F.col("base")).alias("base"), order(F.concat("base", "added")).alias("spans"))
+    return rows.select("doc_id", "text", order(F.col("base")).alias("base"), order(F.concat("base", "added")).alias("spans"), F.regexp_count("text", F.lit(SECRET)).cast("long").alias("secrets"))
 
 
 def redact(docs: DataFrame, model) -> DataFrame:
@@ -228,7 +302,8 @@ def redact(docs: DataFrame, model) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"), trained(spark))
+    docs = table(spark, sf_dir, "documents")
+    found = find(docs, trained(spark, docs=docs))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.col("secrets").alias("n_secrets"), ((F.size("spans") > 0) | (F.col("secrets") > 0)).alias("private"))

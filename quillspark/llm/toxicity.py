@@ -1,16 +1,19 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Five small transducers read a clause's tokens by class: insult, threat, target, negation and reported speech. Their
+Small transducers read a sentence's tokens by class: insult, threat, target, negation and reported speech. Their
 composition is one automaton whose arcs emit a pattern for every insult or threat, such as `insult+aimed` or
-`insult+negated`. A clause scores its pattern's weight times the lexeme's weight; a text's score is the chance that at
-least one of its clauses is toxic.
+`insult+negated`. Commas and colons end what a target or a negation reaches, but not reported speech, which also goes on
+through quotation marks. Quotes whose reporting verb follows them are found by a transducer that reads the sentence from
+its end and marks tokens before the others read them. A match scores its pattern's weight times the lexeme's weight; a
+text's score is the chance that at least one of its matches is toxic.
 
 Lexemes (words, and stems for inflected words) and the weights of patterns are learned from labelled rows outside the
 held-out fold, at most `sample` of them, in the order of a hash of the id. A lexeme's support counts distinct texts by
 the digest of the whole text with its white space made equal, so that copies of one text don't make its words insults.
 
-Defined results: null, empty and wordless texts score the floor; rows are scored one by one, so repeated rows and ids
-get equal scores; without labels the seed lexicon and prior weights alone are used; other columns don't matter.
+Sentences are read whole, texts of any length too. Defined results: null, empty and wordless texts score the floor; rows are scored one by one, so repeated rows and ids
+get equal scores; without labels the seed lexicon and prior weights alone are used; of labels that repeat an id the largest holds; other
+columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from quillspark.llm.exact_dedup import normalized
 from quillspark.llm.vectors import rows_of
 
 SAMPLE = 20_000  # labelled rows that the weights are learned from, at most
-LEXEMES = 4_000  # learned lexemes, at most
 STEMS = (4, 5, 6)  # lengths of stems
 SUPPORT, SHARE, PRECISION = 4, 0.01, 0.9  # a lexeme's distinct toxic texts, at least; as a share of all toxic rows; lower bound of its precision
 FLOOR = 0.02
@@ -37,11 +39,15 @@ CLASSES = {
     "h": {"kill", "hurt", "destroy", "beat", "stab", "shoot", "crush", "burn", "murder"},
     "t": {"you", "your", "youre", "they", "them", "he", "she", "him", "her", "u", "these", "those"},
     "n": {"not", "never", "isn", "aren", "wasn", "hardly", "nicht", "nunca", "jamais"},
-    "r": {"said", "says", "called", "quoted", "wrote", "claimed", "alleged", "reported"},
+    "r": {"said", "says", "say", "called", "quoted", "wrote", "writes", "claimed", "alleged", "reported", "shouted", "yelled", "asked", "replied", "answered", "told", "whispered", "screamed", "posted", "stated", "remarked", "sagte", "schrieb", "rief", "dijo", "dit"},
 }
 PRIOR = {"insult": 0.9, "aimed": 0.95, "negated": 0.15, "reported": 0.25, "threat": 0.85}
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:,\n\"]+")
+QUOTES = '"\u201c\u201d\u201e\u00ab\u00bb'
+TOKEN = re.compile(rf"[^\W\d_]+|[{QUOTES}]|[,:]")
+SENTENCE = re.compile(rf"[.!?;\n]+(?![{QUOTES}])")  # a mark before a closing quote doesn't end the sentence around it
+ALPHABET = "xihtnrqpIHT"  # classes; q: quotation mark, p: pause; large letters: tokens of a quote whose verb follows
+AHEAD = 3  # tokens from a quote's end to its verb
 
 
 class Transducer:
@@ -79,29 +85,61 @@ def pattern_of(out: frozenset) -> str | None:
 
 
 def fading(opener: str, span: int, mark: str, on: str) -> Transducer:
-    """After an opener, tokens of the classes `on` within `span` tokens are marked."""
+    """After an opener, tokens of the classes `on` within `span` tokens are marked, up to the next pause or quotation mark."""
 
     def step(left, c):
+        c = c.lower()
         out = frozenset([mark]) if left and c in on else frozenset()
-        return (span if c in opener else max(0, left - 1)), out
+        return (0 if c in "pq" else span if c in opener else max(0, left - 1)), out
+
+    return Transducer(0, step)
+
+
+def speech(span: int = 6) -> Transducer:
+    """Tokens within `span` of a reporting verb, all tokens of a quote that such a verb opens, and large letters are reported.
+
+    States: tokens left after a verb, "in" an attributed quote, "out" in another one.
+    """
+
+    def step(state, c):
+        told = c.lower() in "ith" and (c.isupper() or state == "in" or (isinstance(state, int) and state > 0))
+        out = frozenset(["reported"]) if told else frozenset()
+        if c == "q":
+            return (0 if isinstance(state, str) else "in" if state else "out"), out
+        if c == "p" or isinstance(state, str):
+            return state, out
+        return (span if c == "r" else max(0, state - 1)), out
+
+    return Transducer(0, step)
+
+
+def attributed() -> Transducer:
+    """Over a sentence from its end: the tokens of a quote after whose end a reporting verb comes within AHEAD tokens."""
+
+    def step(state, c):
+        out = frozenset(["quoted"]) if state == "in" and c != "q" else frozenset()
+        if c == "q":
+            return (0 if isinstance(state, str) else "in" if state else "out"), out
+        if c == "p" or isinstance(state, str):
+            return state, out
+        return (AHEAD if c == "r" else max(0, state - 1)), out
 
     return Transducer(0, step)
 
 
 def grammar() -> dict:
-    insult = Transducer(0, lambda s, c: (0, frozenset(["insult"]) if c == "i" else frozenset()))
+    insult = Transducer(0, lambda s, c: (0, frozenset(["insult"]) if c in "iI" else frozenset()))
     threat = fading("h", 3, "threat", "t")
     target = fading("t", 4, "aimed", "i")
     negation = fading("n", 2, "negated", "i")
-    reported = fading("r", 6, "reported", "ith")
-    return (insult * threat * target * negation * reported).compiled("xihtnr")
+    return (insult * threat * target * negation * speech()).compiled(ALPHABET)
 
 
 class Scorer:
     def __init__(self, lexemes: dict[str, float], weights: dict[str, float]):
         self.words = {k: w for k, w in lexemes.items() if not k.endswith("*")}
         self.stems = {n: {k[:-1]: w for k, w in lexemes.items() if k.endswith("*") and len(k) == n + 1} for n in STEMS}
-        self.weights, self.arcs = weights, grammar()
+        self.weights, self.arcs, self.quotes = weights, grammar(), attributed()
         self.classes = {w: c for c, ws in CLASSES.items() for w in ws}
 
     def lexeme(self, word: str) -> float:
@@ -121,15 +159,27 @@ class Scorer:
         if not hot and not known & CLASSES["h"]:
             return []
         out = []
-        for clause in CLAUSE.split(low):
+        for sentence in SENTENCE.split(low):
+            tokens = TOKEN.findall(sentence)
+            classes = self.classed(tokens, hot)
             state = 0
-            for w in WORD.findall(clause):
-                c = "i" if w in hot else self.classes.get(w, "x")
+            for w, c in zip(tokens, classes):
                 state, pattern = self.arcs[state, c]
                 if pattern:
                     out.append((pattern, hot.get(w, 1.0)))
         return out
 
+    def classed(self, tokens: list[str], hot: dict[str, float]) -> list[str]:
+        """The tokens' classes, in large letters within quotes whose verb follows."""
+        classes = ["q" if w in QUOTES else "p" if w in ",:" else "i" if w in hot else self.classes.get(w, "x") for w in tokens]
+        if "q" in classes and "r" in classes:
+            state, right = self.quotes.start, self.quotes
+            for k in range(len(classes) - 1, -1, -1):
+                state, marks = right.step(state, classes[k])
+                if marks and classes[k] in "iht":
+                    classes[k] = classes[k].upper()
+        return classes
+
     def score(self, text: str | None) -> float:
         miss = 1 - FLOOR
         for pattern, w in self.patterns(text):
@@ -154,7 +204,7 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def learn_lexemes(train: DataFrame) -> dict[str, float]:
     """Words and stems (with a `*`) whose lower bound of precision for toxic texts is high."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= STEMS[0]))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
 
     def stems(n: int):
         return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
@@ -169,7 +219,7 @@ def learn_lexemes(train: DataFrame) -> dict[str, float]:
     counts = counts.where((F.col("p") >= support) & (F.col("p") > F.col("n")))
     share, total = F.col("p") / (F.col("p") + F.col("n")), F.col("p") + F.col("n")
     lower = (share + 0.5 / total - F.sqrt(share * (1 - share) / total + 0.25 / total / total)) / (1 + 1 / total)  # Wilson, one sigma
-    best = counts.withColumn("lower", lower).where(F.col("lower") >= PRECISION).orderBy(F.desc("p"), "lexeme").limit(LEXEMES).collect()
+    best = counts.withColumn("lower", lower).where(F.col("lower") >= PRECISION).collect()  # words of at most `sample` texts
     found = {r["lexeme"]: (r["p"], r["n"], r["lower"]) for r in best}
     for k in [k for k in found if k.endswith("*") and found[k][1]]:  # a longer stem that explains nearly all of it is the safer one
         if any(len(j) > len(k) and j.startswith(k[:-1]) and found[j][0] >= 0.9 * found[k][0] and found[j][1] < found[k][1] for j in found):
