@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import blocks_for, materialize, table
-from quillspark.llm.vectors import U, bucket_of, hash_words, mix, pack, pack_sorted, rows_of, tokens, unpack, unpack_sorted
+from quillspark.llm.vectors import U, bucket_of, hash_words, mix, pack, pack_sorted, rows_of, tokens, unpack, unpack_sorted, words_of
 
 K2, K3 = 1000.0, 20.0  # weight of the shorter history; of those tried, best for held-out texts
 BLOCK_BYTES = 6 << 20  # of texts
@@ -49,7 +49,7 @@ class Block:
     """The token stream of some texts, with their distinct n-grams and the places of each."""
 
     def __init__(self, texts: list[str | None]):
-        parts = [np.append(tokens(t), END) for t in texts]
+        parts = [np.append(h, END) for h in tokens([words_of(t) for t in texts])]
         self.ends = np.cumsum([len(p) for p in parts])
         self.tok = np.concatenate(parts) if parts else np.zeros(0, U)
         self.starts = np.append(0, self.ends[:-1]).astype(np.int64)

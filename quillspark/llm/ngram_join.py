@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import blocks_for, materialize, numbered, small_enough, table
 from quillspark.llm.components import components
-from quillspark.llm.vectors import U, bucket_of, mix, pack, pack_sorted, rows_of, shingles, unpack, unpack_sorted, words_of
+from quillspark.llm.vectors import U, bucket_of, mix, pack, pack_sorted, rows_of, shingles, slices_of, unpack, unpack_sorted, words_of
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_ROWS = 21, 64
@@ -51,6 +51,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def with_shingles(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    """A batch's rows with the words of their text, the last column, and its shingles."""
+    for *cols, texts in slices_of(batch):
+        words = [words_of(t) for t in texts]
+        yield from zip(*cols, words, shingles(words, width))
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
     """Per document its set's size, key and min-hashes, and per task the counters of its tokens (rows with a `part`)."""
 
@@ -60,18 +67,18 @@ def features(docs: DataFrame, width: int) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("mins", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
         for b in batches:
             rows, held = [], []
-            for i, text in rows_of(b):
-                words = words_of(text)
-                s = shingles(words, width)
-                key, mins = (0, 0), []
-                if len(s):
-                    key = np.frombuffer(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.int64).tolist()
-                    mins = [int(signed(mix(s ^ x).min(keepdims=True))[0]) for x in seeds]
-                    held.append((s >> U(64 - SKETCH_BITS)).astype(np.int64))
-                rows.append({"doc_id": i, "n": len(s), "k1": key[0], "k2": key[1], "mins": mins, "part": None, "counts": None})
-                if len(held) >= 2000:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held = []
+            for ids, texts in slices_of(b):
+                words = [words_of(t) for t in texts]
+                sets = shingles(words, width)
+                full = [s for s in sets if len(s)]
+                mins = iter(())
+                if full:
+                    every, starts = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
+                    mins = iter(np.stack([np.minimum.reduceat(mix(every ^ x), starts) for x in seeds], 1).view(np.int64).tolist())
+                    held.append((every >> U(64 - SKETCH_BITS)).astype(np.int64))
+                for i, w, s in zip(ids, words, sets):
+                    key = np.frombuffer(hashlib.blake2b(b" ".join(w), digest_size=16).digest(), np.int64).tolist() if len(s) else (0, 0)
+                    rows.append({"doc_id": i, "n": len(s), "k1": key[0], "k2": key[1], "mins": next(mins) if len(s) else [], "part": None, "counts": None})
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -186,8 +193,7 @@ def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, widt
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for b in batches:
-            for i, comp, text in rows_of(b):
-                s = shingles(words_of(text), width)
+            for i, comp, _, s in with_shingles(b, width):
                 n = len(s)
                 if not n:
                     continue
@@ -198,7 +204,7 @@ def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, widt
                 blocks = blocks_of(f_of(front, freq).astype(np.int64), usual)
                 if (blocks > 1).any():
                     front, places = split_hot(front, places, blocks, i)
-                tok.append(front)
+                tok.append(mix(~front))  # ties in the order favour small hashes: spread anew, they are dealt evenly
                 pos.append(places)
                 ref.append(np.full(len(front), len(table_)))
                 table_.append((i, comp, n, group))

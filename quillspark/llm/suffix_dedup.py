@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import blocks_for, materialize, small_enough, table
-from quillspark.llm.vectors import U, pack, pack_sorted, rolling, rows_of, unpack, unpack_sorted
+from quillspark.llm.vectors import U, mix, pack, pack_sorted, rolling, rows_of, unpack, unpack_sorted
 
 LEAST = 200
 GRAM = 32
@@ -160,7 +160,7 @@ def anchors_of(a: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:], len(place)) - 1
     place = place[first]
-    key = h[place]
+    key = mix(~h[place])  # least hashes, spread anew, so that they are dealt evenly
     runs = []
     # anchors of one hash at one distance: a run of that period, if its bytes are
     step = np.diff(place)

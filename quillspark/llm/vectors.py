@@ -80,25 +80,39 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's words."""
-    return hash_words(words_of(text))
+def tokens(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Hashes of the words of some texts, computed together."""
+    flat = hash_words([w for words in texts for w in words])
+    return np.split(flat, np.cumsum([len(words) for words in texts])[:-1]) if texts else []
 
 
-def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; fewer words are one shingle, none are an empty set."""
-    h = hash_words(words)
-    n = len(h)
-    if not n:
-        return h
-    if n < width:
-        _powers(n)
-        return mix(np.array([np.sum(h * _pow[1 : n + 1], dtype=U) + U(n)], U))
-    acc = np.zeros(n - width + 1, U)
+def shingles(texts: list[list[bytes]], width: int = 5) -> list[np.ndarray]:
+    """Of each text, sorted distinct hashes of its word shingles; fewer words are one shingle, none are an empty set."""
+    h = hash_words([w for words in texts for w in words])
+    n = max(len(h) - width + 1, 0)
     _powers(width + 1)
+    acc = np.zeros(n, U)
     for j in range(width):
-        acc += h[j : n - width + 1 + j] * _pow[j + 1]
-    return np.unique(mix(acc + U(width)))
+        acc += h[j : n + j] * _pow[j + 1]
+    acc = mix(acc + U(width))  # those across two texts are left out
+    out, at = [], 0
+    for words in texts:
+        to = at + len(words)
+        if len(words) >= width:
+            x = np.sort(acc[at : to - width + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
+        elif words:
+            out.append(mix(np.array([np.sum(h[at:to] * _pow[1 : len(words) + 1], dtype=U) + U(len(words))], U)))
+        else:
+            out.append(np.zeros(0, U))
+        at = to
+    return out
+
+
+def slices_of(batch: pa.RecordBatch, step: int = 128):
+    """A batch's columns as lists, some rows at a time."""
+    for i in range(0, batch.num_rows, step):
+        yield [c.to_pylist() for c in batch.slice(i, step).columns]
 
 
 def rows_of(batch: pa.RecordBatch, step: int = 256):
