@@ -33,11 +33,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table written to the shared folder, which outlives any executor."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
+    """Cut lineage with a table written to the shared folder, which outlives any executor. While it is written, Python
+    functions get at most `batch` rows at once, since rows may hold whole texts or more."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

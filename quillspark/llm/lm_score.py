@@ -34,7 +34,7 @@ from quillspark.llm.common import blocks_for, materialize, table
 from quillspark.llm.vectors import U, bucket_of, hash_words, mix, pack, pack_sorted, rows_of, tokens, unpack, unpack_sorted, words_of
 
 K2, K3 = 1000.0, 20.0  # weight of the shorter history; of those tried, best for held-out texts
-BLOCK_BYTES = 6 << 20  # of texts
+BLOCK_BYTES = 4 << 20  # of texts
 END = hash_words([b"\x01end of text"])[0] ^ U(0x5DEECE66D)  # no word hashes to it but by chance
 A, B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SHORT = U(8)  # bits that hashes of pairs and triples drop
@@ -209,7 +209,7 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
             yield answer(now, rows)
 
     dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return materialize(dealt.mapInArrow(run, "block long, bucket int, uni binary, bi binary, tri binary, tokens long, types long"), "lm-counts")
+    return materialize(dealt.mapInArrow(run, "block long, bucket int, uni binary, bi binary, tri binary, tokens long, types long"), "lm-counts", 4)  # rows are whole blocks
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", k2: float = K2, k3: float = K3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -234,7 +234,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined.mapInArrow(read, schema)
+    return materialize(joined.mapInArrow(read, schema), "lm-scores", 4)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ GRAM = 32
 HOT = 4096  # distinct contexts of one anchor that one suffix array takes
 BATCH = 2000  # contexts judged side by side, unless one anchor has more
 PIECE = 1 << 19  # bytes whose anchors are chosen at once
-FLUSH = 200_000  # anchors that a task holds
+FLUSH = 100_000  # anchors that a task holds
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
