@@ -103,6 +103,21 @@ def blocks_for(df: DataFrame, mb: int = 8) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // (mb << 20)))
 
 
+def bucket_labels(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each of some buckets that Spark's hash puts into a partition of its own, so that tasks get like shares;
+    beyond 100,000 buckets chance is even enough, and the numbers are 0, 1, 2 ..."""
+    if buckets > 100_000:
+        return list(range(buckets))
+    found: dict[int, int] = {}
+    at, size = 0, 16 * buckets
+    while len(found) < buckets:
+        rows = spark.range(at, at + size).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("p")).groupBy("p").agg(F.min("k").alias("k"))
+        for r in rows.collect():  # a row per bucket
+            found.setdefault(r["p"], r["k"])
+        at += size
+    return [found[i] for i in range(buckets)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; texts of single-byte characters take the fast built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_for, materialize, table
+from quillspark.llm.common import blocks_for, bucket_labels, materialize, table
 from quillspark.llm.vectors import U, bucket_of, hash_words, mix, pack, pack_sorted, rows_of, tokens, unpack, unpack_sorted, words_of
 
 K2, K3 = 1000.0, 20.0  # weight of the shorter history; of those tried, best for held-out texts
@@ -156,8 +156,9 @@ def opened(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+def requests(blocks: DataFrame, labels: list[int]) -> DataFrame:
     """(bucket, block, uni, uni_n, bi, bi_n, tri, tri_n): per block and bucket the distinct n-grams and their training counts."""
+    buckets = len(labels)
     fields = [f"{x}{n}" for x in ORDERS for n in ("", "_n")]
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in fields)])
 
@@ -169,7 +170,7 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 counts = block.counts(np.array(t["train"].to_pylist(), bool))
                 cuts = [np.searchsorted(bucket_of(g << (U(0) if k == 0 else SHORT), buckets), np.arange(buckets + 1)) for k, g in enumerate(block.grams)]
                 for j in range(buckets):
-                    row = {"bucket": j, "block": number}
+                    row = {"bucket": labels[j], "block": number}
                     for x, g, n, cut in zip(ORDERS, block.grams, counts, cuts):
                         row[x], row[f"{x}_n"] = pack_sorted(g[cut[j] : cut[j + 1]]), pack(n[cut[j] : cut[j + 1]])
                     yield pa.RecordBatch.from_pylist([row], schema=schema)
@@ -177,8 +178,9 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.mapInArrow(run, "bucket int, block long, " + ", ".join(f"{x} binary" for x in fields))
 
 
-def answers(asked: DataFrame, buckets: int) -> DataFrame:
+def answers(asked: DataFrame, labels: list[int]) -> DataFrame:
     """(block, bucket, uni, bi, tri, tokens, types): the counts over all blocks of what a block asked a bucket for."""
+    place = {label: i for i, label in enumerate(labels)}
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ORDERS), ("tokens", pa.int64()), ("types", pa.int64())])
 
     def answer(number: int, rows: list[tuple]) -> pa.RecordBatch:
@@ -194,7 +196,7 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
             if not k:
                 n, v = int(total.sum()), int((total > 0).sum())
         first = np.arange(len(rows)) == 0
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), *(out[x] for x in ORDERS), pa.array(n * first, pa.int64()), pa.array(v * first, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([place[number]] * len(rows), pa.int32()), *(out[x] for x in ORDERS), pa.array(n * first, pa.int64()), pa.array(v * first, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, now = [], None
@@ -208,16 +210,16 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield answer(now, rows)
 
-    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = asked.repartition(len(labels), "bucket").sortWithinPartitions("bucket")
     return materialize(dealt.mapInArrow(run, "block long, bucket int, uni binary, bi binary, tri binary, tokens long, types long"), "lm-counts", 4)  # rows are whole blocks
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", k2: float = K2, k3: float = K3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score); `train`: a column, true for the rows to learn from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), train.alias("train"), F.col(text_col).alias("text"))
-    buckets = blocks_for(docs, 8)
+    labels = bucket_labels(docs.sparkSession, blocks_for(docs, 8))
     blocks = stored_blocks(rows, block_bytes)
-    counts = answers(requests(blocks, buckets), buckets)
+    counts = answers(requests(blocks, labels), labels)
     sums = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n, v = int(sums[0]), int(sums[1])
     of_block = counts.groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("bucket", *ORDERS))).alias("counts"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_for, materialize, numbered, small_enough, table
+from quillspark.llm.common import blocks_for, bucket_labels, materialize, numbered, small_enough, table
 from quillspark.llm.components import components
 from quillspark.llm.vectors import U, bucket_of, mix, pack, pack_sorted, rows_of, shingles, slices_of, unpack, unpack_sorted, words_of
 
@@ -47,9 +47,6 @@ MINHASHES = 4
 FLUSH = 500_000  # pairs held before they are handed on
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
 
 def with_shingles(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     """A batch's rows with the words of their text, the last column, and its shingles."""
@@ -163,11 +160,12 @@ def split_hot(front: np.ndarray, places: np.ndarray, blocks: np.ndarray, doc_id:
     return np.concatenate(out), np.concatenate(at)
 
 
-def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, width: int, percent: int) -> DataFrame:
+def prefix_postings(docs: DataFrame, marks: DataFrame, order, labels: list[int], width: int, percent: int) -> DataFrame:
     """(bucket, body): per task and bucket the postings of prefix tokens, packed. `marks`: (id, comp) of documents in a
     component so far, and with a null comp of documents that another one of their class represents."""
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(marks, F.col("doc_id") == F.col("id"), "left").where("id IS NULL OR comp IS NOT NULL")
     rows = rows.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "text")
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = order.value
@@ -189,7 +187,7 @@ def prefix_postings(docs: DataFrame, marks: DataFrame, order, buckets: int, widt
                     used, at = np.unique(r[lo:hi], return_inverse=True)
                     x = d[used]
                     cols = [pack_sorted(t[lo:hi]), pack(p[lo:hi].astype(np.uint32)), pack(at.astype(np.uint32)), pack(np.diff(x[:, 0], prepend=0)), pack(x[:, 1] - x[:, 0]), pack(x[:, 2].astype(np.uint32)), pack(x[:, 3])]
-                    out.append({"bucket": i, "body": b"".join(len(c).to_bytes(4, "little") + c for c in cols)})
+                    out.append({"bucket": labels[i], "body": b"".join(len(c).to_bytes(4, "little") + c for c in cols)})
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for b in batches:
@@ -341,7 +339,8 @@ def class_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     marks = materialize(marks, "join-marks")
     marks = F.broadcast(marks) if small_enough(marks) else marks
     buckets = blocks_for(docs, 8)
-    pairs = materialize(candidates(prefix_postings(docs, marks, order, buckets, width, percent), buckets, percent), "join-pairs")
+    labels = bucket_labels(spark, buckets)
+    pairs = materialize(candidates(prefix_postings(docs, marks, order, labels, width, percent), buckets, percent), "join-pairs")
     return materialize(verified(docs, pairs, width, percent).distinct(), "join-all-links"), of_class
 
 
@@ -369,7 +368,8 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     marks = materialize(marks, "join-marks")
     marks = F.broadcast(marks) if small_enough(marks) else marks
     buckets = blocks_for(docs, 8)
-    pairs = materialize(candidates(prefix_postings(docs, marks, order, buckets, width, percent), buckets, percent), "join-pairs")
+    labels = bucket_labels(spark, buckets)
+    pairs = materialize(candidates(prefix_postings(docs, marks, order, labels, width, percent), buckets, percent), "join-pairs")
     more = verified(docs, pairs, width, percent)
     to = first.select(F.col("id"), F.col("component").alias("c"))
     both = more.union(again.select("a", "b").distinct())

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import blocks_for, materialize, small_enough, table
+from quillspark.llm.common import blocks_for, bucket_labels, materialize, small_enough, table
 from quillspark.llm.vectors import U, mix, pack, pack_sorted, rolling, rows_of, unpack, unpack_sorted
 
 LEAST = 200
@@ -249,8 +249,8 @@ class Postings:
     marked as repeated. With `every`, all go on.
     """
 
-    def __init__(self, buckets: int, every: bool = False):
-        self.buckets, self.every, self.size = buckets, every, 0
+    def __init__(self, labels: list[int], every: bool = False):
+        self.labels, self.buckets, self.every, self.size = labels, len(labels), every, 0
         self.clear()
 
     def clear(self) -> None:
@@ -286,17 +286,17 @@ class Postings:
             if y > x:
                 used, at = np.unique(doc[x:y], return_inverse=True)
                 cols = [pack_sorted(h[x:y]), f[x:y].tobytes(), pack(start[x:y]), pack(length[x:y].astype(np.uint16)), pack(offset[x:y].astype(np.uint8)), pack(again[x:y].astype(np.uint8)), pack(at.astype(np.uint32)), pack(ids[used]), pack(none[used].astype(np.uint8)), pack(keys[used])]
-                numbers.append(i), bodies.append(framed(cols))
+                numbers.append(self.labels[i]), bodies.append(framed(cols))
         n = len(numbers)
         nulls = pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), nulls, nulls, pa.nulls(n, pa.int32()), pa.array(bodies, pa.binary())], schema=FOUND_ARROW)
 
 
-def anchor_rows(docs: DataFrame, buckets: int, least: int, every: bool = False) -> DataFrame:
+def anchor_rows(docs: DataFrame, labels: list[int], least: int, every: bool = False) -> DataFrame:
     """Postings of the anchors' contexts by bucket, and the covers of documents that are known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Postings(buckets, every)
+        held = Postings(labels, every)
         for b in batches:
             for i, k, text in rows_of(b):
                 raw = encoded(text)
@@ -312,11 +312,11 @@ def anchor_rows(docs: DataFrame, buckets: int, least: int, every: bool = False)
     return docs.select("doc_id", "key", "text").mapInArrow(run, FOUND)
 
 
-def window_rows(docs: DataFrame, spans: DataFrame, buckets: int, least: int, every: bool = False) -> DataFrame:
+def window_rows(docs: DataFrame, spans: DataFrame, labels: list[int], least: int, every: bool = False) -> DataFrame:
     """Postings of the single windows of hot anchors' contexts, each under its own digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Postings(buckets, every)
+        held = Postings(labels, every)
         for b in batches:
             for i, k, text, bodies in rows_of(b):
                 raw = encoded(text)
@@ -574,10 +574,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> tuple
     marked = marked_copies(docs, least)
     single = marked.where("keep").where(F.octet_length("text") >= least).select("doc_id", "key", "text")
     buckets = blocks_for(docs, 8)
-    found = materialize(judged(anchor_rows(single, buckets, least), buckets, hot), "repeat-anchors")
+    labels = bucket_labels(docs.sparkSession, buckets)
+    found = materialize(judged(anchor_rows(single, labels, least), buckets, hot), "repeat-anchors")
     covers = found.where(F.col("kind") == COVER)
     if not found.where(F.col("kind") == SPLIT).isEmpty():
-        windows = judged(window_rows(single, per_document(found, SPLIT), buckets, least), buckets, hot)
+        windows = judged(window_rows(single, per_document(found, SPLIT), labels, least), buckets, hot)
         covers = covers.unionByName(windows.where(F.col("kind") == COVER))
     edges = edge_covers(contexts(single, per_document(found, ASK)), buckets, least)
     return marked, covers.unionByName(edges)
@@ -592,8 +593,9 @@ def repeats(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text")).where(F.octet_length("text") >= least)
     buckets = blocks_for(docs, 8)
-    found = materialize(judged(anchor_rows(rows, buckets, least, True), buckets, hot, True), "repeat-anchors")
-    split = judged(window_rows(rows, per_document(found, SPLIT), buckets, least, True), buckets, hot, True)
+    labels = bucket_labels(docs.sparkSession, buckets)
+    found = materialize(judged(anchor_rows(rows, labels, least, True), buckets, hot, True), "repeat-anchors")
+    split = judged(window_rows(rows, per_document(found, SPLIT), labels, least, True), buckets, hot, True)
     out = "repeat string, length long, doc_id long, start long"
     schema = pa.schema([("repeat", pa.string()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 

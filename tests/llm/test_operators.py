@@ -721,7 +721,7 @@ def test_ngram_join_hot_tokens(spark, docs, monkeypatch):
     assert max(map(len, meets.values())) < 30
     marks = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp")).limit(0)
     plain, hot = (
-        {tuple(r) for r in ngram_join.candidates(ngram_join.prefix_postings(docs.select("doc_id", "text"), marks, SimpleNamespace(value=f.astype(np.uint32)), 4, 5, 80), 4, 80).collect()}
+        {tuple(r) for r in ngram_join.candidates(ngram_join.prefix_postings(docs.select("doc_id", "text"), marks, SimpleNamespace(value=f.astype(np.uint32)), [0, 1, 2, 3], 5, 80), 4, 80).collect()}
         for f in (np.arange(1 << ngram_join.SKETCH_BITS) % 3, np.arange(1 << ngram_join.SKETCH_BITS) % 3 * 30_000)
     )
     assert plain == hot != set()
@@ -809,3 +809,12 @@ def test_pii_quality_and_lengths(spark, docs):
         x = sorted((s.start, s.end) for s in r.spans)
         assert all(a[1] <= b[0] for a, b in zip(x, x[1:]))
     assert pii.find(docs.limit(0), pii.trained(spark, docs=docs.limit(0))).count() == 0
+
+
+def test_bucket_labels(spark):
+    from quillspark.llm.common import bucket_labels
+
+    for n in (1, 5, 61):
+        labels = bucket_labels(spark, n)
+        rows = spark.createDataFrame([(x,) for x in labels], "b int").repartition(n, "b").groupBy(F.spark_partition_id()).count().collect()
+        assert len(set(labels)) == n and [r["count"] for r in rows] == [1] * n
