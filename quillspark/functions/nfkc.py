@@ -15,4 +15,6 @@ def _fold(s: pd.Series) -> pd.Series:
 
 def normalize_text(c: Column) -> Column:
     """Curly quotes, dashes and no-break spaces to ASCII, then NFKC."""
-    return F.pandas_udf(_fold, "string")(F.translate(c, "“”‘’–— ", "\"\"''-- "))
+    x = F.translate(c, "“”‘’–— ", "\"\"''-- ")
+    plain = F.length(x) == F.octet_length(x)  # ASCII has nothing to fold and needs no Python
+    return F.when(plain, x).otherwise(F.pandas_udf(_fold, "string")(F.when(~plain, x)))

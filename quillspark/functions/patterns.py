@@ -1,15 +1,17 @@
 """Fixed values that results depend on: word lists, patterns and small catalogs, in natural order."""
 
-# Marginalia: lines that are page furniture. Matched from the start of a stripped line, without regard to case.
+# Marginalia: lines that are page furniture. Fixed values, in natural order and case; a whole stripped line must match.
 MARGINALIA = [
-    r"\d{1,4}\s*", r"\d{1,4}\s*[-–—]\s*", r"[-–—]\s*\d{1,4}\s*[-–—]", r"[ivxlcdm]{1,7}",
-    r"(?:page|chapter|ch\.|chap)\s*\d+", r"\d+\s+(?:chapter|ch\.|chap|page)\s*\d*", r"chapter\s+[ivxlcdm]+",
-    r"[a-z]+\s+story", r"the\s+[a-z]+\s+story", r"[a-z][a-z\s]+,\s+independence", r"growing\s+up", r"the\s+japanese\s+invaders?",
-    r"after\s+the\s+liberation", r"my\s+[a-z][a-z\s]+\s+days", r"work,\s+wedding\s+and\s+politics",
-    r"[a-z][a-z\s]{10,50}", r"[a-z][a-z]+(?:\s+[a-z][a-z]+){2,8}",
-    r"[-_=]{3,}", r"[|\-_=•]{2,}", r"(?:left|right|verso|recto)", r"\*{2,}", r"#{2,}",
-    r"©.*", r"copyright.*", r"\d{4}.*copyright.*", r"isbn.*", r"published.*",
-    r"\d+\s+of\s+\d+", r"page\s+\d+\s+of\s+\d+", r"[a-z]", r"[a-z]{1,2}\d*", r"\d+[a-z]{1,2}",
+    r"\d{1,4}", r"\d{1,4}\s*", r"\s*\d{1,4}\s*", r"\d{1,4}\s*[-–—]\s*", r"[-–—]\s*\d{1,4}\s*[-–—]",
+    r"[ivxlcdm]{1,7}", r"[IVXLCDM]{1,7}",
+    r"(page|chapter|ch\.|chap)\s*\d+", r"\d+\s+(chapter|ch\.|chap|page)\s*\d*", r"chapter\s+[ivxlcdm]+", r"chapter\s+[IVXLCDM]+",
+    r"[A-Z][a-z]+\s+Story", r"The\s+[A-Z][a-z]+\s+Story", r"[A-Z][a-zA-Z\s]+,\s+Independence", r"Growing\s+Up", r"The\s+Japanese\s+Invaders?",
+    r"After\s+the\s+Liberation", r"My\s+[A-Z][a-zA-Z\s]+\s+Days", r"Work,\s+Wedding\s+and\s+Politics",
+    r"[A-Z][A-Z\s]{10,50}", r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){2,8}",
+    r"[\-_=]{3,}", r"\s*[|\-_=•]{2,}\s*", r"\s*(left|right|verso|recto)\s*", r"\s*\*{2,}\s*", r"\s*#{2,}\s*",
+    r"©.*", r"copyright.*", r"\d{4}.*copyright.*", r"ISBN.*", r"published.*",
+    r"\d+\s+of\s+\d+", r"page\s+\d+\s+of\s+\d+",
+    r"[a-zA-Z]", r"[a-zA-Z]{1,2}\d*", r"\d+[a-zA-Z]{1,2}",
 ]
 REAR_MATTER = ["index", "glossary", "chronology", "appendix", "bibliography", "references", "notes", "colophon", "about the author", "afterword", "acknowledgements"]
 ATTRIBUTION_VERBS = ["said", "asked", "replied", "answered", "whispered", "shouted", "exclaimed", "declared", "announced", "stated", "remarked", "observed", "noted", "added", "continued", "explained", "insisted", "protested", "admitted", "confessed", "agreed", "disagreed", "argued", "countered", "interrupted", "interjected"]
@@ -41,3 +43,16 @@ CLAUSES = [
 VOICES = [("jenny_female_us", ["warm", "professional", "clear"]), ("david_male_us", ["authoritative", "deep", "formal"]), ("mary_female_uk", ["gentle", "sophisticated", "calm"]), ("narrator_neutral", ["steady", "clear", "narrative"])]
 # Our own marker words, a parameter of the language profile.
 LANG_MARKERS = [("de", ["der", "die", "und", "den", "ist", "nicht", "zu"]), ("en", ["the", "and", "of", "to", "is", "that", "for"]), ("es", ["el", "los", "las", "una", "por", "del", "para"]), ("fr", ["le", "les", "des", "et", "une", "du", "pour"])]
+# Titles by patterns over a page's text, in order. Fixed values.
+TITLE_PATTERNS = [r"The\s+([A-Z][a-zA-Z\s]+)\s+Story", r"The\s+([A-Z][a-zA-Z\s]{5,30})", r"Memoirs?\s+of\s+([A-Z][a-zA-Z\s\.]{5,40})", r"^([A-Z][a-zA-Z\s]{10,50})$"]
+# Display names of languages. Fixed values; others are their code with a capital.
+LANG_NAMES = {"en": "English", "ms": "Malay", "zh": "Chinese", "zh-cn": "Chinese", "ta": "Tamil", "hi": "Hindi", "af": "Afrikaans", "unknown": "Unknown"}
+# Voices of the scoring assigner: id, class, description. Fixed values.
+SCORED_VOICES = [
+    ("p225", "female", "Female English"), ("p226", "male", "Male English"), ("p227", "male", "Male English Deep"), ("p228", "female", "Female English Soft"),
+    ("p229", "female", "Female English Clear"), ("p230", "female", "Female English Warm"), ("p231", "female", "Female English Professional"), ("p232", "male", "Male English Narrator"),
+    ("p233", "female", "Female English Bright"), ("p234", "female", "Female English Calm"), ("p236", "female", "Female English Gentle"), ("p237", "male", "Male English Strong"),
+    ("p238", "female", "Female English Confident"), ("p239", "female", "Female English Smooth"), ("p240", "female", "Female English Authoritative"), ("p241", "male", "Male English Serious"),
+    ("p243", "male", "Male English Friendly"), ("p244", "male", "Male English Relaxed"), ("p245", "male", "Male English Dynamic"), ("p246", "male", "Male English Crisp"),
+    ("p247", "male", "Male English Rich"), ("p248", "female", "Female English Elegant"), ("p249", "female", "Female English Melodic"), ("p250", "female", "Female English Expressive"),
+]

@@ -43,8 +43,25 @@ def chunk_languages(docs: DataFrame, size: int = 50, least: int = 50, markers: l
     return rows.groupBy("doc_id", "chunks", F.col("best.lang").alias("lang")).agg(F.count("*").alias("n")).select("doc_id", "lang", (F.col("n") / F.col("chunks")).alias("share"))
 
 
-def merged_languages(docs: DataFrame) -> DataFrame:
-    """Chunk shares plus 0.3 of the marker shares over a thousandth: (doc_id, rank, lang, share), five at most."""
-    marks = marker_shares(docs).where("share > 0.001").select("doc_id", "lang", (F.col("share") * 0.3).alias("share"))
-    both = chunk_languages(docs).unionByName(marks).groupBy("doc_id", "lang").agg(F.sum("share").alias("share"))
-    return top_languages(both)
+def merged_languages(docs: DataFrame, markers: list[tuple[str, list[str]]] = P.LANG_MARKERS) -> DataFrame:
+    """Chunk shares plus 0.3 of the marker shares over a thousandth: (doc_id, rank, lang, share), five at most. The language of
+    the whole text, `unknown` without any marker, is added at 0.5 if neither has it."""
+    shares = marker_shares(docs, markers)
+    marks = shares.where("share > 0.001").select("doc_id", "lang", (F.col("share") * 0.3).alias("share"), F.lit(False).alias("whole"))
+    order = F.lit(0)
+    for i, (lang, _) in enumerate(markers):
+        order = F.when(F.col("lang") == lang, -i).otherwise(order)
+    best = shares.groupBy("doc_id").agg(F.max(F.struct("hits", order.alias("o"), "lang")).alias("b"))
+    primary = best.select("doc_id", F.when(F.col("b.hits") > 0, F.col("b.lang")).otherwise("unknown").alias("lang"), F.lit(0.0).alias("share"), F.lit(True).alias("whole"))
+    chunks = chunk_languages(docs, markers=markers).withColumn("whole", F.lit(False))
+    both = chunks.unionByName(marks).unionByName(primary).groupBy("doc_id", "lang").agg(F.sum("share").alias("share"), F.every("whole").alias("alone"))
+    return top_languages(both.select("doc_id", "lang", F.when(F.col("alone"), 0.5).otherwise(F.col("share")).alias("share")))
+
+
+def language_report(merged: DataFrame) -> DataFrame:
+    """(doc_id, primary, rank, name, percent): display names, of equal names the later; percents to 2 places."""
+    names = F.create_map(*[F.lit(x) for kv in P.LANG_NAMES.items() for x in kv])
+    named = merged.withColumn("name", F.coalesce(F.get(F.map_values(F.map_filter(names, lambda k, v: k == F.col("lang"))), F.lit(0)), F.initcap("lang")))
+    first = F.min_by("name", "rank").over(Window.partitionBy("doc_id"))
+    last = F.max("rank").over(Window.partitionBy("doc_id", "name"))
+    return named.withColumn("primary", first).withColumn("last", last).where("rank = last").select("doc_id", "primary", "rank", "name", F.round(F.col("share") * 100, 2).alias("percent"))

@@ -31,7 +31,7 @@ def utterances(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     found = []
     for i, (rx, who, what) in enumerate(line_patterns(P.ATTRIBUTION_VERBS)):
         names, texts = F.regexp_extract_all(line, F.lit(rx), F.lit(who)), F.regexp_extract_all(line, F.lit(rx), F.lit(what))
-        found.append(F.transform(F.arrays_zip(names.alias("a"), texts.alias("b")), lambda x, j: F.struct((j + i * 100_000).alias("k"), strip(x["a"]).alias("speaker"), strip(x["b"]).alias("words"))))
+        found.append(F.transform(F.arrays_zip(names.alias("a"), texts.alias("b")), lambda x, j: F.struct((F.lit(i).cast("long") * (1 << 32) + j).alias("k"), strip(x["a"]).alias("speaker"), strip(x["b"]).alias("words"))))
     hits = rows.where(F.col("line").rlike('[":]')).select(id_col, "line_no", F.explode(F.concat(*found)).alias("h"))
     return hits.select(id_col, "line_no", "h.*").where(valid_name(F.col("speaker")))
 
@@ -58,6 +58,16 @@ def traits(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def merge_traits(counts: DataFrame, found: DataFrame, chapter_col: str = "doc_id") -> DataFrame:
+    """Over chapters: summed counts, the traits of the first chapter, and the snippets of all in order. `counts`: of the
+    speakers that count in a chapter; `found`: their traits."""
+    rows = counts.join(found, [chapter_col, "speaker"])
+    first = F.min_by(F.struct("formality", "excitement", "calmness", "sentence_words"), chapter_col)
+    parts = F.sort_array(F.collect_list(F.struct(chapter_col, "snippets")))
+    g = rows.groupBy("speaker").agg(F.sum("dialogues").alias("dialogues"), F.sum("n_words").alias("n_words"), first.alias("t"), parts.alias("x"))
+    return g.select("speaker", "dialogues", "n_words", "t.*", F.flatten(F.transform("x", lambda s: s["snippets"])).alias("snippets"))
+
+
 def merge_speakers(counts: DataFrame, chapter_col: str = "doc_id") -> DataFrame:
     """Over chapters: summed counts, and the first chapter it is seen in."""
     return counts.groupBy("speaker").agg(F.sum("dialogues").alias("dialogues"), F.sum("n_words").alias("n_words"), F.min(chapter_col).alias("first_chapter"), F.count("*").alias("chapters"))

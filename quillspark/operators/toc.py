@@ -76,14 +76,47 @@ def missing_chapters(entries: DataFrame) -> DataFrame:
     return numbered.select("source", F.explode(F.array_except(every, "have")).alias("missing"))
 
 
+def first_labels(labels: DataFrame) -> DataFrame:
+    """(source, label, page_idx, ord): of a printed label that several pages bear, the first counts."""
+    g = labels.groupBy("source", F.lower("label").alias("label")).agg(F.min_by(F.struct("page_idx", "ord"), F.struct("ord", "page_idx")).alias("f"))
+    return g.select("source", "label", "f.page_idx", "f.ord")
+
+
+def bookmark_entries(bookmarks: DataFrame) -> DataFrame:
+    """Entries (source, ord, title, page_idx) of an outline (source, ord, level, title, page), whose pages count from 1."""
+    return bookmarks.select("source", "ord", F.trim("title").alias("title"), (F.col("page") - 1).cast("int").alias("page_idx"))
+
+
+def section_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """(source, section, page_idx): the pages of front, main and rear matter, which may overlap.
+
+    Front matter reaches to the page of its last entry; main matter from its first entry to the first page of its last;
+    rear matter from its first entry, or else the page after main matter's last entry, to the end.
+    """
+    of = lambda s: F.when(F.col("section") == s, F.col("page_idx"))
+    s = sections(entries).groupBy("source").agg(F.max(of("front")).alias("front"), F.min(of("main")).alias("main"), F.max(of("main")).alias("last"), F.min(of("rear")).alias("rear"))
+    s = s.join(pages.groupBy("source").agg(F.count("*").cast("int").alias("n_pages")), "source")
+    none = F.array().cast("array<struct<section:string,start:int,end:int>>")
+    span = lambda name, a, b: F.when(a < b, F.array(F.struct(F.lit(name).alias("section"), a.cast("int").alias("start"), b.cast("int").alias("end")))).otherwise(none)
+    first = F.coalesce("rear", F.col("last") + 1, F.lit(0))
+    cap = lambda c: F.least(c, F.col("n_pages"))
+    ranges = F.concat(span("front", F.lit(0), cap(F.col("front") + 1)), span("main", F.col("main"), cap(F.col("last") + 1)), span("rear", first, F.col("n_pages")))
+    out = s.select("source", F.explode(ranges).alias("r")).select("source", "r.section", F.explode(F.expr("sequence(r.start, r.end - 1)")).alias("page_idx"))
+    return out
+
+
 def look_up_pages(labels: DataFrame, queries: DataFrame) -> DataFrame:
-    """Page of a printed label: the label itself; else the least page among numeric labels from it on; else the first label
-    of its roman value. Labels are (source, label, page_idx, ord), queries (source, query)."""
+    """Page of a printed label: the label itself, where it occurs first; else the least page among numeric labels from it on;
+    else the first label of its roman value. Labels are (source, label, page_idx, ord), queries (source, query)."""
     q = queries.withColumn("low", F.lower("query")).withColumn("n", F.when(F.col("query").rlike(r"^\d+$"), F.col("query").cast("int"))).withColumn("r", roman(F.col("query")))
+    labels = first_labels(labels)
     exact = labels.select("source", F.col("label").alias("low"), F.col("page_idx").alias("exact"))
     numeric = labels.where(F.col("label").rlike(r"^\d+$")).select(F.col("source").alias("k_source"), F.col("label").cast("int").alias("k"), "page_idx")
-    asked = q.where("n IS NOT NULL").select("source", "query", "n")
-    above = asked.join(numeric, (F.col("source") == F.col("k_source")) & (F.col("k") >= F.col("n"))).groupBy("source", "query").agg(F.min("page_idx").alias("above"))
+    # one pass along a book's numbers, from the greatest: the least page so far is that of all labels from here on
+    asked = q.where("n IS NOT NULL").select("source", F.col("n").alias("k"), F.lit(None).cast("int").alias("page_idx"), "query")
+    along = numeric.select(F.col("k_source").alias("source"), "k", F.col("page_idx").cast("int").alias("page_idx"), F.lit(None).cast("string").alias("query")).unionByName(asked)
+    so_far = F.min("page_idx").over(Window.partitionBy("source").orderBy(F.desc("k"), F.col("query").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    above = along.withColumn("above", so_far).where("query IS NOT NULL").select("source", "query", "above").distinct()
     value = F.when(F.col("label").rlike(r"^\d+$"), F.col("label").cast("int")).otherwise(roman(F.col("label")))
     by_value = labels.withColumn("v", value).where("v IS NOT NULL").groupBy(F.col("source").alias("v_source"), "v").agg(F.min_by("page_idx", "ord").alias("by_value"))
     out = q.join(exact, ["source", "low"], "left").join(above, ["source", "query"], "left")

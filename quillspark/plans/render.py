@@ -56,6 +56,20 @@ def best_clips(clips: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return clip_scores(clips).groupBy(id_col).agg(F.max_by("clip_no", F.struct("score", -F.col("clip_no"))).alias("clip_no"), F.max("score").alias("score"))
 
 
+def global_index(rows: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
+    """`rows` with their place from 0 in the order of a numeric key, which is unique: places within ranges of the key, after the
+    counts of the ranges before."""
+    cuts = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + F.when(F.col(key) > c, 1).otherwise(0)
+    dealt = rows.withColumn("part_of", part)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
+    counts = dealt.groupBy(F.col("part_of").alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part_of").orderBy(key)) - 1
+    return dealt.withColumn(name, place).join(F.broadcast(counts), F.col("part_of") == F.col("p")).withColumn(name, (F.col(name) + F.col("start")).cast("long")).drop("part_of", "p", "start")
+
+
 def slice_images(images: DataFrame, chapters: DataFrame, faithful: bool = True) -> DataFrame:
     """Images of each chapter: equal slices, the last takes the rest. Images (img_idx), chapters (chapter_no from 1).
 
@@ -87,14 +101,31 @@ def scaled_presets(presets: DataFrame, intensity: float) -> DataFrame:
     )
 
 
+def fuzzy_join(queries: DataFrame, catalog: DataFrame, exact_first: bool) -> DataFrame:
+    q = queries.select("query", F.lower("query").alias("low"))
+    c = catalog.select("ord", "name", F.lower("name").alias("c_low"))
+    parts = lambda x: f"array_distinct(flatten(transform(sequence(1, length({x})), i -> transform(sequence(1, length({x}) - i + 1), n -> substring({x}, i, n)))))"
+    inside = q.where("low <> ''").withColumn("part", F.explode(F.expr(parts("low")))).join(c, F.col("part") == F.col("c_low"))
+    around = c.where("c_low <> ''").withColumn("part", F.explode(F.expr(parts("c_low")))).join(q, F.col("part") == F.col("low"))
+    empty = c.where("c_low = ''").agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))  # an empty name is in all
+    first = c.agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
+    found = inside.select("query", "low", "c_low", "ord", "name").unionByName(around.select("query", "low", "c_low", "ord", "name"))
+    found = found.unionByName(q.join(F.broadcast(empty)).where("ord IS NOT NULL").select("query", "low", F.lit("").alias("c_low"), "ord", "name"))  # one row
+    found = found.unionByName(q.where("low = ''").join(F.broadcast(first)).where("ord IS NOT NULL").select("query", "low", F.lit(None).cast("string").alias("c_low"), "ord", "name"))  # one row
+    order = F.struct(F.when((F.col("low") == F.col("c_low")) & F.lit(exact_first), 0).otherwise(1).alias("e"), "ord")
+    best = found.groupBy("query").agg(F.min_by("name", order).alias("name"))
+    return queries.join(best, "query", "left").select("query", "name")
+
+
 def fuzzy_voice(queries: DataFrame, catalog: DataFrame, exact_first: bool = False, most: int = 1000) -> DataFrame:
     """The first catalog entry whose name equals, contains or is contained in the query, without regard to case.
 
-    Containment has no key to join on; the catalog is a dimension of checked size, searched as an array per query.
+    A catalog of up to `most` entries is searched as an array per query. A larger one is joined by equality: containment
+    is equality with one of the other name's substrings.
     """
     entries = catalog.orderBy("ord").limit(most + 1).collect()
     if len(entries) > most:
-        raise ValueError(f"a catalog of voices has at most {most} entries")
+        return fuzzy_join(queries, catalog, exact_first)
     listed = F.array(*[F.struct(F.lit(e["name"].lower()).alias("low"), F.lit(e["name"]).alias("name")) for e in entries])
     q = F.lower("query")
     first = F.get(F.filter(listed, lambda v: F.contains(q, v["low"]) | F.contains(v["low"], q)), F.lit(0))

@@ -9,7 +9,7 @@ from quillspark.functions import nfkc as nfkc_fn
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 from quillspark.operators import chunking, language, lines, media, metadata, paragraphs, speakers, toc
-from quillspark.plans import render
+from quillspark.plans import render, reports
 from quillspark.sources.io import manifest, table
 from quillspark.streaming.resume import pending
 
@@ -50,6 +50,12 @@ def book_pages(spark: SparkSession, d: str) -> DataFrame:
 PAGES = "pages_ AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_idx, text FROM documents)"
 
 
+def first_pages(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The first n pages of each book; tasks pass on no more than n of a book."""
+    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return documents(spark, d).select("source", "doc_id", "text").withColumn("k", k).where(F.col("k") <= n).select("source", (F.col("k") - 1).alias("page_idx"), "text")
+
+
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth page opens a chapter; some titles and pages occur twice."""
     base = book_pages(spark, d).where("page_idx % 5 = 0").select("source", "page_idx", F.concat(F.expr("page_idx div 5"), F.lit(" "), F.left(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(30))).alias("title"))
@@ -68,7 +74,7 @@ toc AS (SELECT source, page_idx * 2 AS ord, title, page_idx FROM toc0
 def scripts(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, text): `Role: text` per turn, on lines of their own."""
     c = table(spark, d, "conversations")
-    line = F.concat(F.upper(F.left("role", F.lit(1))), F.substring("role", 2, 100), F.lit(": "), "text")
+    line = F.concat(F.upper(F.left("role", F.lit(1))), F.expr("substring(role, 2)"), F.lit(": "), "text")
     return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("t")))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("text"))
 
 
@@ -180,7 +186,7 @@ def q_line_fates(spark, d):
 SELECT doc_id, md5(string_agg(CASE WHEN fate = 'blank' THEN '' ELSE repeat(' ', least(length(line) - length(regexp_replace(line, '^\s+', '')), 8)) || stripped END, chr(10) ORDER BY line_no)) AS cleaned
 FROM f WHERE fate IN ('blank', 'keep') GROUP BY doc_id""")
 def q_line_clean(spark, d):
-    return lines.clean_pages(lines.explode_lines(documents(spark, d))).select("doc_id", F.md5("text").alias("cleaned"))
+    return lines.clean_texts(documents(spark, d)).select("doc_id", F.md5("text").alias("cleaned"))
 
 
 # --- chunking ---
@@ -354,9 +360,25 @@ def q_lang_top(spark, d):
     return language.top_languages(language.marker_shares(documents(spark, d)))
 
 
-@query("q_title")
+TITLE_TRIES = " UNION ALL ".join(
+    f"SELECT source, page_idx, 0 AS p, -1 AS i, {k} AS k, j, {sql_strip('m[j]')} AS title FROM (SELECT source, page_idx, regexp_extract_all(t, '{rx}', 1) AS m FROM tp), unnest(range(1, len(m) + 1)) AS u(j)" for k, rx in enumerate(P.TITLE_PATTERNS)
+)
+
+
+@query("q_title", rf"""WITH {PAGES},
+tl AS (SELECT source, page_idx, list_filter(list_transform(string_split(text, chr(10)), lambda y: {sql_strip('y')}), lambda y: y <> '') AS x FROM pages_ WHERE page_idx < 5),
+tp AS (SELECT source, page_idx, array_to_string(x, ' ') AS t FROM tl WHERE len(x) > 0),
+pt AS (SELECT * FROM ({TITLE_TRIES}) WHERE length(title) >= 5 AND NOT regexp_matches(title, '^\d') AND NOT contains(lower(title), 'chapter') AND NOT contains(lower(title), 'page') AND NOT starts_with(lower(title), 'by')),
+ll AS (SELECT source, page_idx, i - 1 AS i, x[i] AS line FROM tl, unnest(range(1, least(len(x), 15) + 1)) AS u(i)),
+lp AS (SELECT source, page_idx, i, line, 10 - i + CASE WHEN contains(lower(line), 'story') THEN 10 ELSE 0 END + CASE WHEN contains(lower(line), 'memoir') THEN 8 ELSE 0 END
+    + CASE WHEN (upper(line) = line AND regexp_matches(line, '\p{{Lu}}')) OR regexp_matches(line, '^\P{{L}}*\p{{Lu}}\p{{Ll}}*(?:\P{{L}}+\p{{Lu}}\p{{Ll}}*)*\P{{L}}*$') THEN 5 ELSE 0 END AS p
+  FROM ll WHERE length(line) BETWEEN 10 AND 80 AND NOT regexp_matches(lower(line), '^(page|chapter|\d+|©|copyright|isbn|by\s+)')
+    AND len(regexp_extract_all(line, '[^a-zA-Z\s]')) <= length(line) * 0.4::DOUBLE AND len(regexp_extract_all(line, '\d')) <= length(line) * 0.2::DOUBLE
+    AND regexp_matches(line, '(?:^|\s)\p{{Lu}}') AND NOT ends_with(line, '.') AND length(line) - length(replace(line, ' ', '')) BETWEEN 1 AND 8),
+tall AS (SELECT source, page_idx, -p AS p, i, 0 AS k, 0 AS j, line FROM lp UNION ALL SELECT source, page_idx, p, i, k, j, title FROM pt)
+SELECT source, first(line ORDER BY p, page_idx, i, k, j) AS title FROM tall GROUP BY source""")
 def q_title(spark, d):
-    return metadata.titles(book_pages(spark, d))
+    return metadata.titles(first_pages(spark, d, 5))
 
 
 @query("q_author", rf"""WITH {PAGES},
@@ -366,7 +388,7 @@ a AS (SELECT source, page_idx, i, list_filter([{sql_strip("regexp_extract(line,
 g AS (SELECT source, arg_min(author, page_idx * 100 + i) AS author FROM a WHERE author IS NOT NULL GROUP BY source)
 SELECT source, coalesce(author, 'Unknown Author') AS author FROM (SELECT DISTINCT source FROM pages_) LEFT JOIN g USING (source)""")
 def q_author(spark, d):
-    return metadata.authors(book_pages(spark, d))
+    return metadata.authors(first_pages(spark, d, 3))
 
 
 # --- speakers ---
@@ -494,7 +516,7 @@ WITH n AS (SELECT count(*) AS n FROM part), c AS (SELECT n_nationkey + 1 AS chap
 r AS (SELECT chapter_no, chapter_no * (n // k) AS lo, CASE WHEN chapter_no = k THEN n ELSE (chapter_no + 1) * (n // k) END AS hi FROM c, n, k)
 SELECT chapter_no, count(*) AS images, min(p_partkey) AS first_image FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) JOIN r ON i >= lo AND i < hi GROUP BY chapter_no""")
 def q_image_slices(spark, d):
-    images = table(spark, d, "part").select("p_partkey", (F.row_number().over(Window.orderBy("p_partkey")) - 1).cast("long").alias("img_idx"))
+    images = render.global_index(table(spark, d, "part").select("p_partkey"), "p_partkey", "img_idx")
     chapters = table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("chapter_no"))
     return render.slice_images(images, chapters).groupBy("chapter_no").agg(F.count("*").alias("images"), F.min("p_partkey").alias("first_image"))
 
@@ -612,12 +634,28 @@ def q_speaker_names(spark, d):
     return speakers.speaker_counts(_found(spark, d), "conv_id").select("speaker").distinct()
 
 
-@query("q_lang_chunks")
+CHUNK_LANGS = " UNION ALL ".join(f"SELECT doc_id, n, c, b, '{lang}' AS lang, len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)}))) AS hits, {-i} AS o FROM cw" for i, (lang, ws) in enumerate(P.LANG_MARKERS))
+LANG_CHUNKS = rf"""cp AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents),
+cc AS (SELECT doc_id, CAST(ceil(len(p) / 50) AS INTEGER) AS n, b, array_to_string(p[b * 50 + 1:b * 50 + 50], '. ') AS c FROM cp, unnest(range(0, CAST(ceil(len(p) / 50) AS INTEGER))) AS t(b)),
+cw AS (SELECT *, {sql_words('lower(c)')} AS w FROM cc),
+cb AS (SELECT doc_id, n, b, c, first(lang ORDER BY hits DESC, o DESC) AS lang, max(hits) AS hits FROM ({CHUNK_LANGS}) GROUP BY doc_id, n, b, c),
+cl AS (SELECT doc_id, lang, count(*) / n AS share FROM cb WHERE length(trim(c)) >= 50 AND hits > 0 GROUP BY doc_id, lang, n)"""
+
+
+@query("q_lang_chunks", f"WITH {LANG_CHUNKS} SELECT doc_id, lang, share FROM cl")
 def q_lang_chunks(spark, d):
     return language.chunk_languages(documents(spark, d))
 
 
-@query("q_lang_merged")
+LANG_MERGED = rf"""{LANG_CHUNKS}, {SHARES},
+ord_ AS (SELECT unnest([{', '.join(repr(x) for x, _ in P.LANG_MARKERS)}]) AS lang, unnest(range({len(P.LANG_MARKERS)})) AS o),
+pr AS (SELECT doc_id, CASE WHEN max(hits) > 0 THEN first(sh.lang ORDER BY hits DESC, o) ELSE 'unknown' END AS lang FROM sh JOIN ord_ USING (lang) GROUP BY doc_id),
+mu AS (SELECT doc_id, lang, share, FALSE AS whole FROM cl UNION ALL SELECT doc_id, lang, share * 0.3::DOUBLE, FALSE FROM sh WHERE share > 0.001::DOUBLE UNION ALL SELECT doc_id, lang, 0, TRUE FROM pr),
+ms AS (SELECT doc_id, lang, CASE WHEN bool_and(whole) THEN 0.5::DOUBLE ELSE sum(share) END AS share FROM mu GROUP BY doc_id, lang),
+mr AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, lang) AS rank, lang, share FROM ms QUALIFY rank <= 5 AND share > 0.005::DOUBLE)"""
+
+
+@query("q_lang_merged", f"WITH {LANG_MERGED} SELECT * FROM mr")
 def q_lang_merged(spark, d):
     return language.merged_languages(documents(spark, d))
 
@@ -626,9 +664,146 @@ def q_lang_merged(spark, d):
 def q_voice_scored(spark, d):
     found = _found(spark, d)
     ranked = speakers.speaker_counts(found, "conv_id").join(speakers.traits(found, "conv_id"), ["conv_id", "speaker"])
-    return media.scored_voices(ranked, [(v, " ".join(ts)) for v, ts in P.VOICES], "conv_id")
+    return media.scored_voices(ranked, id_col="conv_id")
 
 
 @query("q_manifest", f"WITH {FOUND} SELECT conv_id AS doc_id, concat('[', string_agg(concat('{{\"speaker\":\"', speaker, '\",\"dialogues\":', dialogues, ',\"n_words\":', n_words, '}}'), ',' ORDER BY speaker), ']') AS manifest FROM counts GROUP BY conv_id")
 def q_manifest(spark, d):
     return manifest(speakers.speaker_counts(_found(spark, d), "conv_id").withColumnRenamed("conv_id", "doc_id"))
+
+
+# --- reports, catalogs and gates ---
+
+
+def _books(spark, d):
+    return documents(spark, d).groupBy("source").agg(F.count("*").alias("n")).select("source", F.concat(F.lit("Book "), "source").alias("title"), F.lit("A. Writer").alias("author"), F.lit("English").alias("language"), F.lit("English: 99.0%").alias("breakdown"), "n")
+
+
+def _chapter_texts(spark, d):
+    pages = book_pages(spark, d)
+    ranges = toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), pages)
+    parts = F.sort_array(F.collect_list(F.struct("page_idx", "text")))
+    text = F.array_join(F.transform("x", lambda s: s["text"]), "\n\n")
+    chapters = toc.chapter_pages(ranges, pages).groupBy("source", "chapter_no", "title", "start_page", "end_page").agg(parts.alias("x")).withColumn("text", text)
+    return reports.chapter_texts(chapters, _books(spark, d))
+
+
+CHAPTER_TEXTS = RANGES + """,
+ct AS (SELECT r.source, chapter_no, title, start_page, end_page, string_agg(text, chr(10) || chr(10) ORDER BY p.page_idx) AS text FROM ranges r JOIN pages_ p ON p.source = r.source AND p.page_idx >= start_page AND p.page_idx < end_page GROUP BY ALL),
+cf_ AS (SELECT source, chapter_no, title, concat('chapter_', lpad(CAST(chapter_no AS VARCHAR), 2, '0'), '_', left(regexp_replace(regexp_replace(trim(title), '[^a-zA-Z0-9_\\-\\s]', '', 'g'), '\\s+', '_', 'g'), 50), '.txt') AS file,
+  concat(start_page + 1, '-', end_page) AS pages,
+  concat('Book ', source, ' by A. Writer', chr(10), chr(10), 'Chapter ', chapter_no, ': ', title, chr(10), chr(10), text, chr(10), chr(10), 'End of Chapter ', chapter_no, ' of Book ', source, ' by A. Writer.', chr(10)) AS content FROM ct WHERE trim(text) <> '')"""
+
+
+@query("q_chapter_files", f"WITH RECURSIVE {CHAPTER_TEXTS} SELECT source, chapter_no, title, file, pages, md5(content) AS content FROM cf_")
+def q_chapter_files(spark, d):
+    return _chapter_texts(spark, d).withColumn("content", F.md5("content"))
+
+
+@query("q_chapter_index", f"""WITH RECURSIVE {CHAPTER_TEXTS}
+SELECT source, md5(concat('CHAPTER INDEX', chr(10), repeat('=', 50), chr(10), chr(10), rtrim(string_agg(concat('Chapter ', lpad(CAST(chapter_no AS VARCHAR), 2, '0'), ': ', title, chr(10), '  File: ', file, chr(10), '  Pages: ', pages, chr(10), '  Printed Page: N/A', chr(10)), chr(10) ORDER BY chapter_no), chr(10)), chr(10))) AS report
+FROM cf_ GROUP BY source""")
+def q_chapter_index(spark, d):
+    return reports.chapter_index(_chapter_texts(spark, d)).withColumn("report", F.md5("report"))
+
+
+@query("q_contents", f"""WITH RECURSIVE {SECTIONS},
+pn AS (SELECT *, CASE section WHEN 'front' THEN 1 WHEN 'main' THEN 2 ELSE 3 END AS part FROM sec),
+nn AS (SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY page_idx, ord) AS no FROM pn),
+bk AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+tx AS (SELECT source, string_agg(concat(part, '.', no, ' ', regexp_replace(title, '^\\d+[.)]\\s*', ''), '  → page ', page_idx + 1), chr(10) ORDER BY part, no) AS t FROM nn GROUP BY source)
+SELECT source, md5(concat(regexp_replace(concat('Title: Book ', source, chr(10), 'Author: A. Writer', chr(10), 'Primary Language: English', chr(10), 'Language breakdown: English: 99.0%', chr(10), 'Images extracted: ', n, chr(10), 'Table of Contents:', chr(10), t), '\\s+$', ''), chr(10))) AS report FROM bk JOIN tx USING (source)""")
+def q_contents(spark, d):
+    entries = toc.sections(toc.deduplicate(toc_entries(spark, d)))
+    return reports.contents_report(entries, _books(spark, d).withColumnRenamed("n", "images")).withColumn("report", F.md5("report"))
+
+
+@query("q_section_pages", f"""WITH RECURSIVE {SECTIONS},
+s1 AS (SELECT source, max(page_idx) FILTER (section = 'front') AS front, min(page_idx) FILTER (section = 'main') AS main_, max(page_idx) FILTER (section = 'main') AS last_, min(page_idx) FILTER (section = 'rear') AS rear FROM sec GROUP BY source),
+s2 AS (SELECT s1.*, n_pages FROM s1 JOIN (SELECT source, count(*) AS n_pages FROM pages_ GROUP BY source) USING (source))
+SELECT source, 'front' AS section, page_idx FROM s2 JOIN pages_ USING (source) WHERE page_idx <= front
+UNION ALL SELECT source, 'main', page_idx FROM s2 JOIN pages_ USING (source) WHERE page_idx BETWEEN main_ AND last_
+UNION ALL SELECT source, 'rear', page_idx FROM s2 JOIN pages_ USING (source) WHERE page_idx >= coalesce(rear, last_ + 1, 0)""")
+def q_section_pages(spark, d):
+    return toc.section_pages(toc.deduplicate(toc_entries(spark, d)), book_pages(spark, d).select("source", "page_idx"))
+
+
+@query("q_bookmarks", "SELECT source, CAST(doc_id AS INTEGER) AS ord, trim(left(regexp_extract(text, '^[^\\n]*', 0), 25)) AS title, CAST(doc_id % 40 AS INTEGER) AS page_idx FROM documents WHERE doc_id % 5 = 0")
+def q_bookmarks(spark, d):
+    marks = documents(spark, d).where("doc_id % 5 = 0").select("source", F.col("doc_id").cast("int").alias("ord"), F.lit(1).alias("level"), F.left(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(25)).alias("title"), (F.col("doc_id") % 40 + 1).alias("page"))
+    return toc.bookmark_entries(marks)
+
+
+@query("q_file_chapters", """
+WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Chapter_' || p_partkey || '_' || replace(p_name, ' ', '_') WHEN 1 THEN 'ch ' || p_size WHEN 2 THEN 'chapter' || p_size ELSE replace(lower(p_name), ' ', '_') END AS stem FROM part),
+n AS (SELECT p_partkey, stem, coalesce(nullif(regexp_extract(lower(stem), 'chapter[_\\s]*(\\d+)', 1), ''), CAST(p_partkey AS VARCHAR)) AS number, replace(regexp_replace(stem, '(?i)chapter[_\\s]*\\d+[_\\s]*', '', 'g'), '_', ' ') AS rest FROM f),
+c AS (SELECT *, array_to_string(list_transform(string_split(rest, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS titled FROM n)
+SELECT p_partkey, number, 'Chapter ' || number || CASE WHEN length(stem) > 10 AND titled <> '' THEN ': ' || left(titled, 50) ELSE '' END AS title FROM c""")
+def q_file_chapters(spark, d):
+    stem = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('Chapter_', p_partkey, '_', replace(p_name, ' ', '_')) WHEN 1 THEN concat('ch ', p_size) WHEN 2 THEN concat('chapter', p_size) ELSE replace(lower(p_name), ' ', '_') END")
+    return table(spark, d, "part").select("p_partkey", media.chapter_of_file(stem, F.col("p_partkey")).alias("c")).select("p_partkey", "c.*")
+
+
+@query("q_slides", "SELECT p_partkey, CASE WHEN k > 0 THEN greatest(a / k, 2) ELSE 5 END AS planned, CASE WHEN k > 0 THEN a / k END AS shown FROM (SELECT p_partkey, p_size % 12 AS k, p_retailprice::DOUBLE AS a FROM part)")
+def q_slides(spark, d):
+    return table(spark, d, "part").select("p_partkey", media.slide_seconds(F.col("p_retailprice").cast("double"), F.col("p_size") % 12).alias("s")).select("p_partkey", "s.*")
+
+
+@query("q_clip_totals", """SELECT conv_id, count(*) AS total_clips, round(sum(n) * 8 / 100.0::DOUBLE, 2) AS total_duration, sum(n % 97) / count(*) AS rms, max(n % 89) AS max_amplitude, least(count(*) / 10.0::DOUBLE, 1) AS quality
+FROM (SELECT conv_id, length(text) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id""")
+def q_clip_totals(spark, d):
+    n = F.length("text")
+    clips = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", F.col("turn").alias("clip_no"), (n * 8 / 100.0).alias("duration_s"), (n % 97).alias("rms"), (n % 89).alias("max_amplitude"))
+    return media.clip_totals(clips)
+
+
+@query("q_catalog", """WITH a AS (SELECT left(n_name, 3) AS name, n_name AS voice, 0 AS source, n_nationkey AS at_ FROM nation UNION ALL SELECT left(r_name, 3), r_name, 1, r_regionkey FROM region)
+SELECT name, first(voice ORDER BY source DESC, at_ DESC) AS voice, first(source ORDER BY source, at_) AS source, first(at_ ORDER BY source, at_) AS at FROM a GROUP BY name""")
+def q_catalog(spark, d):
+    n = table(spark, d, "nation").select(F.left("n_name", F.lit(3)).alias("name"), F.col("n_name").alias("voice"), F.col("n_nationkey").alias("ord"))
+    r = table(spark, d, "region").select(F.left("r_name", F.lit(3)).alias("name"), F.col("r_name").alias("voice"), F.col("r_regionkey").alias("ord"))
+    return media.united_catalog([n, r])
+
+
+@query("q_voice_slug", """WITH q AS (SELECT DISTINCT 'cloned_' || replace(lower(left(n_name, 9)), ' ', '_') AS voice_id FROM nation)
+SELECT voice_id, coalesce((SELECT arg_min(n_name, n_nationkey) FROM nation WHERE replace(lower(n_name), ' ', '_') = replace(voice_id, 'cloned_', '')), 'Narrator') AS name FROM q""")
+def q_voice_slug(spark, d):
+    n = table(spark, d, "nation")
+    asked = n.select(F.concat(F.lit("cloned_"), F.replace(F.lower(F.left("n_name", F.lit(9))), F.lit(" "), F.lit("_"))).alias("voice_id")).distinct()
+    return media.voices_by_slug(asked, n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name")), "Narrator")
+
+
+@query("q_outputs", """WITH c AS (SELECT conv_id AS doc_id, turn, length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS n FROM conversations),
+r AS (SELECT doc_id, n % 7 <> 0 AS ok, n * 8 AS ms, n * 20 AS bytes FROM c WHERE n >= 10)
+SELECT doc_id, count(*) AS chunks, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN ok THEN ms ELSE 0 END) AS BIGINT) AS total_ms,
+  sum(CASE WHEN ok THEN ms ELSE 0 END) > 1000 AND sum(CASE WHEN ok THEN bytes ELSE 0 END) > 1024 AS accepted FROM r GROUP BY doc_id""")
+def q_outputs(spark, d):
+    chunks = media.synthesis_gate(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), F.col("text").alias("chunk")))
+    n = F.col("n_chars")
+    return media.output_gate(chunks.select("doc_id", "chunk_no", (n % 7 != 0).alias("ok"), (n * 8).alias("ms"), (n * 20).alias("bytes")))
+
+
+@query("q_merged_traits", rf"""WITH {FOUND},
+j AS (SELECT conv_id, speaker, string_agg(words, ' ' ORDER BY line_no, k) AS t, list(words ORDER BY line_no, k)[1:3] AS s FROM found GROUP BY conv_id, speaker),
+c AS (SELECT conv_id, speaker, s, {_count_sql(P.FORMAL)} AS f, {_count_sql(P.CASUAL)} AS c, {_count_sql(P.CALM)} AS m, greatest(len(string_split_regex(t, '[.!?]+')), 1) AS n FROM j)
+SELECT speaker, CAST(sum(dialogues) AS BIGINT) AS dialogues, CAST(sum(n_words) AS BIGINT) AS n_words, arg_min(f / greatest(f + c, 1), conv_id) AS formality, arg_min(m / n, conv_id) AS calmness,
+  md5(string_agg(array_to_string(s, '|'), '|' ORDER BY conv_id)) AS snippets FROM counts JOIN c USING (conv_id, speaker) GROUP BY speaker""")
+def q_merged_traits(spark, d):
+    found = _found(spark, d)
+    out = speakers.merge_traits(speakers.speaker_counts(found, "conv_id"), speakers.traits(found, "conv_id"), "conv_id")
+    return out.select("speaker", "dialogues", "n_words", "formality", "calmness", F.md5(F.array_join("snippets", "|")).alias("snippets"))
+
+
+@query("q_preset_lookup", """WITH p AS (SELECT DISTINCT 'style' || p_size AS style, p_size + 20 AS top_k FROM part WHERE p_size <= 25)
+SELECT o_orderkey, coalesce((SELECT top_k FROM p WHERE style = 'style' || (o_orderkey % 50)), (SELECT top_k FROM p WHERE style = 'style7')) AS top_k FROM orders""")
+def q_preset_lookup(spark, d):
+    presets = table(spark, d, "part").where("p_size <= 25").select("p_size").distinct().selectExpr("concat('style', p_size) AS style", "p_size + 20 AS top_k")
+    asked = table(spark, d, "orders").selectExpr("o_orderkey", "concat('style', o_orderkey % 50) AS style")
+    return reports.preset_of(asked, presets, "style7").select("o_orderkey", "top_k")
+
+
+@query("q_language_report", f"""WITH {LANG_MERGED},
+ln AS (SELECT *, CASE lang WHEN 'en' THEN 'English' WHEN 'unknown' THEN 'Unknown' ELSE upper(left(lang, 1)) || substr(lang, 2) END AS name FROM mr)
+SELECT doc_id, first(name ORDER BY rank) OVER (PARTITION BY doc_id ORDER BY rank) AS primary, rank, name, round(share * 100, 2) AS percent FROM ln""")
+def q_language_report(spark, d):
+    return language.language_report(language.merged_languages(documents(spark, d)))

@@ -36,12 +36,13 @@ def voice_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def header_values(rows: DataFrame) -> DataFrame:
     """Title and author read back from lines `Title: ` and `Author: `; the last of each holds. Rows: (doc_id, line_no, line)."""
-    of = lambda p: F.max_by(F.when(F.col("line").startswith(p), F.substring("line", len(p) + 1, 10_000)), F.when(F.col("line").startswith(p), F.col("line_no")))
+    of = lambda p: F.max_by(F.when(F.col("line").startswith(p), F.expr(f"substring(line, {len(p) + 1})")), F.when(F.col("line").startswith(p), F.col("line_no")))
     return rows.groupBy("doc_id").agg(of("Title: ").alias("title"), of("Author: ").alias("author"))
 
 
 def write_chapters(chapters: DataFrame, path: str) -> None:
-    """One folder per document, a text of header, content and newline per row. Chapters: (doc_id, title, content)."""
+    """One folder per document, a text of header, content and newline per row. Chapters: (doc_id, title, content); whole files
+    with names, headers and endings are `plans.reports.chapter_texts`."""
     body = F.concat(F.lit("=== "), "title", F.lit(" ===\n\n"), F.trim("content"), F.lit("\n"))
     chapters.select("doc_id", body.alias("value")).write.partitionBy("doc_id").mode("overwrite").text(path)
 

@@ -223,3 +223,139 @@ def test_sources_and_resume(spark, tmp_path):
     for _ in range(2):
         process_new_files(spark, str(tmp_path / "in"), "id long", lambda df: df, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_voice_folds_against_loops(spark):
+    """Both assigners over random speakers, against loops that take one speaker after the other."""
+    import random
+
+    from quillspark.operators import media, speakers
+
+    rng = random.Random(4)
+    rows = [(b, 0, k, f"{rng.choice(['Mary', 'Narrator', 'Mr Bell', 'Ash'])} {k}" if k else "Narrator", rng.randint(1, 9), rng.randint(1, 900), *[rng.choice([0.0, 0.55, 0.65, 0.9]) for _ in range(3)]) for b in range(12) for k in range(rng.randint(1, 30))]
+    df = spark.createDataFrame([(b, {"line_no": x, "k": k}, *r) for b, x, k, *r in rows], "doc_id int, first struct<line_no:int,k:int>, speaker string, dialogues int, n_words int, formality double, excitement double, calmness double").repartition(3)
+    classes = [("female", ["mary"]), ("male", ["mr "])]
+
+    def greedy(of):
+        used, out = [], {}
+        for _, _, k, name, n, _, f, e, c in sorted(of, key=lambda r: (-r[4], r[2])):
+            want = {"formal", "authoritative"} if f > 0.7 else {"warm"} if e > 0.5 else {"calm", "gentle"} if c > 0.5 else set()
+            free = [(v, set(ts)) for v, ts in P.VOICES if v not in used]
+            voice = next((v for v, ts in free if ts & want), free[0][0] if free else None)
+            if voice:
+                used.append(voice)
+                out[name] = voice
+        return out
+
+    def scored(of, by_class):
+        used, out = [], {}
+        for _, _, k, name, n, w, f, e, c in sorted(of, key=lambda r: (-(r[4] + r[5] / 100), r[2])):
+            want = ("professional", "authoritative") if f > 0.7 else ("bright", "dynamic") if e > 0.6 else ("calm", "gentle", "soft") if c > 0.6 else ()
+            kind = next((x for x, ks in by_class for y in ks if y in name.lower()), None)
+            best = None
+            for v, cls, d in P.SCORED_VOICES:
+                points = 10 * (kind == cls) + 5 * any(x in d.lower() for x in want) + 8 * (name.lower() == "narrator" and ("narrator" in d.lower() or "clear" in d.lower()))
+                if v not in used and (best is None or points > best[0]):
+                    best = (points, v)
+            if best:
+                used.append(best[1])
+                out[name] = best[1]
+        return out
+
+    books = {b: [r for r in rows if r[0] == b] for b in range(12)}
+    got = {(r.doc_id, r.speaker): r.voice_id for r in speakers.greedy_voices(df).collect()}
+    assert got == {(b, s): v for b, of in books.items() for s, v in greedy(of).items()}
+    for cs in (None, classes):
+        got = {(r.doc_id, r.speaker): r.voice_id for r in media.scored_voices(df, classes=cs).collect()}
+        assert got == {(b, s): v for b, of in books.items() for s, v in scored(of, cs or []).items()}
+
+
+def test_repeated_sample_against_loop(spark):
+    import random
+
+    from quillspark.operators import media
+
+    rng = random.Random(2)
+    clips = {i: sorted((rng.choice([2.0, 3.5, 9.9, 0.25]) for _ in range(rng.randint(1, 25))), reverse=True) for i in range(80)}
+    df = spark.createDataFrame([(i, k + 1, x) for i, xs in clips.items() for k, x in enumerate(xs)], "conv_id int, rank int, duration_s double")
+    for r in media.repeated_sample(df).collect():
+        total = sum(x + 0.2 for x in clips[r.conv_id])
+        n = len(clips[r.conv_id])
+        while total < 60:
+            for x in clips[r.conv_id]:
+                if total >= 60:
+                    break
+                total += x + 0.3
+                n += 1
+        assert r.clips == n and math.isclose(r.total_s, total, rel_tol=1e-9)
+
+
+def test_lines_profiles_and_both_paths(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import lines
+
+    rows = ["THE GREAT ESCAPE STORY", "Growing Up", "XIV", "the quick brown fox jumps", "chapter 3", "Chapter 3", "a story", "Some Story", "12 of 30", "ISBN 1", "isbn 1", "Ab1"]
+    df = spark.createDataFrame([(x,) for x in rows], "s string")
+    kept = lambda cs: {r.s for r in df.where(~lines.is_marginalia(F.col("s"), cs)).collect()}
+    assert kept(True) == {"the quick brown fox jumps", "Chapter 3", "a story", "isbn 1"}
+    assert kept(False) == {"a story"} or kept(False) == set()
+    texts = ["", None, "x", "12\n  A line that is said twice, here\nother text, in 3 parts.\n\n   A line that is said twice, here\n***---***!!\nab, \nlast, one: 1", "no\n" * 5, "deep, indented\n" + " " * 12 + "text, here."]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    assert {tuple(r) for r in lines.clean_texts(docs).collect()} == {tuple(r) for r in lines.clean_pages(lines.explode_lines(docs)).collect()}
+
+
+def test_page_lookup_repeats_and_lists(spark):
+    from quillspark.operators import toc
+    from quillspark.plans import render
+
+    labels = [("b", "I", 0, 0), ("b", "ii", 1, 1), ("b", "1", 4, 2), ("b", "2", 5, 3), ("b", "5", 9, 4), ("b", "2", 11, 5), ("b", "i", 12, 6), ("c", "10", 2, 0), ("c", "3", 8, 1)]
+    df = spark.createDataFrame(labels, "source string, label string, page_idx int, ord int")
+    asked = [("b", "2", 5), ("b", "3", 9), ("b", "9", None), ("b", "II", 1), ("b", "i", 0), ("c", "2", 2), ("c", "4", 2), ("c", "11", None)]
+    got = {(r.source, r.query): r.page_idx for r in toc.look_up_pages(df, spark.createDataFrame([a[:2] for a in asked], "source string, query string")).collect()}
+    assert got == {a[:2]: a[2] for a in asked}
+    names = [(i, n) for i, n in enumerate(["Anna", "ann", "Bo", "Carl Otto", "otto", "Zed voice"])]
+    catalog, q = spark.createDataFrame(names, "ord int, name string"), spark.createDataFrame([(x,) for x in ("ANN", "carl otto jr", "o", "zed", "nobody", "", "x")], "query string")
+    for exact in (False, True):
+        few, many = ({tuple(r) for r in render.fuzzy_voice(q, catalog, exact, most).collect()} for most in (1000, 2))
+        assert few == many and ("nobody", "Bo") in few and (("ANN", "ann") if exact else ("ANN", "Anna")) in few
+
+
+def test_paragraph_rules():
+    """One case for each rule that joins lines or keeps them apart."""
+    from quillspark.operators.paragraphs import rebuild
+
+    cases = {
+        "The road went\non and on.": "The road went on and on.",  # unterminated
+        "It ended here.\nNobody came to see it.": "It ended here.\nNobody came to see it.",  # terminated
+        'She said "come\nOver here now, all of you" twice.': 'She said "come Over here now, all of you" twice.',  # open quote
+        "It was (as they\nSay in towns) late.": "It was (as they Say in towns) late.",  # open parenthesis
+        "He stopped.\nand went on alone.": "He stopped. and went on alone.",  # connective
+        "They ran.\nPart two": "They ran.\nPart two",  # short line with a capital
+        "A long day,\nChapter 5 begins with a storm at sea": "A long day,\nChapter 5 begins with a storm at sea",  # opener
+        "  one   two \n\n\n\nThree four five six.": "one two\n\nThree four five six.",
+        "no end\n\nlower next": "no end lower next",  # the second pass joins over a blank line
+        "": "", "\n\n": "",
+    }
+    got = {k: rebuild(k) for k in cases}
+    assert got == cases
+
+
+def test_reports_and_catalogs(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions.text import footer_label, snippet
+    from quillspark.operators import media, toc
+    from quillspark.plans import reports
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert tuple(one(media.chapter_of_file(F.lit("Chapter_07_the_road"), F.lit(3)))) == ("07", "Chapter 07: The Road")
+    assert tuple(one(media.chapter_of_file(F.lit("intro"), F.lit(3)))) == ("3", "Chapter 3")
+    assert one(reports.voice_notes(F.lit("Ana"), F.lit(3), F.lit(9.5), F.lit(0.3), F.lit(None).cast("string"))).splitlines()[0] == "# Voice Model: Ana"
+    marks = spark.createDataFrame([("b", 0, 1, " Intro ", 1)], "source string, ord int, level int, title string, page int")
+    assert tuple(toc.bookmark_entries(marks).first()) == ("b", 0, "Intro", 0)
+    assert one(snippet(F.lit("x" * 201))) == "x" * 200 + "..." and one(footer_label(F.array(F.lit("text"), F.lit("Page 12")))) == "12"
+    none = spark.createDataFrame([], "source string, ord int, title string, page_idx int, section string")
+    books = spark.createDataFrame([("b", "T", "A", "English", "", 0)], "source string, title string, author string, language string, breakdown string, images int")
+    assert reports.contents_report(none, books).first().report.endswith("Table of Contents:\n")
