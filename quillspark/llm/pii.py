@@ -40,8 +40,8 @@ BASE = [
 AT = r"[(\[{<] ?(?:at|@) ?[)\]}>]"
 DOT = r"[(\[{<] ?(?:dot|\.) ?[)\]}>]"
 MORE = [
-    ("email", rf"(?i)(?<!{LOCAL}){LOCAL}++ ?(?:{AT}| at ) ?[A-Za-z0-9-]++(?: ?(?:{DOT}| dot |\.) ?[A-Za-z0-9-]++)++", rf"(?i){AT}| at [A-Za-z0-9-]++ ?(?:{DOT}| dot |\.)"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:"),
+    ("email", rf"(?i)(?<!{LOCAL}){LOCAL}++ ?(?:{AT}| at ) ?[A-Za-z0-9-]++(?: ?(?:{DOT}| dot |\.) ?[A-Za-z0-9-]++)++", r"[(\[{<] ?(?:[aA][tT]|@) ?[)\]}>]| [aA][tT] [A-Za-z0-9-]++ ?(?:[(\[{<]| [dD][oO][tT] |\.)"),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{0,4}:"),
     ("card", r"(?<![0-9])[0-9]++(?:[./_\u2013\u00A0][0-9]++)++(?![0-9])", r"[0-9][./_\u2013\u00A0][0-9]"),
     ("phone", r"(?<![0-9A-Za-z+./-])\(?[0-9]++\)?(?:[ ./-] ?\(?[0-9]++\)?)++(?![0-9A-Za-z])", r"[0-9]\)?[ ./-] ?\(?[0-9]"),
 ]
@@ -49,6 +49,7 @@ SECRET = (
     r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private|auth)[_ -]?key)[\x22\x27]? ?[=:] ?[\x22\x27]?[^\s\x22\x27]{8,}"
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9_-]{20,}"
 )
+SECRET_GATE = (r"[=:] ?[\x22\x27]?[^\s\x22\x27]{8}", r"(?i)token|secret|passw|key")  # a named secret has both
 CONTEXT = {"email": "mail|contact|write|reach", "ip": "ip|host|server|address|client", "card": "card|visa|master|credit|pay", "phone": "phone|tel|call|mobile|fax|reach"}
 FEATURES = ["kind", "digits", "length", "separators", "letters", "luhn", "context", "ends_free", "starts_free", "distinct", "groups", "longest", "shortest", "brackets", "spelt", "double", "year"]
 SAMPLE, SEED = 8000, 11  # training cases
@@ -285,8 +286,9 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     def of_kind(x: Column, kind: str) -> Column:
         return F.array_sort(F.transform(F.filter(x, lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
+    secret = (F.col("text").rlike(SECRET_GATE[0]) & F.col("text").rlike(SECRET_GATE[1])) | F.contains("text", F.lit("-----BEGIN ")) | F.col("text").rlike(r"\b(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_|sk-)")
     order = lambda x: F.concat(*[of_kind(x, k) for k in KINDS])
-    return rows.select("doc_id", "text", order(F.col("base")).alias("base"), order(F.concat("base", "added")).alias("spans"), F.regexp_count("text", F.lit(SECRET)).cast("long").alias("secrets"))
+    return rows.select("doc_id", "text", order(F.col("base")).alias("base"), order(F.concat("base", "added")).alias("spans"), F.when(secret, F.regexp_count("text", F.lit(SECRET))).otherwise(0).cast("long").alias("secrets"))
 
 
 def redact(docs: DataFrame, model) -> DataFrame:

@@ -19,6 +19,7 @@ columns may have any name; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from quillspark.llm.common import fresh, table
+from quillspark.llm.common import fresh, materialize, table
 from quillspark.llm.exact_dedup import normalized
 from quillspark.llm.vectors import rows_of
 
@@ -203,18 +204,19 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def learn_lexemes(train: DataFrame) -> dict[str, float]:
-    """Words and stems (with a `*`) whose lower bound of precision for toxic texts is high."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
-
-    def stems(n: int):
-        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
-
-    digest = F.xxhash64(normalized(F.col("text")))  # once a text, below the explode
-    rows = train.select("toxic", digest.alias("digest"), F.array_distinct(F.concat(words, *[stems(n) for n in STEMS])).alias("lexemes"))
-    rows = rows.select("toxic", "digest", F.explode("lexemes").alias("lexeme"))
-    # distinct texts by a first aggregate, so that no set is gathered for a common word
-    once = rows.groupBy("lexeme", "toxic", "digest").agg(F.lit(1).alias("one"))
-    counts = once.groupBy("lexeme").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("n"))
+    """Words and stems (with a `*`) whose lower bound of precision for toxic texts is high, from the sample's distinct texts."""
+    texts = train.groupBy((F.col("toxic") > 0).alias("toxic"), F.sha2(normalized(F.col("text")), 256).alias("digest")).agg(F.first("text").alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, n = Counter(), Counter()
+        for b in batches:
+            for text, toxic in rows_of(b):
+                words = set(WORD.findall((text or "").lower()))
+                (p if toxic else n).update(words | {w[:k] + "*" for k in STEMS for w in words if len(w) >= k})
+        rows = list(p.keys() | n.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([p[w] for w in rows], pa.int64()), pa.array([n[w] for w in rows], pa.int64())], names=["lexeme", "p", "n"])
+
+    counts = texts.select("text", "toxic").mapInArrow(counted, "lexeme string, p long, n long").groupBy("lexeme").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     support = max(SUPPORT, SHARE * train.where("toxic > 0").count())
     counts = counts.where((F.col("p") >= support) & (F.col("p") > F.col("n")))
     share, total = F.col("p") / (F.col("p") + F.col("n")), F.col("p") + F.col("n")
@@ -247,7 +249,7 @@ def learn_weights(train: DataFrame, lexemes: dict[str, float], strength: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], dict[str, float]]:
-    train = training(docs, labels, sample)
+    train = materialize(training(docs, labels, sample), "toxicity-train")  # `sample` rows, read three times
     lexemes = {w: 0.8 for w in SEEDS} | learn_lexemes(train)
     return lexemes, learn_weights(train, lexemes)
 
