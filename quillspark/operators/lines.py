@@ -43,28 +43,6 @@ def judge_lines(rows: DataFrame, id_col: str = "doc_id", case_sensitive: bool =
     return rows.withColumn("fate", fate)
 
 
-def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", case_sensitive: bool = False) -> DataFrame:
-    """(id, text): each text's lines judged and cleaned in its own row, as `judge_lines` and `clean_pages` do over tables of
-    lines; nothing is exchanged. Texts without a line left have no row."""
-    rows = docs.select(F.col(id_col), lines(F.coalesce(F.col(text_col), F.lit(""))).alias("l"))
-    rows = rows.select(id_col, "l", F.transform("l", strip).alias("s"))
-    rows = rows.withColumn("sorted", F.array_sort(F.filter("s", lambda x: F.length(x).between(11, 99))))
-    rows = rows.withColumn("twice", F.array_distinct(F.filter("sorted", lambda x, i: x == F.get("sorted", i + 1))))
-
-    def line(x: Column, i: Column, twice: Column) -> Column:
-        raw, n = F.get("l", i), F.length(x)
-        first = F.array_position("l", raw) - 1
-        edge = (n < 5) & ((first < 3) | (first >= F.size("l") - 3))
-        furniture = is_marginalia(x, case_sensitive) | F.array_contains(twice, x) | ((n > 5) & (F.regexp_count(x, F.lit(r"\p{L}")) / n < 0.3)) | edge
-        indent = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
-        return F.when(n == 0, "").when(~furniture, F.concat(F.repeat(F.lit(" "), F.least(indent, F.lit(8))), x))
-
-    # an array of one binds the repeated lines to a variable, so that they aren't found anew for each line
-    each = F.transform(F.array("twice"), lambda t: F.filter(F.transform("s", lambda x, i: line(x, i, t)), lambda x: x.isNotNull()))
-    kept = rows.select(id_col, F.get(each, F.lit(0)).alias("x"))
-    return kept.where(F.size("x") > 0).select(id_col, F.array_join("x", "\n").alias("text"))
-
-
 def clean_pages(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, text) of cleaned pages, indents cut to 8."""
     judged = judge_lines(rows, id_col).where(F.col("fate").isin("blank", "keep"))

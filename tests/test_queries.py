@@ -290,7 +290,7 @@ def test_repeated_sample_against_loop(spark):
         assert r.clips == n and math.isclose(r.total_s, total, rel_tol=1e-9)
 
 
-def test_lines_profiles_and_both_paths(spark):
+def test_lines_profiles(spark):
     from pyspark.sql import functions as F
 
     from quillspark.operators import lines
@@ -300,10 +300,6 @@ def test_lines_profiles_and_both_paths(spark):
     kept = lambda cs: {r.s for r in df.where(~lines.is_marginalia(F.col("s"), cs)).collect()}
     assert kept(True) == {"the quick brown fox jumps", "Chapter 3", "a story", "isbn 1"}
     assert kept(False) == {"a story"} or kept(False) == set()
-    texts = ["", None, "x", "12\n  A line that is said twice, here\nother text, in 3 parts.\n\n   A line that is said twice, here\n***---***!!\nab, \nlast, one: 1", "no\n" * 5, "deep, indented\n" + " " * 12 + "text, here."]
-    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
-    assert {tuple(r) for r in lines.clean_texts(docs).collect()} == {tuple(r) for r in lines.clean_pages(lines.explode_lines(docs)).collect()}
 
 
 def test_page_lookup_repeats_and_lists(spark):
