@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, mixing, ngram_join, pii, suffix_dedup, toxicity, url_filter
+from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, merkle, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_quality": quality.op11_quality,
+    "op12_merkle": merkle.op12_merkle,
     "op8_license_base": license_scan.op8_license_base,
     "op10_near_matches": decontaminate.op10_near_matches,
     "op1_ngram_links": ngram_join.op1_ngram_links,
@@ -24,4 +26,5 @@ ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op8_license_base": license_scan.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
