@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, merkle, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, url_filter
+from quillspark.llm import decontaminate, exact_dedup, license_scan, lm_score, merkle, mixing, ngram_join, pii, quality, spelling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_quality": quality.op11_quality,
     "op12_merkle": merkle.op12_merkle,
+    "op13_spelling": spelling.op13_spelling,
     "op8_license_base": license_scan.op8_license_base,
     "op10_near_matches": decontaminate.op10_near_matches,
     "op1_ngram_links": ngram_join.op1_ngram_links,
@@ -27,4 +28,5 @@ ORACLES = {
     "op8_license_base": license_scan.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
     "op12_merkle": merkle.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
