@@ -34,7 +34,7 @@ from quillspark.llm.vectors import mix, slices_of
 U = np.uint64
 SAMPLE = 4000  # labelled rows that are learned from, by the hash of their identifiers
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4, 5)
-EPOCHS, RATE, SEED = 4, 0.2, 11
+STEPS, EPOCHS, RATE, SEED = 16_000, 20, 0.2, 11  # steps, and how often a row is seen at most
 PIECE = 1 << 18  # characters whose features are made at once
 _BASE = U(0x9E3779B97F4A7C15)
 GAP = re.compile(r"\s")
@@ -112,8 +112,9 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    steps, total = 0, EPOCHS * len(rows)
-    for _ in range(EPOCHS):
+    epochs = min(EPOCHS, -(-STEPS // len(rows)))
+    steps, total = 0, epochs * len(rows)
+    for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             ids, shares, label = rows[k]
             rate = RATE * (1 - steps / total)
