@@ -5,11 +5,13 @@ Entries are (source, ord, title, page_idx[, printed]); every ordered step takes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import chapter_number, roman
+from quillspark.functions.text import chapter_number, footer_label, roman, strip, toc_line
+from quillspark.functions.text import lines as lines_of
 from quillspark.operators.lines import is_rear_matter
+from quillspark.operators.order import least_from
 
 
 def unite(bookmarks: DataFrame, texts: DataFrame) -> DataFrame:
@@ -105,20 +107,53 @@ def section_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
     return out
 
 
-def look_up_pages(labels: DataFrame, queries: DataFrame) -> DataFrame:
+def whole_number(text: Column) -> Column:
+    """The value of decimal digits, null for other texts and beyond 38 digits."""
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("decimal(38,0)"))
+
+
+def look_up_pages(labels: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
     """Page of a printed label: the label itself, where it occurs first; else the least page among numeric labels from it on;
     else the first label of its roman value. Labels are (source, label, page_idx, ord), queries (source, query)."""
-    q = queries.withColumn("low", F.lower("query")).withColumn("n", F.when(F.col("query").rlike(r"^\d+$"), F.col("query").cast("int"))).withColumn("r", roman(F.col("query")))
+    q = queries.withColumn("low", F.lower("query")).withColumn("n", whole_number(F.col("query"))).withColumn("r", roman(F.col("query")))
     labels = first_labels(labels)
     exact = labels.select("source", F.col("label").alias("low"), F.col("page_idx").alias("exact"))
-    numeric = labels.where(F.col("label").rlike(r"^\d+$")).select(F.col("source").alias("k_source"), F.col("label").cast("int").alias("k"), "page_idx")
-    # one pass along a book's numbers, from the greatest: the least page so far is that of all labels from here on
-    asked = q.where("n IS NOT NULL").select("source", F.col("n").alias("k"), F.lit(None).cast("int").alias("page_idx"), "query")
-    along = numeric.select(F.col("k_source").alias("source"), "k", F.col("page_idx").cast("int").alias("page_idx"), F.lit(None).cast("string").alias("query")).unionByName(asked)
-    so_far = F.min("page_idx").over(Window.partitionBy("source").orderBy(F.desc("k"), F.col("query").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = along.withColumn("above", so_far).where("query IS NOT NULL").select("source", "query", "above").distinct()
-    value = F.when(F.col("label").rlike(r"^\d+$"), F.col("label").cast("int")).otherwise(roman(F.col("label")))
+    numeric = labels.select("source", whole_number(F.col("label")).alias("k"), F.col("page_idx").alias("above")).where("k IS NOT NULL")
+    asked = q.where("n IS NOT NULL").select("source", F.col("n").alias("k"), "query").distinct()
+    above = least_from(numeric, asked, "source", "k", "above", parts).select("source", "query", "above")
+    value = F.coalesce(whole_number(F.col("label")), roman(F.col("label")).cast("decimal(38,0)"))
     by_value = labels.withColumn("v", value).where("v IS NOT NULL").groupBy(F.col("source").alias("v_source"), "v").agg(F.min_by("page_idx", "ord").alias("by_value"))
     out = q.join(exact, ["source", "low"], "left").join(above, ["source", "query"], "left")
     out = out.join(by_value, (F.col("source") == F.col("v_source")) & (F.col("r") == F.col("v")), "left")
     return out.select("source", "query", F.coalesce("exact", "above", "by_value").alias("page_idx"))
+
+
+def page_labels(pages: DataFrame) -> DataFrame:
+    """(source, label, page_idx, ord) of the labels printed at the foot of pages (source, page_idx, text)."""
+    tail = F.substring_index(strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s*\n\s*", "\n")), "\n", -2)
+    rows = pages.select("source", "page_idx", F.filter(F.split(tail, "\n"), lambda x: x != "").alias("foot"))
+    return rows.select("source", footer_label(F.col("foot")).alias("label"), "page_idx", F.col("page_idx").alias("ord")).where("label IS NOT NULL")
+
+
+def scan_contents(pages: DataFrame, labels: DataFrame | None = None, after: int = 50) -> DataFrame:
+    """(source, ord, title, page_idx, printed, found_on): contents lines of pages (source, page_idx, text), each title and page
+    once, where it stands first, up to the first page beyond index `after` that adds none.
+
+    Whether a page adds an entry depends on earlier pages only, so first places are found over all pages, pages without one are
+    the pages less those places, and the least of them beyond `after` cuts each book: no book is read in one task. Titles
+    ascend by `ord` as they stand; a printed page that no label leads to makes no entry. `labels` as in `look_up_pages`, by
+    default those at the feet of the pages. Null texts are pages without lines; books that never stop keep all.
+    """
+    labels = page_labels(pages) if labels is None else labels
+    rows = pages.select("source", F.col("page_idx").alias("found_on"), F.posexplode(lines_of(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+    rows = rows.where(F.col("line").rlike(r"(?U)[.\-–—‒\s]{2}[ivxlcdmIVXLCDM0-9]+\s*$"))  # cheap, and true of every line that counts
+    rows = rows.select("source", "found_on", "line_no", toc_line(strip(F.col("line"))).alias("t")).where(F.col("t.page").rlike("^[ivxlcdmIVXLCDM0-9]+$"))
+    rows = rows.select("source", "found_on", "line_no", F.col("t.title").alias("title"), F.col("t.page").alias("query"))
+    led = look_up_pages(labels, rows.select("source", "query").distinct()).where("page_idx IS NOT NULL")
+    at = F.struct("found_on", "line_no", "query")
+    first = rows.join(led, ["source", "query"]).groupBy("source", "title", "page_idx").agg(F.min(at).alias("f"))
+    first = first.select("source", (F.shiftleft(F.col("f.found_on").cast("long"), 32) + F.col("f.line_no")).alias("ord"), "title", "page_idx", F.col("f.query").alias("printed"), F.col("f.found_on").alias("found_on"))
+    adding = first.select("source", F.col("found_on").alias("page_idx")).distinct()
+    idle = pages.select("source", "page_idx").where(F.col("page_idx") > after).join(adding, ["source", "page_idx"], "left_anti")
+    stops = idle.groupBy("source").agg(F.min("page_idx").alias("stop"))
+    return first.join(stops, "source", "left").where(F.col("stop").isNull() | (F.col("found_on") <= F.col("stop"))).drop("stop")

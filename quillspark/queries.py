@@ -9,6 +9,7 @@ from quillspark.functions import nfkc as nfkc_fn
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 from quillspark.operators import chunking, language, lines, media, metadata, paragraphs, speakers, toc
+from quillspark.operators.order import numbered
 from quillspark.plans import render, reports
 from quillspark.sources.io import manifest, table
 from quillspark.streaming.resume import pending
@@ -43,8 +44,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_pages(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return documents(spark, d).select("source", k.alias("page_idx"), "text")
+    return numbered(documents(spark, d).select("source", "doc_id", "text"), "source", "doc_id", "page_idx").select("source", "page_idx", "text")
 
 
 PAGES = "pages_ AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_idx, text FROM documents)"
@@ -807,3 +807,32 @@ ln AS (SELECT *, CASE lang WHEN 'en' THEN 'English' WHEN 'unknown' THEN 'Unknown
 SELECT doc_id, first(name ORDER BY rank) OVER (PARTITION BY doc_id ORDER BY rank) AS primary, rank, name, round(share * 100, 2) AS percent FROM ln""")
 def q_language_report(spark, d):
     return language.language_report(language.merged_languages(documents(spark, d)))
+
+
+# --- pages, and contents lines on them ---
+
+SCAN_TEXT = r"""concat(text, chr(10), CASE WHEN page_idx % 3 < 2 THEN concat('Part ', page_idx // 4, ' ..... ', page_idx // 4 * 4 + 1) ELSE '-' END, chr(10),
+  CASE WHEN doc_id % 5 > 0 THEN concat(left(regexp_extract(text, '^[^\n]*', 0), 20), ' - - ', page_idx * 2) ELSE '--' END, chr(10), CASE WHEN page_idx % 6 < 5 THEN concat('Page ', page_idx + 1) ELSE 'no label here' END)"""
+
+
+def contents_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Books by language, whose pages end in contents lines and, most of them, a printed label."""
+    rows = numbered(documents(spark, d).select(F.col("lang").alias("source"), "doc_id", "text"), "source", "doc_id", "page_idx")
+    return rows.select("source", "page_idx", F.expr(SCAN_TEXT.replace("//", "div")).alias("text"))
+
+
+TOC_RX = r"^\s*(.+?)[.\-\s]{2,}(\d+)\s*$"
+
+
+@query("q_contents_scan", rf"""WITH
+p0 AS (SELECT lang AS source, doc_id, text, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS INTEGER) AS page_idx FROM documents),
+p AS (SELECT source, page_idx, {SCAN_TEXT} AS text FROM p0),
+lb AS (SELECT source, page_idx, page_idx + 1 AS label FROM p WHERE page_idx % 6 < 5),
+l AS (SELECT source, page_idx AS found_on, i - 1 AS line_no, translate({sql_strip('x[i]')}, '–—‒', '---') AS l FROM (SELECT source, page_idx, string_split(text, chr(10)) AS x FROM p), unnest(range(1, len(x) + 1)) AS t(i)),
+c AS (SELECT source, found_on, line_no, regexp_replace({sql_strip(f"regexp_extract(l, '{TOC_RX}', 1)")}, '[.\-\s–—_]+$', '') AS title, regexp_extract(l, '{TOC_RX}', 2) AS printed FROM l WHERE regexp_matches(l, '{TOC_RX}')),
+e AS (SELECT source, found_on, line_no, title, printed, (SELECT min(page_idx) FROM lb WHERE lb.source = c.source AND label >= CAST(printed AS INTEGER)) AS page_idx FROM c),
+f AS (SELECT source, title, page_idx, min(found_on * 4294967296 + line_no) AS ord, first(printed ORDER BY found_on, line_no) AS printed, min(found_on) AS found_on FROM e WHERE page_idx IS NOT NULL GROUP BY source, title, page_idx),
+s AS (SELECT source, min(page_idx) AS stop FROM p WHERE page_idx > 50 AND (source, page_idx) NOT IN (SELECT (source, found_on) FROM f) GROUP BY source)
+SELECT f.* FROM f LEFT JOIN s USING (source) WHERE stop IS NULL OR found_on <= stop""")
+def q_contents_scan(spark, d):
+    return toc.scan_contents(contents_pages(spark, d))
