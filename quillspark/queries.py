@@ -11,7 +11,8 @@ from quillspark.functions import text as T
 from quillspark.operators import chunking, language, lines, media, metadata, paragraphs, speakers, toc
 from quillspark.operators.order import numbered
 from quillspark.plans import render, reports
-from quillspark.sources.io import manifest, table
+from quillspark.sources.io import manifest, scratch_folder, table
+from quillspark.sources.pages import blank_page, decoded_pages, feed_pages, with_second_source, write_pages
 from quillspark.streaming.resume import pending
 
 QUERIES: dict = {}
@@ -836,3 +837,47 @@ s AS (SELECT source, min(page_idx) AS stop FROM p WHERE page_idx > 50 AND (sourc
 SELECT f.* FROM f LEFT JOIN s USING (source) WHERE stop IS NULL OR found_on <= stop""")
 def q_contents_scan(spark, d):
     return toc.scan_contents(contents_pages(spark, d))
+
+
+FILE_PAGES = 50
+
+
+def _page_files(spark, d) -> str:
+    """The books' pages as files, which Spark writes from the table."""
+    folder = scratch_folder(spark, "pages")
+    write_pages(book_pages(spark, d), folder, FILE_PAGES)
+    return folder
+
+
+BOOK = "regexp_extract(book, 'source=([^/]*)$', 1)"
+
+
+@query("q_page_files", f"WITH {PAGES} SELECT source, page_idx, length(text) AS n_chars, md5(text) AS text FROM pages_")
+def q_page_files(spark, d):
+    return feed_pages(spark, _page_files(spark, d)).select(F.expr(BOOK).alias("source"), "page_idx", F.length("text").alias("n_chars"), F.md5("text").alias("text"))
+
+
+def page_again(file, at: int) -> str | None:
+    """A second source for the query: every third poor page has none."""
+    return None if at % 3 == 2 else f"page {at} read again"
+
+
+@query("q_page_decoder", rf"""WITH {PAGES}
+SELECT source, page_idx, md5(CASE WHEN length({sql_strip('text')}) < 100 AND page_idx % {FILE_PAGES} % 3 < 2 THEN 'page ' || (page_idx % {FILE_PAGES}) || ' read again' ELSE text END) AS text FROM pages_""")
+def q_page_decoder(spark, d):
+    rows = decoded_pages(spark, _page_files(spark, d), "quillspark.sources.pages:feed_decoder", "quillspark.queries:page_again", ".txt", 1)
+    return rows.select(F.expr(BOOK).alias("source"), "page_idx", F.md5("text").alias("text"))
+
+
+@query("q_second_source", rf"""WITH s AS (SELECT conv_id, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
+SELECT doc_id, md5(CASE WHEN coalesce(length({sql_strip('d.text')}), 0) < 100 THEN coalesce(s.text, d.text) ELSE d.text END) AS text FROM documents d LEFT JOIN s ON conv_id = doc_id""")
+def q_second_source(spark, d):
+    second = table(spark, d, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), "text")
+    return with_second_source(documents(spark, d).select("doc_id", "text"), second, ["doc_id"]).select("doc_id", F.md5("text").alias("text"))
+
+
+@query("q_blank_pages", rf"""SELECT doc_id, length({sql_strip('t')}) = 0 AS no_text, length({sql_strip('t')}) = 0 AND doc_id % 3 = 0 AS blank
+FROM (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN chr(9) || ' ' ELSE text END AS t FROM documents)""")
+def q_blank_pages(spark, d):
+    t = F.expr("CASE doc_id % 2 WHEN 0 THEN '\t ' ELSE text END")
+    return documents(spark, d).select("doc_id", lines.low_quality(t, 1).alias("no_text"), blank_page(t, (F.col("doc_id") % 3).cast("int")).alias("blank"))

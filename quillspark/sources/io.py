@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,14 @@ def playlist(clips: DataFrame) -> DataFrame:
     entry = F.concat(F.lit("#EXTINF:"), F.coalesce(F.col("seconds").cast("int"), F.lit(300)).cast("string"), F.lit(","), "title", F.lit("\n"), "path")
     g = clips.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("e")))).alias("x"))
     return g.select("doc_id", F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda s: s["e"]), "\n"), F.lit("\n#EXT-X-ENDLIST\n")).alias("m3u8"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

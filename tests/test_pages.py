@@ -110,3 +110,97 @@ def test_page_lookup_over_ranges(spark):
     for s, x in asked[:120]:
         exact = [p for b, n, p, _ in labels if (b, n) == (s, x)]
         assert (s, x, min(exact or [p for b, n, p, _ in labels if b == s and len(n) < 9 and n.isdigit() and int(n) >= int(x)], default=None)) in one
+
+
+# --- files of pages ---
+
+
+def again(file, at):
+    """The second source of the tests; it reads the file once more."""
+    from zipfile import ZipFile
+
+    return None if at == 4 else f"{len(ZipFile(file).namelist())} entries, page {at}"
+
+
+def test_decoder_source_in_shares(spark, tmp_path, monkeypatch):
+    """An archive read by several tasks, each its share of pages, with a second source for poor pages."""
+    import os
+    from zipfile import ZipFile
+
+    from quillspark.sources import pages as S
+
+    here = os.path.dirname(__file__)
+    monkeypatch.syspath_prepend(here)
+    rng = random.Random(3)
+    books = {"a": [3, 11], "b": [1], "c": [0, 2]}
+    want = {}
+    for book, files in books.items():
+        (tmp_path / book).mkdir()
+        at = 0
+        for k, n in enumerate(files):
+            with ZipFile(tmp_path / book / f"part{k}.zip", "w") as z:
+                texts = [rng.choice(["", "short", "a long page " * rng.randint(10, 400)]) for _ in range(n)]
+                images = [rng.randint(0, 2) for _ in range(n)]
+                for i, t in enumerate(texts):
+                    z.writestr(f"{i:04}.txt", t)
+                    for j in range(images[i]):
+                        z.writestr(f"{i:04}-{j}.png", bytes(rng.choices(range(256), k=200)))
+            entries = n + sum(images)
+            for i, t in enumerate(texts):
+                poor = len(t.strip()) < 100
+                want[book, at] = (f"{entries} entries, page {i}" if poor and i != 4 else t, images[i])
+                at += 1
+    (tmp_path / "a" / "_SUCCESS").write_text("")
+    for mb in (64, 0.001):
+        df = S.decoded_pages(spark, str(tmp_path), "quillspark.sources.pages:zip_decoder", None, ".zip", mb)
+        plain = {(r.book.rpartition("/")[2], r.page_idx): r.images for r in df.collect()}
+        assert plain == {k: v[1] for k, v in want.items()}
+        reader = S.PageReader({"path": str(tmp_path), "decoder": "quillspark.sources.pages:zip_decoder", "fallback": "test_pages:again", "suffix": ".zip", "splitMb": str(mb)})
+        parts = reader.partitions()
+        assert len(parts) > 5 if mb < 1 else len(parts) == 1
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted((r["text"], r["images"]) for r in rows) == sorted(want.values())
+    assert S.decoded_pages(spark, str(tmp_path), "quillspark.sources.pages:zip_decoder", suffix=".none").count() == 0
+
+
+def test_plan_of_page_files():
+    from quillspark.sources.pages import plan
+
+    files = [("a", 10), ("b", 95), ("c", 250), ("d", 0), ("e", 100), ("f", 1)]  # neighbours share a task up to 100 bytes
+    parts = plan(files, 100)
+    assert sorted(parts) == [[("a", 0, 1)], [("b", 0, 1), ("d", 0, 1)], [("c", 0, 3)], [("c", 1, 3)], [("c", 2, 3)], [("e", 0, 1)], [("f", 0, 1)]]
+    assert plan([], 100) == []
+
+
+def test_feed_files_in_splits(spark, tmp_path):
+    """Pages of large files, split in the middle of pages, keep their places; so do empty and null ones."""
+    from quillspark.sources import pages as S
+
+    rng = random.Random(6)
+    rows = [(s, i, rng.choice([None, "", "x" * rng.randint(1, 3000), "two\nlines", "feed\fwithin"])) for s, n in (("a", 230), ("b c", 7), ("d", 1)) for i in range(n)]
+    want = {(s, i): (t or "").replace("\f", " ") for s, i, t in rows}
+    S.write_pages(spark.createDataFrame(rows, "source string, page_idx int, text string").repartition(5), str(tmp_path / "p"), 100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "7000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            out = S.feed_pages(spark, str(tmp_path / "p"))
+            got = [((r.book.rpartition("source=")[2].replace("%20", " "), r.page_idx), r.text) for r in out.collect()]
+            assert len(got) == len(rows) and dict(got) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_second_source_and_blank_pages(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.sources import pages as S
+
+    long = "w" * 100
+    rows = [(1, 0, long), (1, 1, " " + "w" * 99 + " "), (1, 2, None), (1, 3, ""), (1, 4, "short"), (None, 0, None)]
+    df = spark.createDataFrame(rows, "doc int, page int, text string")
+    second = spark.createDataFrame([(1, 0, "unused"), (1, 1, "b"), (1, 1, "a"), (1, 2, "two"), (1, 4, None), (None, 0, "n")], "doc int, page int, text string")
+    got = {(r.doc, r.page): r.text for r in S.with_second_source(df, second, ["doc", "page"]).collect()}
+    assert got == {(1, 0): long, (1, 1): "a", (1, 2): "two", (1, 3): "", (1, 4): "short", (None, 0): None}
+    blank = spark.createDataFrame([("", 0, True), (" \n\t", 0, True), (None, None, True), ("", 1, False), ("x", 0, False), (None, 2, False)], "text string, images int, want boolean")
+    assert all(r.got == r.want for r in blank.select("want", S.blank_page(F.col("text"), F.col("images")).alias("got")).collect())
