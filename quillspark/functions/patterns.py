@@ -56,3 +56,11 @@ SCORED_VOICES = [
     ("p243", "male", "Male English Friendly"), ("p244", "male", "Male English Relaxed"), ("p245", "male", "Male English Dynamic"), ("p246", "male", "Male English Crisp"),
     ("p247", "male", "Male English Rich"), ("p248", "female", "Female English Elegant"), ("p249", "female", "Female English Melodic"), ("p250", "female", "Female English Expressive"),
 ]
+# Paragraphs: what a line starts with if it opens one, and if it continues the one before, without regard to case. Fixed values.
+OPENERS = [r"(Chapter|Section|Part|\d+\.|•|\*|-)\s", r"\"", r"[A-Z][a-z]+,", r"In \d{4}"]
+CONTINUATIONS = [
+    r"(and|or|but|yet|so|for|nor)\s", r"(because|since|although|though|while|whereas)\s", r"(that|which|who|whom|whose|where|when|why|how)\s",
+    r"(to|from|with|without|under|over|through|during)\s", r"(he|she|it|they|we|you|I)\s",
+]
+UNFINISHED = "[^.!?:;]$"  # a paragraph that ends so goes on
+SECTION_WORDS = ["chapter", "section", "part"]  # a line that starts so is not joined in the second pass

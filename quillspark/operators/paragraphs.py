@@ -1,61 +1,84 @@
-"""Paragraphs rebuilt across line and page breaks: two folds over the ordered lines of one text.
+"""Paragraphs rebuilt across line and page breaks, as Column expressions over the lines of one text.
 
-The state that decides on each line is the paragraph so far, so this runs as a per-text function over Arrow batches.
+Whether a line goes on with the paragraph before it depends on that paragraph only by its open quotes and brackets and how it
+ends. So a fold carries these few values along the lines and marks where paragraphs start; texts are put together from the
+marks. A second fold joins a paragraph that does not end with a sentence to one that starts in lower case, once.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-OPENER = re.compile(r'(?:Chapter|Section|Part|\d+\.|[•*-])\s|"|[A-Z][a-z]+,|In \d{4}')
-JOINER = re.compile(r"(?:and|or|but|yet|so|for|nor|because|since|although|though|while|whereas|that|which|who|whom|whose|where|when|why|how|to|from|with|without|under|over|through|during|he|she|it|they|we|you|i)\s", re.I)
-
-
-def continues(par: str, line: str) -> bool:
-    words, lower = len(line.split()), line[0].islower()
-    if words <= 3 and line[0].isupper():
-        return False
-    if par.count('"') % 2 or par.count("(") > par.count(")") or JOINER.match(line):
-        return True
-    pending = not par.endswith((".", "!", "?", ":", ";")) or par.count("'") % 2 == 1 or lower
-    return pending and not (OPENER.match(line) or line.isupper() or (line[0].isupper() and words > 8))
-
-
-def rebuild(text: str | None) -> str:
-    out, par = [], ""
-    for line in map(str.strip, (text or "").split("\n")):
-        if line and par and continues(par, line):
-            par = " ".join(f"{par} {line}".split())
-            continue
-        if par:
-            out.append(par)
-        par = line
-        if not line:
-            out.append("")
-    if par:
-        out.append(par)
-    final, i = [], 0
-    while i < len(out):
-        j = next((k for k in range(i + 1, len(out)) if out[k]), None) if out[i] else None
-        if j is not None and not out[i].endswith((".", "!", "?")) and out[j][0].islower() and not out[j].startswith(("chapter", "section", "part")):
-            final.append(f"{out[i]} {out[j]}")
-            i = j + 1
-        else:
-            final.append(out[i])
-            i += 1
-    joined = re.sub(r"\n{3,}", "\n\n", "\n".join(final))
-    return re.sub(r" {2,}", " ", joined).strip()
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from quillspark.functions import patterns as P
+from quillspark.functions.fold import bind, blocked
+from quillspark.functions.text import collapse, lines, n_words, strip
+
+OPENER = "^(?:" + "|".join(P.OPENERS) + ")"
+CONTINUATION = "(?i)^(?:" + "|".join(P.CONTINUATIONS) + ")"
+LOWER, UPPER = r"^\p{IsLowercase}", r"^\p{IsUppercase}"
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _traits(t: Column, gap: Column) -> Column:
+    """What the fold needs to know of a line, and whether a blank one or none stands before it."""
+    n, upper = n_words(t), t.rlike(UPPER)
+    capitals = (F.upper(t) == t) & t.rlike(r"\p{IsUppercase}")
+    return F.struct(
+        gap.alias("gap"), (upper & (n <= 3)).alias("title"), t.rlike(CONTINUATION).alias("joins"), (t.rlike(OPENER) | capitals | (upper & (n > 8))).alias("opens"), t.rlike(LOWER).alias("lower"),
+        (_count(t, '"') % 2 == 1).alias("quote"), (_count(t, "'") % 2 == 1).alias("apostrophe"), (_count(t, "(") - _count(t, ")")).alias("brackets"), t.rlike(P.UNFINISHED).alias("unfinished"),
+    )
+
+
+def _starts(traits: Column) -> Column:
+    """For each line whether a paragraph starts with it."""
+    state = ["quote", "apostrophe", "brackets", "unfinished"]
+    of = lambda q, a, b, u: F.struct(*[c.alias(name) for name, c in zip(state, (q, a, b, u))])
+
+    def step(a: Column, x: Column) -> Column:
+        pending = (a["unfinished"] | a["apostrophe"] | x["lower"]) & ~x["opens"]
+        goes_on = ~x["gap"] & ~x["title"] & (a["quote"] | (a["brackets"] > 0) | x["joins"] | pending)
+        more = of(a["quote"] != x["quote"], a["apostrophe"] != x["apostrophe"], a["brackets"] + x["brackets"], x["unfinished"])
+        fresh = of(x["quote"], x["apostrophe"], x["brackets"], x["unfinished"])
+        return bind(goes_on, lambda g: F.struct(F.when(g, more).otherwise(fresh).alias("state"), F.array(~g).alias("out")))
+
+    return blocked(traits, of(F.lit(False), F.lit(False), F.lit(0), F.lit(False)), step, "boolean")["out"]
 
-def rebuild_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with paragraphs rebuilt."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rebuild(t) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+def _paragraphs(kept: Column, starts: Column) -> Column:
+    """(t, gap) of each paragraph: its lines with single spaces, a line alone as it is."""
+    at = F.filter(F.sequence(F.lit(1), F.size(starts)), lambda i: F.element_at(starts, i))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    def text(i: Column, to: Column) -> Column:
+        part = F.transform(F.slice(kept, i, to - i), lambda x: x["t"])
+        return F.struct(F.when(to - i == 1, F.element_at(part, 1)).otherwise(collapse(F.array_join(part, " "))).alias("t"), F.element_at(kept, i)["gap"].alias("gap"))
+
+    return bind(at, lambda at: F.transform(at, lambda i, k: text(i, F.coalesce(F.get(at, k + 1), F.size(kept) + 1))))
+
+
+def _joined(paragraphs: Column) -> Column:
+    """Paragraphs as one text; of neighbours that belong together each second one is joined to the one before."""
+    section = "^(?:" + "|".join(P.SECTION_WORDS) + ")"
+    fits = F.transform(paragraphs, lambda x, i: F.coalesce((i > 0) & ~F.get(paragraphs, i - 1)["t"].rlike("[.!?]$") & x["t"].rlike(LOWER) & ~x["t"].rlike(section), F.lit(False)))
+    # a paragraph that was joined to the one before takes none itself
+    marks = blocked(fits, F.lit(False), lambda a, x: bind(x & ~a, lambda j: F.struct(j.alias("state"), F.array(j).alias("out"))), "boolean")["out"]
+    parts = bind(marks, lambda m: F.transform(paragraphs, lambda x, i: F.concat(F.when(i == 0, "").when(F.get(m, i), " ").when(x["gap"], "\n\n").otherwise("\n"), x["t"])))
+    return strip(F.regexp_replace(F.array_join(parts, ""), " {2,}", " "))
+
+
+def rebuilt(text: Column) -> Column:
+    """A text with its paragraphs rebuilt; null and blank texts are empty."""
+    def over(ls: Column) -> Column:
+        rows = F.transform(ls, lambda t, i: F.struct(t.alias("t"), F.coalesce((i == 0) | (F.get(ls, i - 1) == ""), F.lit(True)).alias("gap")))
+        kept = F.filter(rows, lambda x: x["t"] != "")
+        return bind(kept, lambda k: F.when(F.size(k) == 0, "").otherwise(bind(_starts(F.transform(k, lambda x: _traits(x["t"], x["gap"]))), lambda s: bind(_paragraphs(k, s), _joined))))
+
+    return bind(F.transform(lines(F.coalesce(text, F.lit(""))), strip), over)
+
+
+def rebuild_paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with paragraphs rebuilt."""
+    return docs.select("doc_id", rebuilt(F.col("text")).alias("text"))

@@ -195,8 +195,8 @@ def test_marginalia_and_chapters(spark):
     assert sorted(r.missing for r in toc.missing_chapters(e).collect()) == [3, 4]
     s = spark.createDataFrame([(1, i, x) for i, x in enumerate(["It was late.", '"Go now" said Alice', "", "He left."])], "doc_id int, line_no int, line string")
     assert [(r.speaker, r.text) for r in speakers.segments(s).orderBy("seg_no").collect()] == [("narrator", "It was late."), ("Alice", "Go now"), ("narrator", "He left.")]
-    assert paragraphs.rebuild("The end of\nthe line came late.\n\nNew one here.") == "The end of the line came late.\n\nNew one here."
-    assert paragraphs.rebuild(None) == ""
+    t = spark.createDataFrame([(0, "The end of\nthe line came late.\n\nNew one here."), (1, None)], "doc_id int, text string")
+    assert {tuple(r) for r in paragraphs.rebuild_paragraphs(t).collect()} == {(0, "The end of the line came late.\n\nNew one here."), (1, "")}
 
 
 def test_sources_and_resume(spark, tmp_path):
@@ -318,9 +318,56 @@ def test_page_lookup_repeats_and_lists(spark):
         assert few == many and ("nobody", "Bo") in few and (("ANN", "ann") if exact else ("ANN", "Anna")) in few
 
 
-def test_paragraph_rules():
+def plain_paragraphs(text):
+    """Paragraphs by a loop over the lines that keeps the paragraph so far."""
+    openers = ("Chapter ", "Section ", "Part ", "• ", "* ", "- ", '"')
+    connectives = set("and or but yet so for nor because since although though while whereas that which who whom whose where when why how to from with without under over through during he she it they we you i".split())
+
+    def goes_on(par, line):
+        words = line.split()
+        if len(words) <= 3 and line[0].isupper():
+            return False
+        if par.count('"') % 2 or par.count("(") > par.count(")") or (len(words) > 1 and words[0].lower() in connectives):
+            return True
+        opens = line.startswith(openers) or re.match(r"\d+\.\s|[A-Z][a-z]+,|In \d{4}", line) or line.isupper() or (line[0].isupper() and len(words) > 8)
+        return bool((par[-1] not in ".!?:;" or par.count("'") % 2 or line[0].islower()) and not opens)
+
+    out, par = [], ""
+    for line in [x.strip() for x in (text or "").split("\n")] + [""]:
+        if line and par and goes_on(par, line):
+            par = " ".join(f"{par} {line}".split())
+        else:
+            out += [par] if par else []
+            out += [""] if not line else []
+            par = line
+    final, k = [], 0
+    while k < len(out):
+        n = next((j for j in range(k + 1, len(out)) if out[j]), None) if out[k] else None
+        both = n is not None and out[k][-1] not in ".!?" and out[n][0].islower() and not out[n].startswith(("chapter", "section", "part"))
+        final.append(f"{out[k]} {out[n]}" if both else out[k])
+        k = n + 1 if both else k + 1
+    return re.sub(" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "\n".join(final))).strip()
+
+
+def test_paragraphs_against_a_loop(spark):
+    """Random lines, more than a block of the fold, and whole documents."""
+    import random
+
+    from quillspark.operators.paragraphs import rebuild_paragraphs
+
+    rng = random.Random(12)
+    bits = ["", "", "  ", "the road", "He said (as ever", "far off)", '"Go', 'on" she said.', "It's late", "don't stop", "Chapter 2", "THE END", "and so on", "I went.", "Anna, who knew", "In 1990 it rained", "It was a very long way down to the old mill.", "ends; ", "3. list", "- item", "part of it", "chapter notes", "x  y", "Él fue", "élan", "(a) b", "why", "One two three"]
+    texts = ["\n".join(rng.choice(bits) for _ in range(n)) for n in [*rng.choices(range(1, 14), k=400), 700, 1500]]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r.text for r in rebuild_paragraphs(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_paragraphs(t), t
+
+
+def test_paragraph_rules(spark):
     """One case for each rule that joins lines or keeps them apart."""
-    from quillspark.operators.paragraphs import rebuild
+    from quillspark.operators.paragraphs import rebuild_paragraphs
 
     cases = {
         "The road went\non and on.": "The road went on and on.",  # unterminated
@@ -334,8 +381,9 @@ def test_paragraph_rules():
         "no end\n\nlower next": "no end lower next",  # the second pass joins over a blank line
         "": "", "\n\n": "",
     }
-    got = {k: rebuild(k) for k in cases}
-    assert got == cases
+    df = spark.createDataFrame([(k, k) for k in cases], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in rebuild_paragraphs(df).collect()} == cases
+    assert {k: plain_paragraphs(k) for k in cases} == cases
 
 
 def test_reports_and_catalogs(spark):
