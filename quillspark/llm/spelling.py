@@ -31,6 +31,7 @@ from quillspark.llm.vectors import slices_of
 NOT_LETTERS = "[^a-zÀ-ÿ]+"  # once A-Z are lower-cased
 LEAST_LETTERS, LEAST_TIMES, TIMES, DROPPED = 6, 5, 5, 199
 SHARD, ROUND = 1 << 18, 32 << 20  # letters of a shard, a longer word alone; bytes of the shards that are broadcast at once
+TASK = 1 << 16  # letters of the words that a task searches for
 NEAR = "word string, n_near long, best long, near string"
 
 
@@ -118,9 +119,8 @@ def pack(words: list[bytes], counts: list[int]) -> tuple[bytes, bytes, bytes]:
     return np.concatenate(labels).tobytes(), start.astype(np.uint32).tobytes(), np.concatenate(ends).tobytes()
 
 
-def shards(words: DataFrame, letters: int = SHARD) -> DataFrame:
-    """(labels, start, n, size) of tries of the sorted words (word, n), `letters` at most in each."""
-    total = words.agg(F.sum(F.length("word")).alias("n")).first()["n"] or 0
+def shards(words: DataFrame, total: int, letters: int = SHARD) -> DataFrame:
+    """(labels, start, n, size) of tries of the sorted words (word, n), which have `total` letters, `letters` at most in each."""
     ranged = words.repartitionByRange(max(1, -(-total // letters)), "word").sortWithinPartitions("word")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,10 @@ def rounds(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
 def near_words(words: DataFrame, letters: int = SHARD, most: int = ROUND) -> DataFrame:
     """(word, n_near, best, near): of each word that has near ones among (word, n), how many, and the most frequent."""
     spark = words.sparkSession
-    stored = materialize(shards(words, letters).withColumn("k", F.monotonically_increasing_id()), "spelling-tries")
+    total = words.agg(F.sum(F.length("word")).alias("n")).first()["n"] or 0
+    stored = materialize(shards(words, total, letters).withColumn("k", F.monotonically_increasing_id()), "spelling-tries")
     sizes = [(r["k"], r["size"]) for r in stored.select("k", "size").orderBy("k").collect()]  # a row per shard, of `letters` letters
-    parts = []
+    parts, asked = [], words.select("word").repartition(max(1, -(-total // TASK)))
     for chosen in rounds(sizes, most):
         held = spark.sparkContext.broadcast([(bytes(r["labels"]), bytes(r["start"]), bytes(r["n"])) for r in stored.where(F.col("k").between(chosen[0], chosen[-1])).orderBy("k").collect()])  # `most` bytes
 
@@ -179,7 +180,7 @@ def near_words(words: DataFrame, letters: int = SHARD, most: int = ROUND) -> Dat
                             out.append((name, count, -best[0], best[1].decode("latin-1")))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["word", "n_near", "best", "near"])
 
-        parts.append(materialize(words.select("word").mapInArrow(search, NEAR), "spelling-near"))
+        parts.append(materialize(asked.mapInArrow(search, NEAR), "spelling-near"))
         held.destroy()
     forget(stored)
     if not parts:
