@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 from quillspark.functions.text import contains_any, keyword_class, strip
+from quillspark.operators.speakers import foremost
 
 CLONED_MARKS = ["(Cloned)", "cloned_", "🎬", "(Custom)"]  # fixed values
 PREVIEW_TAIL = " This voice will be used throughout your entire audiobook to bring the story to life. The natural flow and intonation will make your content engaging and professional."  # fixed value
@@ -134,12 +135,14 @@ def fit_image(width: Column, height: Column, out_w: int = WIDTH, out_h: int = HE
 
 def scored_voices(ranked: DataFrame, catalog: list[tuple[str, str, str]] = P.SCORED_VOICES, id_col: str = "doc_id", classes: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """One voice per speaker, none twice, in order of dialogues plus words / 100: the voice whose description scores
-    highest by the speaker's traits, the first of equals. A fold over a text's speakers.
+    highest by the speaker's traits, the first of equals. Each speaker gets one while any is left, so it is a fold over as many
+    of a text's speakers as there are voices.
 
     `classes`: keywords of names by class, the first class that fits; a voice of that class scores 10 more. None by default,
     since a guess from a name is often wrong.
     """
     weight = -(F.col("dialogues") + F.col("n_words") / 100)
+    ranked = foremost(ranked, weight, len(catalog), id_col)
     rows = ranked.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(weight.alias("w"), "first", "speaker", "formality", "excitement", "calmness"))).alias("x"))
     voices = F.array(*[F.struct(F.lit(-i).alias("o"), F.lit(v).alias("id"), F.lit(c).alias("c"), F.lit(d.lower()).alias("d")) for i, (v, c, d) in enumerate(catalog)])
     has = lambda v, *ws: contains_any(v["d"], list(ws))

@@ -101,11 +101,19 @@ def round_robin(speakers: DataFrame, voices: DataFrame, id_col: str = "doc_id")
     return speakers.withColumn("voice_ord", i % n).join(F.broadcast(voices) if n <= 10_000 else voices, "voice_ord")
 
 
+def foremost(ranked: DataFrame, rank: Column, most: int, id_col: str) -> DataFrame:
+    """The first `most` speakers of each text by rank, first place and name; tasks pass on no more than that of a text."""
+    k = F.row_number().over(Window.partitionBy(id_col).orderBy(rank, "first", "speaker"))
+    return ranked.withColumn("k_", k).where(F.col("k_") <= most).drop("k_")
+
+
 def greedy_voices(ranked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One voice per speaker, none twice, in order of dialogues: by the trait over its threshold, else the first unused one.
 
-    `ranked`: traits joined to counts. A fold over a text's speakers, since each choice depends on those before.
+    `ranked`: traits joined to counts. Each speaker gets a voice while one is left, so only as many as there are voices can: a
+    fold over those, since each choice depends on the ones before.
     """
+    ranked = foremost(ranked, F.desc("dialogues"), len(P.VOICES), id_col)
     rows = ranked.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct((-F.col("dialogues")).alias("d"), "first", "speaker", "formality", "excitement", "calmness"))).alias("x"))
     catalog = F.array(*[F.struct(F.lit(v).alias("id"), F.array(*[F.lit(t) for t in ts]).alias("traits")) for v, ts in P.VOICES])
     has = lambda v, *ts: F.arrays_overlap(v["traits"], F.array(*[F.lit(t) for t in ts]))
@@ -127,4 +135,5 @@ def narrators(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def voices_or_default(speakers: DataFrame, assigned: DataFrame, default: str, id_col: str = "doc_id") -> DataFrame:
+    """Speakers with the voice that was assigned to them, else the default."""
     return speakers.join(assigned, [id_col, "speaker"], "left").withColumn("voice_id", F.coalesce("voice_id", F.lit(default)))

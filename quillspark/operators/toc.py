@@ -28,21 +28,16 @@ def unite(bookmarks: DataFrame, texts: DataFrame) -> DataFrame:
 def deduplicate(entries: DataFrame) -> DataFrame:
     """Entries whose title and number no kept entry before them has; then the first per page.
 
-    Whether an entry counts depends on those kept, so it is a fold over a source's ordered entries.
+    A number is read off its title, so titles that are alike have one number: entries fall into groups by number, or by title
+    where there is none, and within a group each excludes all others. What is kept is thus the first of each group, which
+    needs no fold over a source. Null titles are alike; of equal places the least title and page come first.
     """
-    rows = entries.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("ord", "title", "page_idx"))).alias("x"))
-    item = rows.schema["x"].dataType.simpleString()
-    zero = F.struct(F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("numbers"), F.array().cast(item).alias("kept"))
-
-    def step(a, e):
-        low, number = F.lower(F.trim(e["title"])), chapter_number(F.trim(e["title"]))
-        seen = F.array_contains(a["titles"], low) | F.coalesce(F.array_contains(a["numbers"], number), F.lit(False))
-        numbers = F.when(number.isNull(), a["numbers"]).otherwise(F.concat(a["numbers"], F.array(number)))
-        return F.when(seen, a).otherwise(F.struct(F.concat(a["titles"], F.array(low)).alias("titles"), numbers.alias("numbers"), F.concat(a["kept"], F.array(e)).alias("kept")))
-
-    kept = rows.select("source", F.explode(F.aggregate("x", zero, step, lambda a: a["kept"])).alias("e")).select("source", "e.*")
-    first = F.row_number().over(Window.partitionBy("source", "page_idx").orderBy("ord"))
-    return kept.withColumn("k", first).where("k = 1").drop("k")
+    title = strip(F.col("title"))
+    key = F.coalesce(F.concat(F.lit("n"), chapter_number(title)), F.concat(F.lit("t"), F.lower(title)))
+    rest = [c for c in entries.columns if c not in ("source", "ord", "title", "page_idx")]
+    row = F.struct("ord", "title", "page_idx", *rest)
+    kept = entries.groupBy("source", key.alias("key_")).agg(F.min(row).alias("e")).select("source", "e.*")
+    return kept.groupBy("source", "page_idx").agg(F.min(row).alias("e")).select("source", *[F.col(f"e.{c}").alias(c) for c in ("ord", "title", "page_idx", *rest)])
 
 
 def sections(entries: DataFrame) -> DataFrame:

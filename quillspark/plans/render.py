@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import duration_estimate, n_words
@@ -101,33 +101,44 @@ def scaled_presets(presets: DataFrame, intensity: float) -> DataFrame:
     )
 
 
-def fuzzy_join(queries: DataFrame, catalog: DataFrame, exact_first: bool) -> DataFrame:
-    q = queries.select("query", F.lower("query").alias("low"))
-    c = catalog.select("ord", "name", F.lower("name").alias("c_low"))
-    parts = lambda x: f"array_distinct(flatten(transform(sequence(1, length({x})), i -> transform(sequence(1, length({x}) - i + 1), n -> substring({x}, i, n)))))"
-    inside = q.where("low <> ''").withColumn("part", F.explode(F.expr(parts("low")))).join(c, F.col("part") == F.col("c_low"))
-    around = c.where("c_low <> ''").withColumn("part", F.explode(F.expr(parts("c_low")))).join(q, F.col("part") == F.col("low"))
-    empty = c.where("c_low = ''").agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))  # an empty name is in all
-    first = c.agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
-    found = inside.select("query", "low", "c_low", "ord", "name").unionByName(around.select("query", "low", "c_low", "ord", "name"))
-    found = found.unionByName(q.join(F.broadcast(empty)).where("ord IS NOT NULL").select("query", "low", F.lit("").alias("c_low"), "ord", "name"))  # one row
-    found = found.unionByName(q.where("low = ''").join(F.broadcast(first)).where("ord IS NOT NULL").select("query", "low", F.lit(None).cast("string").alias("c_low"), "ord", "name"))  # one row
-    order = F.struct(F.when((F.col("low") == F.col("c_low")) & F.lit(exact_first), 0).otherwise(1).alias("e"), "ord")
-    best = found.groupBy("query").agg(F.min_by("name", order).alias("name"))
-    return queries.join(best, "query", "left").select("query", "name")
+def grams(text: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def fuzzy_voice(queries: DataFrame, catalog: DataFrame, exact_first: bool = False, most: int = 1000) -> DataFrame:
-    """The first catalog entry whose name equals, contains or is contained in the query, without regard to case.
+def containments(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): the texts of more than three characters of `small` (low) that occur within texts of `large` (low).
 
-    A catalog of up to `most` entries is searched as an array per query. A larger one is joined by equality: containment
-    is equality with one of the other name's substrings.
+    An inverted index of the large texts' trigrams is asked for each small text's rarest one only; what it gives is compared.
     """
-    entries = catalog.orderBy("ord").limit(most + 1).collect()
-    if len(entries) > most:
-        return fuzzy_join(queries, catalog, exact_first)
-    listed = F.array(*[F.struct(F.lit(e["name"].lower()).alias("low"), F.lit(e["name"]).alias("name")) for e in entries])
-    q = F.lower("query")
-    first = F.get(F.filter(listed, lambda v: F.contains(q, v["low"]) | F.contains(v["low"], q)), F.lit(0))
-    same = F.get(F.filter(listed, lambda v: v["low"] == q), F.lit(0))
-    return queries.select("query", (F.coalesce(same, first) if exact_first else first)["name"].alias("name"))
+    index = large.select(F.col("low").alias("large"), F.explode(grams(F.col("low"), 3)).alias("g"))
+    times = index.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = small.where(F.length("low") > 3).select(F.col("low").alias("small"), F.explode(grams(F.col("low"), 3)).alias("g")).join(times, "g")
+    rarest = rarest.groupBy("small").agg(F.min(F.struct("n", "g")).alias("r")).select("small", F.col("r.g").alias("g"))
+    return rarest.join(index, "g").where(F.contains("large", F.col("small"))).select("small", "large")
+
+
+def fuzzy_voice(queries: DataFrame, catalog: DataFrame, exact_first: bool = False) -> DataFrame:
+    """The first catalog entry (ord, name) whose name equals, contains or is contained in the query, without regard to case;
+    with `exact_first` an equal one before all others. Null names are no entries, null queries find nothing; an empty name or
+    query is within every other.
+
+    Texts of up to three characters are looked up among the other side's substrings of that length; longer ones by trigrams.
+    """
+    names = catalog.where("name IS NOT NULL").groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("ord", "name")).alias("f"))
+    asked = queries.where("query IS NOT NULL").select(F.lower("query").alias("low")).distinct()
+    short = lambda c: F.concat(*[grams(c, n) for n in (1, 2, 3)])
+    by_name = names.withColumnRenamed("low", "name_low")
+    found = containments(names, asked).select(F.col("large").alias("low"), F.col("small").alias("name_low")).join(by_name, "name_low").select("low", "name_low", "f")
+    within = asked.select("low", F.explode(short(F.col("low"))).alias("name_low")).join(by_name, "name_low").select("low", "name_low", "f")
+    around = containments(asked, names).select(F.col("small").alias("low"), F.col("large").alias("name_low")).join(by_name, "name_low").select("low", "name_low", "f")
+    firsts = names.select("f", F.explode(short(F.col("low"))).alias("low")).groupBy("low").agg(F.min("f").alias("f"))  # of the names with a short text in them
+    shorts = asked.join(firsts, "low").select("low", F.lit(None).cast("string").alias("name_low"), "f")
+    found = found.unionByName(within).unionByName(around).unionByName(shorts)
+    first, empty = names.agg(F.min("f").alias("f")).where("f IS NOT NULL"), by_name.where("name_low = ''").select("f")  # a row each
+    found = found.unionByName(asked.where("low = ''").join(F.broadcast(first)).select("low", F.lit(None).cast("string").alias("name_low"), "f"))
+    found = found.unionByName(asked.join(F.broadcast(empty)).select("low", F.lit("").alias("name_low"), "f"))
+    rank = F.struct(F.when((F.col("low") == F.col("name_low")) & F.lit(exact_first), 0).otherwise(1).alias("e"), F.col("f.ord").alias("ord"))
+    best = found.groupBy("low").agg(F.min_by("f.name", rank).alias("name"))
+    return queries.withColumn("low_", F.lower("query")).join(best, F.col("low_") == F.col("low"), "left").select("query", "name")
