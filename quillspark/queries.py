@@ -13,6 +13,7 @@ from quillspark.operators.order import numbered
 from quillspark.plans import render, reports
 from quillspark.sources.io import manifest, scratch_folder, table
 from quillspark.sources.pages import blank_page, decoded_pages, feed_pages, with_second_source, write_pages
+from quillspark.streaming import captions, catalog
 from quillspark.streaming.resume import pending
 
 QUERIES: dict = {}
@@ -881,3 +882,45 @@ FROM (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN chr(9) || ' ' ELSE text END AS
 def q_blank_pages(spark, d):
     t = F.expr("CASE doc_id % 2 WHEN 0 THEN '\t ' ELSE text END")
     return documents(spark, d).select("doc_id", lines.low_quality(t, 1).alias("no_text"), blank_page(t, (F.col("doc_id") % 3).cast("int")).alias("blank"))
+
+
+# --- streams ---
+
+ARRIVALS, FILES, LATE_S, DELAY = 3, 4, 7200, "4 hours"
+
+
+@query("q_captions_stream", ORACLES["q_captions"])
+def q_captions_stream(spark, d):
+    """The captions of `q_captions` as they arrive in some batches, part of them late; the last row moves the watermark past all."""
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("ord"), F.lit(0.0).alias("duration"), F.col("event_type").alias("text"))
+    came = rows.withColumn("came", (F.unix_micros("ts") / 1e6 + F.col("ord") % 5 * (LATE_S / 4)))
+    cuts = [float("-inf"), *came.approxQuantile("came", [i / ARRIVALS for i in range(1, ARRIVALS)], 0.01), float("inf")]
+    folder = scratch_folder(spark, "captions")
+    for low, high in zip(cuts, cuts[1:]):
+        came.where((F.col("came") >= low) & (F.col("came") < high)).drop("came").repartition(FILES).write.mode("append").parquet(f"{folder}/in")
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select(F.lit(None).cast("string").alias("video_id"), "ts", F.lit(0).cast("long").alias("ord"), F.lit(0.0).alias("duration"), F.lit("end").alias("text"))
+    end.write.mode("append").parquet(f"{folder}/in")
+    out = captions.speakers_of_files(spark, f"{folder}/in", "video_id string, ts timestamp, ord long, duration double, text string", CAPTION_GAP, DELAY, f"{folder}/out", f"{folder}/checkpoint", FILES)
+    g = out.groupBy(F.col("video_id").cast("long").alias("user_id"), "speaker").agg(F.sum(T.n_words(F.col("text"))).alias("n_words"), F.count("*").alias("captions"))
+    return g.where("n_words > 1")
+
+
+@query("q_catalog_refresh", """WITH b AS (SELECT left(s_name, 15) || (s_suppkey % 50) AS name, CASE s_suppkey % 4 WHEN 0 THEN NULL ELSE CAST(s_suppkey % 100 AS DOUBLE) / 100 END AS quality, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS created, CAST(s_nationkey AS INTEGER) AS clips, s_suppkey % 3 AS batch FROM supplier),
+l AS (SELECT name, batch, first(coalesce(quality, 0) ORDER BY created DESC) AS quality, max(created) AS created, first(clips ORDER BY created DESC) AS clips FROM b GROUP BY name, batch)
+SELECT name, arg_max(quality, batch) AS quality, arg_max(created, batch) AS created, arg_max(clips, batch) AS clips, min(batch) AS first_batch, max(batch) AS batch FROM l GROUP BY name""")
+def q_catalog_refresh(spark, d):
+    """Profiles made from suppliers arrive in three batches; the second arrives twice, and the first two are compacted."""
+    s = table(spark, d, "supplier")
+    rows = s.select(
+        F.concat(F.left("s_name", F.lit(15)), F.col("s_suppkey") % 50).alias("name"), F.when(F.col("s_suppkey") % 4 != 0, (F.col("s_suppkey") % 100).cast("double") / 100).alias("quality"),
+        F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("created"), F.col("s_nationkey").cast("int").alias("clips"), (F.col("s_suppkey") % 3).alias("batch"),
+    )
+    folder = scratch_folder(spark, "profiles")
+    for k in range(3):
+        rows.where(F.col("batch") == k).drop("batch").write.json(f"{folder}/in/{k}")
+        catalog.refresh(spark, f"{folder}/in/*", f"{folder}/catalog", f"{folder}/checkpoint")
+        if k == 1:
+            catalog.upsert(rows.where(F.col("batch") == 1).drop("batch"), 1, f"{folder}/catalog")
+            catalog.compact(spark, f"{folder}/catalog", 1)
+    return catalog.read_catalog(spark, f"{folder}/catalog")
