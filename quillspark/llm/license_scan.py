@@ -12,11 +12,14 @@ length are read whole. Equal intervals and priorities are decided by the label's
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import NON_WORD, ascii_lower, table
 from quillspark.llm.license_rules import RULES
+from quillspark.llm.spans import best_first, placed
 
 # Fixed values of the contract: phrase and label.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -26,47 +29,32 @@ PLACE = "array<struct<start:int,label:string>>"
 
 
 def strings(xs: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+    return F.from_json(F.lit(json.dumps(xs)), "array<string>")
 
 
 def rules_array(rules: list[Rule]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(b).alias("rx"), strings(list(c)).alias("keywords"), F.lit(d).alias("priority"), F.lit(e).alias("sure"))
-        for a, b, c, d, e in rules
-    ])
+    """The rules as one constant."""
+    rows = [{"label": a, "rx": b, "keywords": list(c), "priority": d, "sure": e} for a, b, c, d, e in rules]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,rx:string,keywords:array<string>,priority:int,sure:double>>")
 
 
 def spans_of(norm: Column, rule: Column) -> Column:
     """Word intervals [start, end) of a rule's matches in ' w0 w1 ... '; a match begins at the space before a word."""
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    found = F.regexp_extract_all(norm, rule["rx"], F.lit(0))
-    pieces = F.split(norm, rule["rx"])
-    step = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(spaces(p).alias("skip"), spaces(m).alias("take")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(
-        step, zero,
-        lambda a, s: F.struct(
-            (a["at"] + s["skip"] + s["take"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct(
-                (a["at"] + s["skip"]).alias("start"), (a["at"] + s["skip"] + s["take"]).alias("end"),
-                rule["priority"].alias("priority"), rule["sure"].alias("sure"), rule["label"].alias("label"),
-            ))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def span(start: Column, end: Column, m: Column, gap: Column, behind: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["sure"].alias("sure"), rule["label"].alias("label"))
+
+    return placed(F.regexp_extract_all(norm, rule["rx"], F.lit(0)), F.split(norm, rule["rx"]), spaces, span, SPAN[6:-1])
 
 
 def suppress(spans: Column) -> Column:
     """Without the intervals that lie inside, or hold, one that goes before: by priority, length, place and label."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        (-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("n"), s["start"].alias("start"), s["label"].alias("label"), s["end"].alias("end"), s["priority"].alias("priority"), s["sure"].alias("sure"),
-    )))
     nested = lambda a, b: ((a["start"] >= b["start"]) & (a["end"] <= b["end"])) | ((b["start"] >= a["start"]) & (b["end"] <= a["end"]))
-    kept = F.aggregate(
-        ordered, F.array().cast(SPAN),
-        lambda a, s: F.when(F.exists(a, lambda t: nested(s, t)), a).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["priority"].alias("priority"), s["sure"].alias("sure"), s["label"].alias("label"))))),
-    )
-    return F.array_sort(kept)
+    rank = lambda s: F.struct((-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("n"), s["start"].alias("s"), s["label"].alias("l"))
+    outer_first = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["priority"].alias("priority"), s["sure"].alias("sure"), s["label"].alias("label"))))
+    ordered = F.transform(outer_first, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["priority"].alias("priority"), s["sure"].alias("sure"), s["label"].alias("label")))
+    return F.array_sort(best_first(ordered, rank, nested, True))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:

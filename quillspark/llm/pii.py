@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import table
+from quillspark.llm.spans import apart_from, best_first, placed
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -86,21 +87,13 @@ def passes(kind: str, s: Column) -> Column:
 
 def matches(text: Column, kind: str, rx: str, gate: str) -> Column:
     """All leftmost matches with their places and up to 16 characters before and 1 after, within the gap to the next match."""
-    found, gaps = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx)
-    steps = F.transform(found, lambda m, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), m.alias("m"), F.substring(F.element_at(gaps, i + 2), 1, 1).alias("right")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    spans = F.aggregate(
-        steps, zero,
-        lambda a, s: F.struct(
-            (a["at"] + F.length(s["gap"]) + F.length(s["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(
-                F.lit(kind).alias("kind"), (a["at"] + F.length(s["gap"])).alias("start"), (a["at"] + F.length(s["gap"]) + F.length(s["m"])).alias("end"),
-                s["m"].alias("text"), F.right(s["gap"], F.lit(16)).alias("left"), s["right"].alias("right"),
-            ))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(gate), spans).otherwise(F.array().cast(SPAN))
+    def span(start: Column, end: Column, m: Column, gap: Column, behind: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m.alias("text"), F.right(gap, F.lit(16)).alias("left"), F.substring(behind, 1, 1).alias("right"),
+        )
+
+    found = placed(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx), F.length, span, SPAN[6:-1])
+    return F.when(text.rlike(gate), found).otherwise(F.array().cast(SPAN))
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -250,6 +243,27 @@ def tree_case(debug: str, f: dict[str, Column]) -> Column:
     return node(0)[0]
 
 
+def tree_sql(debug: str, f: str) -> str:
+    """A tree's debug text as an SQL expression over the fields of `f`."""
+    lines = [x.strip() for x in debug.splitlines()[1:] if x.strip()]
+
+    def node(i: int) -> tuple[str, int]:
+        if lines[i].startswith("Predict"):
+            return f"{float(lines[i].split(':')[1])!r}D", i + 1
+        number, bound = re.search(r"feature (\d+) <= (\S+?)\)", lines[i]).groups()
+        yes, i = node(i + 1)
+        no, i = node(i + 1)  # past the Else line
+        return f"CASE WHEN {f}.{FEATURES[int(number)]} <= {float(bound)!r}D THEN {yes} ELSE {no} END", i
+
+    return node(0)[0]
+
+
+def probability_sql(trees: list[tuple[float, str]], f: str) -> str:
+    """As `probability`, from text, which the engine reads at once."""
+    margin = " + ".join(["0.0D", *[f"{float(w)!r}D * ({tree_sql(d, f)})" for w, d in trees]])
+    return f"1 / (1 + exp(-2 * ({margin})))"
+
+
 def probability(trees: list[tuple[float, str]], f: dict[str, Column]) -> Column:
     margin = sum((F.lit(w) * tree_case(d, f) for w, d in trees), F.lit(0.0))
     return 1 / (1 + F.exp(-2 * margin))
@@ -274,13 +288,14 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             t = F.when(kind == k, v).otherwise(t)
         return t
 
-    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
+    by_start = lambda x: F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("c"))))
     # features once a candidate, below the trees that read them
-    seen = F.transform(F.filter("more", lambda c: F.forall(F.col("base"), lambda b: apart(b, c))), lambda c: F.struct(c.alias("c"), F.struct(*[v.alias(k) for k, v in features(c).items()]).alias("f")))
-    scored = F.transform(seen, lambda x: F.struct(x["c"].alias("c"), probability(trees, {k: x["f"][k] for k in FEATURES}).alias("p")))
-    rows = rows.withColumn("scored", F.when(F.size("more") > 0, scored))
-    ranked = F.array_sort(F.transform(F.filter("scored", lambda x: x["p"] >= threshold(x["c"]["kind"])), lambda x: F.struct((-x["p"]).alias("p"), x["c"]["start"].alias("start"), x["c"].alias("c"))))
-    free = F.aggregate(ranked, F.array().cast(SPAN), lambda out, x: F.when(F.forall(out, lambda o: apart(o, x["c"])), F.concat(out, F.array(x["c"]))).otherwise(out))
+    seen = F.transform(apart_from(by_start(F.col("more")), by_start(F.col("base"))), lambda x: x["c"])
+    seen = F.transform(seen, lambda c: F.struct(c.alias("c"), F.struct(*[v.alias(k) for k, v in features(c).items()]).alias("f")))
+    rows = rows.withColumn("seen", F.when(F.size("more") > 0, seen)).withColumn("scored", F.expr(f"transform(seen, x -> struct(x.c AS c, {probability_sql(trees, 'x.f')} AS p))"))
+    likely = F.transform(F.filter("scored", lambda x: x["p"] >= threshold(x["c"]["kind"])), lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["end"].alias("end"), x["p"].alias("p"), x["c"].alias("c")))
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    free = F.transform(best_first(F.array_sort(likely), lambda x: F.struct((-x["p"]).alias("p"), x["start"].alias("s"), x["c"].alias("c")), overlap), lambda x: x["c"])
     rows = rows.withColumn("added", F.coalesce(F.when(F.size("scored") > 0, free), F.array().cast(SPAN)))
 
     def of_kind(x: Column, kind: str) -> Column:
