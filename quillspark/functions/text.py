@@ -143,3 +143,10 @@ def clamp(c: Column, low: float, high: float) -> Column:
 def middle_capitals(chunks: Column) -> Column:
     """Chunks but the first and last start with a capital."""
     return F.transform(chunks, lambda x, i: F.when((i > 0) & (i < F.size(chunks) - 1), F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, F.lit(2), F.length(x)))).otherwise(x))
+
+
+def title_case(c: Column) -> Column:
+    """Each run of letters that have a case with a capital first and small ones after, as in O'Neil-Smith; `initcap` only knows
+    spaces. Letters whose capital is two letters get both as capitals."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
-from quillspark.functions.text import contains_any, keyword_class, strip
+from quillspark.functions.text import contains_any, keyword_class, strip, title_case
 from quillspark.operators.speakers import foremost
 
 CLONED_MARKS = ["(Cloned)", "cloned_", "🎬", "(Custom)"]  # fixed values
@@ -21,7 +21,7 @@ def is_cloned(name: Column) -> Column:
 def clean_voice_name(name: Column) -> Column:
     """Display name without marks; a `cloned_` id becomes capitalised words."""
     plain = strip(F.replace(F.replace(name, F.lit("🎬 "), F.lit("")), F.lit(" (Cloned)"), F.lit("")))
-    return F.when(plain.startswith("cloned_"), F.initcap(F.replace(F.replace(plain, F.lit("cloned_"), F.lit("")), F.lit("_"), F.lit(" ")))).otherwise(plain)
+    return F.when(plain.startswith("cloned_"), title_case(F.replace(F.replace(plain, F.lit("cloned_"), F.lit("")), F.lit("_"), F.lit(" ")))).otherwise(plain)
 
 
 def preview_text(text: Column) -> Column:
@@ -83,7 +83,7 @@ def clip_totals(clips: DataFrame, id_col: str = "conv_id") -> DataFrame:
 def chapter_of_file(stem: Column, ordinal: Column) -> Column:
     """(number, title) of a media file: the number its name has, else its place; `Chapter n`, and what is left of a longer name."""
     number = F.coalesce(F.nullif(F.regexp_extract(F.lower(stem), r"chapter[_\s]*(\d+)", 1), F.lit("")), ordinal.cast("string"))
-    rest = F.initcap(F.replace(F.regexp_replace(stem, r"(?i)chapter[_\s]*\d+[_\s]*", ""), F.lit("_"), F.lit(" ")))
+    rest = title_case(F.replace(F.regexp_replace(stem, r"(?i)chapter[_\s]*\d+[_\s]*", ""), F.lit("_"), F.lit(" ")))
     title = F.concat(F.lit("Chapter "), number, F.when((F.length(stem) > 10) & (rest != ""), F.concat(F.lit(": "), F.left(rest, F.lit(50)))).otherwise(""))
     return F.struct(number.alias("number"), title.alias("title"))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import duration_estimate, n_words
+from quillspark.functions.text import duration_estimate, n_words, strip
 from quillspark.operators.chunking import pack_trailing
 
 LEAD_MS, GAP_MS = 500, 300
+# Silences of a timeline in milliseconds: at the start, before each chunk but the first, after each chunk, after the last. Fixed values.
+PROFILES = {"basic": (500, 0, 500, 500), "flowing": (300, 0, 200, 300), "direct": (500, 0, 300, 300), "enhanced": (300, 400, 0, 0), "preview": (100, 0, 100, 100)}
+SHORTEST = {"enhanced": 10}  # characters of a chunk that a profile leaves out below
 
 
 def render_plan(docs: DataFrame, voices: list[str], most: int = 250, least: int = 20) -> DataFrame:
@@ -22,6 +25,21 @@ def render_plan(docs: DataFrame, voices: list[str], most: int = 250, least: int
     return rows.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("est_ms"))
 
 
+def timeline(chunks: DataFrame, profile: str, id_col: str = "doc_id") -> DataFrame:
+    """`chunks` (id, chunk_no from 0, chunk) with est_ms, start_ms, end_ms and total_ms, the text's whole length, by a profile's
+    silences. The last chunk is the one with the greatest number, whether the profile leaves others out or not."""
+    lead, before, after, last = PROFILES[profile]
+    whole = Window.partitionBy(id_col)
+    ordered = whole.orderBy("chunk_no")
+    rows = chunks.withColumn("last_", F.max("chunk_no").over(whole)).where(F.length(strip(F.col("chunk"))) >= SHORTEST.get(profile, 0))
+    est = (duration_estimate(F.length("chunk")) * 1000).cast("long")
+    rows = rows.withColumns({"est_ms": est, "pre_": F.when(F.col("chunk_no") > 0, before).otherwise(0), "post_": F.when(F.col("chunk_no") == F.col("last_"), last).otherwise(after)})
+    own = F.col("pre_") + F.col("est_ms") + F.col("post_")
+    start = lead + F.coalesce(F.sum(own).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("pre_")
+    out = rows.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("est_ms")).withColumn("total_ms", lead + F.sum(own).over(whole))
+    return out.drop("last_", "pre_", "post_")
+
+
 def diarize(captions: DataFrame, gap: float, id_col: str = "video_id") -> DataFrame:
     """Two speakers in turn, changing at gaps over `gap` seconds; blank captions are left out before. (id, ord, start, duration, text)."""
     spoken = captions.where(F.trim(F.coalesce("text", F.lit(""))) != "")

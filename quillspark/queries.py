@@ -924,3 +924,116 @@ def q_catalog_refresh(spark, d):
             catalog.upsert(rows.where(F.col("batch") == 1).drop("batch"), 1, f"{folder}/catalog")
             catalog.compact(spark, f"{folder}/catalog", 1)
     return catalog.read_catalog(spark, f"{folder}/catalog")
+
+
+# --- timelines, spoken forms, names and voices ---
+
+TIMELINES = " UNION ALL ".join(
+    f"""SELECT doc_id, '{name}' AS profile, chunk_no, est_ms, {lead} + {before} * CAST(chunk_no > 0 AS INTEGER) + coalesce(sum(own) OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ms, {lead} + sum(own) OVER (PARTITION BY doc_id) AS total_ms
+FROM (SELECT *, CASE WHEN chunk_no > 0 THEN {before} ELSE 0 END + est_ms + CASE WHEN chunk_no = last_ THEN {last} ELSE {after} END AS own FROM te WHERE n >= {render.SHORTEST.get(name, 0)})"""
+    for name, (lead, before, after, last) in render.PROFILES.items()
+)
+
+
+@query("q_timelines", f"""WITH RECURSIVE {CHUNKS.replace('>= 20', '>= 1')},
+te AS (SELECT doc_id, chunk_no, length(chunk) AS n, CAST(floor(greatest(1.0, length(chunk) * 0.08::DOUBLE) * 1000) AS BIGINT) AS est_ms, max(chunk_no) OVER (PARTITION BY doc_id) AS last_ FROM chunks)
+SELECT *, start_ms + est_ms AS end_ms FROM ({TIMELINES})""")
+def q_timelines(spark, d):
+    chunks = documents(spark, d).select("doc_id", F.posexplode(chunking.pack_trailing(F.col("text"), 250, 1)).alias("chunk_no", "chunk"))
+    out = None
+    for name in render.PROFILES:
+        rows = render.timeline(chunks, name).select("doc_id", F.lit(name).alias("profile"), "chunk_no", "est_ms", "start_ms", "end_ms", "total_ms")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# Ten shapes of sentences; each rule of the spoken forms fires in one of them.
+SHAPES = [
+    "'At 7 A.M. or 8 p.m. Order ' || k || ' left; PM and AM.'", "'The U.S.A. and the u.k. and the F.B.I. asked the C.I.A. about N.A.S.A. ' || k", "'USA, UK, FBI, CIA, NASA: ' || k", "'Jo Roe, Ph.D. and M.D., M.A. or BA, no. ' || k",
+    "'Dr. A, Mr. B, Mrs. C, Ms. D, Prof. E of St. F, Ave. G, Rd. ' || k", "k % 9 || ' ft and ' || k % 7 || ' in. by ' || k % 5 || 'lbs, ' || k % 3 || ' lb.'", "k % 80 || ' kg. at ' || k % 120 || 'mph or ' || k % 200 || ' km/h'",
+    "'Since 1' || (900 + k % 99) || ' and 20' || (10 + k % 89) || ', not 1899.'", "(k % 999) || ',' || (100 + k % 899) || ' and 1,234,567 of ' || k", "'M. Frank met J. R. Roe and b. Cole ' || k",
+]
+
+
+def _spoken_sql(x: str) -> str:
+    for rx, to in [*P.SPELT, *P.DEGREES, *P.TITLES, *P.UNITS, *P.NUMBERS]:
+        x = f"regexp_replace({x}, '{rx}', '{to.replace('$', chr(92))}', 'g')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+SHAPED = "SELECT o_orderkey, CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SHAPES)) + " END AS t FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)"
+
+
+@query("q_spoken_forms", f"SELECT o_orderkey, {_spoken_sql('t')} AS spoken FROM ({SHAPED})")
+def q_spoken_forms(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"))
+    t = F.expr("CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SHAPES)) + " END")
+    return rows.select("o_orderkey", T.spoken(t).alias("spoken"))
+
+
+TITLED = "array_to_string(list_transform(regexp_extract_all(t, '[\\p{Lu}\\p{Ll}\\p{Lt}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}]+'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '')"
+
+
+@query("q_title_case", f"SELECT doc_id, {TITLED} AS titled FROM (SELECT doc_id, concat('o''neil-', upper(left(source, 3)), '_', left(replace(text, 'ß', 's'), 60)) AS t FROM documents)")
+def q_title_case(spark, d):
+    t = F.expr("concat('o\\'neil-', upper(left(source, 3)), '_', left(replace(text, 'ß', 's'), 60))")
+    return documents(spark, d).select("doc_id", T.title_case(t).alias("titled"))
+
+
+@query("q_chunk_size", "SELECT p_partkey, greatest(100, least(400, p_size * 12)) AS chunk_size, greatest(80, least(600, p_size * 20)) AS preview_size FROM part")
+def q_chunk_size(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.clamp(F.col("p_size") * 12, 100, 400).alias("chunk_size"), T.clamp(F.col("p_size") * 20, 80, 600).alias("preview_size"))
+
+
+@query("q_stabilized", f"""WITH RECURSIVE {CHUNKS}, l AS (SELECT doc_id, max(chunk_no) AS last_ FROM chunks GROUP BY doc_id)
+SELECT doc_id, chunk_no, md5(CASE WHEN chunk_no > 0 AND chunk_no < last_ THEN upper(left(chunk, 1)) || substr(chunk, 2) ELSE chunk END) AS chunk FROM chunks JOIN l USING (doc_id)""")
+def q_stabilized(spark, d):
+    chunks = T.middle_capitals(F.col("x"))
+    return documents(spark, d).select("doc_id", chunking.pack_trailing(F.col("text"), 250, 20).alias("x")).select("doc_id", F.posexplode(chunks).alias("chunk_no", "c")).select("doc_id", "chunk_no", F.md5("c").alias("chunk"))
+
+
+GREEDY = rf"""{FOUND},
+gj AS (SELECT conv_id, speaker, string_agg(words, ' ' ORDER BY line_no, k) AS t FROM found GROUP BY conv_id, speaker),
+gc AS (SELECT conv_id, speaker, {_count_sql(P.FORMAL)} AS f, {_count_sql(P.CASUAL)} AS c, {_count_sql(P.EXCITED, '[!]+|[?!]+|')} AS e, {_count_sql(P.CALM)} AS m, greatest(len(string_split_regex(t, '[.!?]+')), 1) AS n FROM gj),
+gs AS (SELECT conv_id, speaker, dialogues, n_words, first_at, f / greatest(f + c, 1) AS formality, e / n AS excitement, m / n AS calmness FROM counts JOIN gc USING (conv_id, speaker)),
+gr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY dialogues DESC, first_at) AS rk FROM gs),
+ga(conv_id, rk, used, speaker, voice_id) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM gr
+  UNION ALL
+  SELECT conv_id, rk, list_append(used, voice), speaker, voice FROM (
+    SELECT gr.conv_id, gr.rk, used, gr.speaker, coalesce(
+      list_filter([CASE WHEN formality > 0.7 THEN 'david_male_us' WHEN excitement > 0.5 THEN 'jenny_female_us' WHEN calmness > 0.5 THEN 'mary_female_uk' END], lambda v: v IS NOT NULL AND NOT list_contains(used, v))[1],
+      list_filter(['jenny_female_us', 'david_male_us', 'mary_female_uk', 'narrator_neutral'], lambda v: NOT list_contains(used, v))[1]) AS voice
+    FROM ga JOIN gr ON gr.conv_id = ga.conv_id AND gr.rk = ga.rk + 1) WHERE voice IS NOT NULL)"""
+ORACLES["q_voice_greedy"] = f"WITH RECURSIVE {GREEDY} SELECT conv_id, speaker, voice_id FROM ga WHERE rk > 0"
+
+
+@query("q_voice_default", f"WITH RECURSIVE {GREEDY} SELECT counts.conv_id, counts.speaker, coalesce(voice_id, 'narrator_neutral') AS voice_id FROM counts LEFT JOIN (SELECT * FROM ga WHERE rk > 0) a USING (conv_id, speaker)")
+def q_voice_default(spark, d):
+    counts = speakers.speaker_counts(_found(spark, d), "conv_id")
+    return speakers.voices_or_default(counts, QUERIES["q_voice_greedy"](spark, d), "narrator_neutral", "conv_id").select("conv_id", "speaker", "voice_id")
+
+
+CUT = r"""
+ds AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE trim(text) <> ''),
+cut(doc_id, i, cur, out) AS (
+  SELECT doc_id, 0, '', []::VARCHAR[] FROM ds
+  UNION ALL
+  SELECT doc_id, i + 1,
+    CASE WHEN x IS NULL THEN '' WHEN length(x) > 200 THEN substr(x, (length(x) - 1) // 200 * 200 + 1) WHEN length(cur) + length(x) + 1 <= 200 THEN trim(concat(cur, ' ', x)) ELSE x END,
+    CASE WHEN x IS NULL THEN [cur] WHEN length(x) > 200 THEN list_append(list_transform(range(0, (length(x) - 1) // 200), lambda k: substr(x, CAST(k * 200 + 1 AS BIGINT), 200)), cur)
+      WHEN length(cur) + length(x) + 1 <= 200 THEN [] ELSE [cur] END
+  FROM (SELECT cut.doc_id, i, cur, s[i + 1] AS x FROM cut JOIN ds USING (doc_id) WHERE i <= len(s)))"""
+ORACLES["q_chunk_v4"] = f"""WITH RECURSIVE {CUT},
+e AS (SELECT doc_id, i, j, regexp_replace(regexp_replace(out[j], '^\\s+', ''), '\\s+$', '') AS c FROM cut, unnest(range(1, len(out) + 1)) AS t(j))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_no, length(c) AS n_chars, md5(c) AS chunk FROM e WHERE c <> ''"""
+ORACLES["q_chunk_v5"] = r"""WITH RECURSIVE
+dp AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS p FROM documents WHERE trim(text) <> ''),
+ds AS (SELECT doc_id, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM dp WHERE length(p) + 2 > 5000),
+pk(doc_id, i, cur, out) AS (
+  SELECT doc_id, 0, '', NULL::VARCHAR FROM ds
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN x IS NULL THEN '' WHEN length(cur) + length(x) + 1 <= 5000 THEN CASE WHEN cur = '' THEN x ELSE concat(cur, ' ', x) END ELSE x END, CASE WHEN x IS NULL OR length(cur) + length(x) + 1 > 5000 THEN cur END
+  FROM (SELECT pk.doc_id, i, cur, s[i + 1] AS x FROM pk JOIN ds USING (doc_id) WHERE i <= len(s))),
+e AS (SELECT doc_id, i, out AS c FROM pk WHERE length(out) >= 30 UNION ALL SELECT doc_id, 0, p FROM dp WHERE length(p) + 2 <= 5000 AND length(p) >= 30)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, length(c) AS n_chars, md5(c) AS chunk FROM e"""
