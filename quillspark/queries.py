@@ -1037,3 +1037,50 @@ pk(doc_id, i, cur, out) AS (
   FROM (SELECT pk.doc_id, i, cur, s[i + 1] AS x FROM pk JOIN ds USING (doc_id) WHERE i <= len(s))),
 e AS (SELECT doc_id, i, out AS c FROM pk WHERE length(out) >= 30 UNION ALL SELECT doc_id, 0, p FROM dp WHERE length(p) + 2 <= 5000 AND length(p) >= 30)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, length(c) AS n_chars, md5(c) AS chunk FROM e"""
+
+
+# --- books with title pages, and notes of voices ---
+
+TITLE_PAGE = r"""CASE page_idx WHEN 0 THEN concat('Page of ', source, chr(10), 'by ', upper(left(source, 1)), 'ara Mill-Roe') WHEN 1 THEN CASE length(source) % 2 WHEN 0 THEN concat('THE LONG ROAD ', upper(source)) ELSE 'My Life, a Memoir' END
+  WHEN 2 THEN concat('The Tale of a ', source, ' Story') WHEN 3 THEN 'Author: Jo Bell' ELSE 'chapter one' END"""
+TITLED_PAGES = f"pages_ AS (SELECT source, page_idx, concat({TITLE_PAGE}, chr(10), text) AS text FROM (SELECT source, text, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_idx FROM documents))"
+
+
+def titled_pages(spark: SparkSession, d: str, n: int) -> DataFrame:
+    return first_pages(spark, d, n).select("source", "page_idx", F.concat(F.expr(TITLE_PAGE), F.lit("\n"), "text").alias("text"))
+
+
+@query("q_book_titles", ORACLES["q_title"].replace(PAGES, TITLED_PAGES))
+def q_book_titles(spark, d):
+    return metadata.titles(titled_pages(spark, d, 5))
+
+
+@query("q_book_authors", ORACLES["q_author"].replace(PAGES, TITLED_PAGES))
+def q_book_authors(spark, d):
+    return metadata.authors(titled_pages(spark, d, 3))
+
+
+@query("q_voice_notes", """WITH c AS (SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS VARCHAR) AS s, least(count(*) / 10.0::DOUBLE, 1) AS q FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
+SELECT conv_id, concat('# Voice Model: v', conv_id, chr(10), chr(10), '## Files', chr(10), '- `voice_profile.json`: characteristics', chr(10), '- `voice_samples/`: ', n, ' sample clips', chr(10), chr(10), '## Statistics', chr(10), '- Total samples: ', n, chr(10),
+  '- Total duration: ', s, 's', chr(10), '- Quality score: ', printf('%.2f', q), chr(10), chr(10), '## Source', chr(10), CASE WHEN conv_id % 2 = 0 THEN 'talk' ELSE 'unknown' END, chr(10)) AS notes FROM c""")
+def q_voice_notes(spark, d):
+    c = table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("s"), media.profile_quality(F.count("*")).alias("q"))
+    origin = F.when(F.col("conv_id") % 2 == 0, "talk")
+    return c.select("conv_id", reports.voice_notes(F.concat(F.lit("v"), "conv_id"), F.col("n"), F.col("s").cast("string"), F.col("q"), origin).alias("notes"))
+
+ORACLES["q_voice_scored"] = "WITH RECURSIVE " + GREEDY[: GREEDY.index("gr AS")] + f"""gr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY dialogues + n_words / 100 DESC, first_at) AS rk FROM gs),
+ga(conv_id, rk, used, speaker, voice_id) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM gr
+  UNION ALL
+  SELECT conv_id, rk, list_append(used, voice), speaker, voice FROM (
+    SELECT gr.conv_id, gr.rk, used, gr.speaker, list_filter(list_concat(CASE WHEN formality > 0.7 THEN ['p231', 'p240'] WHEN excitement > 0.6 THEN ['p233', 'p245'] WHEN calmness > 0.6 THEN ['p228', 'p234', 'p236'] ELSE [] END,
+      [{", ".join(repr(v) for v, *_ in P.SCORED_VOICES)}]), lambda v: NOT list_contains(used, v))[1] AS voice
+    FROM ga JOIN gr ON gr.conv_id = ga.conv_id AND gr.rk = ga.rk + 1) WHERE voice IS NOT NULL)
+SELECT conv_id, speaker, voice_id FROM ga WHERE rk > 0"""
+ORACLES["q_clip_repeat"] = """WITH RECURSIVE
+c AS (SELECT conv_id, turn AS clip_no, length(text) * 0.08::DOUBLE AS duration_s FROM conversations WHERE length(text) * 0.08::DOUBLE BETWEEN 2 AND 10),
+r AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(duration_s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS laid FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY duration_s DESC, clip_no)),
+f AS (SELECT conv_id, rank, duration_s FROM r WHERE laid + (rank - 1) * 0.2::DOUBLE < 60),
+x AS (SELECT conv_id, list(duration_s ORDER BY rank) AS d, sum(duration_s + 0.2::DOUBLE) AS own FROM f GROUP BY conv_id),
+g(conv_id, n, t) AS (SELECT conv_id, len(d), own FROM x UNION ALL SELECT g.conv_id, n + 1, t + d[n % len(d) + 1] + 0.3::DOUBLE FROM g JOIN x USING (conv_id) WHERE t < 60)
+SELECT conv_id, CAST(max(n) AS INTEGER) AS clips, max(t) AS total_s FROM g GROUP BY conv_id"""
