@@ -1,4 +1,4 @@
-"""Text functions as Column expressions."""
+"""Text functions as Column expressions. The regular expressions in them are fixed values that results depend on."""
 
 from __future__ import annotations
 

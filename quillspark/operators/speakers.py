@@ -12,7 +12,7 @@ NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
 
 
 def line_patterns(verbs: list[str]) -> list[tuple[str, int, int]]:
-    """(expression, group of the name, group of the words)."""
+    """(expression, group of the name, group of the words). Fixed values."""
     v = "(?:" + "|".join(verbs) + ")"
     return [
         (rf'"([^"]+)"\s*,?\s*{v}\s+({NAME})', 2, 1), (rf'({NAME})\s+{v}\s*,?\s*"([^"]+)"', 1, 2),
