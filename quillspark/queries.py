@@ -886,7 +886,7 @@ def q_blank_pages(spark, d):
 
 # --- streams ---
 
-ARRIVALS, FILES, LATE_S, DELAY = 3, 4, 7200, "4 hours"
+ARRIVALS, FILES, LATE_S, DELAY, STATE_PARTS = 3, 4, 7200, "4 hours", 8
 
 
 @query("q_captions_stream", ORACLES["q_captions"])
@@ -901,7 +901,7 @@ def q_captions_stream(spark, d):
         came.where((F.col("came") >= low) & (F.col("came") < high)).drop("came").repartition(FILES).write.mode("append").parquet(f"{folder}/in")
     end = rows.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select(F.lit(None).cast("string").alias("video_id"), "ts", F.lit(0).cast("long").alias("ord"), F.lit(0.0).alias("duration"), F.lit("end").alias("text"))
     end.write.mode("append").parquet(f"{folder}/in")
-    out = captions.speakers_of_files(spark, f"{folder}/in", "video_id string, ts timestamp, ord long, duration double, text string", CAPTION_GAP, DELAY, f"{folder}/out", f"{folder}/checkpoint", FILES)
+    out = captions.speakers_of_files(spark, f"{folder}/in", "video_id string, ts timestamp, ord long, duration double, text string", CAPTION_GAP, DELAY, f"{folder}/out", f"{folder}/checkpoint", FILES, STATE_PARTS)
     g = out.groupBy(F.col("video_id").cast("long").alias("user_id"), "speaker").agg(F.sum(T.n_words(F.col("text"))).alias("n_words"), F.count("*").alias("captions"))
     return g.where("n_words > 1")
 

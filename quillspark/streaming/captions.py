@@ -66,14 +66,18 @@ def stream_speakers(captions: DataFrame, gap: float, delay: str) -> DataFrame:
     return rows.groupBy("video_id").transformWithStateInPandas(Turns(gap), OUT, "Append", "EventTime")
 
 
-def speakers_of_files(spark: SparkSession, source: str, schema: str, gap: float, delay: str, sink: str, checkpoint: str, files: int = 1) -> DataFrame:
-    """Captions of the Parquet files of a folder, as they arrive, `files` in a batch; the speakers are appended to `sink`."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+def speakers_of_files(spark: SparkSession, source: str, schema: str, gap: float, delay: str, sink: str, checkpoint: str, files: int = 1, partitions: int | None = None) -> DataFrame:
+    """Captions of the Parquet files of a folder, as they arrive, `files` in a batch; the speakers are appended to `sink`. The
+    state has `partitions` parts, by default the session's shuffle partitions; a checkpoint keeps the number it began with."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
         q = stream_speakers(rows, gap, delay).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(OUT).parquet(sink)
