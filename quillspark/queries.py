@@ -1084,3 +1084,22 @@ f AS (SELECT conv_id, rank, duration_s FROM r WHERE laid + (rank - 1) * 0.2::DOU
 x AS (SELECT conv_id, list(duration_s ORDER BY rank) AS d, sum(duration_s + 0.2::DOUBLE) AS own FROM f GROUP BY conv_id),
 g(conv_id, n, t) AS (SELECT conv_id, len(d), own FROM x UNION ALL SELECT g.conv_id, n + 1, t + d[n % len(d) + 1] + 0.3::DOUBLE FROM g JOIN x USING (conv_id) WHERE t < 60)
 SELECT conv_id, CAST(max(n) AS INTEGER) AS clips, max(t) AS total_s FROM g GROUP BY conv_id"""
+_ODD = lambda x, mark: f"(length({x}) - length(replace({x}, '{mark}', ''))) % 2 = 1"
+ORACLES["q_paragraphs"] = rf"""WITH RECURSIVE
+ln AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: {sql_strip('y')}) AS l FROM documents),
+ft AS (SELECT doc_id, i, l[i] AS x, len({sql_words('l[i]')}) AS n, regexp_matches(l[i], '^\p{{Lu}}') AS up, regexp_matches(l[i], '^\p{{Ll}}') AS low,
+    regexp_matches(l[i], '(?i)^(and|or|but|yet|so|for|nor|because|since|although|though|while|whereas|that|which|who|whom|whose|where|when|why|how|to|from|with|without|under|over|through|during|he|she|it|they|we|you|i)\s') AS joins,
+    regexp_matches(l[i], '^((Chapter|Section|Part|\d+\.|•|\*|-)\s|"|[A-Z][a-z]+,|In \d{{4}})') OR (upper(l[i]) = l[i] AND regexp_matches(l[i], '\p{{Lu}}')) AS opens FROM ln, unnest(range(1, len(l) + 2)) AS t(i)),
+pr(doc_id, i, par, before, x) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, '', NULL::VARCHAR, NULL::VARCHAR FROM ln
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN x IS NULL THEN '' WHEN go THEN {sql_strip(r"regexp_replace(par || ' ' || x, '\s+', ' ', 'g')")} ELSE x END, CASE WHEN NOT go AND par <> '' THEN par END, CASE WHEN NOT go AND x = '' THEN x END
+  FROM (SELECT ft.doc_id, ft.i, par, ft.x, coalesce(ft.x <> '' AND par <> '' AND NOT (up AND n <= 3) AND ({_ODD('par', '"')} OR length(replace(par, ')', '')) < length(replace(par, '(', '')) OR joins
+      OR ((NOT regexp_matches(par, '[.!?:;]$') OR {_ODD('par', "''")} OR low) AND NOT (opens OR (up AND n > 8)))), FALSE) AS go FROM pr JOIN ft ON ft.doc_id = pr.doc_id AND ft.i = pr.i + 1)),
+it AS (SELECT doc_id, i * 2 AS at_, before AS t FROM pr WHERE before IS NOT NULL UNION ALL SELECT doc_id, i * 2 + 1, x FROM pr WHERE x IS NOT NULL),
+nb AS (SELECT doc_id, at_, t, lag(t) OVER w AS one, coalesce(lag(t = '') OVER o, FALSE) AS gap FROM it WINDOW o AS (PARTITION BY doc_id ORDER BY at_), w AS (PARTITION BY doc_id ORDER BY t = '', at_)),
+fi AS (SELECT *, coalesce(NOT regexp_matches(one, '[.!?]$') AND regexp_matches(t, '^\p{{Ll}}') AND NOT regexp_matches(t, '^(chapter|section|part)'), FALSE) AS fits FROM nb WHERE t <> ''),
+gr AS (SELECT *, sum(CAST(NOT fits AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY at_) AS g FROM fi),
+jo AS (SELECT *, fits AND (row_number() OVER (PARTITION BY doc_id, g, fits ORDER BY at_)) % 2 = 1 AS joined FROM gr),
+tx AS (SELECT doc_id, string_agg(CASE WHEN joined THEN ' ' WHEN gap THEN chr(10) || chr(10) ELSE chr(10) END || t, '' ORDER BY at_) AS t FROM jo GROUP BY doc_id)
+SELECT doc_id, md5({sql_strip("regexp_replace(coalesce(t, ''), ' {2,}', ' ', 'g')")}) AS text FROM documents LEFT JOIN tx USING (doc_id)"""
