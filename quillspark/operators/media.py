@@ -58,18 +58,16 @@ def trimmed_clips(clips: DataFrame, id_col: str, most: int, least_s: float = 3.0
 
 def repeated_sample(filled: DataFrame, id_col: str = "conv_id", target: float = 60.0, gap: float = 0.2, again: float = 0.3) -> DataFrame:
     """(id, clips, total_s): the filled clips, each with a gap, and the same clips again in order, with longer gaps, while the
-    total is below the target. Whole rounds are counted, then the clips of the last round."""
+    total is below the target. Clips are added one by one: a total that should be the target itself may be one bit less."""
     rows = filled.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("rank", "duration_s"))).alias("x"))
-    rows = rows.withColumn("own", F.aggregate("x", F.lit(0.0), lambda a, c: a + c["duration_s"] + gap)).withColumn("round", F.aggregate("x", F.lit(0.0), lambda a, c: a + c["duration_s"] + again))
-    # one round less than fit, so that the fold over the clips decides at the edge
-    whole = F.when((F.col("own") < target) & (F.col("round") > 0), F.greatest(F.floor((F.lit(target) - F.col("own")) / F.col("round")) - 1, F.lit(0))).otherwise(0).cast("int")
-    rows = rows.withColumn("whole", whole)
-    zero = F.struct((F.col("own") + F.col("whole") * F.col("round")).alias("t"), (F.size("x") * (F.col("whole") + 1)).alias("n"))
-    last = F.aggregate(
-        F.concat("x", "x", "x"), zero,
-        lambda a, c: F.when(a["t"] >= target, a).otherwise(F.struct((a["t"] + c["duration_s"] + again).alias("t"), (a["n"] + 1).alias("n"))),
-    )
-    return rows.select(id_col, last.alias("r")).select(id_col, F.col("r.n").alias("clips"), F.col("r.t").alias("total_s"))
+    rows = rows.withColumn("own", F.aggregate("x", F.lit(0.0), lambda a, c: a + (c["duration_s"] + gap))).withColumn("round", F.aggregate("x", F.lit(0.0), lambda a, c: a + c["duration_s"] + again))
+    rounds = F.when((F.col("own") < target) & (F.col("round") > 0), F.floor((F.lit(target) - F.col("own")) / F.col("round")) + 2).otherwise(1).cast("int")  # one more than are needed
+
+    def add(a: Column, c: Column) -> Column:
+        return F.when(a["t"] >= target, a).otherwise(F.struct((a["t"] + c["duration_s"] + again).alias("t"), (a["n"] + 1).alias("n")))
+
+    total = F.aggregate(F.sequence(F.lit(1), rounds), F.struct(F.col("own").alias("t"), F.size("x").alias("n")), lambda a, _: F.aggregate(F.col("x"), a, add))
+    return rows.select(id_col, total.alias("r")).select(id_col, F.col("r.n").alias("clips"), F.col("r.t").alias("total_s"))
 
 
 def clip_totals(clips: DataFrame, id_col: str = "conv_id") -> DataFrame:

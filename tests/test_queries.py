@@ -290,6 +290,23 @@ def test_repeated_sample_against_loop(spark):
         assert r.clips == n and math.isclose(r.total_s, total, rel_tol=1e-9)
 
 
+def test_repeated_sample_at_the_target(spark):
+    """Totals that should be 60 s and are a bit less get one clip more, as when clips are added one after the other."""
+    from quillspark.operators import media
+
+    clips = {i: [2.0 + 0.08 * ((i * 7 + k) % 40) for k in range(i % 9 + 1)] for i in range(9)} | {10: [7.5200000000000005, 6.32, 5.36], 11: [7.5200000000000005, 3.92], 12: [6.24, 5.2]}
+    df = spark.createDataFrame([(i, k + 1, x) for i, xs in clips.items() for k, x in enumerate(xs)], "conv_id int, rank int, duration_s double")
+    want = {}
+    for i, xs in clips.items():
+        t, n = 0.0, len(xs)
+        for x in xs:
+            t += x + 0.2
+        while t < 60:
+            t, n = t + xs[n % len(xs)] + 0.3, n + 1
+        want[i] = (n, t)
+    assert {r.conv_id: (r.clips, r.total_s) for r in media.repeated_sample(df).collect()} == want
+
+
 def test_lines_profiles(spark):
     from pyspark.sql import functions as F
 
