@@ -6,25 +6,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_MB = 64
+RANGE_ROWS = 1 << 16
 
 
-def ranges_for(rows: DataFrame, mb: int = RANGE_MB) -> int:
-    """So many ranges that each holds about `mb` MB by the optimizer's size of the rows, 4096 at most."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(4096, -(-size // (mb << 20))))
+def ranges_for(rows: DataFrame, each: int = RANGE_ROWS) -> int:
+    """So many ranges that each holds about `each` rows, 4096 at most. Rows are counted, since the optimizer's size of joined
+    rows is the product of both sides."""
+    return max(1, min(4096, -(-rows.count() // each)))
 
 
 def range_of(value: Column, cuts: list[float]) -> Column:
     """The number of cuts below a value, by halving; null values are in the first range."""
-
-    def among(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value > F.lit(cuts[mid]), among(mid + 1, high)).otherwise(among(low, mid))
-
-    return F.when(value.isNull(), 0).otherwise(among(0, len(cuts)))
+    if not cuts:
+        return F.lit(0)
+    among, number = F.lit(cuts), value.cast("double")
+    halves = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(halves, F.lit(0), lambda a, h: F.when(F.get(among, a + h - 1) < number, a + h).otherwise(a))
 
 
 def cuts_of(rows: DataFrame, column: str, parts: int) -> list[float]:
@@ -37,32 +34,33 @@ def cuts_of(rows: DataFrame, column: str, parts: int) -> list[float]:
 
 def numbered(rows: DataFrame, key: str, order: str, name: str, parts: int | None = None) -> DataFrame:
     """`rows` with their place from 0, in a column `name`, among the rows of their key in the order of a numeric column that is
-    unique within the key. The result does not depend on `parts`."""
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    cuts = cuts_of(rows, order, parts or ranges_for(rows))
+    unique within the key. The result does not depend on `parts`. Rows are exchanged once, so they should be narrow."""
+    cuts = cuts_of(rows, order, parts or ranges_for(rows.select(order)))
     if not cuts:
-        return rows.withColumn(name, place(key))
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     dealt = rows.withColumn("range_", range_of(F.col(order), cuts))
-    before = Window.partitionBy("key_").orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    counts = dealt.groupBy(F.col(key).alias("key_"), F.col("range_").alias("r_")).agg(F.count("*").alias("c_")).withColumn("start_", F.coalesce(F.sum("c_").over(before), F.lit(0)))
-    own = dealt.withColumn(name, place(key, "range_"))
-    out = own.join(counts, F.col(key).eqNullSafe(F.col("key_")) & (F.col("range_") == F.col("r_")))
-    return out.withColumn(name, F.col(name) + F.col("start_").cast("int")).drop("range_", "key_", "r_", "c_", "start_")
+    before = Window.partitionBy(key).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = dealt.groupBy(key, "range_").agg(F.count("*").alias("c_")).select(key, "range_", F.coalesce(F.sum("c_").over(before), F.lit(0)).alias("start_"))
+    along = Window.partitionBy(key, "range_").orderBy(F.col("start_").isNull(), order)  # a range's count of rows before it comes first
+    both = dealt.withColumn("start_", F.lit(None).cast("long")).unionByName(counts, allowMissingColumns=True)
+    start = F.max("start_").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = both.withColumns({name: F.row_number().over(along) - 2, "from_": start}).where("start_ IS NULL")
+    return out.withColumn(name, F.col(name) + F.col("from_").cast("int")).drop("range_", "start_", "from_")
 
 
 def least_from(rows: DataFrame, asked: DataFrame, key: str, at: str, value: str, parts: int | None = None) -> DataFrame:
-    """`asked` (with `key` and a numeric `at`) with the least `value` among the key's rows at `at` or above, null without one."""
+    """`asked` (with `key` and a numeric `at`) with the least `value` among the key's rows at `at` or above, null without one.
+    `rows` are read some times over."""
     cuts = cuts_of(rows, at, parts or ranges_for(rows))
     columns = asked.columns
     here = rows.select(F.col(key), F.col(at), F.col(value), F.lit(None).cast(asked.select(F.struct("*").alias("s")).schema["s"].dataType).alias("ask_"))
     there = asked.select(F.col(key), F.col(at), F.lit(None).cast(rows.schema[value].dataType).alias(value), F.struct("*").alias("ask_"))
-    both = here.unionByName(there).withColumn("range_", range_of(F.col(at), cuts))
-    along = Window.partitionBy(key, "range_").orderBy(F.desc(at), F.col("ask_").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn(value, F.min(value).over(along)).where("ask_ IS NOT NULL")
+    both = here.unionByName(there).withColumns({"range_": range_of(F.col(at), cuts), "first_": F.lit(1)})
     if cuts:
-        after = Window.partitionBy("key_").orderBy(F.desc("r_")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-        rest = both.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key_"), F.col("range_").alias("r_")).agg(F.min(value).alias("m_"))
-        every = both.select(F.col(key).alias("key_"), F.col("range_").alias("r_")).distinct()
-        carried = every.join(rest, ["key_", "r_"], "left").withColumn("rest_", F.min("m_").over(after))
-        out = out.join(carried, (F.col(key) == F.col("key_")) & (F.col("range_") == F.col("r_"))).withColumn(value, F.least(value, "rest_"))
+        after = Window.partitionBy(key).orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        least = both.groupBy(key, "range_").agg(F.min(value).alias("m_"))
+        carried = least.select(key, "range_", F.min("m_").over(after).alias(value), F.lit(0).alias("first_"))
+        both = both.unionByName(carried, allowMissingColumns=True)
+    along = Window.partitionBy(key, "range_").orderBy("first_", F.desc(at), F.col("ask_").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn(value, F.min(value).over(along)).where("ask_ IS NOT NULL")
     return out.select(*[F.col(f"ask_.{c}").alias(c) for c in columns], value)

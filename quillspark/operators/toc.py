@@ -12,6 +12,7 @@ from quillspark.functions.text import chapter_number, footer_label, roman, strip
 from quillspark.functions.text import lines as lines_of
 from quillspark.operators.lines import is_rear_matter
 from quillspark.operators.order import least_from
+from quillspark.sources.io import stored
 
 
 def unite(bookmarks: DataFrame, texts: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def look_up_pages(labels: DataFrame, queries: DataFrame, parts: int | None = Non
     """Page of a printed label: the label itself, where it occurs first; else the least page among numeric labels from it on;
     else the first label of its roman value. Labels are (source, label, page_idx, ord), queries (source, query)."""
     q = queries.withColumn("low", F.lower("query")).withColumn("n", whole_number(F.col("query"))).withColumn("r", roman(F.col("query")))
-    labels = first_labels(labels)
+    labels = stored(first_labels(labels), "labels")
     exact = labels.select("source", F.col("label").alias("low"), F.col("page_idx").alias("exact"))
     numeric = labels.select("source", whole_number(F.col("label")).alias("k"), F.col("page_idx").alias("above")).where("k IS NOT NULL")
     asked = q.where("n IS NOT NULL").select("source", F.col("n").alias("k"), "query").distinct()

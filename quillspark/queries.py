@@ -45,8 +45,13 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def places(spark: SparkSession, d: str, **columns) -> DataFrame:
+    """(source, doc_id, page_idx) of each page, and columns made of its row; texts themselves stay where they are."""
+    return numbered(documents(spark, d).select("source", "doc_id", *[c.alias(k) for k, c in columns.items()]), "source", "doc_id", "page_idx")
+
+
 def book_pages(spark: SparkSession, d: str) -> DataFrame:
-    return numbered(documents(spark, d).select("source", "doc_id", "text"), "source", "doc_id", "page_idx").select("source", "page_idx", "text")
+    return places(spark, d, text=F.col("text")).select("source", "page_idx", "text")
 
 
 PAGES = "pages_ AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_idx, text FROM documents)"
@@ -326,10 +331,10 @@ SELECT source, query, coalesce(
   (SELECT min(page_idx) FROM v WHERE v.source = r.source AND regexp_matches(v.label, '^\\d+$') AND v.v >= r.n),
   (SELECT arg_min(page_idx, ord) FROM v WHERE v.source = r.source AND v.v = r.r)) AS page_idx FROM r""")
 def q_page_lookup(spark, d):
-    pages = book_pages(spark, d)
+    pages = places(spark, d)
     label = F.when(F.col("page_idx") < 3, F.element_at(F.array(F.lit("i"), F.lit("ii"), F.lit("iii")), F.least(F.col("page_idx"), F.lit(2)) + 1)).otherwise((F.col("page_idx") * 2 - 5).cast("string"))
     labels = pages.select("source", label.alias("label"), "page_idx", F.col("page_idx").alias("ord"))
-    asked = pages.select("source").distinct().withColumn("query", F.explode(F.array(*[F.lit(x) for x in ("2", "3", "10", "900", "II", "vii", "x9")])))
+    asked = documents(spark, d).select("source").distinct().withColumn("query", F.explode(F.array(*[F.lit(x) for x in ("2", "3", "10", "900", "II", "vii", "x9")])))
     return toc.look_up_pages(labels, asked)
 
 

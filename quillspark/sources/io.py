@@ -71,3 +71,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` written to a scratch folder, so that what reads them several times makes them once."""
+    folder = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import order, toc
 
@@ -22,6 +23,21 @@ def roman_value(s):
     return total or None
 
 
+def test_ranges_by_rows(spark):
+    """The optimizer's size of joined rows is the product of both sides, which asked for thousands of ranges."""
+    a = spark.range(20_000).selectExpr("id", "id AS v")
+    assert order.ranges_for(a.join(a.select("id", F.col("v").alias("w")), "id")) == 1 and order.ranges_for(a, 1000) == 20
+
+
+def test_many_ranges(spark):
+    """Thousands of ranges are found without an expression per range, which the engine can't compile."""
+    cuts = [float(x) for x in range(0, 12_285, 3)]
+    found = spark.range(-2, 12_290, 5).select("id", order.range_of(F.col("id"), cuts).alias("r"), order.range_of(F.lit(None), cuts).alias("none"), order.range_of(F.col("id"), []).alias("one"))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40 * len(cuts)
+    for r in found.collect():
+        assert (r.r, r.none, r.one) == (sum(c < r.id for c in cuts), 0, 0)
+
+
 @pytest.mark.parametrize("parts", [1, 2, 7, 40])
 def test_numbered_and_least_from(spark, parts):
     rng = random.Random(parts)
