@@ -124,11 +124,15 @@ def look_up_pages(labels: DataFrame, queries: DataFrame, parts: int | None = Non
     return out.select("source", "query", F.coalesce("exact", "above", "by_value").alias("page_idx"))
 
 
+def _foot(text: Column) -> Column:
+    """The label at the foot of a page's text."""
+    tail = F.substring_index(strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s*\n\s*", "\n")), "\n", -2)
+    return footer_label(F.filter(F.split(tail, "\n"), lambda x: x != ""))
+
+
 def page_labels(pages: DataFrame) -> DataFrame:
     """(source, label, page_idx, ord) of the labels printed at the foot of pages (source, page_idx, text)."""
-    tail = F.substring_index(strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s*\n\s*", "\n")), "\n", -2)
-    rows = pages.select("source", "page_idx", F.filter(F.split(tail, "\n"), lambda x: x != "").alias("foot"))
-    return rows.select("source", footer_label(F.col("foot")).alias("label"), "page_idx", F.col("page_idx").alias("ord")).where("label IS NOT NULL")
+    return pages.select("source", _foot(F.col("text")).alias("label"), "page_idx", F.col("page_idx").alias("ord")).where("label IS NOT NULL")
 
 
 def scan_contents(pages: DataFrame, labels: DataFrame | None = None, after: int = 50) -> DataFrame:
@@ -140,9 +144,12 @@ def scan_contents(pages: DataFrame, labels: DataFrame | None = None, after: int
     ascend by `ord` as they stand; a printed page that no label leads to makes no entry. `labels` as in `look_up_pages`, by
     default those at the feet of the pages. Null texts are pages without lines; books that never stop keep all.
     """
-    labels = page_labels(pages) if labels is None else labels
-    rows = pages.select("source", F.col("page_idx").alias("found_on"), F.posexplode(lines_of(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    rows = rows.where(F.col("line").rlike(r"(?U)[.\-–—‒\s]{2}[ivxlcdmIVXLCDM0-9]+\s*$"))  # cheap, and true of every line that counts
+    every = F.transform(lines_of(F.coalesce("text", F.lit(""))), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    found = F.filter(every, lambda x: x["line"].rlike(r"(?U)[.\-–—‒\s]{2}[ivxlcdmIVXLCDM0-9]+\s*$"))  # cheap, and true of every line that counts
+    # texts are read once: what counts on a page is stored, a few lines and the label at its foot
+    pages = stored(pages.select("source", "page_idx", found.alias("found"), _foot(F.col("text")).alias("label")), "contents")
+    labels = pages.select("source", "label", "page_idx", F.col("page_idx").alias("ord")).where("label IS NOT NULL") if labels is None else labels
+    rows = pages.select("source", F.col("page_idx").alias("found_on"), F.explode("found").alias("l")).select("source", "found_on", "l.*")
     rows = rows.select("source", "found_on", "line_no", toc_line(strip(F.col("line"))).alias("t")).where(F.col("t.page").rlike("^[ivxlcdmIVXLCDM0-9]+$"))
     rows = rows.select("source", "found_on", "line_no", F.col("t.title").alias("title"), F.col("t.page").alias("query"))
     led = look_up_pages(labels, rows.select("source", "query").distinct()).where("page_idx IS NOT NULL")

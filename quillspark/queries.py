@@ -824,7 +824,8 @@ SCAN_TEXT = r"""concat(text, chr(10), CASE WHEN page_idx % 3 < 2 THEN concat('Pa
 
 def contents_pages(spark: SparkSession, d: str) -> DataFrame:
     """Books by language, whose pages end in contents lines and, most of them, a printed label."""
-    rows = numbered(documents(spark, d).select(F.col("lang").alias("source"), "doc_id", "text"), "source", "doc_id", "page_idx")
+    docs = documents(spark, d).select(F.col("lang").alias("source"), "doc_id", "text")
+    rows = numbered(docs.select("source", "doc_id"), "source", "doc_id", "page_idx").join(docs, ["source", "doc_id"])
     return rows.select("source", "page_idx", F.expr(SCAN_TEXT.replace("//", "div")).alias("text"))
 
 
