@@ -65,10 +65,13 @@ def first_pages(spark: SparkSession, d: str, n: int) -> DataFrame:
 
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth page opens a chapter; some titles and pages occur twice."""
-    base = book_pages(spark, d).where("page_idx % 5 = 0").select("source", "page_idx", F.concat(F.expr("page_idx div 5"), F.lit(" "), F.left(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(30))).alias("title"))
-    again = base.where("page_idx % 10 = 0").select("source", F.expr("page_idx * 2 + 1").alias("ord"), F.concat("title", F.lit(" ")).alias("title"), (F.col("page_idx") + 3).alias("page_idx"))
-    rear = base.where("page_idx % 15 = 5").select("source", F.expr("page_idx * 2 + 1").alias("ord"), F.concat(F.lit("Appendix "), "page_idx").alias("title"), F.expr("page_idx + page_idx % 2").alias("page_idx"))
-    return base.select("source", F.expr("page_idx * 2").alias("ord"), "title", "page_idx").unionByName(again).unionByName(rear)
+    heads = places(spark, d, head=F.left(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(30))).where("page_idx % 5 = 0")
+    base = heads.select("source", "page_idx", F.concat(F.expr("page_idx div 5"), F.lit(" "), "head").alias("title"))
+    entry = lambda ord_, title, page: F.struct(F.expr(ord_).alias("ord"), title.alias("title"), F.expr(page).alias("page_idx"))
+    again = entry("page_idx * 2 + 1", F.concat("title", F.lit(" ")), "page_idx + 3")
+    rear = entry("page_idx * 2 + 1", F.concat(F.lit("Appendix "), "page_idx"), "page_idx + page_idx % 2")
+    entries = F.array(entry("page_idx * 2", F.col("title"), "page_idx"), F.when(F.col("page_idx") % 10 == 0, again), F.when(F.col("page_idx") % 15 == 5, rear))
+    return base.select("source", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("source", "e.*")
 
 
 ENTRIES = PAGES + r""",
@@ -299,15 +302,15 @@ ranges AS (SELECT rr.source, row_number() OVER w AS chapter_no, title, page_idx
 
 @query("q_chapter_ranges", f"WITH RECURSIVE {RANGES} SELECT * FROM ranges")
 def q_chapter_ranges(spark, d):
-    return toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), book_pages(spark, d))
+    return toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), documents(spark, d))
 
 
 @query("q_chapter_pages", f"""WITH RECURSIVE {RANGES}
 SELECT r.source, chapter_no, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM ranges r JOIN pages_ p ON p.source = r.source AND p.page_idx >= start_page AND p.page_idx < end_page GROUP BY r.source, chapter_no""")
 def q_chapter_pages(spark, d):
-    pages = book_pages(spark, d)
-    joined = toc.chapter_pages(toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), pages), pages)
-    return joined.groupBy("source", "chapter_no").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+    ranges = toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), documents(spark, d))
+    joined = toc.chapter_pages(ranges, places(spark, d, n=F.length("text")))
+    return joined.groupBy("source", "chapter_no").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"))
 
 
 @query("q_missing_chapters", f"""WITH {ENTRIES},
@@ -732,7 +735,7 @@ SELECT source, 'front' AS section, page_idx FROM s2 JOIN pages_ USING (source) W
 UNION ALL SELECT source, 'main', page_idx FROM s2 JOIN pages_ USING (source) WHERE page_idx BETWEEN main_ AND last_
 UNION ALL SELECT source, 'rear', page_idx FROM s2 JOIN pages_ USING (source) WHERE page_idx >= coalesce(rear, last_ + 1, 0)""")
 def q_section_pages(spark, d):
-    return toc.section_pages(toc.deduplicate(toc_entries(spark, d)), book_pages(spark, d).select("source", "page_idx"))
+    return toc.section_pages(toc.deduplicate(toc_entries(spark, d)), documents(spark, d))
 
 
 @query("q_bookmarks", "SELECT source, CAST(doc_id AS INTEGER) AS ord, trim(left(regexp_extract(text, '^[^\\n]*', 0), 25)) AS title, CAST(doc_id % 40 AS INTEGER) AS page_idx FROM documents WHERE doc_id % 5 = 0")
