@@ -690,11 +690,12 @@ def _books(spark, d):
 
 
 def _chapter_texts(spark, d):
-    pages = book_pages(spark, d)
-    ranges = toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), pages)
+    """Chapters are found on numbers of pages alone; texts are exchanged twice, to the numbers of their chapters and to these."""
+    ranges = toc.chapter_ranges(toc.deduplicate(toc_entries(spark, d)), documents(spark, d))
+    pages = toc.chapter_pages(ranges, places(spark, d)).join(documents(spark, d).select("source", "doc_id", "text"), ["source", "doc_id"])
     parts = F.sort_array(F.collect_list(F.struct("page_idx", "text")))
     text = F.array_join(F.transform("x", lambda s: s["text"]), "\n\n")
-    chapters = toc.chapter_pages(ranges, pages).groupBy("source", "chapter_no", "title", "start_page", "end_page").agg(parts.alias("x")).withColumn("text", text)
+    chapters = pages.groupBy("source", "chapter_no", "title", "start_page", "end_page").agg(parts.alias("x")).withColumn("text", text)
     return reports.chapter_texts(chapters, _books(spark, d))
 
 

@@ -413,6 +413,17 @@ def plain_paragraphs(text):
     return re.sub(" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "\n".join(final))).strip()
 
 
+@pytest.mark.parametrize("name", ["q_chapter_pages", "q_chapter_files", "q_page_lookup", "q_contents_scan"])
+def test_pages_are_numbered_without_their_texts(spark, monkeypatch, name):
+    """Places need no texts, so none is sorted or exchanged for them."""
+    from quillspark import queries
+
+    seen, number = [], queries.numbered
+    monkeypatch.setattr(queries, "numbered", lambda rows, *a, **k: seen.append(rows.columns) or number(rows, *a, **k))
+    queries.QUERIES[name](spark, SF)
+    assert seen and not any("text" in c for c in seen)
+
+
 def test_paragraphs_against_a_loop(spark):
     """Random lines, more than a block of the fold, and whole documents."""
     import random
