@@ -25,19 +25,29 @@ def render_plan(docs: DataFrame, voices: list[str], most: int = 250, least: int
     return rows.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("est_ms"))
 
 
-def timeline(chunks: DataFrame, profile: str, id_col: str = "doc_id") -> DataFrame:
-    """`chunks` (id, chunk_no from 0, chunk) with est_ms, start_ms, end_ms and total_ms, the text's whole length, by a profile's
-    silences. The last chunk is the one with the greatest number, whether the profile leaves others out or not."""
-    lead, before, after, last = PROFILES[profile]
+def timelines(chunks: DataFrame, profiles: list[str], id_col: str = "doc_id") -> DataFrame:
+    """`chunks` (id, chunk_no from 0, chunk) with profile, est_ms, start_ms, end_ms and total_ms, the text's whole length, a row
+    per profile, by its silences. The last chunk is the one with the greatest number, whether the profile leaves others out or
+    not. Chunks are made and exchanged once for all profiles."""
     whole = Window.partitionBy(id_col)
-    ordered = whole.orderBy("chunk_no")
-    rows = chunks.withColumn("last_", F.max("chunk_no").over(whole)).where(F.length(strip(F.col("chunk"))) >= SHORTEST.get(profile, 0))
-    est = (duration_estimate(F.length("chunk")) * 1000).cast("long")
-    rows = rows.withColumns({"est_ms": est, "pre_": F.when(F.col("chunk_no") > 0, before).otherwise(0), "post_": F.when(F.col("chunk_no") == F.col("last_"), last).otherwise(after)})
-    own = F.col("pre_") + F.col("est_ms") + F.col("post_")
-    start = lead + F.coalesce(F.sum(own).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("pre_")
-    out = rows.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("est_ms")).withColumn("total_ms", lead + F.sum(own).over(whole))
-    return out.drop("last_", "pre_", "post_")
+    ahead = whole.orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length(strip(F.col("chunk")))
+    rows = chunks.withColumns({"est_ms": (duration_estimate(F.length("chunk")) * 1000).cast("long"), "kept_": F.array(*[n >= SHORTEST.get(p, 0) for p in profiles])})
+    rows = rows.withColumn("last_", F.max("chunk_no").over(whole))
+    of = []
+    for i, p in enumerate(profiles):
+        lead, before, after, last = PROFILES[p]
+        pre = F.when(F.col("chunk_no") > 0, before).otherwise(0)
+        own = F.when(F.col("kept_")[i], pre + F.col("est_ms") + F.when(F.col("chunk_no") == F.col("last_"), last).otherwise(after))
+        start = lead + F.coalesce(F.sum(own).over(ahead), F.lit(0)) + pre
+        of.append(F.when(F.col("kept_")[i], F.struct(F.lit(p).alias("profile"), start.alias("start_ms"), (start + F.col("est_ms")).alias("end_ms"), (lead + F.sum(own).over(whole)).alias("total_ms"))))
+    out = rows.withColumn("of_", F.array(*of)).withColumn("of_", F.explode(F.filter("of_", lambda x: x.isNotNull())))
+    return out.select("*", "of_.*").drop("last_", "kept_", "of_")
+
+
+def timeline(chunks: DataFrame, profile: str, id_col: str = "doc_id") -> DataFrame:
+    """`timelines` of one profile."""
+    return timelines(chunks, [profile], id_col).drop("profile")
 
 
 def diarize(captions: DataFrame, gap: float, id_col: str = "video_id") -> DataFrame:

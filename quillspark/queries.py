@@ -950,11 +950,7 @@ te AS (SELECT doc_id, chunk_no, length(chunk) AS n, CAST(floor(greatest(1.0, len
 SELECT *, start_ms + est_ms AS end_ms FROM ({TIMELINES})""")
 def q_timelines(spark, d):
     chunks = documents(spark, d).select("doc_id", F.posexplode(chunking.pack_trailing(F.col("text"), 250, 1)).alias("chunk_no", "chunk"))
-    out = None
-    for name in render.PROFILES:
-        rows = render.timeline(chunks, name).select("doc_id", F.lit(name).alias("profile"), "chunk_no", "est_ms", "start_ms", "end_ms", "total_ms")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return render.timelines(chunks, list(render.PROFILES)).select("doc_id", "profile", "chunk_no", "est_ms", "start_ms", "end_ms", "total_ms")
 
 
 # Ten shapes of sentences; each rule of the spoken forms fires in one of them.

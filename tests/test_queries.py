@@ -538,3 +538,16 @@ def test_timelines_against_a_loop(spark):
             want |= {(i, k): (a, b, at) for k, a, b in rows}
         got = {(r.doc_id, r.chunk_no): (r.start_ms, r.end_ms, r.total_ms) for r in render.timeline(df, name).collect()}
         assert got == want, name
+
+
+def test_timelines_read_texts_once(spark):
+    """All profiles come of one reading, packing and exchange, with what each gives by itself."""
+    from quillspark import queries
+    from quillspark.plans import render
+
+    plan = queries.QUERIES["q_timelines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    df = spark.createDataFrame([(i, k, "w" * (i * 5 + k * 3)) for i in range(4) for k in range(i + 1)], "doc_id int, chunk_no int, chunk string")
+    names = list(render.PROFILES)
+    every = {(r.profile, r.doc_id, r.chunk_no, r.start_ms, r.end_ms, r.total_ms) for r in render.timelines(df, names).collect()}
+    assert every == {(p, r.doc_id, r.chunk_no, r.start_ms, r.end_ms, r.total_ms) for p in names for r in render.timeline(df, p).collect()}
