@@ -30,6 +30,33 @@ def test_late_captions(spark, tmp_path):
     assert ("x", 99) not in got and {k: v for k, v in got.items() if k[0]} == want and len(set(want.values())) == 2
 
 
+def test_videos_share_a_call(spark, tmp_path, monkeypatch):
+    """Many videos cost some calls of Python, as many as there are buckets and not videos; each goes on where it ended."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    plain = captions.Turns.__call__
+
+    def counted(self, key, batches, state):
+        (calls / f"{random.Random().random()}").touch()
+        return plain(self, key, batches, state)
+
+    monkeypatch.setattr(captions.Turns, "__call__", counted)
+    rng = random.Random(4)
+    rows = [(f"v{v}", T0 + dt.timedelta(seconds=at), at, 0.0, "a") for v in range(300) for at in rng.sample(range(60), 6)]
+    halves = [[r for r in rows if r[2] < 30], [r for r in rows if r[2] >= 30], [(None, T0 + dt.timedelta(days=1), 0, 0.0, "end")], [(None, T0 + dt.timedelta(days=2), 0, 0.0, "end")]]
+    for k, b in enumerate(halves):
+        spark.createDataFrame(b, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", captions.ROCKS)
+    q = captions.stream_speakers(stream.select(*spark.createDataFrame([], SCHEMA).columns), 9.0, "10 seconds", buckets=4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    table = spark.createDataFrame([(v, o, t.timestamp(), d, x) for v, t, o, d, x in rows], "video_id string, ord long, start double, duration double, text string")
+    want = {(r.video_id, r.ord): r.speaker for r in render.diarize(table, 9.0).collect()}
+    assert {(r.video_id, r.ord): r.speaker for r in spark.read.parquet(str(tmp_path / "out")).where("video_id IS NOT NULL").collect()} == want
+    assert 4 <= len(list(calls.iterdir())) <= 40
+
+
 def test_catalog_refresh(spark, tmp_path):
     rng = random.Random(3)
     batches = [[{"name": rng.choice(["a", "b", "c", None, f"n{k}"]), "created": f"{rng.randint(0, 99):02}", **({"quality": rng.random()} if rng.random() < 0.7 else {}), "clips": rng.randint(0, 9)} for _ in range(12)] for k in range(4)]
