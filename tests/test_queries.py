@@ -551,3 +551,16 @@ def test_timelines_read_texts_once(spark):
     names = list(render.PROFILES)
     every = {(r.profile, r.doc_id, r.chunk_no, r.start_ms, r.end_ms, r.total_ms) for r in render.timelines(df, names).collect()}
     assert every == {(p, r.doc_id, r.chunk_no, r.start_ms, r.end_ms, r.total_ms) for p in names for r in render.timeline(df, p).collect()}
+
+
+def test_edges_as_in_the_reference(spark):
+    """A paragraph of the greatest length stays whole; a middle chunk's first letter gets Python's capital."""
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text as T
+    from quillspark.operators import chunking
+
+    texts = ["a" * 24 + ".\n" + "b" * n for n in (22, 23, 24, 25)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunking.pack_paragraphs(F.col("t"), 50, 10).alias("c"))
+    assert {r.t: r.c for r in df.collect()} == {t: plain_v5(t, 50, 10) for t in texts} and plain_v5(texts[2], 50, 10) == [texts[2]]
+    assert spark.range(1).select(T.middle_capitals(F.array(F.lit("a"), F.lit("ßen"), F.lit("c"))).alias("x")).first().x == ["a", "ßen"[0].upper() + "en", "c"]
